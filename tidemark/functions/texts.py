@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import as_col
 
 WORD = r"[\p{L}\p{N}_]+"
-SENTENCE = r"[^.!?]+[.!?]"
+# The end mark is optional so that a long tail without one is matched once instead of being
+# tried from every position; tails are dropped afterwards.
+SENTENCE = r"[^.!?]+[.!?]?"
 
 
 def squeeze(value: str | Column) -> Column:
@@ -94,8 +96,8 @@ def word_total(value: str | Column) -> Column:
 def sentences(value: str | Column) -> Column:
     """Trimmed sentences that end in ``.``, ``!`` or ``?``; text without one is one sentence."""
     text = F.coalesce(as_col(value), F.lit(""))
-    parts = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: strip(s))
-    parts = F.filter(parts, lambda s: F.length(s) > 1)
+    ended = F.filter(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.right(s, F.lit(1)).isin(".", "!", "?"))
+    parts = F.filter(F.transform(ended, lambda s: strip(s)), lambda s: F.length(s) > 1)
     whole = F.when(F.length(strip(text)) > 0, F.array(strip(text))).otherwise(F.array().cast("array<string>"))
     return F.when(F.size(parts) > 0, parts).otherwise(whole)
 

@@ -18,8 +18,8 @@ from tidemark.lexicons import BOOST_TERMS, STOPWORDS
 
 def tokens(text: str | Column, stopwords: Sequence[str] = tuple(STOPWORDS), min_len: int = 3) -> Column:
     """Lower-case words without stop-words and short words, in order."""
-    stops = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    return F.filter(words(text), lambda t: (F.length(t) >= min_len) & ~F.array_contains(stops, t))
+    stops = list(stopwords)
+    return F.filter(words(text), lambda t: (F.length(t) >= min_len) & ~t.isin(stops) if stops else F.length(t) >= min_len)
 
 
 def ngrams(tokens_col: Column, n: int = 2) -> Column:
@@ -73,10 +73,10 @@ def keywords_count(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost:
                    stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
     """Keywords by raw count: the k/2 best bigrams, then words that no chosen bigram contains."""
     base = docs.where(F.length(text) >= min_chars).select(doc, words(F.col(text)).alias("_w"))
-    stops = F.array(*[F.lit(w) for w in stopwords])
+    stops = list(stopwords)
 
     def good(w: Column) -> Column:
-        return (F.length(w) > 3) & ~F.array_contains(stops, w)
+        return (F.length(w) > 3) & ~w.isin(stops)
 
     pairs = F.filter(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b")),
                      lambda z: z["b"].isNotNull() & good(z["a"]) & good(z["b"]))

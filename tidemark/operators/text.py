@@ -244,8 +244,8 @@ PATTERNS = {
     "btc_addresses": r"\b(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25,39}\b",
     "eth_addresses": r"\b0x[a-fA-F0-9]{40}\b",
     "tx_ids": r"\b[a-fA-F0-9]{64}\b",
-    "usd_amounts": r"(?i)\$\s*[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\s*(?:USD|US dollars|dollars)",
-    "coin_amounts": r"(?i)[0-9]+(?:\.[0-9]+)?\s*(?:BTC|ETH|XRP|LTC|BCH|ADA|DOT|SOL|BNB)",
+    "usd_amounts": r"(?i)\$\s*[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|(?<![0-9])[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\s*(?:USD|US dollars|dollars)",
+    "coin_amounts": r"(?i)(?<![0-9])[0-9]+(?:\.[0-9]+)?\s*(?:BTC|ETH|XRP|LTC|BCH|ADA|DOT|SOL|BNB)",
     "dates": r"(?i)\b(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{1,2},? [0-9]{4}|Q[1-4] [0-9]{4})\b",
     "organisations": r"\b[A-Z][a-z]+\s+(?:Inc|LLC|Corp|Corporation|Foundation|Association|Fund|Capital)\b",
 }
@@ -319,9 +319,8 @@ TEAM_HEADERS = ["Team Assessment", "Key Personnel", "Management Team", "Team", "
 
 def allocations(df: DataFrame, doc: str, text: str, headers: Sequence[str] = tuple(PORTFOLIO_HEADERS)) -> DataFrame:
     """(document, asset, share) from ``name: value%`` pairs of the portfolio section."""
-    body = section(F.col(text), headers)
-    pairs = X.extract_all(body, r"[^:\n]+:\s*[0-9.]+%?")
-    rows = df.select(doc, F.explode(pairs).alias("_p"))
+    items = F.split(section(F.col(text), headers), r"[\n,;]")
+    rows = df.select(doc, F.explode(F.filter(items, lambda x: x.rlike(r"^[^:]+:\s*[0-9.]+%?"))).alias("_p")).withColumn("_p", F.regexp_extract("_p", r"^[^:]+:\s*[0-9.]+%?", 0))
     asset = X.strip(F.regexp_replace(F.regexp_extract("_p", r"^([^:]+):", 1), r"^[\s•*-]+", ""))
     number = safe_double(F.regexp_extract("_p", r":\s*([0-9.]+)", 1))
     share = F.when(F.col("_p").endswith("%") | (number > 1), number / 100).otherwise(number)
