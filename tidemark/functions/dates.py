@@ -11,16 +11,16 @@ from tidemark.functions.numbers import as_col
 
 # Date notations in the order in which they are tried.
 DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy",
-    "MMM dd, yyyy",
-    "dd MMM yyyy",
-    "dd-MM-yyyy",
-    "dd.MM.yyyy",
-    "MM-dd-yyyy",
+    "yyyy-M-d",
+    "yyyy-M-d H:mm:ss",
+    "yyyy/M/d",
+    "M/d/yyyy",
+    "d/M/yyyy",
+    "MMM d, yyyy",
+    "d MMM yyyy",
+    "d-M-yyyy",
+    "d.M.yyyy",
+    "M-d-yyyy",
     "yyyyMMdd",
 ]
 

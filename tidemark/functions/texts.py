@@ -24,7 +24,7 @@ def truncate_words(value: str | Column, limit: int) -> Column:
     """At most ``limit`` characters cut at a blank, with an ellipsis when cut."""
     text = as_col(value)
     head = text.substr(1, limit)
-    whole = F.regexp_replace(head, r"\s+[^\s]*$", "")
+    whole = F.regexp_replace(head, r" [^ ]*\z", "")
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(whole, F.lit("...")))
 
 
