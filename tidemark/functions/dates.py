@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -25,10 +26,24 @@ DATE_FORMATS = [
 ]
 
 
+SHAPES = {"yyyy": "[0-9]{4}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": "[0-9]{2}", "M": "[0-9]{1,2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}",
+          "HH": "[0-9]{2}", "H": "[0-9]{1,2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}", ".": "[.]"}
+
+
+def shape_of(fmt: str) -> str:
+    """Regular expression of the texts a notation can match."""
+    return "^" + re.sub(r"yyyy|M+|d+|H+|mm|ss|[.]", lambda m: SHAPES[m.group(0)], fmt) + "$"
+
+
+def try_parse(text: Column, fmt: str) -> Column:
+    """Timestamp in one notation, else null. The cheap shape test comes first: a failed parse costs an exception."""
+    return F.when(text.rlike(shape_of(fmt)), F.try_to_timestamp(text, F.lit(fmt)))
+
+
 def parse_date_any(value: str | Column, formats: Sequence[str] = tuple(DATE_FORMATS)) -> Column:
     """First notation that fits; a text that only names a year becomes 1 January; else null."""
     text = F.trim(F.regexp_replace(as_col(value).cast("string"), "[\"']", ""))
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    tries = [try_parse(text, f) for f in formats]
     year = F.regexp_extract(text, r"\b((?:19|20)[0-9]{2})\b", 1)
     only_year = F.when(year != "", F.try_to_timestamp(F.concat(year, F.lit("-01-01")), F.lit("yyyy-MM-dd")))
     return F.coalesce(*tries, only_year)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 SIGNED = r"([-+]?[0-9]*\.?[0-9]+)"
-# Unit suffixes and the words that stand for "no number".
+WITH_UNIT = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*([KkMmBbTt]?)$"
+# Unit suffixes.
 SUFFIXES = {"K": 1e3, "M": 1e6, "B": 1e9, "T": 1e12}
-NULL_WORDS = ["na", "n/a", "nan", "null", "none", "-"]
 
 
 def as_col(value: str | Column) -> Column:
@@ -17,21 +17,20 @@ def as_col(value: str | Column) -> Column:
 
 
 def safe_double(text: Column) -> Column:
-    """The number if the whole text is one, else null."""
-    return F.when(text.rlike(NUMBER), text.cast("double"))
+    """The number if the whole text is one, else null (also for texts such as ``1d``)."""
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")
 
 
 def parse_number(value: str | Column) -> Column:
     """Number from text with separators, currency signs, ``%`` and K/M/B/T; 0.0 if there is none."""
-    raw = F.trim(as_col(value).cast("string"))
-    text = F.trim(F.regexp_replace(raw, r"[,%$€£¥]", ""))
-    scaled = F.lit(None).cast("double")
-    for suffix, factor in SUFFIXES.items():
-        body = F.regexp_replace(text, f"(?i){suffix}$", "")
-        scaled = F.when(F.upper(text).endswith(suffix), safe_double(body) * factor).otherwise(scaled)
-    first = safe_double(F.regexp_extract(text, SIGNED, 1))
-    empty = raw.isNull() | (text == "") | F.lower(text).isin(*NULL_WORDS)
-    return F.when(empty, F.lit(0.0)).otherwise(F.coalesce(safe_double(text), scaled, first, F.lit(0.0)))
+    text = F.trim(F.regexp_replace(as_col(value).cast("string"), r"[,%$€£¥]", ""))
+    unit = F.upper(F.regexp_extract(text, WITH_UNIT, 2))
+    factor = F.lit(1.0)
+    for suffix, size in SUFFIXES.items():
+        factor = F.when(unit == suffix, size).otherwise(factor)
+    whole = F.regexp_extract(text, WITH_UNIT, 1).try_cast("double")
+    first = F.regexp_extract(text, SIGNED, 1).try_cast("double")
+    return F.coalesce(whole * factor, first, F.lit(0.0))
 
 
 def parse_fraction(value: str | Column) -> Column:

@@ -141,7 +141,7 @@ def lexicon_join(docs: DataFrame, lexicon: Mapping[str, Sequence[str]], *, doc:
 
 def term_equi_join(docs: DataFrame, terms: DataFrame, *, doc: str, text: str, term: str = "term") -> DataFrame:
     """Single-word dictionary of any size joined to document words: (document, term columns, hits)."""
-    words = docs.select(doc, F.explode(texts.words(F.col(text))).alias("_w")).groupBy(doc, "_w").agg(F.count(F.lit(1)).alias("n"))
+    words = scale.unnest(docs, [doc], texts.words(F.col(text)), "_w").groupBy(doc, "_w").agg(F.count(F.lit(1)).alias("n"))
     return words.join(terms.withColumn("_w", F.lower(F.col(term))), "_w").drop("_w")
 
 

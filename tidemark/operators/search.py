@@ -124,7 +124,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame, *, query: str, query_tex
                    step: float = 0.1, cap: float = 0.8) -> DataFrame:
     """Documents that contain query keywords: 0.1 relevance per distinct keyword word, at most 0.8."""
     asked = queries.select(query, F.explode(F.array_distinct(F.filter(X.words(query_text), lambda w: F.length(w) >= min_len))).alias("_w"))
-    index = docs.select(doc, F.explode(F.array_distinct(X.words(text))).alias("_w"))
+    index = scale.unnest(docs, [doc], F.array_distinct(X.words(text)), "_w")
     hits = index.join(asked, "_w").groupBy(query, doc).agg(F.count(F.lit(1)).alias("hits"))
     scored = hits.withColumn("relevance", F.round(F.least(F.lit(cap), F.col("hits") * step), 6))
     return scale.top_per_key(scored, query, [F.col("hits").desc(), F.col(doc)], k, rank="rank")
@@ -138,7 +138,7 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, query: str, query_text:
     # Only the terms that queries ask for are counted; the set of asked terms joins as a filter first.
     asked = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col(query_text), stopwords))).alias("term"))
     wanted = asked.select("term").distinct()
-    postings = base.select(doc, "_len", F.explode("_t").alias("term")).join(wanted, "term", "left_semi").groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    postings = scale.unnest(base, [doc, "_len"], "_t", "term").join(wanted, "term", "left_semi").groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_s", stats)
     weights = df.select("term", F.ln(1 + (F.col("_s.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"), F.col("_s.avg").alias("_avg"))
     terms = asked.join(weights, "term")

@@ -26,23 +26,40 @@ def ngrams(tokens_col: Column, n: int = 2) -> Column:
     """Neighbouring words joined by a blank."""
     count = F.size(tokens_col) - (n - 1)
     parts = [F.slice(tokens_col, i + 1, F.greatest(count, F.lit(0))) for i in range(n)]
-    joined = F.transform(F.arrays_zip(*[p.alias(f"w{i}") for i, p in enumerate(parts)]), lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)]))
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = F.zip_with(joined, part, lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
-def term_freq(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """(document, term, count, share of the document's terms)."""
+def doc_terms(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
+    """(document, array of its terms with repeats)."""
     base = docs.select(doc, tokens(F.col(text), stopwords).alias("_t"))
-    if bigrams:
-        base = base.select(doc, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t"))
-    counts = base.select(doc, F.size("_t").alias("_total"), F.explode("_t").alias("term")).groupBy(doc, "term", "_total").agg(F.count(F.lit(1)).alias("n"))
+    return base.select(doc, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t")) if bigrams else base
+
+
+def term_freq(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
+    """(document, term, count, share of the document's terms).
+
+    Over texts from :func:`spread` the per-document counts need no shuffle of the (far
+    larger) exploded terms.
+    """
+    base = doc_terms(docs, doc, text, bigrams=bigrams, stopwords=stopwords)
+    rows = scale.unnest(base, [doc, F.size("_t").alias("_total")], "_t", "term")
+    counts = rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"), F.first("_total").alias("_total"))
     return counts.select(doc, "term", "n", (F.col("n") / F.col("_total")).alias("tf"))
 
 
-def idf(freqs: DataFrame, n_docs: Column) -> DataFrame:
-    """(term, documents with it, ln((N + 1) / (df + 1)))."""
-    df = freqs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.ln((n_docs + 1) / (F.col("df") + 1)))
+def idf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
+    """(term, documents with it, ln((N + 1) / (df + 1))); each document adds its distinct terms, combined on the map side."""
+    base = doc_terms(docs, doc, text, bigrams=bigrams, stopwords=stopwords).select(doc, F.array_distinct("_t").alias("_t"))
+    df = scale.unnest(base, [], "_t", "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("idf", F.ln((doc_total(docs) + 1) / (F.col("df") + 1)))
+
+
+def spread(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Texts hash-partitioned by document id: everything per document then stays in its task."""
+    return docs.select(doc, text).repartition(doc)
 
 
 def doc_total(docs: DataFrame) -> Column:
@@ -52,8 +69,9 @@ def doc_total(docs: DataFrame) -> Column:
 
 def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
     """(document, term, tf * idf)."""
+    docs = spread(docs, doc, text)
     freqs = term_freq(docs, doc, text, bigrams=bigrams, stopwords=stopwords)
-    weights = idf(freqs, doc_total(docs)).select("term", "idf")
+    weights = idf(docs, doc, text, bigrams=bigrams, stopwords=stopwords).select("term", "idf")
     return freqs.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
@@ -72,19 +90,17 @@ def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequen
 def keywords_count(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), min_chars: int = 50,
                    stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
     """Keywords by raw count: the k/2 best bigrams, then words that no chosen bigram contains."""
-    base = docs.where(F.length(text) >= min_chars).select(doc, words(F.col(text)).alias("_w"))
+    base = docs.where(F.length(text) >= min_chars).transform(lambda d: spread(d, doc, text)).select(doc, words(F.col(text)).alias("_w"))
     stops = list(stopwords)
 
     def good(w: Column) -> Column:
         return (F.length(w) > 3) & ~w.isin(stops)
 
-    pairs = F.filter(F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b")),
-                     lambda z: z["b"].isNotNull() & good(z["a"]) & good(z["b"]))
-    grams = F.transform(pairs, lambda z: F.concat_ws(" ", z["a"], z["b"]))
-    singles = F.filter("_w", good)
-    counts = base.select(doc, F.explode(F.concat(
-        F.transform(grams, lambda t: F.struct(t.alias("term"), F.lit(0).alias("kind"))),
-        F.transform(singles, lambda t: F.struct(t.alias("term"), F.lit(1).alias("kind"))))).alias("_x"))
+    last = F.greatest(F.size("_w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("_w", F.lit(1), last), F.slice("_w", F.lit(2), last), lambda a, b: F.when(good(a) & good(b), F.concat(a, F.lit(" "), b)))
+    marked = F.concat(F.transform(F.array_compact(pairs), lambda t: F.struct(t.alias("term"), F.lit(0).alias("kind"))),
+                      F.transform(F.filter("_w", good), lambda t: F.struct(t.alias("term"), F.lit(1).alias("kind"))))
+    counts = scale.unnest(base, [doc], marked, "_x")
     counts = counts.groupBy(doc, "_x.term", "_x.kind").agg(F.count(F.lit(1)).alias("n"))
     inside = F.lit(False)
     for term in boost:
@@ -113,9 +129,10 @@ def cosine_pairs(vectors: DataFrame, pairs: DataFrame, *, doc: str, left: str =
 
 def similar_docs(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int = 5, bigrams: bool = False) -> DataFrame:
     """The ``k`` most similar documents per query text by TF-IDF cosine (corpus statistics of ``docs``)."""
+    docs = spread(docs, doc, text)
     freqs = term_freq(docs, doc, text, bigrams=bigrams)
     total = doc_total(docs)
-    table = idf(freqs, total).select("term", "idf")
+    table = idf(docs, doc, text, bigrams=bigrams).select("term", "idf")
     weights = freqs.join(table, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("_wd"))
     norms = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col("_wd") * F.col("_wd"))).alias("_nd"))
     asked = term_freq(queries, query, query_text, bigrams=bigrams).join(table, "term", "left")
@@ -129,5 +146,5 @@ def similar_docs(queries: DataFrame, docs: DataFrame, *, query: str, query_text:
 
 def word_freq(docs: DataFrame, text: str, k: int = 50, *, stopwords: Sequence[str] = tuple(STOPWORDS), min_len: int = 4) -> DataFrame:
     """Most frequent words of the corpus."""
-    found = docs.select(F.explode(tokens(F.col(text), stopwords, min_len)).alias("word"))
+    found = scale.unnest(docs, [], tokens(F.col(text), stopwords, min_len), "word")
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(k)

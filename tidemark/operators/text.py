@@ -154,7 +154,7 @@ def category_risk(df: DataFrame, text: str, *, categories: Mapping[str, Sequence
 
 def risk_contexts(df: DataFrame, doc: str, text: str, *, categories: Mapping[str, Sequence[str]] = L.RISK_CATEGORIES, k: int = 5) -> DataFrame:
     """Sentences of more than five words that contain a risk term: (document, category, term, context), ``k`` per document."""
-    rows = df.select(doc, F.posexplode(X.sentences(text)).alias("_i", "context")).where(X.word_total("context") > 5)
+    rows = scale.unnest(df, [doc], X.sentences(text), "context", "_i").where(X.word_total("context") > 5)
     low = F.lower("context")
     hits = F.array_compact(F.array(*[F.when(low.contains(t), F.struct(F.lit(i * 1000 + j).alias("o"), F.lit(c).alias("category"), F.lit(t).alias("term")))
                                      for i, (c, terms) in enumerate(categories.items()) for j, t in enumerate(terms)]))
@@ -448,8 +448,11 @@ def summarize(df: DataFrame, doc: str, text: str, keyword_col: str, k: int = 5,
 
     ``keyword_col`` is an array of the document's keywords, best first; its first five also select sentences.
     """
-    rows = df.select(doc, *([kind] if kind else []), F.col(keyword_col).alias("_k"), X.sentences(text).alias("_s"))
-    rows = rows.withColumn("_n", F.size("_s")).select("*", F.posexplode("_s").alias("position", "sentence")).drop("_s")
+    # One shuffle of the texts by document; the de-duplication and ranking below reuse it.
+    rows = df.select(doc, *([kind] if kind else []), keyword_col, text).repartition(doc)
+    rows = rows.select(doc, *([kind] if kind else []), F.col(keyword_col).alias("_k"), X.sentences(text).alias("_s"))
+    keep = [c for c in rows.columns if c != "_s"]
+    rows = scale.unnest(rows, [*keep, F.size("_s").alias("_n")], "_s", "sentence", "position")
     low = F.lower("sentence")
     words = X.prepared("sentence", "word")
     cue = X.any_term(words, cues, "word")
@@ -473,7 +476,7 @@ def key_points(text: str | Column, k: int = 5, min_length: int = 40) -> Column:
 
 def risk_sentences(df: DataFrame, doc: str, text: str, k: int = 5, terms: Sequence[str] = tuple(L.RISK_SENTENCE_TERMS)) -> DataFrame:
     """The ``k`` longest sentences that contain a risk term."""
-    rows = df.select(doc, F.posexplode(X.sentences(text)).alias("position", "sentence"))
+    rows = scale.unnest(df, [doc], X.sentences(text), "sentence", "position")
     found = rows.where(X.any_term(F.lower("sentence"), terms) & (F.length("sentence") > 10)).withColumn("size", F.length("sentence"))
     return scale.top_per_key(found, doc, [F.col("size").desc(), F.col("position")], k, rank="rank", salts=1)
 
@@ -490,7 +493,7 @@ def relevant_passages(questions: DataFrame, docs: DataFrame, *, question: str, q
     stops = F.array(*[F.lit(w) for w in ("what", "when", "where", "who", "why", "how", "does", "should", "could", "would", "will", "with", "from", "that", "this")])
     asked = questions.select(question, F.explode(F.array_except(F.array_distinct(F.filter(X.words(question_text), lambda w: F.length(w) >= min_len)), stops)).alias("_w"))
     parts = docs.select(doc, F.posexplode(F.split(text, sep)).alias("position", "passage")).where(X.strip(F.col("passage")) != "")
-    index = parts.select(doc, "position", "passage", F.explode(F.array_distinct(X.words("passage"))).alias("_w"))
+    index = scale.unnest(parts, [doc, "position", "passage"], F.array_distinct(X.words("passage")), "_w")
     hits = index.join(asked, "_w").groupBy(question, doc, "position").agg(F.count(F.lit(1)).alias("hits"), F.any_value("passage").alias("passage"))
     return scale.top_per_key(hits, question, [F.col("hits").desc(), F.col(doc), F.col("position")], k, rank="rank")
 

@@ -63,13 +63,12 @@ TERMS = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
 
 @query("t_03_term_freq", f"WITH {TERMS} SELECT doc_id, term, n, {R('tf', 9)} AS tf FROM f WHERE n > 1")
 def _(spark, d):
-    return TT.term_freq(docs(spark, d), "doc_id", "text").where("n > 1").select("doc_id", "term", "n", r("tf", 9))
+    return TT.term_freq(TT.spread(docs(spark, d), "doc_id", "text"), "doc_id", "text").where("n > 1").select("doc_id", "term", "n", r("tf", 9))
 
 
 @query("t_04_idf", f"WITH {TERMS} SELECT term, df, {R('idf', 9)} AS idf FROM i WHERE df > 2")
 def _(spark, d):
-    df = docs(spark, d)
-    return TT.idf(TT.term_freq(df, "doc_id", "text"), TT.doc_total(df)).where("df > 2").select("term", "df", r("idf", 9))
+    return TT.idf(docs(spark, d), "doc_id", "text").where("df > 2").select("term", "df", r("idf", 9))
 
 
 @query("t_05_tfidf", f"WITH {TERMS} SELECT doc_id, term, {R('tf * idf', 9)} AS weight FROM f JOIN i USING (term) WHERE tf * idf > 0.05")

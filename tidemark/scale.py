@@ -58,6 +58,19 @@ def calendar_bucket(ts: str | Column, grain: str) -> Column:
     return F.date_trunc(grain, F.col(ts) if isinstance(ts, str) else ts)
 
 
+def unnest(df: DataFrame, keep: Sequence[str | Column], array: str | Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element next to the kept columns; empty arrays give none.
+
+    A plain ``explode`` of a computed column makes the optimizer copy the computation
+    into a filter below it, so long texts would be tokenized several times.
+    """
+    if position is None:
+        out = df.select(*keep, F.explode_outer(array).alias(name))
+        return out.where(F.col(name).isNotNull())
+    out = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+    return out.where(F.col(position).isNotNull())
+
+
 def value_band(value: Column, per_octave: int = 64) -> Column:
     """A monotone integer band: ``per_octave`` bands for each doubling of the value.
 

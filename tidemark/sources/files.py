@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import scale
-from tidemark.functions.dates import DATE_FORMATS, epoch_auto
+from tidemark.functions.dates import DATE_FORMATS, epoch_auto, try_parse
 from tidemark.functions.numbers import parse_number
 from tidemark.functions.symbols import NAME_TO_TICKER
 
@@ -38,7 +38,7 @@ def header_roles(names: Sequence[str]) -> dict[str, int]:
 def detect_date_format(df: DataFrame, column: str, by: str) -> DataFrame:
     """(by, format): the first notation that every value of the file fits; ``unix`` / ``unix_ms`` for epoch numbers."""
     text = F.trim(F.regexp_replace(F.col(column), "[\"']", ""))
-    tests = {f: F.try_to_timestamp(text, F.lit(f)).isNotNull() for f in DATE_FORMATS}
+    tests = {f: try_parse(text, f).isNotNull() for f in DATE_FORMATS}
     number = F.when(text.rlike("^[0-9]+$"), text.try_cast("long"))
     tests["unix"] = F.coalesce((number > 1000000000) & (number < 9999999999), F.lit(False))
     tests["unix_ms"] = F.coalesce((number > 1000000000000) & (number < 9999999999999), F.lit(False))
@@ -51,7 +51,7 @@ def parse_detected(text: Column, fmt: Column) -> Column:
     clean = F.trim(F.regexp_replace(text, "[\"']", ""))
     out = F.when(fmt.isin("unix", "unix_ms"), epoch_auto(clean))
     for f in DATE_FORMATS:
-        out = out.when(fmt == f, F.try_to_timestamp(clean, F.lit(f)))
+        out = out.when(fmt == f, try_parse(clean, f))
     return out
 
 
