@@ -8,6 +8,7 @@ row by row with the queries.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -120,12 +121,17 @@ def knn_lsh(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: st
     return scale.top_per_key(pairs, "query_id", [F.col("similarity").desc(), F.col("item_id")], k, rank="rank")
 
 
-def keyword_search(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int, min_len: int = 3,
-                   step: float = 0.1, cap: float = 0.8) -> DataFrame:
-    """Documents that contain query keywords: 0.1 relevance per distinct keyword word, at most 0.8."""
+def keyword_hits(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, min_len: int = 3) -> DataFrame:
+    """(query, document, number of distinct query keywords the document contains)."""
     asked = queries.select(query, F.explode(F.array_distinct(F.filter(X.words(query_text), lambda w: F.length(w) >= min_len))).alias("_w"))
     index = scale.unnest(docs, [doc], F.array_distinct(X.words(text)), "_w")
-    hits = index.join(asked, "_w").groupBy(query, doc).agg(F.count(F.lit(1)).alias("hits"))
+    return index.join(asked, "_w").groupBy(query, doc).agg(F.count(F.lit(1)).alias("hits"))
+
+
+def keyword_search(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int, min_len: int = 3,
+                   step: float = 0.1, cap: float = 0.8) -> DataFrame:
+    """The ``k`` documents with most query keywords: 0.1 relevance per keyword, at most 0.8."""
+    hits = keyword_hits(queries, docs, query=query, query_text=query_text, doc=doc, text=text, min_len=min_len)
     scored = hits.withColumn("relevance", F.round(F.least(F.lit(cap), F.col("hits") * step), 6))
     return scale.top_per_key(scored, query, [F.col("hits").desc(), F.col(doc)], k, rank="rank")
 
@@ -138,7 +144,9 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, query: str, query_text:
     # Only the terms that queries ask for are counted; the set of asked terms joins as a filter first.
     asked = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col(query_text), stopwords))).alias("term"))
     wanted = asked.select("term").distinct()
-    postings = scale.unnest(base, [doc, "_len"], "_t", "term").join(wanted, "term", "left_semi").groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
+    # What is left of the texts is spread by document once; counting and scoring stay in place.
+    found = scale.unnest(base, [doc, "_len"], "_t", "term").join(wanted, "term", "left_semi").repartition(doc)
+    postings = found.groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_s", stats)
     weights = df.select("term", F.ln(1 + (F.col("_s.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"), F.col("_s.avg").alias("_avg"))
     terms = asked.join(weights, "term")
@@ -153,15 +161,20 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, do
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, query_vec: str, doc: str, text: str, vec: str, k: int,
-                  alpha: float = 0.5, explain: bool = False) -> DataFrame:
+                  alpha: float = 0.5, explain: bool = False, query_limit: int = QUERY_LIMIT, seed: int = 0) -> DataFrame:
     """alpha * vector + (1 - alpha) * BM25, each min-max scaled per query over all documents with a score.
 
     One row per document carries its scores for all queries, so the two lists meet by
     document id and only each batch's best rows per query move on. ``explain`` keeps the components.
     """
-    small = queries.select(F.col(query).alias("q"), F.col(query_vec).alias("v")).orderBy("q").limit(QUERY_LIMIT + 1).toPandas()
-    if len(small) > QUERY_LIMIT:
-        raise ValueError(f"more than {QUERY_LIMIT} queries: run the search in batches of queries")
+    small = queries.select(F.col(query).alias("q"), F.col(query_vec).alias("v")).limit(query_limit + 1).toPandas().sort_values("q")
+    if len(small) > query_limit:
+        # More queries than one matrix should hold: split them by hash and search batch by batch.
+        parts = 1 + queries.count() * 2 // query_limit
+        slot = F.pmod(F.xxhash64(F.col(query), F.lit(seed)), F.lit(parts))
+        found = [hybrid_search(queries.where(slot == i), docs, query=query, query_text=query_text, query_vec=query_vec, doc=doc, text=text, vec=vec, k=k, alpha=alpha,
+                               explain=explain, query_limit=query_limit, seed=seed + 1) for i in range(parts)]
+        return reduce(DataFrame.unionByName, found)
     qids, q = small["q"].to_numpy(), _unit(_matrix(small["v"]))
     place = {v: i for i, v in enumerate(qids.tolist())}
     items = docs.select(F.col(doc).alias("d"), F.col(vec).alias("v"))

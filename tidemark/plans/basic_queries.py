@@ -161,6 +161,15 @@ def _(spark, d):
     return df.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("mean_value", r(F.col("mean_value")))
 
 
+@query("j_04_interval_stats", f"""WITH p AS (SELECT event_id, ts AS lo, ts + INTERVAL 2 HOURS AS hi FROM events WHERE event_type = 'purchase')
+ SELECT p.event_id, lo, hi, count(e.value) AS n, {R('sum(e.value)', 4)} AS total, {R('avg(e.value)')} AS mean FROM p LEFT JOIN events e ON e.event_type = 'click' AND e.ts >= lo AND e.ts <= hi GROUP BY 1, 2, 3""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    points = e.where("event_type = 'purchase'").select("event_id", F.col("ts").alias("lo"), (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("hi"))
+    df = J.interval_stats(points, e.where("event_type = 'click'").select("ts", "value"), lo="lo", hi="hi", ts="ts", value="value")
+    return df.withColumns({"total": r(F.col("total"), 4), "mean": r(F.col("mean"))})
+
+
 @query("j_05_pair_join", f"WITH {OHLC} SELECT a.day, a.symbol AS key_a, b.symbol AS key_b, a.close AS value_a, b.close AS value_b FROM ohlc a JOIN ohlc b ON a.day = b.day AND a.symbol < b.symbol")
 def _(spark, d):
     return J.pair_join(ohlc(spark, d), "symbol", "day", "close", PRIORITIES)
@@ -207,10 +216,10 @@ def _(spark, d):
 
 
 @query("j_09_term_equi_join", """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS t FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark)
- SELECT doc_id, term, count(*) AS n FROM w JOIN b ON t = term WHERE length(term) > 7 GROUP BY 1, 2""")
+ SELECT doc_id, term, count(*) AS n FROM w JOIN b ON t = term GROUP BY 1, 2""")
 def _(spark, d):
     from tidemark.functions.texts import words
-    terms = table(spark, d, "benchmark").select(F.explode(words("text")).alias("term")).where(F.length("term") > 7).distinct()
+    terms = table(spark, d, "benchmark").select(F.explode(words("text")).alias("term")).distinct()
     return J.term_equi_join(table(spark, d, "documents"), terms, doc="doc_id", text="text").select("doc_id", "term", "n")
 
 
@@ -476,9 +485,13 @@ def _(spark, d):
     return D.diff_content(docs.where(k != 3), before, "doc_id", "text")
 
 
-@query("d_07_article_id", "SELECT md5(url || '_' || substr(html, 1, 80)) AS article_id, page_id FROM pages QUALIFY row_number() OVER (PARTITION BY md5(url || '_' || substr(html, 1, 80)) ORDER BY page_id) = 1")
+TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query("d_07_article_id", f"SELECT md5(url || '_' || {TITLE}) AS article_id, page_id FROM pages QUALIFY row_number() OVER (PARTITION BY md5(url || '_' || {TITLE}) ORDER BY page_id) = 1")
 def _(spark, d):
-    df = table(spark, d, "pages").select("page_id", "url", F.substring("html", 1, 80).alias("title"))
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    df = table(spark, d, "pages").select("page_id", "url", title.alias("title"))
     return D.dedupe_articles(df, "url", "title", [F.col("page_id")]).select("article_id", "page_id")
 
 

@@ -61,19 +61,19 @@ TERMS = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
  i AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM f GROUP BY 1)"""
 
 
-@query("t_03_term_freq", f"WITH {TERMS} SELECT doc_id, term, n, {R('tf', 9)} AS tf FROM f WHERE n > 1")
+@query("t_03_term_freq", f"WITH {TERMS} SELECT doc_id, term, n, {R('tf', 9)} AS tf FROM f")
 def _(spark, d):
-    return TT.term_freq(TT.spread(docs(spark, d), "doc_id", "text"), "doc_id", "text").where("n > 1").select("doc_id", "term", "n", r("tf", 9))
+    return TT.term_freq(TT.spread(docs(spark, d), "doc_id", "text"), "doc_id", "text").select("doc_id", "term", "n", r("tf", 9))
 
 
-@query("t_04_idf", f"WITH {TERMS} SELECT term, df, {R('idf', 9)} AS idf FROM i WHERE df > 2")
+@query("t_04_idf", f"WITH {TERMS} SELECT term, df, {R('idf', 9)} AS idf FROM i")
 def _(spark, d):
-    return TT.idf(docs(spark, d), "doc_id", "text").where("df > 2").select("term", "df", r("idf", 9))
+    return TT.idf(docs(spark, d), "doc_id", "text").select("term", "df", r("idf", 9))
 
 
-@query("t_05_tfidf", f"WITH {TERMS} SELECT doc_id, term, {R('tf * idf', 9)} AS weight FROM f JOIN i USING (term) WHERE tf * idf > 0.05")
+@query("t_05_tfidf", f"WITH {TERMS} SELECT doc_id, term, {R('tf * idf', 9)} AS weight FROM f JOIN i USING (term)")
 def _(spark, d):
-    return TT.tfidf(docs(spark, d), "doc_id", "text").where("weight > 0.05").select("doc_id", "term", r("weight", 9))
+    return TT.tfidf(docs(spark, d), "doc_id", "text").select("doc_id", "term", r("weight", 9))
 
 
 BOOST = ["rewh", "tion"]
@@ -530,9 +530,9 @@ def _(spark, d):
  SELECT item_id, doc_id, hits, tier, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM u SEMI JOIN m USING (item_id, tier) QUALIFY rank <= 5""")
 def _(spark, d):
     q, all_docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    opts = dict(query="item_id", query_text="text", doc="doc_id", text="text", k=100000)
-    a = V.keyword_search(q, all_docs.where("lang = 'de'"), **opts).where("hits >= 3").select("item_id", "doc_id", "hits")
-    b = V.keyword_search(q, all_docs.where("lang = 'en'"), **opts).select("item_id", "doc_id", "hits")
+    opts = dict(query="item_id", query_text="text", doc="doc_id", text="text")
+    a = V.keyword_hits(q, all_docs.where("lang = 'de'"), **opts).where("hits >= 3")
+    b = V.keyword_hits(q, all_docs.where("lang = 'en'"), **opts)
     return V.cascade_search([a, b], query="item_id", k=5, order=[F.col("hits").desc(), F.col("doc_id")])
 
 

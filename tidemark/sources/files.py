@@ -58,32 +58,35 @@ def parse_detected(text: Column, fmt: Column) -> Column:
 def read_ohlcv_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Price CSVs with any header: roles by name, detected dates, missing open/high/low = close, missing volume = 0.
 
-    Files are grouped by their header line; each group is parsed with its own roles. Rows
-    without a positive close, high and low are dropped.
+    Every file is read by the roles of its own header line. Rows without a
+    positive close, high and low are dropped.
     """
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), local_path(F.col("_metadata.file_path")).alias("file"))
     low = F.lower("line")
     is_header = (low.contains("date") | low.contains("time")) & (low.contains("open") | low.contains("close") | low.contains("price"))
-    # One row per distinct header: bounded by the number of export formats, not by data.
-    groups = lines.where(is_header).groupBy("line").agg(F.collect_set("file").alias("files")).collect()
-    out = None
-    for group in groups:
-        names = [n.strip().strip('"') for n in group["line"].split(",")]
+    headers = lines.where(is_header).groupBy("file").agg(F.min("line").alias("header"))
+    # One row per distinct header line: bounded by the number of export formats, not by files or rows.
+    layouts = {}
+    for row in headers.select("header").distinct().collect():
+        names = [n.strip().strip('"') for n in row["header"].split(",")]
         roles = header_roles(names)
-        if "date" not in roles or "close" not in roles:
-            continue
-        schema = ", ".join(f"c{i} string" for i in range(len(names)))
-        rows = spark.read.text(group["files"]).select(F.regexp_replace("value", "^﻿", "").alias("line"), local_path(F.col("_metadata.file_path")).alias("file"))
-        parsed = rows.where(F.col("line") != group["line"]).select("file", F.from_csv("line", schema).alias("_c"))
-
-        def role(name: str, parsed=parsed, roles=roles) -> Column:
-            return F.col(f"_c.c{roles[name]}") if name in roles else F.lit(None).cast("string")
-
-        # Comment lines have no number in the close column.
-        part = parsed.select("file", role("date").alias("date_text"), *[role(n).alias(n) for n in ("open", "high", "low", "close", "volume")])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        if "date" in roles and "close" in roles:
+            layouts[row["header"]] = (len(names), roles)
+    if not layouts:
         raise ValueError("no price CSV header found")
+    width = max(n for n, _ in layouts.values())
+    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)))
+    parsed = lines.join(headers, "file").where(F.col("line") != F.col("header")).select("file", "header", cells.alias("_c"))
+
+    def role(name: str) -> Column:
+        out = F.when(F.lit(False), "")
+        for header, (_, roles) in layouts.items():
+            if name in roles:
+                out = out.when(F.col("header") == header, F.col(f"_c.c{roles[name]}"))
+        return out
+
+    # Comment lines have no number in the close column.
+    out = parsed.select("file", role("date").alias("date_text"), *[role(n).alias(n) for n in ("open", "high", "low", "close", "volume")])
     out = out.where(F.col("date_text").isNotNull() & F.col("close").rlike("[0-9]"))
     formats = detect_date_format(out, "date_text", "file")
     close = parse_number("close")
