@@ -107,16 +107,16 @@ def classify_docs(df: DataFrame, text: str, name: str | None = None, *, types: M
     """Document kind: the file name decides if it can, else phrase counts plus bonus phrases (and one
     point per keyword in the optional ``keywords`` array that contains a phrase)."""
     out = df.withColumn("_b", X.prepared(text, match)).withColumn("_l", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    scores = {}
     for kind, terms in types.items():
         score = X.total_count(F.col("_b"), terms, match) + F.when(X.any_term(F.col("_l"), bonus.get(kind, [])), 5).otherwise(0)
         if keywords:
             score = score + _count_containing(F.col(keywords), terms)
-        scores[kind] = score.cast("long")
+        out = out.withColumn(f"_s_{kind}", score.cast("long"))
+    scores = {kind: F.col(f"_s_{kind}") for kind in types}
     best = arg_max_of(scores, "other")
     if name:
         best = F.coalesce(doc_type_from_name(name), best)
-    return out.withColumn("document_type", best).withColumn("type_score", F.greatest(*scores.values())).drop("_b", "_l")
+    return out.withColumn("document_type", best).withColumn("type_score", F.greatest(*scores.values())).drop("_b", "_l", *[f"_s_{k}" for k in types])
 
 
 def _count_containing(values: Column, terms: Sequence[str]) -> Column:
@@ -492,10 +492,12 @@ def relevant_passages(questions: DataFrame, docs: DataFrame, *, question: str, q
     """Paragraphs that share words with a question, the ``k`` with the most shared words per question."""
     stops = F.array(*[F.lit(w) for w in ("what", "when", "where", "who", "why", "how", "does", "should", "could", "would", "will", "with", "from", "that", "this")])
     asked = questions.select(question, F.explode(F.array_except(F.array_distinct(F.filter(X.words(question_text), lambda w: F.length(w) >= min_len)), stops)).alias("_w"))
-    parts = docs.select(doc, F.posexplode(F.split(text, sep)).alias("position", "passage")).where(X.strip(F.col("passage")) != "")
-    index = scale.unnest(parts, [doc, "position", "passage"], F.array_distinct(X.words("passage")), "_w")
-    hits = index.join(asked, "_w").groupBy(question, doc, "position").agg(F.count(F.lit(1)).alias("hits"), F.any_value("passage").alias("passage"))
-    return scale.top_per_key(hits, question, [F.col("hits").desc(), F.col(doc), F.col("position")], k, rank="rank")
+    parts = scale.unnest(docs, [doc], F.split(text, sep), "passage", "position").where(X.strip(F.col("passage")) != "")
+    index = scale.unnest(parts, [doc, "position"], F.array_distinct(X.words("passage")), "_w")
+    hits = index.join(asked, "_w").groupBy(question, doc, "position").agg(F.count(F.lit(1)).alias("hits"))
+    best = scale.top_per_key(hits, question, [F.col("hits").desc(), F.col(doc), F.col("position")], k, rank="rank")
+    # The passages themselves only join the few winners.
+    return best.join(parts, [doc, "position"])
 
 
 def cooccurrence_graph(found: DataFrame, *, doc: str, window: int = 150) -> DataFrame:
@@ -542,7 +544,8 @@ def classify_questions(df: DataFrame, text: str, categories: Mapping[str, Sequen
     score = {c: F.col(f"_c_{c}") for c in categories}
     out = out.withColumn("primary_category", arg_max_of(score, "general"))
     out = out.withColumn("secondary_categories", F.array_compact(F.array(*[F.when((score[c] > 0) & (F.col("primary_category") != c), F.lit(c)) for c in categories])))
-    out = out.withColumn("intent", arg_max_of({i: hits(t) for i, t in intents.items()}, "information"))
+    out = out.withColumns({f"_i_{i}": hits(t) for i, t in intents.items()})
+    out = out.withColumn("intent", arg_max_of({i: F.col(f"_i_{i}") for i in intents}, "information")).drop(*[f"_i_{i}" for i in intents])
     out = out.withColumn("entities", F.array_compact(F.array(*[F.when(as_words(t) > 0, F.lit(a)) for a, t in assets.items()])))
     out = out.withColumn("temporality", F.when(hits(L.PAST_WORDS) > 0, "past").when(hits(L.FUTURE_WORDS) > 0, "future").otherwise("present"))
     out = out.withColumn("is_comparison", as_words(L.COMPARISON_WORDS) > 0)

@@ -51,7 +51,7 @@ def _(spark, d):
 @query("t_02_ngrams", f"""WITH t AS (SELECT doc_id, {TOKENS} AS w FROM documents) SELECT doc_id, CAST(greatest(len(w) - 1, 0) AS INTEGER) AS n, CASE WHEN len(w) > 1 THEN w[1] || ' ' || w[2] END AS first_gram,
  CASE WHEN len(w) > 1 THEN w[len(w) - 1] || ' ' || w[len(w)] END AS last_gram FROM t""")
 def _(spark, d):
-    g = docs(spark, d).select("doc_id", TT.ngrams(TT.tokens("text")).alias("g"))
+    g = docs(spark, d).select("doc_id", TT.tokens("text").alias("t")).select("doc_id", TT.ngrams(F.col("t")).alias("g"))
     return g.select("doc_id", F.size("g").alias("n"), F.try_element_at("g", F.lit(1)).alias("first_gram"), F.try_element_at("g", F.lit(-1)).alias("last_gram"))
 
 
