@@ -65,14 +65,14 @@ def interval_agg_join(points: DataFrame, events: DataFrame, *, lo: str, hi: str,
     with the exact bounds checked afterwards. Points without events keep null aggregates.
     """
     step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "minute": "INTERVAL 1 MINUTE"}[grain]
-    marked = points.withColumn("_pid", F.xxhash64(*[F.col(c) for c in points.columns]))
-    spread = marked.withColumn("_bucket", F.explode(F.sequence(
+    spread = points.withColumn("_bucket", F.explode(F.sequence(
         scale.calendar_bucket(F.col(lo).cast("timestamp"), grain), scale.calendar_bucket(F.col(hi).cast("timestamp"), grain),
         F.expr(step))))
     bucketed = events.withColumn("_bucket", scale.calendar_bucket(F.col(ts).cast("timestamp"), grain))
     hits = spread.join(bucketed, ["_bucket", *keys]).where((F.col(ts) >= F.col(lo)) & (F.col(ts) <= F.col(hi)))
-    totals = hits.groupBy(*points.columns).agg(*[c.alias(n) for n, c in aggs.items()])
-    return points.join(totals, points.columns, "left")
+    totals = hits.groupBy(*[F.col(c).alias(f"_k_{c}") for c in points.columns]).agg(*[c.alias(n) for n, c in aggs.items()])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in points.columns]
+    return points.join(totals, same, "left").select(*points.columns, *aggs)
 
 
 def interval_stats(points: DataFrame, events: DataFrame, *, lo: str, hi: str, ts: str, value: str, keys: Sequence[str] = (), grain: str = "hour") -> DataFrame:

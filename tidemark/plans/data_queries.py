@@ -65,10 +65,10 @@ def _(spark, d):
 
 @query("s_05_read_corpus", "SELECT 'part' AS kind, CAST(sum(length(text)) + count(*) AS BIGINT) AS chars, count(*) AS n FROM (SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents)")
 def _(spark, d):
-    """Documents are written as text files and read back whole, one row per file."""
+    """Documents are written as text files of bounded size and read back whole, one row per file."""
     out = scratch_dir(spark, "corpus")
     docs = table(spark, d, "documents").select(F.regexp_replace("text", "[\r\n]", " ").alias("text"))
-    docs.write.text(out)
+    docs.write.option("maxRecordsPerFile", 200).text(out)
     corpus = files.read_corpus(spark, out)
     return corpus.groupBy(F.substring("file_name", 1, 4).alias("kind")).agg(F.sum(F.length("text")).alias("chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n"))
 

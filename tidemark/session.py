@@ -47,8 +47,3 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="tidemark-")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``checkpoint()`` at the configured shared folder, once per session."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(scratch_dir(spark, "rdd"))
