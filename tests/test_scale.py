@@ -115,3 +115,15 @@ def test_half_trend_with_hot_key(ticks):
     for k, part in ticks.toPandas().sort_values(["k", "ts", "id"]).groupby("k"):
         half = len(part) // 2
         assert got[k] == pytest.approx(part["x"].iloc[half:].mean() - part["x"].iloc[:half].mean())
+
+
+def test_interval_stats_equals_pairing(ticks):
+    points = ticks.where("id % 5 = 0").select("k", "id", F.col("ts").alias("lo"), (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("hi"))
+    points = points.unionByName(points.where("id = 0"))
+    events = ticks.select("k", "ts", "v")
+    fast = joins.interval_stats(points, events, lo="lo", hi="hi", ts="ts", value="v", keys=["k"])
+    slow = joins.interval_agg_join(points, events, lo="lo", hi="hi", ts="ts", keys=["k"], grain="hour",
+                                   aggs={"n": F.count("v"), "total": F.sum("v")}).withColumn("n", F.coalesce("n", F.lit(0)))
+    unique = slow.distinct()
+    assert rows(fast.select("k", "id", "n", "total").distinct(), "k", "id") == rows(unique.select("k", "id", "n", "total"), "k", "id")
+    assert fast.count() == points.count()

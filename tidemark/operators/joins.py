@@ -65,7 +65,7 @@ def interval_agg_join(points: DataFrame, events: DataFrame, *, lo: str, hi: str,
     with the exact bounds checked afterwards. Points without events keep null aggregates.
     """
     step = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY", "minute": "INTERVAL 1 MINUTE"}[grain]
-    spread = points.withColumn("_bucket", F.explode(F.sequence(
+    spread = points.distinct().withColumn("_bucket", F.explode(F.sequence(
         scale.calendar_bucket(F.col(lo).cast("timestamp"), grain), scale.calendar_bucket(F.col(hi).cast("timestamp"), grain),
         F.expr(step))))
     bucketed = events.withColumn("_bucket", scale.calendar_bucket(F.col(ts).cast("timestamp"), grain))
