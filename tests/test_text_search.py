@@ -115,3 +115,13 @@ def test_lsh_recall(points):
 
 def test_pattern_lists_are_whole():
     assert len(set(L.STOPWORDS)) == len(L.STOPWORDS) and X.word_key("Anti-Money Laundering") == " anti  money  laundering "
+
+
+def test_hybrid_batches_agree(spark):
+    from tests.conftest import SMALL
+    from tidemark.plans.text_queries import hybrid_inputs
+
+    options, asked, both = hybrid_inputs(spark, SMALL)
+    whole = sorted(map(tuple, search.hybrid_search(asked, both, **options).collect()))
+    parts = sorted(map(tuple, search.hybrid_search(asked, both, query_limit=25, **options).collect()))
+    assert whole == parts and len(whole) > 0
