@@ -1,0 +1,66 @@
+import re
+
+import pytest
+
+from tests.llm.common import ODD, SCHEMA, empty, odd, some_docs
+from tidemark.llm import secret_scan
+
+BASE = [
+    ("assign", re.compile(r"((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+]
+
+
+def base(text):
+    found = [(m.start(), i, name, m.end()) for i, (name, p, g, least) in enumerate(BASE) for m in p.finditer(text or "") if len(m.group(g)) >= least]
+    return [(name, s, e) for s, _, name, e in sorted(found)]
+
+
+KEY = "AKIA" + "Q7" * 8
+CASES = [
+    (10, f"id {KEY} and the other part is wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLE at https://s3.host.example/bucket"),
+    (11, "just wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLE alone, and https://plain.example/"),
+    (12, "client_id=reader42 " + "pad " * 200 + "password: hunter2hunter2"),
+    (13, "user: reader42, token = 'abcdefgh12345' host=db.example:5432"),
+    (14, "secret=token= abcdefghij password=short token==x" + "f" * 40),
+    (15, "é½字 password: abcdefghij " + "0" * 64 + "\nAPI_KEY='zzzzzzzzz' " + "ab" * 20),
+    (16, f"{KEY}{KEY} AKIA12 XAKIA{'Z' * 12}"),
+    (17, "Aſ paſſword=abcdefghijk ſecret: abcdefghijk"),
+]
+
+
+def test_base_spans(spark, duck):
+    rows = ODD + CASES + [(100 + i, t) for i, t in some_docs(duck, 200)]
+    got = {(r["doc_id"]): r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for i, text in rows:
+        assert [(s["name"], s["start"], s["end"]) for s in got[i] if s["kind"] < 3] == base(text), (i, text)
+
+
+def test_parts_are_linked_within_their_scope(spark):
+    got = {r["doc_id"]: {s["name"] for s in r["spans"]} for r in secret_scan.scan(spark.createDataFrame(CASES, SCHEMA)).collect()}
+    assert got[10] == {"access", "opaque", "endpoint"} and got[11] == set()
+    assert got[12] == {"assign"} and got[13] == {"assign", "identifier", "endpoint"}
+
+
+def test_rows(spark):
+    assert secret_scan.scan(odd(spark)).count() == len(ODD) and secret_scan.scan(empty(spark)).count() == 0
+    twice = secret_scan.scan(spark.createDataFrame([CASES[0], CASES[0], (None, CASES[0][1])], SCHEMA)).collect()
+    assert len(twice) == 3 and len({str(r["spans"]) for r in twice}) == 1 and twice[0]["spans"]
+
+
+def test_redaction(spark):
+    docs = odd(spark, ODD + CASES)
+    got = secret_scan.redact(docs, mark="#")
+    assert got.columns == docs.columns and got.count() == docs.count()
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    before = dict(CASES)
+    assert texts[11] == before[11] and texts[1] is None and texts[2] == ""
+    assert texts[13] == "#, #' #" and texts[12] == before[12].replace("password: hunter2hunter2", "#")
+    assert KEY not in texts[10] and texts[10].startswith("id # and the other part is # at #")
+    assert all(t is None or not base(t) for t in texts.values())
+
+
+@pytest.mark.parametrize("operator", ["scan", "redact"])
+def test_runs_no_python(spark, operator):
+    plan = getattr(secret_scan, operator)(odd(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

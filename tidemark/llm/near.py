@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.graph import components, write_table
 from tidemark.llm.textarrays import BLANK_SEPARATED, mix, runs, slices, word_hashes, words
@@ -19,7 +20,9 @@ BUCKETS, MANTISSA, BAND, BANDS = 128, 10, 4, 24
 EMPTY = 0xFFFF
 #: Estimates more than this below the asked similarity are not confirmed: eight standard deviations of 128 registers at 0.85.
 SLACK = 0.25
-SKETCH = "doc_id long, n_shingles long, class binary, registers binary"
+#: Shingles in a block of a cluster.
+BLOCK = 100_000
+SKETCH = "doc_id long, text_hash long, n_shingles long, class binary, registers binary"
 
 
 def shingle_hashes(data: np.ndarray, borders: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +102,11 @@ def sketch(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "tex
                     sizes.append(len(own))
                     classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                 kept = [r.tobytes() if n else None for r, n in zip(regs, sizes)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "n_shingles", "class", "registers"])
+                ids = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(kept, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "class", "registers"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, SKETCH)
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return plain.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(rows, SKETCH)
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -120,118 +125,150 @@ def banded(classes: DataFrame) -> DataFrame:
     return classes.select("class", "registers").mapInArrow(rows, "class binary, key long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs of classes whose registers leave the asked similarity possible."""
+def _linked(a: list[dict], b: list[dict], same: bool, percent: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between two blocks of members (class, registers, hashes): what connects them, not every pair.
+
+    Registers leave out whom the estimate rules out; the others are confirmed on their full sets, counted over the second block's posting lists.
+    """
+    sets = [np.frombuffer(m["hashes"], np.uint64) for m in b]
+    sizes = np.array([len(x) for x in sets])
+    owners, hashes = np.repeat(np.arange(len(b)), sizes), np.concatenate(sets)
+    order = np.argsort(hashes, kind="stable")
+    terms, first = np.unique(hashes[order], return_index=True)
+    owners, last = owners[order], np.append(first[1:], len(hashes))
+    regs = np.stack([np.frombuffer(m["registers"], np.uint16) for m in b])
+    classes = np.round(2 * np.log2(sizes)).astype(int)
+    label = np.arange(len(a) + len(b))  # members of a, then of b
+    if same:
+        label = np.append(np.arange(len(b)), np.arange(len(b)))
+    out = []
+    for i, m in enumerate(a):
+        own, mine = np.frombuffer(m["registers"], np.uint16), np.frombuffer(m["hashes"], np.uint64)
+        used = (regs != EMPTY) | (own != EMPTY)
+        share = ((regs == own) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
+        kind = round(2 * np.log2(len(mine)))
+        kinds = np.unique(classes)
+        chance = np.array([collisions(kind, int(c)) for c in kinds])[np.searchsorted(kinds, classes)]
+        may = ((share - chance) / (1 - chance) >= percent / 100 - SLACK) & (100 * np.minimum(sizes, len(mine)) >= percent * np.maximum(sizes, len(mine)))
+        if same:
+            may[: i + 1] = False
+        if not may.any():
+            continue
+        at = np.minimum(np.searchsorted(terms, mine), len(terms) - 1)
+        at = at[terms[at] == mine]
+        many = last[at] - first[at]
+        place = np.repeat(first[at] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        both = np.bincount(owners[place], minlength=len(b))
+        good = np.flatnonzero(may & (100 * both >= percent * (sizes + len(mine) - both)))
+        for j in good[np.unique(label[len(a) + good], return_index=True)[1]]:  # one link into each component
+            if label[i] != label[len(a) + j]:
+                out.append((m["class"], b[j]["class"]))
+                label[label == label[len(a) + j]] = label[i]
+    return out
+
+
+def _links(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the members of a cluster, block against block."""
 
     def rows(batches):
         for batch in batches:
-            a, b, ra, rb, na, nb = (c.to_pylist() for c in batch.columns)
-            keep = [min(x, y) >= least * max(x, y) and estimate(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), x, y) >= least - SLACK for p, q, x, y in zip(ra, rb, na, nb)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(a, keep) if k], pa.binary()), pa.array([x for x, k in zip(b, keep) if k], pa.binary())], names=["a", "b"])
+            for left, right, same in zip(*(c.to_pylist() for c in batch.columns)):
+                found = _linked(left, right, same, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
+
+    left = blocks.select("cluster", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("block"), F.col("members").alias("mine"))
+    pairs = left.join(blocks.select("cluster", "block", "members"), ["cluster", "block"])
+    # A row holds two blocks, so a batch has few of them.
+    return pairs.select("mine", "members", (F.col("i") == F.col("block")).alias("same")).mapInArrow(rows, "a binary, b binary")
 
-    left = classes.select(F.col("class").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
-    right = classes.select(F.col("class").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(rows, "a binary, b binary")
 
+def grouped(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every document (doc_id, text_hash, n_shingles, class), and (class, component) for every class."""
+    folder = scratch_dir(spark, "near")
+    sketched = write_table(sketch(docs, k), f"{folder}/sketch")
+    members = sketched.where("class is not null")
+    one = [F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
+    classes = write_table(members.groupBy("class").agg(*one), f"{folder}/classes")
+    smallest = -(-100 // (100 - percent)) if percent < 100 else 1 << 60  # unequal sets need so large a union
+    bands = banded(classes.where(F.col("n_shingles") >= smallest - 1))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("first")).where("size > 1")
+    meets = write_table(bands.join(sizes, "key").where(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b")).distinct(), f"{folder}/meets")
+    clusters = write_table(components(meets, f"{folder}/clusters").select(F.col("node").alias("class"), F.col("component").alias("cluster")), f"{folder}/clustered")
+    wanted = clusters.join(classes, "class")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(wanted["class"], "cluster", "registers", "text")
+    sets = write_table(_sets(texts, k).dropDuplicates(["class"]), f"{folder}/sets")
+    total = sets.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * block)).cast("int").alias("blocks"))
+    placed = sets.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    blocks = write_table(placed.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("class", "registers", "hashes")).alias("members")), f"{folder}/blocks")
+    links = write_table(_links(blocks, percent), f"{folder}/links")
+    return sketched, components(links, f"{folder}/linked").select(F.col("node").alias("class"), "component")
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs of classes with 100 * intersection >= percent * union of their full shingle sets."""
 
-    def rows(batches):
-        @functools.lru_cache(maxsize=64)
-        def own(text: str) -> np.ndarray:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            return np.unique(shingle_hashes(raw, np.array([0, len(raw)]), k)[0])
+def _lowest(sketched: DataFrame, linked: DataFrame) -> DataFrame:
+    """(class, component, lowest doc_id and text_hash of the component)."""
+    per_class = sketched.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("low"))
+    named = per_class.join(linked, "class", "left").select("class", "low", F.coalesce("component", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("low").alias("lowest"))
+    return named.join(least, "component").select("class", "component", F.col("lowest.doc_id").alias("lowest"), F.col("lowest.text_hash").alias("lowest_text"))
 
-        for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            good = []
-            for x, y in zip(ta, tb):
-                p, q = own(x), own(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(a, good) if g], pa.binary()), pa.array([x for x, g in zip(b, good) if g], pa.binary())], names=["a", "b"])
 
-    left, right = texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), texts.select(F.col("class").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(rows, "a binary, b binary")
+def _plain(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id it is linked with, over any number of links), kept.
 
-    Documents are linked if their sets of word k-grams share at least `percent` per cent. Equal sets form one class, which goes on as one row. Classes
-    meet where a band of registers is equal; with bands of 4 and 24 of them a pair at the threshold is missed once in fifty million. A bucket's members
-    are not paired with each other: in every round, each bucket whose members still lie in several components compares them with a growing share
-    of its members as pivots (one, then 4, 16, ... in its size), and a bucket within one component drops out. When every member has been a pivot, all pairs
-    of different components were compared, so the components are exact whatever a bucket's size; few rounds do the work if members are alike.
+    Documents are linked if their sets of word k-grams share at least `percent` per cent. 1. Equal sets form one class, which goes on as one row.
+    2. Classes meet where a band of registers is equal; with 24 bands of 4 a pair at the threshold is missed once in fifty million. A bucket is a star
+    around its first class, and the stars' components are the clusters in which links can lie. 3. A cluster's members are spread over blocks of at most
+    about `block` shingles. Each two blocks of a cluster meet in one row: registers are compared all at once, whom the corrected estimate leaves is
+    confirmed on full sets by counting posting lists, and only the links that join components are passed on, fewer than the blocks have members. So the
+    work on a large cluster spreads over its pairs of blocks, and neither buckets nor clusters have a cap. 4. Components of the links.
 
     Nulls and texts without words: no shingles, linked with nothing. Fewer than k words: the whole sequence is one shingle. Rows with null doc_id
     get the smallest id of the others in their component. Repeated rows are one class. Other columns are not read. Empty table: no rows.
     """
-    folder = scratch_dir(spark, "near")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = write_table(sketch(docs, k), f"{folder}/sketch")
-    members = sketched.where("class is not null")
-    classes = write_table(members.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), f"{folder}/classes")
-    smallest = -(-100 // (100 - percent)) if percent < 100 else 1 << 60  # unequal sets need so large a union
-    bands = banded(classes.where(F.col("n_shingles") >= smallest - 1))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("first")).where("size > 1")
-    buckets = write_table(bands.join(sizes, "key").select("key", "class", "size", "first"), f"{folder}/buckets")
-    largest = buckets.agg(F.max("size")).first()[0] or 0
-    labels = None
-    if largest:
-        wanted = buckets.select("class").distinct().join(classes.select("class", "doc_id"), "class")
-        checked = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(wanted["class"], "text")
-        texts = write_table(_of_class(checked, k).dropDuplicates(["class"]), f"{folder}/texts")
-        labels = write_table(texts.select("class", F.col("class").alias("component")), f"{folder}/labels-0")
-        seen = None
-        turn, done = 0, 1  # buckets of up to `done` members have been compared throughout
-        while largest > done:
-            of = buckets.where(F.col("size") > done).join(labels, "class")
-            mixed = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            buckets = write_table(of.join(mixed, "key"), f"{folder}/mixed-{turn}")
-            share = F.lit(float(4**turn)) / F.col("size")
-            chance = (F.xxhash64("class").bitwiseAND((1 << 53) - 1)) / float(1 << 53)
-            pivots = buckets.where((F.col("class") == F.col("first")) | (chance < share) if turn else F.col("class") == F.col("first"))
-            pivots = pivots.select("key", F.col("class").alias("pivot"), F.col("component").alias("with"))
-            pairs = buckets.join(pivots, "key").where("component <> with").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-            if seen is not None:
-                pairs = pairs.join(seen, ["a", "b"], "left_anti")
-            pairs = write_table(pairs, f"{folder}/pairs-{turn}")
-            seen = pairs if seen is None else seen.unionByName(pairs)
-            links = write_table(_confirmed(_likely(pairs, classes, percent / 100), texts, percent, k), f"{folder}/links-{turn}")
-            if not links.isEmpty():
-                named = links.join(labels.withColumnsRenamed({"class": "a", "component": "ca"}), "a").join(labels.withColumnsRenamed({"class": "b", "component": "cb"}), "b")
-                merged = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b")), f"{folder}/merge-{turn}")
-                new = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-                labels = write_table(new.select("class", F.coalesce("to", "component").alias("component")), f"{folder}/labels-{turn + 1}")
-            if buckets.isEmpty():
-                break
-            buckets = buckets.drop("component")
-            done = max(2, 4**turn)
-            turn += 1
-    named = members.select("doc_id", "class").join(labels, "class", "left") if labels is not None else members.select("doc_id", "class", F.lit(None).cast("binary").alias("component"))
-    named = named.select("doc_id", "class", F.coalesce("component", "class").alias("component"))
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("lowest"))
-    per_class = named.groupBy("class").agg(F.first("component").alias("component")).join(lowest, "component").select("class", "lowest")
-    out = sketched.select("doc_id", "n_shingles", "class").join(per_class, "class", "left")
+    sketched, linked = grouped(spark, _plain(docs, doc_id, text), percent, k, block)
+    out = sketched.select("doc_id", "n_shingles", "class").join(_lowest(sketched, linked), "class", "left")
     component = F.coalesce("lowest", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(component.isNull())).alias("kept"))
 
 
-def _of_class(rows: DataFrame, k: int) -> DataFrame:
-    """Only the rows whose text has the class (a doc_id may stand for several texts)."""
+def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with all their columns, one of each group of near duplicates: the smallest doc_id, then the smallest text hash.
+
+    Of rows that agree in both, one stays. Texts without words are in no group, and all of them stay.
+    """
+    sketched, linked = grouped(spark, _plain(docs, doc_id, text), percent, k)
+    keepers = _lowest(sketched, linked).select(F.col("lowest").alias("__id"), F.col("lowest_text").alias("__hash"), F.lit(True).alias("__one")).distinct()
+    loose = sketched.where("class is null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(False).alias("__one")).distinct()
+    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    keep = keepers.unionByName(loose)
+    kept = keyed.join(keep, keyed[doc_id].cast("long").eqNullSafe(keep["__id"]) & (F.col("__text") == F.col("__hash")))
+    # Only rows that repeat an id and a text could stay twice; where there are none, nothing needs to be told apart.
+    if not sketched.where("class is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        again = kept.withColumn("__n", F.when(F.col("__one"), F.row_number().over(Window.partitionBy(doc_id, "__text").orderBy(F.lit(1)))).otherwise(1))
+        kept = again.where("__n = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _sets(rows: DataFrame, k: int) -> DataFrame:
+    """The rows with their sorted shingle hashes instead of the text; a doc_id may stand for several texts, so rows of another class are left out."""
 
     def check(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            keep, sets = np.zeros(batch.num_rows, bool), []
             names = batch.column("class").to_pylist()
             for a, b, data, borders in slices(batch, "text"):
                 hashes, per = shingle_hashes(data, borders, k)
                 at = 0
                 for i, n in enumerate(per.tolist()):
-                    keep[a + i] = hashlib.blake2b(np.unique(hashes[at : at + n]).tobytes(), digest_size=16).digest() == names[a + i]
+                    own = np.unique(hashes[at : at + n]).tobytes()
+                    keep[a + i] = hashlib.blake2b(own, digest_size=16).digest() == names[a + i]
+                    sets.append(own)
                     at += n
-            yield batch.filter(pa.array(keep))
+            columns = [batch.column(c) for c in ("class", "cluster", "registers")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], names=["class", "cluster", "registers", "hashes"]).filter(pa.array(keep))
 
-    return rows.mapInArrow(check, "class binary, text string")
+    return rows.mapInArrow(check, "class binary, cluster binary, registers binary, hashes binary")

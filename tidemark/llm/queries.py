@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, idfiles, langid, near, packing, quality, secret_scan, toxicity
+from tidemark.llm import chat, decontaminate, idfiles, langid, near, packing, quality, repeats, secret_scan, toxicity
 from tidemark.llm.tokens import vocabulary
 from tidemark.session import scratch_dir
 
@@ -115,3 +115,26 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, d, "labels"))
     scored = toxicity.score(docs.select("doc_id", "text", langid.in_fold("doc_id").alias("held_out")), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+ORACLE["op10_chat_windows"] = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS n FROM c),
+z AS (SELECT *, len(regexp_extract_all(x, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 3 AS size,
+      6 + length(r) + 2 * length(x) - length(replace(replace(x, '\', ''), '<', '')) + 9 AS chars FROM t),
+b AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) - size AS before FROM z),
+s AS (SELECT *, before // 448 AS span, n = 1 AND r = 'system' AS sys FROM b),
+f AS (SELECT conv_id, span, lead(min(before)) OVER (PARTITION BY conv_id ORDER BY span) AS follower FROM s GROUP BY conv_id, span),
+k AS (SELECT conv_id, count(*) FILTER (span > 0) AS later FROM f GROUP BY 1),
+g AS (SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(x, '' ORDER BY n) FILTER (r = 'assistant'), '') AS loss,
+      sum(chars + CASE WHEN NOT sys AND follower - before <= 128 THEN chars ELSE 0 END) AS own, coalesce(sum(chars) FILTER (sys), 0) AS sys_chars
+      FROM s JOIN f ON f.conv_id = s.conv_id AND f.span = s.span GROUP BY 1)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (own + sys_chars * later)::BIGINT AS formatted_chars FROM g JOIN k USING (conv_id)
+"""
+
+
+@query
+def op4_repeats(spark: SparkSession, d: str) -> DataFrame:
+    found = repeats.repeated_spans(spark, table(spark, d, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import functools
+import unicodedata
 
 import numpy as np
 
@@ -65,11 +66,13 @@ class WordEncoder:
 
     def cut(self, text: str) -> list[str]:
         """The pieces, with blanks kept the first one is the text's head, which has no blank before it."""
+        if self.drops_blanks:
+            if "\u03a3" in text:  # its small form depends on its place for Python, not for the tokenizer
+                return text.split()
+            text = unicodedata.normalize("NFC", text).lower()
         marked = f"{text} ".replace(", ", f" {MARK}, ").replace(". ", f" {MARK}. ").replace(".\n", f" {MARK}.\n")
         if all(s[-2:-1].isalnum() for s in marked.split(MARK)[:-1]):  # else a sign before the comma belongs to it
             text = marked[:-1]
-            if self.drops_blanks and "\u03a3" not in text:
-                text = text.lower()
         return text.split() if self.drops_blanks else text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
