@@ -15,7 +15,7 @@ from tidemark.session import scratch_dir
 #: Characters of benchmark text whose vocabulary travels with a task; a larger benchmark is looked up in several blocks.
 BLOCK_CHARS = 8_000_000
 ITEMS = "item long, item_id string, words array<long>"
-OUT = "doc_id long, n_words long, n_hit long, items array<string>"
+OUT = "doc_id long, text_hash long, n_words long, n_hit long, items array<string>"
 
 
 def _hashed(batch: pa.RecordBatch, column: str):
@@ -147,7 +147,8 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     def judge(batches):
         for batch in batches:
             for a, counts, hashes in _hashed(batch, "text"):
-                names, n_hit, listed = batch.column("doc_id").slice(a, len(counts)), [], []
+                n_hit, listed = [], []
+                keys = [batch.column(c).slice(a, len(counts)) for c in ("doc_id", "text_hash")]
                 hits = batch.column("hits").slice(a, len(counts)).to_pylist()
                 end = 0
                 for n, own_hits in zip(counts.tolist(), hits):
@@ -160,9 +161,9 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
                             of.add(h["item_id"])
                     n_hit.append(int(inside.sum()))
                     listed.append(sorted(of, key=lambda x: (x is None, x or "")))
-                yield pa.RecordBatch.from_arrays([names, pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "n_words", "n_hit", "items"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "n_hit", "items"])
 
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").select("doc_id", "text", "hits").mapInArrow(judge, OUT)
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", "hits").mapInArrow(judge, OUT)
 
 
 def proximity(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 5) -> DataFrame:
