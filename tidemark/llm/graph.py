@@ -26,9 +26,11 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     before, step = _state(edges), 0
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+        # The minima are written first: a join of two plain shuffles is one that Spark can split where a node has very many edges.
+        low = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), f"{folder}-low-{step}")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        large = write_table(large, f"{folder}-large-{step}")
+        low = write_table(large.groupBy("a").agg(F.min("b").alias("low")), f"{folder}-least-{step}")
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b"))).where("a <> b").distinct()
         step += 1
