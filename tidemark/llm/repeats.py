@@ -194,11 +194,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, merg
     folder = scratch_dir(spark, "repeats")
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = write_table(segments(keyed.where(F.octet_length("text") >= length), length), f"{folder}/segments")
-    again = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Small sides are written before they are joined: two plain shuffles can be split where one anchor has very many segments (periodic texts).
+    again = write_table(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), f"{folder}/again")
     repeated = write_table(found.join(again, "anchor", "left_semi"), f"{folder}/repeated")
     one = F.min(F.struct("doc_id", "text_hash", "start", "n", "rel")).alias("one")
     classes = write_table(repeated.groupBy("anchor", "digest").agg(F.count("*").alias("size"), one), f"{folder}/classes")
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("size").alias("least")).where("classes > 1 AND least = 1")
+    mixed = write_table(classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("size").alias("least")).where("classes > 1 AND least = 1"), f"{folder}/mixed")
     asked = classes.join(mixed, "anchor").select("anchor", "digest", "classes", "one.*")
     asked = asked.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("anchor", "digest", "classes", "rel", "start", "n")).alias("asked"))
     of_text = keyed.join(asked, keyed["doc_id"].eqNullSafe(asked["d"]) & (F.col("text_hash") == F.col("h"))).select("text", "asked")
@@ -218,7 +219,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = 400, merg
         shared = shared.unionByName(digested(large, length))
     shared = write_table(shared, f"{folder}/shared")
     # One row per class that goes, in full or in part.
-    going = classes.select("anchor", "digest", "size").join(shared, ["anchor", "digest"], "left").where("size > 1 OR windows IS NOT NULL")
+    going = write_table(classes.select("anchor", "digest", "size").join(shared, ["anchor", "digest"], "left").where("size > 1 OR windows IS NOT NULL"), f"{folder}/going")
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
     ranges = repeated.join(going, ["anchor", "digest"]).select(
         "doc_id", "text_hash", F.transform(F.when(F.col("size") > 1, whole).otherwise(F.col("windows")), lambda w: F.struct((F.col("start") + w["first"]).alias("start"), (F.col("start") + w["last"] + length).alias("end"))).alias("ranges"))
