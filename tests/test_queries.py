@@ -6,12 +6,18 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.check import compare
 from tests.conftest import SMALL
 
-QUERIES, ORACLE = queries(), oracle_sql()
+from tidemark.plans import catalog  # the training-data queries are tested in tests/llm
+
+QUERIES, ORACLE = dict(catalog.QUERIES), dict(catalog.ORACLE)
+
+# Queries without a row on the smallest tables, on either side.
+EMPTY_ON_SMALL: set[str] = set()
 
 
 def test_registry_is_consistent():
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql()) <= set(queries())
     assert set(ORACLE) <= set(QUERIES)
-    assert sorted(set(QUERIES) - set(ORACLE)) == ["m_03_fit_multistep", "v_02_knn_lsh", "v_10_project_2d"]
+    assert sorted(set(QUERIES) - set(ORACLE)) == ["m_03_fit_multistep", "v_10_project_2d"]
 
 
 def test_entry(spark):
@@ -22,7 +28,7 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_sql(spark, duck, name):
     problem = compare(spark, duck, name, QUERIES[name], ORACLE[name], SMALL)
-    assert problem in (None, "EMPTY"), problem
+    assert problem is None or (problem == "EMPTY" and name in EMPTY_ON_SMALL), problem
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))

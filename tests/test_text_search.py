@@ -93,11 +93,13 @@ def points(spark):
     return spark.createDataFrame([(i, [float(x) for x in rng.normal(size=16)]) for i in range(400)], "id long, v array<float>").repartition(5).persist()
 
 
-def test_knn_paths_agree_with_brute_force(spark, points):
+def test_knn_blocks_agree_with_brute_force(spark, points, monkeypatch):
     asked = points.where("id < 40").select(F.col("id").alias("q"), F.col("v").alias("qv"))
     opts = dict(query="q", query_vec="qv", item="id", vec="v", k=5)
     one = sorted(map(tuple, search.knn(asked, points, **opts).collect()))
-    two = sorted(map(tuple, search.knn(asked, points, query_limit=7, blocks=3, **opts).collect()))
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(search, "BLOCK_ITEMS", 50)
+    two = sorted(map(tuple, search.knn(asked, points, **opts).collect()))
     assert one == two and len(one) == 200
     pdf = points.toPandas().sort_values("id")
     m = np.vstack(pdf["v"]).astype(float)
@@ -106,22 +108,28 @@ def test_knn_paths_agree_with_brute_force(spark, points):
     assert [r[1] for r in sorted((x for x in one if x[0] == 3), key=lambda x: x[3])] == best.tolist()
 
 
-def test_lsh_recall(points):
-    asked = points.where("id < 40").select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    exact = {(r["query_id"], r["item_id"]) for r in search.knn(asked, points, query="q", query_vec="qv", item="id", vec="v", k=3).collect()}
-    close = {(r["query_id"], r["item_id"]) for r in search.knn_lsh(asked, points, query="q", query_vec="qv", item="id", vec="v", k=3, dim=16, bits=3, tables=10).collect()}
-    assert len(exact & close) / len(exact) > 0.9
+@pytest.mark.parametrize("d", ["sf0.01", "sf0.1"])
+def test_cell_recall_at_the_registered_settings(spark, d):
+    from tidemark.plans.text_queries import CELLS, PROBES, query_vectors, vectors
+
+    v, q = vectors(spark, f"/root/testdata/{d}"), query_vectors(spark, f"/root/testdata/{d}")
+    opts = dict(query="item_id", query_vec="embedding", item="vec_id", vec="embedding", k=10)
+    exact = {(r["query_id"], r["item_id"]) for r in search.knn(q, v, **opts).collect()}
+    centres = search.coarse_cells(v, item="vec_id", vec="embedding", cells=CELLS)
+    close = {(r["query_id"], r["item_id"]) for r in search.knn_cells(q, v, centres=centres, probes=PROBES, **opts).collect()}
+    assert len(exact & close) / len(exact) >= 0.9
 
 
 def test_pattern_lists_are_whole():
     assert len(set(L.STOPWORDS)) == len(L.STOPWORDS) and X.word_key("Anti-Money Laundering") == " anti  money  laundering "
 
 
-def test_hybrid_batches_agree(spark):
+def test_hybrid_blocks_agree(spark, monkeypatch):
     from tests.conftest import SMALL
     from tidemark.plans.text_queries import hybrid_inputs
 
     options, asked, both = hybrid_inputs(spark, SMALL)
     whole = sorted(map(tuple, search.hybrid_search(asked, both, **options).collect()))
-    parts = sorted(map(tuple, search.hybrid_search(asked, both, query_limit=25, **options).collect()))
+    monkeypatch.setattr(search, "BLOCK_ITEMS", 60)
+    parts = sorted(map(tuple, search.hybrid_search(asked, both, **options).collect()))
     assert whole == parts and len(whole) > 0

@@ -130,10 +130,11 @@ COMPLIANCE_TERMS = [
 # Risk indicators of the domain.
 RISK_INDICATORS = [
     "multiple transactions", "structuring", "smurfing", "layering", "mixing", "tumbling", "obfuscate", "anonymous", "privacy coin",
-    "mixer", "tumbler", "darknet", "dark web", "suspicious", "unusual pattern", "shell company", "unregistered", "unlicensed",
+    "mixer", "tumbler", "P2P platform", "darknet", "dark web", "suspicious", "unusual pattern", "shell company", "unregistered", "unlicensed",
     "sanctioned", "fraud", "scam", "ponzi", "pyramid scheme", "ransomware", "extortion", "hacked", "stolen funds", "illicit", "illegal",
-    "criminal", "false identification", "forged documents", "front company", "no economic purpose", "high-risk jurisdiction",
-    "tax haven", "non-cooperative", "politically exposed person", "non-compliant", "terrorism", "terrorist financing",
+    "criminal", "refused to provide", "false identification", "forged documents", "front company", "no economic purpose", "high-risk jurisdiction",
+    "tax haven", "non-cooperative", "politically exposed person", "PEP", "high-risk customer", "high-risk country",
+    "sanctioned country", "non-compliant", "terrorism", "terrorist financing", "drug trafficking", "human trafficking", "arms trafficking",
 ]
 HIGH_RISK_ACTIVITIES = ["fraud", "scam", "ponzi", "ransomware", "extortion", "illicit", "illegal"]
 DOMAIN_RISKS = [
@@ -295,7 +296,7 @@ PROTOCOL_KINDS = [
     ("nft", ["nft", "collectible"], 5.5),
 ]
 DEFI_WORDS = ["aave", "compound", "uniswap", "sushiswap", "curve", "yearn", "maker", "balancer", "synthetix", "1inch", "pancakeswap", "dydx",
-              "lido", "rocket pool", "yield", "farm", "liquid"]
+              "lido", "rocket pool", "yield", "farm", "stake", "pool", "liquid"]
 # Liquidity tiers of the two liquidity models.
 ILLIQUID_WORDS = ["nft", "locked", "stake", "illiquid", "private", "seed", "vesting"]
 LIQUID_WORDS = ["cash", "stablecoin", "usdc", "usdt", "dai", "busd"]

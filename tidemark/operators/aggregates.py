@@ -39,22 +39,27 @@ def daily_stats(df: DataFrame, ts: str, value: str) -> DataFrame:
     return df.groupBy(F.to_date(ts).alias("day")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def resample_daily(df: DataFrame, key: str, ts: str, value: str, label: str) -> DataFrame:
-    """One row per key and calendar day: mean, most frequent label, row count, change and 7-day mean.
+def resample_daily(df: DataFrame, key: str, ts: str, value: str, label: str, *, total: str | None = None, fill: Mapping[str, Any] | None = None) -> DataFrame:
+    """One row per key and calendar day: mean, most frequent label, row count (or the sum of ``total``), change and 7-day mean.
 
-    Days without rows keep a null mean and label and a zero count.
+    Days without rows keep a null mean and label and a zero count, unless ``fill`` names values
+    for ``mean``, ``label`` or ``change`` (the first change, too); means and changes follow the filled values.
     """
     day = F.to_date(ts).alias("day")
-    facts = df.groupBy(key, day).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    facts = df.groupBy(key, day).agg(F.avg(value).alias("mean"), (F.sum(total) if total else F.count(F.lit(1))).alias("n"))
     counts = df.where(F.col(label).isNotNull()).groupBy(key, day, label).agg(F.count(F.lit(1)).alias("_c"))
     modes = scale.top_per_key(counts, [key, "day"], [F.col("_c").desc(), F.col(label)], 1).drop("_c")
     spans = facts.groupBy(key).agg(F.min("day").alias("_a"), F.max("day").alias("_b"))
     calendar = spans.select(key, F.explode(F.sequence("_a", "_b")).alias("day"))
     w = Window.partitionBy(key).orderBy("day")
+    given = {label if k == "label" else k: v for k, v in (fill or {}).items()}
+    rows = calendar.join(facts, [key, "day"], "left").join(modes, [key, "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("double" if total else "long"))
+    for name in ("mean", label):
+        if name in given:
+            rows = rows.withColumn(name, F.coalesce(name, F.lit(given[name])))
+    change = F.col("mean") - F.lag("mean").over(w)
     return (
-        calendar.join(facts, [key, "day"], "left").join(modes, [key, "day"], "left")
-        .withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-        .withColumn("change", F.col("mean") - F.lag("mean").over(w))
+        rows.withColumn("change", F.coalesce(change, F.lit(given["change"])) if "change" in given else change)
         .withColumn("mean_7d", F.avg("mean").over(w.rowsBetween(-6, 0))))
 
 

@@ -17,7 +17,7 @@ def trend_label(change: Column) -> Column:
     return (F.when(change > 5, "strongly bullish").when(change > 1, "bullish").when(change < -5, "strongly bearish").when(change < -1, "bearish").otherwise("neutral"))
 
 
-def forecast_wma(df: DataFrame, key: str, ts: str, val: str, h: int = 7, *, min_rows: int = 30, seed: int | None = None) -> DataFrame:
+def forecast_wma(df: DataFrame, key: str, ts: str, val: str, h: int = 7, *, min_rows: int = 30, seed: int | None = None, split: int | None = None) -> DataFrame:
     """Weighted moving-average forecast: 0.5/0.3/0.2 of the last 7/14/30-row means, mean daily drift, widening bounds.
 
     Without ``seed`` there is no random part; with it, half a standard deviation of noise is drawn per step.
@@ -25,10 +25,10 @@ def forecast_wma(df: DataFrame, key: str, ts: str, val: str, h: int = 7, *, min_
     tail = scale.top_per_key(df.select(key, ts, val), key, [F.col(ts).desc()], 30, rank="_age")
     means = tail.groupBy(key).agg(*[F.avg(F.when(F.col("_age") <= n, F.col(val))).alias(f"_ma{n}") for n in (7, 14, 30)],
                                   F.max_by(val, ts).alias("current"), F.max(ts).alias("_last"))
-    moves = series.pct_change(df.select(key, ts, val), key, ts, val, out="_r")
+    moves = series.pct_change(df.select(key, ts, val), key, ts, val, out="_r", split=split)
     # The drift is taken over the rows for which all features exist, i.e. from the 30th row on.
-    moves = moves.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(ts)))
-    stats = moves.where(F.col("_i") >= min_rows).groupBy(key).agg(F.avg("_r").alias("_drift"), F.stddev_samp("_r").alias("_sd"))
+    moves = scale.row_index(moves, key, ts, name="_i")
+    stats = moves.where(F.col("_i") >= min_rows - 1).groupBy(key).agg(F.avg("_r").alias("_drift"), F.stddev_samp("_r").alias("_sd"))
     base = means.join(stats, key).withColumn("_w", F.col("_ma7") * 0.5 + F.col("_ma14") * 0.3 + F.col("_ma30") * 0.2)
     steps = base.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
     noise = F.lit(0.0) if seed is None else F.coalesce("_sd", F.lit(0.0)) * F.randn(seed)
@@ -54,7 +54,7 @@ def forecast_trend(df: DataFrame, key: str, ts: str, val: str, h: int = 7, *, da
 
 
 def fit_multistep(windows: DataFrame, kind: str, h: int, *, features: str = "features", targets: str = "targets", seed: int = 42, trees: int = 20, depth: int = 5):
-    """One fitted pipeline per forecast step; ``kind`` is ``forest``, ``boosting`` or ``linear``."""
+    """One fitted pipeline per forecast step; ``kind`` is ``forest``, ``boosting`` or ``linear``. The training windows are derived once and kept while it fits."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
@@ -65,11 +65,12 @@ def fit_multistep(windows: DataFrame, kind: str, h: int, *, features: str = "fea
         "boosting": lambda: GBTRegressor(featuresCol="_z", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
         "linear": lambda: LinearRegression(featuresCol="_z", labelCol="_y"),
     }
-    base = windows.withColumn("_x", array_to_vector(F.col(features)))
+    base = windows.select(array_to_vector(F.col(features)).alias("_x"), F.col(targets).alias("_t")).persist()
     models = []
     for step in range(h):
-        train = base.select("_x", F.col(targets)[step].alias("_y"))
+        train = base.select("_x", F.col("_t")[step].alias("_y"))
         models.append(Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_z", withMean=True), makers[kind]()]).fit(train))
+    base.unpersist()
     return models
 
 
@@ -164,14 +165,15 @@ def winsorize(df: DataFrame, columns: Sequence[str], by: str | Sequence[str] | N
     if key and ts:
         out = series.fill(series.fill(out, key, ts, columns, "ffill"), key, ts, columns, "bfill").fillna(0, subset=list(columns))
     names = scale.as_keys(by)
+    limits = scale.percentiles_of(out, names, columns, {"_a": 0.01, "_b": 0.99}).withColumnsRenamed({c: f"_q_{c}" for c in columns})
+    if names:
+        out = out.join(limits, names, "left")
+    else:
+        out = out.withColumn("_q", limits.select(F.struct(*[f"_q_{c}" for c in columns]).alias("q")).scalar()).withColumns({f"_q_{c}": F.col(f"_q._q_{c}") for c in columns}).drop("_q")
     for c in columns:
-        q = scale.exact_percentiles(out, names, c, {"_a": 0.01, "_b": 0.99})
-        if names:
-            out = out.join(q, names, "left")
-        else:
-            out = out.withColumn("_q", q.select(F.struct("_a", "_b").alias("q")).scalar()).withColumn("_a", F.col("_q._a")).withColumn("_b", F.col("_q._b")).drop("_q")
-        span = F.col("_b") - F.col("_a")
-        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col("_b") + 3 * span), F.col("_a") - 3 * span))).drop("_a", "_b")
+        low, high = F.col(f"_q_{c}._a"), F.col(f"_q_{c}._b")
+        span = high - low
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), high + 3 * span), low - 3 * span))).drop(f"_q_{c}")
     return out
 
 

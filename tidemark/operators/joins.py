@@ -85,13 +85,14 @@ def interval_stats(points: DataFrame, events: DataFrame, *, lo: str, hi: str, ts
     zero = F.lit(0).cast("decimal(38,9)")
     columns = points.columns
     row = F.struct(*columns)
+    bounded = points.where(F.col(lo) <= F.col(hi)).distinct()
     by = list(keys) or ["_all"]
 
     def keyed(df: DataFrame) -> DataFrame:
         return df if keys else df.withColumn("_all", F.lit(1))
 
     def edge(column: str, order: int) -> DataFrame:
-        return keyed(points.select(*keys, F.col(column).alias("_t"), F.lit(order).alias("_o"), row.alias("_p"), F.lit(0).cast("long").alias("_n"), zero.alias("_v")))
+        return keyed(bounded.select(*keys, F.col(column).alias("_t"), F.lit(order).alias("_o"), row.alias("_p"), F.lit(0).cast("long").alias("_n"), zero.alias("_v")))
 
     hits = keyed(events.where(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_o"), F.lit(1).cast("long").alias("_n"), F.col(value).cast("decimal(38,9)").alias("_v")))
     marks = edge(lo, 0).unionByName(edge(hi, 2)).unionByName(hits, allowMissingColumns=True)
@@ -106,10 +107,14 @@ def interval_stats(points: DataFrame, events: DataFrame, *, lo: str, hi: str, ts
     def at(order: int, column: str) -> Column:
         return F.max(F.when(F.col("_o") == order, F.col(column)))
 
-    both = ends.groupBy("_p").agg((at(2, "_n") - at(0, "_n")).alias("n"), (at(2, "_v") - at(0, "_v")).cast("double").alias("_s"), F.count_if(F.col("_o") == 0).alias("_copies"))
-    both = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    some = F.col("n") > 0
-    return both.select(*[F.col(f"_p.{c}").alias(c) for c in columns], "n", F.when(some, F.col("_s")).alias("total"), F.when(some, F.col("_s") / F.col("n")).alias("mean"))
+    sums = ends.groupBy("_p").agg((at(2, "_n") - at(0, "_n")).alias("_dn"), (at(2, "_v") - at(0, "_v")).cast("double").alias("_s"))
+    # Points keep their rows, whatever their bounds; an open or reversed interval holds nothing.
+    asked = points.select("*", row.alias("_q"))
+    same = F.col("_q").eqNullSafe(F.col("_p"))
+    good = (F.col(lo) <= F.col(hi)) & (F.col("_dn") > 0)
+    out = asked.join(sums, same, "left")
+    n = F.when(good, F.col("_dn")).otherwise(F.lit(0)).cast("long")
+    return out.select(*columns, n.alias("n"), F.when(good, F.col("_s")).alias("total"), F.when(good, F.col("_s") / F.col("_dn")).alias("mean"))
 
 
 def side_by_side(df: DataFrame, key: str, on: str, value: str, keys: Sequence[Any]) -> DataFrame:
@@ -186,19 +191,14 @@ def term_equi_join(docs: DataFrame, terms: DataFrame, *, doc: str, text: str, te
 def mentions(docs: DataFrame, entities: Sequence[str], *, doc: str, text: str) -> DataFrame:
     """(document, entity, start, end) of every occurrence, ignoring case."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rows = []
-    for name in entities:
-        size = len(name)
-        pieces = F.split(F.col("_t"), F.lit("\\Q" + name.lower() + "\\E"), -1)
-        # Start of occurrence i = lengths of the pieces before it plus i earlier names.
-        ends = F.aggregate(
-            F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
-            F.array().cast("array<int>"),
-            lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + size, F.lit(0)) + F.length(p))))
-        rows.append(F.struct(F.lit(name).alias("entity"), F.lit(size).alias("size"), ends.alias("starts")))
-    out = docs.select(doc, low.alias("_t")).select(doc, F.explode(F.array(*rows)).alias("_m"))
-    return out.select(doc, "_m.entity", "_m.size", F.explode("_m.starts").alias("start")).select(
-        doc, "entity", "start", (F.col("start") + F.col("size")).alias("end"))
+    names = F.array(*[F.struct(F.lit(n).alias("entity"), F.lit(len(n)).alias("size"), F.transform(F.split(F.col("_t"), F.lit("\\Q" + n.lower() + "\\E"), -1), F.length).alias("gaps")) for n in entities])
+    out = docs.select(doc, low.alias("_t"), F.monotonically_increasing_id().alias("_row")).select(doc, "_row", F.explode(names).alias("_m"))
+    out = out.where(F.size("_m.gaps") > 1)
+    gaps = out.select(doc, "_row", "_m.entity", "_m.size", F.posexplode(F.slice(F.col("_m.gaps"), F.lit(1), F.size("_m.gaps") - 1)).alias("_i", "_gap"))
+    # Start of occurrence i = lengths of the pieces before it plus i earlier names.
+    before = Window.partitionBy("_row", "entity").orderBy("_i")
+    start = (F.sum("_gap").over(before) + F.col("_i") * F.col("size")).cast("int")
+    return gaps.select(doc, "entity", start.alias("start"), (start + F.col("size")).alias("end"))
 
 
 def proximity_join(found: DataFrame, *, doc: str, window: int = 150) -> DataFrame:

@@ -22,11 +22,11 @@ def clean_ohlcv(df: DataFrame, key: str, ts: str, *, tie: Sequence[Column] = (),
     Bounds apply to series with more than ``min_rows`` rows.
     """
     qs = {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}
-    c = scale.exact_percentiles(df, key, "close", {f"_c{k}": q for k, q in qs.items()})
-    v = scale.exact_percentiles(df, key, "volume", {f"_v{k}": q for k, q in qs.items()})
+    both = scale.percentiles_of(df, key, ["close", "volume"], qs)
+    both = both.select(key, *[F.col(f"{c}.{k}").alias(f"_{c[0]}{k}") for c in ("close", "volume") for k in qs])
     n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     unique = setops.dedupe_first(df, [key, ts], [F.col(ts), *tie])
-    out = unique.join(n, key).join(c, key, "left").join(v, key, "left")
+    out = unique.join(n, key).join(both, key, "left")
     bounded = F.col("_n") > min_rows
     iqr = F.col("_c_q3") - F.col("_c_q1")
     low, high = F.greatest(F.lit(0.0), F.col("_c_q2") - 3 * iqr), F.col("_c_q2") + 5 * iqr
@@ -75,23 +75,30 @@ def coverage(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def check_schemas(expected: Mapping[str, StructType], actual: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, column, problem) for missing tables, missing columns and other types.
+    """(table, column, problem, n_failed) for missing tables, missing columns, other types and values that do not fit the declared type.
 
-    Only schemas are read; the report has one row per declared column at most.
+    ``n_failed`` counts the rows whose value the declared type can't hold (all rows for a missing
+    column), in one aggregate per table.
     """
     spark = next(iter(actual.values())).sparkSession
-    rows = []
-    for name, schema in expected.items():
+    schema = "table_name string, column_name string, problem string, n_failed long"
+    out = spark.createDataFrame([(name, None, "missing table", None) for name in expected if name not in actual], schema)
+    for name, want in expected.items():
         if name not in actual:
-            rows.append((name, None, "missing table"))
             continue
-        have = {f.name: f.dataType for f in actual[name].schema}
-        for f in schema:
+        df, rows = actual[name], []
+        have = {f.name: f.dataType for f in df.schema}
+        for f in want:
             if f.name not in have:
-                rows.append((name, f.name, "missing column"))
-            elif have[f.name] != f.dataType:
-                rows.append((name, f.name, f"type {have[f.name].simpleString()}"))
-    return spark.createDataFrame(rows, "table_name string, column_name string, problem string")
+                problem, failed = F.lit("missing column"), F.count(F.lit(1))
+            else:
+                same = have[f.name] == f.dataType
+                problem = F.lit(None if same else f"type {have[f.name].simpleString()}").cast("string")
+                failed = F.lit(0).cast("long") if same else F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+            rows.append(F.struct(F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), problem.alias("problem"), failed.alias("n_failed")))
+        found = df.agg(F.array(*rows).alias("_r")).select(F.inline("_r")).where(F.col("problem").isNotNull() | (F.col("n_failed") > 0))
+        out = out.unionByName(found)
+    return out
 
 
 # ------------------------------------------------------------------------------------- records

@@ -33,10 +33,10 @@ def any_word(column: str, words: Sequence[str]) -> Column:
 
 # --------------------------------------------------------------------------------- asset risk
 def market_features(market: DataFrame, key: str, ts: str, *, price: str = "price", volume: str = "volume_24h", cap: str = "market_cap",
-                    change: str = "price_change_24h") -> DataFrame:
+                    change: str = "price_change_24h", split: int | None = None) -> DataFrame:
     """One row per asset: price, volume, cap and change statistics, volatility, up/down ratio and deepest drawdown; gaps become 0."""
-    moves = series.pct_change(market.select(key, ts, price, volume), key, ts, price, out="_r")
-    moves = series.pct_change(moves, key, ts, volume, out="_v").groupBy(key).agg(
+    moves = series.pct_change(market.select(key, ts, price, volume), key, ts, price, out="_r", split=split)
+    moves = series.pct_change(moves, key, ts, volume, out="_v", split=split).groupBy(key).agg(
         F.stddev_samp("_r").alias("volatility"), F.avg("_v").alias("volume_change"), F.count_if(F.col("_r") > 0).alias("_up"), F.count_if(F.col("_r") < 0).alias("_down"))
     ratio = F.when(F.col("_down") > 0, F.col("_up") / F.col("_down")).when(F.col("_up") > 0, 1.0).otherwise(0.0)
     deep = series.max_drawdown(market, key, ts, price)
@@ -359,12 +359,14 @@ def ranked_factors(components: DataFrame, *, fund: str = "fund", column: str = "
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(fund).orderBy(F.col("risk_level").desc(), "factor")))
 
 
-def mitigations(ranked: DataFrame, *, fund: str = "fund", actions: Sequence[tuple[str, str]] = tuple(L.MITIGATIONS), level: float = 7.0, top: int = 5) -> DataFrame:
-    """Distinct actions for the five most severe factors of level 7 and above."""
+def mitigations(ranked: DataFrame, *, fund: str = "fund", actions: Sequence[tuple[str, str]] = tuple(L.MITIGATIONS), level: float = 7.0, top: int | None = None) -> DataFrame:
+    """Distinct actions for the factors of level 7 and above; all, or the ``top`` most severe ones."""
     action = F.when(F.lit(False), "")
     for phrase, text in actions:
         action = action.when(F.lower("factor").contains(phrase), text)
-    severe = scale.top_per_key(ranked.where(F.col("risk_level") >= level), fund, [F.col("risk_level").desc(), F.col("factor")], top, salts=1)
+    severe = ranked.where(F.col("risk_level") >= level)
+    if top is not None:
+        severe = scale.top_per_key(severe, fund, [F.col("risk_level").desc(), F.col("factor")], top, salts=1)
     return severe.select(fund, action.alias("action")).where(F.col("action").isNotNull()).distinct()
 
 
@@ -439,11 +441,14 @@ def compliance_gaps(status: DataFrame, kyc: DataFrame, tax: DataFrame, *, fund:
             .unionByName(thin(tax, L.TAX_REQUIREMENTS, "missing tax measures", "Consult tax advisors")))
 
 
-def regulatory_digest(docs: DataFrame, *, doc: str, kind: str, title: str, text: str, places: Sequence[str] = tuple(L.REGULATORY_BODIES), k: int = 3) -> DataFrame:
-    """Regulatory documents by jurisdiction with their first requirements and a recency flag."""
+def regulatory_digest(docs: DataFrame, *, doc: str, kind: str, title: str, text: str, places: Sequence[str] = tuple(L.REGULATORY_BODIES), k: int | None = None, span: int | None = None) -> DataFrame:
+    """Regulatory documents by jurisdiction with their requirements (all, or the first ``k``) and a recency flag.
+
+    Places and recency are looked for in the whole text, or in its first ``span`` characters.
+    """
     from tidemark.operators.text import requirements
 
-    head = F.lower(F.substring(text, 1, 500))
+    head = F.lower(text) if span is None else F.lower(F.substring(text, 1, span))
     chosen = docs.where(F.lower(kind).rlike("regulation|compliance") | F.lower(title).contains("regulatory"))
     place = F.when(F.lit(False), "")
     for p in places:

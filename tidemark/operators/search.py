@@ -1,14 +1,12 @@
 """Keyword, vector and hybrid search.
 
-Vector scores are computed per Arrow batch against a small query matrix, and every
-batch only passes on its own best rows, so the corpus is read once and never paired
-row by row with the queries.
+Blocks of queries meet blocks of vectors as two matrices, and every block only passes
+on its own best rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,11 +19,13 @@ from tidemark import scale
 from tidemark.functions import texts as X
 from tidemark.operators import terms as T
 
-QUERY_LIMIT = 2048
+#: Queries and items that meet in one task: bounds its memory, whatever the sizes of the tables.
+BLOCK_QUERIES, BLOCK_ITEMS = 1024, 8192
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype="float64") for v in vectors]) if len(vectors) else np.zeros((0, 1))
+    size = max((len(v) for v in vectors), default=1)
+    return np.vstack([np.asarray(v, dtype="float64") if len(v) else np.zeros(size) for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -33,9 +33,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, min_sim: float | None) -> tuple[list, list, list]:
-    """Best ``k`` ids (ties by id) of one block for every query."""
-    out: tuple[list, list, list] = ([], [], [])
+def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int, min_sim: float | None) -> tuple[list, list, list, list]:
+    """Best ``k`` ids (ties by id) of one block for every query, and the lowest similarity as a row without an id."""
+    out: tuple[list, list, list, list] = ([], [], [], [])
     scores = np.round(_unit(q) @ _unit(v).T, 9)
     for i, qid in enumerate(qids):
         row = scores[i]
@@ -45,79 +45,84 @@ def _best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: in
         out[0].extend([qid] * len(order))
         out[1].extend(ids[order].tolist())
         out[2].extend(row[order].tolist())
+        out[3].extend([float(row.min())] * len(order))
     return out
 
 
-def knn(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, min_sim: float | None = None,
-        query_limit: int = QUERY_LIMIT, blocks: int = 64) -> DataFrame:
-    """Exact cosine top-``k`` per query, optionally above a similarity threshold.
+def _parts(df: DataFrame, rows: int) -> Column:
+    """Number of blocks of about ``rows`` rows, as a scalar of the plan."""
+    return df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / rows)).cast("int")).scalar()
 
-    Up to ``query_limit`` queries travel to the tasks as one matrix. More queries are
-    cut into blocks that meet slices of the corpus in a shuffle instead.
-    """
-    schema = f"query_id {queries.schema[query].dataType.simpleString()}, item_id {vectors.schema[item].dataType.simpleString()}, similarity double"
-    asked = queries.select(F.col(query).alias("q"), F.col(query_vec).alias("v"))
-    items = vectors.select(F.col(item).alias("i"), F.col(vec).alias("v"))
-    small = asked.limit(query_limit + 1).toPandas()
-    if len(small) <= query_limit:
-        qids, q = small["q"].to_numpy(), _matrix(small["v"])
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and len(qids):
-                    a, b, s = _best(qids, q, pdf["i"].to_numpy(), _matrix(pdf["v"]), k, min_sim)
-                    yield pd.DataFrame({"query_id": a, "item_id": b, "similarity": s})
-
-        found = items.mapInPandas(search, schema)
-    else:
-        # Blocks of about query_limit queries, each sent to every slice of the corpus.
-        n_blocks = asked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / query_limit)).cast("int")).scalar()
-        slices = F.sequence(F.lit(0), F.lit(blocks - 1))
-        left = asked.withColumn("b", F.pmod(F.xxhash64("q"), n_blocks).cast("int")).withColumn("s", F.explode(slices))
-        right = items.withColumn("s", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-
-        def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-            parts = [pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})]
-            if len(qs) and len(vs):
-                qids, q = qs["q"].to_numpy(), _matrix(qs["v"])
-                for at in range(0, len(vs), 8192):
-                    piece = vs.iloc[at:at + 8192]
-                    a, b, s = _best(qids, q, piece["i"].to_numpy(), _matrix(piece["v"]), k, min_sim)
-                    parts.append(pd.DataFrame({"query_id": a, "item_id": b, "similarity": s}))
-            return pd.concat([p for p in parts if len(p)] or parts)
-
-        found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(meet, schema)
-    return scale.top_per_key(found, "query_id", [F.col("similarity").desc(), F.col("item_id")], k, rank="rank")
 
+def _blockwise(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, min_sim: float | None) -> DataFrame:
+    """(query_id, item_id, similarity, lowest): every block of queries meets every block of items once; each pair of blocks passes on its best rows only."""
+    schema = f"query_id {queries.schema[query].dataType.simpleString()}, item_id {vectors.schema[item].dataType.simpleString()}, similarity double, lowest double"
+    asked = queries.select(F.col(query).alias("q"), F.col(query_vec).alias("v")).where(F.col("v").isNotNull())
+    items = vectors.select(F.col(item).alias("i"), F.col(vec).alias("v")).where(F.col("v").isNotNull())
+    n_blocks, n_slices = _parts(asked, BLOCK_QUERIES), _parts(items, BLOCK_ITEMS)
+    left = asked.withColumn("b", F.pmod(F.xxhash64("q"), n_blocks).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), n_slices - 1)))
+    right = items.withColumn("s", F.pmod(F.xxhash64("i"), n_slices).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
 
-def planes(dim: int, bits: int, tables: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(vs):
+            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": [], "lowest": []})
+        a, i, s, low = _best(qs["q"].to_numpy(), _matrix(qs["v"]), vs["i"].to_numpy(), _matrix(vs["v"]), k, min_sim)
+        return pd.DataFrame({"query_id": a, "item_id": i, "similarity": s, "lowest": low})
 
+    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(meet, schema)
 
-def lsh_signatures(df: DataFrame, vec: str, *, dim: int, bits: int = 4, tables: int = 8, seed: int = 7) -> DataFrame:
-    """One row per hash table with the vector's bucket; a table worth storing partitioned by ``slot``."""
-    normals = planes(dim, bits, tables, seed)
 
-    @pandas_udf("array<int>")
-    def sign(v: pd.Series) -> pd.Series:
-        m = _matrix(v)
-        powers = 1 << np.arange(bits)
-        return pd.Series(list(np.stack([((m @ normals[t].T) > 0) @ powers for t in range(tables)], axis=1)))
+def knn(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, min_sim: float | None = None) -> DataFrame:
+    """Exact cosine top-``k`` per query, optionally above a similarity threshold; rows without a vector are left out.
 
-    return df.select("*", F.posexplode(sign(F.col(vec))).alias("slot", "bucket"))
+    One plan for all sizes: blocks of queries meet blocks of items in a shuffle, and the
+    block counts come from the tables' row counts inside the plan.
+    """
+    found = _blockwise(queries, vectors, query=query, query_vec=query_vec, item=item, vec=vec, k=k, min_sim=min_sim).drop("lowest")
+    return scale.top_per_key(found, "query_id", [F.col("similarity").desc(), F.col("item_id")], k, rank="rank")
 
 
 @pandas_udf(DoubleType())
 def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     x, y = _matrix(a), _matrix(b)
+    if x.shape[1] != y.shape[1]:  # a batch in which one side has no vector at all
+        return pd.Series(np.zeros(len(a)))
     return pd.Series(np.round((_unit(x) * _unit(y)).sum(axis=1), 9))
 
 
-def knn_lsh(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, dim: int, bits: int = 4, tables: int = 8) -> DataFrame:
-    """Approximate top-``k``: items that share a random-hyperplane bucket with the query, re-ranked exactly."""
-    q = lsh_signatures(queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv")), "_qv", dim=dim, bits=bits, tables=tables)
-    v = lsh_signatures(vectors.select(F.col(item).alias("item_id"), F.col(vec).alias("_iv")), "_iv", dim=dim, bits=bits, tables=tables)
-    pairs = v.join(q, ["slot", "bucket"]).withColumn("similarity", cosine("_qv", "_iv")).groupBy("query_id", "item_id").agg(F.max("similarity").alias("similarity"))
+def coarse_cells(vectors: DataFrame, *, item: str, vec: str, cells: int, sample: int = 20_000, rounds: int = 15, seed: int = 7) -> np.ndarray:
+    """Unit centres of ``cells`` cells, from spherical k-means on at most ``sample`` vectors (the bound is this parameter; order by a hash of the id)."""
+    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).orderBy(F.xxhash64(item)).limit(sample).toPandas()
+    m = _unit(_matrix(rows["v"]))
+    rng = np.random.default_rng(seed)
+    centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
+    for _ in range(rounds):
+        nearest = (m @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, m)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
+    return centres
+
+
+def with_cells(df: DataFrame, vec: str, centres: np.ndarray, n: int) -> DataFrame:
+    """One row per nearest cell of the vector, ``n`` of them."""
+    @pandas_udf("array<int>")
+    def nearest(v: pd.Series) -> pd.Series:
+        scores = _unit(_matrix(v)) @ centres.T
+        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype("int32")))
+
+    return df.where(F.col(vec).isNotNull()).select("*", F.explode(nearest(F.col(vec))).alias("cell"))
+
+
+def knn_cells(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, centres: np.ndarray, probes: int) -> DataFrame:
+    """Approximate top-``k``: every item is indexed in its nearest cell, a query looks into its ``probes`` nearest cells and re-ranks exactly.
+
+    An item has one cell, so a query meets it at most once. The share of the corpus a query
+    sees is about ``probes`` / number of cells; both are parameters to set against measured recall.
+    """
+    q = with_cells(queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv")), "_qv", centres, probes)
+    v = with_cells(vectors.select(F.col(item).alias("item_id"), F.col(vec).alias("_iv")), "_iv", centres, 1)
+    pairs = v.join(q, "cell").select("query_id", "item_id", cosine("_qv", "_iv").alias("similarity"))
     return scale.top_per_key(pairs, "query_id", [F.col("similarity").desc(), F.col("item_id")], k, rank="rank")
 
 
@@ -161,64 +166,36 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, do
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, query_vec: str, doc: str, text: str, vec: str, k: int,
-                  alpha: float = 0.5, explain: bool = False, query_limit: int = QUERY_LIMIT, seed: int = 0) -> DataFrame:
-    """alpha * vector + (1 - alpha) * BM25, each min-max scaled per query over all documents with a score.
+                  alpha: float = 0.5, explain: bool = False) -> DataFrame:
+    """alpha * vector + (1 - alpha) * BM25, each min-max scaled per query over all documents that have such a score.
 
-    One row per document carries its scores for all queries, so the two lists meet by
-    document id and only each batch's best rows per query move on. ``explain`` keeps the components.
+    Documents without a vector, or without a common term, count 0 for that part. The best
+    documents either share a term with the query, or lead among all vectors, so those two
+    lists are all that is fused; nothing is collected. ``explain`` keeps the components.
     """
-    small = queries.select(F.col(query).alias("q"), F.col(query_vec).alias("v")).limit(query_limit + 1).toPandas().sort_values("q")
-    if len(small) > query_limit:
-        # More queries than one matrix should hold: split them by hash and search batch by batch.
-        parts = 1 + queries.count() * 2 // query_limit
-        slot = F.pmod(F.xxhash64(F.col(query), F.lit(seed)), F.lit(parts))
-        found = [hybrid_search(queries.where(slot == i), docs, query=query, query_text=query_text, query_vec=query_vec, doc=doc, text=text, vec=vec, k=k, alpha=alpha,
-                               explain=explain, query_limit=query_limit, seed=seed + 1) for i in range(parts)]
-        return reduce(DataFrame.unionByName, found)
-    qids, q = small["q"].to_numpy(), _unit(_matrix(small["v"]))
-    place = {v: i for i, v in enumerate(qids.tolist())}
-    items = docs.select(F.col(doc).alias("d"), F.col(vec).alias("v"))
-
-    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                s = np.round(q @ _unit(_matrix(pdf["v"])).T, 9)
-                yield pd.DataFrame({"q": qids, "lo": s.min(axis=1), "hi": s.max(axis=1)})
-
-    qtype = queries.schema[query].dataType.simpleString()
-    dtype = docs.schema[doc].dataType.simpleString()
-    # The two tables of score ranges hold one row per query: bounded by QUERY_LIMIT.
-    vec_range = items.mapInPandas(ranges, f"q {qtype}, lo double, hi double").groupBy("q").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas().set_index("q")
-    text_scores = bm25_scores(queries, docs, query=query, query_text=query_text, doc=doc, text=text)
-    text_range = text_scores.groupBy(F.col(query).alias("q")).agg(F.min("bm25").alias("lo"), F.max("bm25").alias("hi")).toPandas().set_index("q")
-    v_lo, v_hi = [np.array([vec_range[c].get(x, 0.0) for x in qids.tolist()]) for c in ("lo", "hi")]
-    t_lo, t_hi = [np.array([text_range[c].get(x, 0.0) for x in qids.tolist()]) for c in ("lo", "hi")]
-    per_doc = text_scores.groupBy(F.col(doc).alias("d")).agg(F.collect_list(F.struct(F.col(query).alias("q"), F.col("bm25").alias("s"))).alias("t"))
-    both = items.join(per_doc, "d", "left")
-
-    def scaled(x, lo, hi):
-        span = hi - lo
-        return np.where(span > 0, (x - lo) / np.where(span > 0, span, 1.0), 1.0)
-
-    def fuse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            ids = pdf["d"].to_numpy()
-            sim = np.round(q @ _unit(_matrix(pdf["v"])).T, 9)
-            kw = np.full(sim.shape, np.nan)
-            for j, entries in enumerate(pdf["t"]):
-                for e in (entries if entries is not None else []):
-                    kw[place[e["q"]], j] = e["s"]
-            vec_part = scaled(sim, v_lo[:, None], v_hi[:, None])
-            kw_part = np.where(np.isnan(kw), 0.0, scaled(np.nan_to_num(kw), t_lo[:, None], t_hi[:, None]))
-            fused = np.round(alpha * vec_part + (1 - alpha) * kw_part, 9)
-            for i, qid in enumerate(qids):
-                order = np.lexsort((ids, -fused[i]))[:k]
-                yield pd.DataFrame({"query_id": [qid] * len(order), "doc_id": ids[order], "score": fused[i][order], "vector_part": vec_part[i][order], "keyword_part": kw_part[i][order]})
-
-    found = both.mapInPandas(fuse, f"query_id {qtype}, doc_id {dtype}, score double, vector_part double, keyword_part double")
-    out = scale.top_per_key(found, "query_id", [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
+    found = _blockwise(queries, docs, query=query, query_vec=query_vec, item=doc, vec=vec, k=k, min_sim=None)
+    v_range = found.groupBy("query_id").agg(F.min("lowest").alias("_vlo"), F.max("similarity").alias("_vhi"))
+    leaders = scale.top_per_key(found.drop("lowest"), "query_id", [F.col("similarity").desc(), F.col("item_id")], k)
+    leaders = leaders.select("query_id", F.col("item_id").alias("doc_id"), "similarity", F.lit(None).cast("double").alias("bm25"))
+    scores = bm25_scores(queries, docs, query=query, query_text=query_text, doc=doc, text=text).select(F.col(query).alias("query_id"), F.col(doc).alias("doc_id"), "bm25")
+    t_range = scores.groupBy("query_id").agg(F.min("bm25").alias("_tlo"), F.max("bm25").alias("_thi"))
+    asked = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv"))
+    items = docs.select(F.col(doc).alias("doc_id"), F.col(vec).alias("_iv"))
+    both = scores.join(items, "doc_id").join(asked, "query_id")
+    have = F.col("_qv").isNotNull() & F.col("_iv").isNotNull()
+    empty = F.array().cast("array<float>")
+    both = both.select("query_id", "doc_id", F.when(have, cosine(F.coalesce("_qv", empty), F.coalesce("_iv", empty))).alias("similarity"), "bm25")
+    # A leader that also shares a term stands in both lists; its complete row wins.
+    rows = both.unionByName(leaders).groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"), F.max("bm25").alias("bm25"))
+    rows = rows.join(v_range, "query_id", "left").join(t_range, "query_id", "left")
+
+    def scaled(x: str, lo: str, hi: str) -> Column:
+        span = F.col(hi) - F.col(lo)
+        return F.when(F.col(x).isNull(), 0.0).when(span > 0, (F.col(x) - F.col(lo)) / span).otherwise(1.0)
+
+    rows = rows.withColumn("vector_part", scaled("similarity", "_vlo", "_vhi")).withColumn("keyword_part", scaled("bm25", "_tlo", "_thi"))
+    rows = rows.select("query_id", "doc_id", F.round(alpha * F.col("vector_part") + (1 - alpha) * F.col("keyword_part"), 9).alias("score"), "vector_part", "keyword_part")
+    out = scale.top_per_key(rows, "query_id", [F.col("score").desc(), F.col("doc_id")], k, rank="rank")
     return out if explain else out.drop("vector_part", "keyword_part")
 
 
@@ -242,8 +219,8 @@ def search_all(queries: DataFrame, tables: Mapping[str, tuple[DataFrame, str, st
     return out
 
 
-def related_by_topics(docs: DataFrame, *, doc: str, topics: str, k: int = 3, ask: DataFrame | None = None, first: int = 5) -> DataFrame:
-    """Other documents that share most of a document's first five topics, for the documents in ``ask`` (default: all).
+def related_by_topics(docs: DataFrame, *, doc: str, topics: str, k: int = 3, ask: DataFrame | None = None, first: int | None = None) -> DataFrame:
+    """Other documents that share most of a document's topics (all, or its ``first`` ones), for the documents in ``ask`` (default: all).
 
     Topics come from a fixed list, so a document is fully described by its topic set:
     question sets meet document sets instead of documents, and a set only lists its
@@ -251,7 +228,7 @@ def related_by_topics(docs: DataFrame, *, doc: str, topics: str, k: int = 3, ask
     """
     described = docs.where(F.size(topics) > 0).select(doc, F.col(topics).alias("_set"))
     asked = described if ask is None else described.join(ask.select(doc), doc, "left_semi")
-    asked = asked.withColumn("_ask", F.slice("_set", 1, first)).drop("_set")
+    asked = asked.withColumn("_ask", F.col("_set") if first is None else F.slice("_set", 1, first)).drop("_set")
     listed = scale.top_per_key(described, "_set", [F.col(doc)], k + 1)
     questions = asked.select("_ask").distinct().select("_ask", F.explode("_ask").alias("_topic"))
     sets = described.select(F.col("_set").alias("_other")).distinct().select("_other", F.explode("_other").alias("_topic"))

@@ -7,7 +7,7 @@ of any size pass ``split`` (rows per block): see :func:`tidemark.scale.over_rows
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -62,42 +62,43 @@ def ewma(df: DataFrame, key: str, ts: str, val: str, spans: Mapping[str, int], *
     Arrow batch; with ``split`` a key is cut into blocks that start from enough
     earlier rows for the unknown past to weigh less than a double can hold.
     """
-    schema = df.select("*", *[F.lit(0.0).alias(c) for c in spans]).schema
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        for name, span in spans.items():
+            pdf[name] = pdf[val].astype("float64").ewm(span=span, adjust=False).mean()
+        return pdf
+
+    return _smoothed(df, key, ts, list(spans), smooth, 21 * (max(spans.values()) + 1), split)
+
+
+def _smoothed(df: DataFrame, key: str, ts: str, names: Sequence[str], smooth: Callable[[pd.DataFrame], pd.DataFrame], warm: int, split: int | None) -> DataFrame:
+    """Rows with the columns that ``smooth`` adds to a series in time order: whole series, or blocks of ``split`` rows behind ``warm`` earlier ones.
+
+    (1 - 2/(s+1))^k < 2^-60 for k >= 21 * (s + 1), so what lies before the warm rows is below a double's precision.
+    """
+    schema = df.select("*", *[F.lit(0.0).alias(c) for c in names]).schema
     if split is None:
-        def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(ts)
-            for name, span in spans.items():
-                pdf[name] = pdf[val].astype("float64").ewm(span=span, adjust=False).mean()
-            return pdf
-        return df.groupBy(key).applyInPandas(smooth, schema)
-    # (1 - 2/(s+1))^k < 2^-60 for k >= 21 * (s + 1)
-    warm = 21 * (max(spans.values()) + 1)
+        return df.groupBy(key).applyInPandas(lambda pdf: smooth(pdf.sort_values(ts)), schema)
     size = max(split, warm)
     indexed = scale.row_index(df, key, ts, name="_ix").withColumn("_own", F.floor(F.col("_ix") / size).cast("long"))
     homes = F.array_compact(F.array(F.col("_own"), F.when(F.col("_ix") % size >= size - warm, F.col("_own") + 1)))
 
     def smooth_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ix")
-        for name, span in spans.items():
-            pdf[name] = pdf[val].astype("float64").ewm(span=span, adjust=False).mean()
+        pdf = smooth(pdf.sort_values("_ix"))
         return pdf.loc[pdf["_own"] == pdf["_block"], [f.name for f in schema]]
 
     return indexed.withColumn("_block", F.explode(homes)).groupBy(key, "_block").applyInPandas(smooth_block, schema)
 
 
-def macd(df: DataFrame, key: str, ts: str, val: str, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """MACD line, signal line and histogram in one pass over each series."""
-    schema = df.select("*", *[F.lit(0.0).alias(c) for c in ("macd", "macd_signal", "macd_hist")]).schema
-
+def macd(df: DataFrame, key: str, ts: str, val: str, fast: int = 12, slow: int = 26, signal: int = 9, *, split: int | None = None) -> DataFrame:
+    """MACD line, signal line and histogram in one pass over each series (or over its blocks, with ``split``)."""
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts)
         x = pdf[val].astype("float64")
         pdf["macd"] = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
         pdf["macd_signal"] = pdf["macd"].ewm(span=signal, adjust=False).mean()
         pdf["macd_hist"] = pdf["macd"] - pdf["macd_signal"]
         return pdf
 
-    return df.groupBy(key).applyInPandas(smooth, schema)
+    return _smoothed(df, key, ts, ["macd", "macd_signal", "macd_hist"], smooth, 21 * (max(fast, slow) + signal + 2), split)
 
 
 def rsi(df: DataFrame, key: str, ts: str, val: str, n: int = 14, *, eps: float = 1e-5, split: int | None = None) -> DataFrame:
@@ -174,7 +175,7 @@ def drawdown(df: DataFrame, key: str, ts: str, val: str, *, include_start: bool
     ``include_start`` also counts the first price.
     """
     first = df.groupBy(key).agg(F.min_by(val, ts).alias("_p0"), F.min(ts).alias("_t0"))
-    out = df.join(first, key).withColumn("cumulative", F.col(val) / F.col("_p0"))
+    out = scale.null_safe_join(df, first, [key]).withColumn("cumulative", F.col(val) / F.col("_p0"))
     shown = F.col("cumulative") if include_start else F.when(F.col(ts) > F.col("_t0"), F.col("cumulative"))
     out = scale.running_extreme(out.withColumn("_c", shown), key, ts, "_c", "running_max", grain=grain)
     return out.withColumn("drawdown", F.when(F.col("running_max") != 0, F.col("_c") / F.col("running_max") - 1)).drop("_c", "_p0", "_t0")
@@ -197,12 +198,12 @@ def volatility(df: DataFrame, key: str, ts: str, val: str, rows: int = 90) -> Da
         (F.max("_r") * 100).alias("best_day"), (F.min("_r") * 100).alias("worst_day"), F.count("_r").alias("n_returns"))
 
 
-def price_stats(df: DataFrame, key: str, ts: str, val: str) -> DataFrame:
+def price_stats(df: DataFrame, key: str, ts: str, val: str, *, split: int | None = None) -> DataFrame:
     """First and last value, change, extremes, mean and population volatility (percent) of the returns."""
     stats = df.groupBy(key).agg(
         F.min_by(val, ts).alias("start_price"), F.max_by(val, ts).alias("last_price"), F.max(val).alias("highest"),
         F.min(val).alias("lowest"), F.avg(val).alias("average"), F.count(val).alias("n"))
-    moves = pct_change(df.select(key, ts, val), key, ts, val, out="_r").groupBy(key).agg((F.stddev_pop("_r") * 100).alias("volatility"))
+    moves = pct_change(df.select(key, ts, val), key, ts, val, out="_r", split=split).groupBy(key).agg((F.stddev_pop("_r") * 100).alias("volatility"))
     change = F.when(F.col("start_price") != 0, (F.col("last_price") / F.col("start_price") - 1) * 100)
     return stats.join(moves, key).withColumn("change_pct", change)
 
@@ -250,7 +251,8 @@ def pair_correlation(df: DataFrame, key: str, ts: str, val: str, keys: Sequence[
 def rebase(df: DataFrame, key: str, ts: str, val: str, points: int = 30) -> DataFrame:
     """Change in percent against the first value, thinned to about ``points`` rows per key."""
     first = df.groupBy(key).agg(F.min_by(val, ts).alias("_p0"), F.count(F.lit(1)).alias("_n"))
-    indexed = scale.row_index(df.select(key, ts, val), key, ts, grain="month", name="_ix").join(first, key)
+    indexed = scale.row_index(df.select(key, ts, val), key, ts, grain="month", name="_ix")
+    indexed = scale.null_safe_join(indexed, first, [key])
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / points))
     return (indexed.where(F.col("_ix") % step == 0)
             .select(key, ts, ((F.col(val) / F.col("_p0") - 1) * 100).alias("change_pct")))
@@ -385,14 +387,17 @@ def synth_open(df: DataFrame, key: str, ts: str, *, open_col: str = "open", clos
     return out.withColumn(open_col, F.coalesce(open_col, "_prev", close_col)).drop("_prev")
 
 
-# Interval labels and their durations.
-INTERVALS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "4h": "4 hours",
-             "1d": "1 day", "1w": "7 days"}
+# Interval labels and their durations; ``1M`` is the calendar month.
+INTERVALS = {"1m": "1 minute", "3m": "3 minutes", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "2h": "2 hours", "4h": "4 hours",
+             "6h": "6 hours", "8h": "8 hours", "12h": "12 hours", "1d": "1 day", "3d": "3 days", "1w": "7 days"}
 
 
 def ohlc_bars(df: DataFrame, key: str, ts: str, price: str, size: str | None = None, interval: str = "1d", *, tie: str | None = None) -> DataFrame:
-    """Open, high, low, close, volume and tick count per key and interval (``1M`` is the calendar month)."""
-    start = F.date_trunc("month", ts) if interval == "1M" else F.window(ts, INTERVALS[interval])["start"]
+    """Open, high, low, close, volume and tick count per key and interval; weeks start on Monday, months are calendar months."""
+    if interval == "1M":
+        start = F.date_trunc("month", ts)
+    else:
+        start = F.window(ts, INTERVALS[interval], startTime="4 days" if interval == "1w" else None)["start"]
     place = F.struct(ts, tie) if tie else F.col(ts)
     volume = F.sum(size) if size else F.count(F.lit(1)).cast("double")
     return df.groupBy(key, start.alias("bar_start")).agg(

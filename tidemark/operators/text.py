@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import lexicons as L
@@ -152,14 +152,16 @@ def category_risk(df: DataFrame, text: str, *, categories: Mapping[str, Sequence
             .withColumn("top_categories", F.transform(F.slice(F.filter(order, lambda s: s["n"] > 0), 1, 3), lambda s: s["c"])).drop("_b"))
 
 
-def risk_contexts(df: DataFrame, doc: str, text: str, *, categories: Mapping[str, Sequence[str]] = L.RISK_CATEGORIES, k: int = 5) -> DataFrame:
-    """Sentences of more than five words that contain a risk term: (document, category, term, context), ``k`` per document."""
+def risk_contexts(df: DataFrame, doc: str, text: str, *, categories: Mapping[str, Sequence[str]] = L.RISK_CATEGORIES, k: int | None = None) -> DataFrame:
+    """Sentences of more than five words that contain a risk term: (document, rank, category, term, context), all or the first ``k`` per document."""
     rows = scale.unnest(df, [doc], X.sentences(text), "context", "_i").where(X.word_total("context") > 5)
     low = F.lower("context")
     hits = F.array_compact(F.array(*[F.when(low.contains(t), F.struct(F.lit(i * 1000 + j).alias("o"), F.lit(c).alias("category"), F.lit(t).alias("term")))
                                      for i, (c, terms) in enumerate(categories.items()) for j, t in enumerate(terms)]))
     found = rows.select(doc, "_i", "context", F.explode(hits).alias("_h"))
-    return scale.top_per_key(found, doc, [F.col("_h.o"), F.col("_i")], k, rank="rank", salts=1).select(doc, "rank", "_h.category", "_h.term", "context")
+    order = [F.col("_h.o"), F.col("_i")]
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy(*order))) if k is None else scale.top_per_key(found, doc, order, k, rank="rank", salts=1)
+    return ranked.select(doc, "rank", "_h.category", "_h.term", "context")
 
 
 def document_risk(df: DataFrame, text: str, points: Mapping[str, int] = L.DOCUMENT_RISK) -> DataFrame:
@@ -197,7 +199,7 @@ def domain_risks(df: DataFrame, text: str, ctx: int = 100, *, factors: Sequence[
                  indicators: Sequence[str] = tuple(L.RISK_INDICATORS), severe: Sequence[str] = tuple(L.HIGH_RISK_ACTIVITIES)) -> DataFrame:
     """Domain risk phrases, contexts of security terms and a level from the weighted number of findings."""
     out = df.withColumn("_b", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    out = out.withColumn("domain_risks", X.found_terms(F.col("_b"), factors)).withColumn("indicators", X.found_terms(F.col("_b"), indicators))
+    out = out.withColumn("domain_risks", X.found_terms(F.col("_b"), factors)).withColumn("indicators", X.found_terms(F.col("_b"), [t.lower() for t in indicators]))
     out = out.withColumn("severe", F.filter("indicators", lambda x: _contains_any(x, severe)))
 
     def context(term: str) -> Column:
@@ -225,28 +227,30 @@ def regulatory_mentions(df: DataFrame, text: str, *, regulators: Mapping[str, Se
         out = out.withColumn(f"n_regulators_{region}", X.total_count(F.col("_b"), terms, match))
     for region, terms in places.items():
         out = out.withColumn(f"n_places_{region}", X.total_count(F.col("_b"), terms, match))
-    money = r"(?i)(?:penalt|fine|sanction)(?:y|ies)?\s+of\s+\$?([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?)\s*(?:million|billion|m|b)?"
+    # Fixed value: penalties with an amount.
+    money = r"(?i)(?:penalt|fine|sanction)(?:y|ies)?\s+of\s+\$?(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(?:million|billion|m|b)?"
     return (out.withColumn("legal_score", F.least(F.lit(100), total * 10)).withColumn("primary_regulator", primary(regulators))
             .withColumn("primary_jurisdiction", primary(places)).withColumn("legal_actions", X.found_terms(F.col("_b"), actions, match))
             .withColumn("penalty_types", X.found_terms(F.col("_b"), penalties, match)).withColumn("monetary_penalties", X.extract_all(F.col(text), money, 1)).drop("_b"))
 
 
 # --------------------------------------------------------------------------------- extraction
-def requirements(text: str | Column, k: int = 5, cues: Sequence[str] = ("must", "required to", "shall", "obligated to")) -> Column:
-    """What follows an obligation cue up to the next stop, longer than ten characters, the first ``k`` per cue order."""
+def requirements(text: str | Column, k: int | None = None, cues: Sequence[str] = ("must", "required to", "shall", "obligated to")) -> Column:
+    """What follows an obligation cue up to the next stop, longer than ten characters, in cue order; all, or the first ``k``."""
     body = F.col(text) if isinstance(text, str) else text
     found = F.concat(*[F.transform(X.extract_all(body, rf"(?i){c}\s+([^.;:]+)", 1), lambda s: X.strip(s)) for c in cues])
-    return F.slice(F.filter(found, lambda s: F.length(s) > 10), 1, k)
+    kept = F.filter(found, lambda s: F.length(s) > 10)
+    return kept if k is None else F.slice(kept, 1, k)
 
 
-# Patterns of structured mentions.
+# Patterns of structured mentions. The look-behinds keep a number from being matched from its middle on.
 PATTERNS = {
     "btc_addresses": r"\b(?:bc1|[13])[a-zA-HJ-NP-Z0-9]{25,39}\b",
     "eth_addresses": r"\b0x[a-fA-F0-9]{40}\b",
     "tx_ids": r"\b[a-fA-F0-9]{64}\b",
-    "usd_amounts": r"(?i)\$\s*[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?|(?<![0-9])[0-9]+(?:,[0-9]+)*(?:\.[0-9]+)?\s*(?:USD|US dollars|dollars)",
-    "coin_amounts": r"(?i)(?<![0-9])[0-9]+(?:\.[0-9]+)?\s*(?:BTC|ETH|XRP|LTC|BCH|ADA|DOT|SOL|BNB)",
-    "dates": r"(?i)\b(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{1,2},? [0-9]{4}|Q[1-4] [0-9]{4})\b",
+    "usd_amounts": r"(?i)\$\s*\d+(?:,\d+)*(?:\.\d+)?|(?<!\d)\d+(?:,\d+)*(?:\.\d+)?\s*(?:USD|dollars|US dollars)",
+    "coin_amounts": r"(?i)(?<!\d)\d+(?:\.\d+)?\s*(?:BTC|ETH|XRP|LTC|BCH|ADA|DOT|SOL|BNB)",
+    "dates": r"(?i)\b(?:\d{1,2}/\d{1,2}/\d{2,4}|\d{4}-\d{2}-\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}|Q[1-4] \d{4})\b",
     "organisations": r"\b[A-Z][a-z]+\s+(?:Inc|LLC|Corp|Corporation|Foundation|Association|Fund|Capital)\b",
 }
 
@@ -269,7 +273,7 @@ def pattern_rows(df: DataFrame, doc: str, text: str, patterns: Mapping[str, str]
 # Labelled lines of fund documents.
 FUND_FIELDS = {
     "fund_name": r"(?i)(?:Fund Name|Name)[:\s]+([^\n]+)",
-    "aum": r"(?i)(?:AUM|Assets Under Management)[:\s]*[$£€]?([0-9.,]+\s*[BMK]?illion|[0-9]+(?:\.[0-9]+)?)",
+    "aum": r"(?i)(?:AUM|Assets Under Management)[:\s]*[$£€]?([\d.,]+\s*[BMK]?illion|\d+(?:\.\d+)?)",
     "management_fee": r"(?i)Management Fee[:\s]+([0-9.]+%)",
     "performance_fee": r"(?i)Performance Fee[:\s]+([0-9.]+%)",
     "entry_fee": r"(?i)(?:Entry Fee|Subscription Fee)[:\s]+([0-9.]+%)",
@@ -414,21 +418,24 @@ def technical_doc_features(df: DataFrame, text: str) -> DataFrame:
     rating = F.when(counts["critical"] > 0, "Critical").when(counts["high"] > 0, "High Risk").when(counts["medium"] > 0, "Medium Risk").when(
         counts["low"] > 0, "Low Risk").otherwise("Secure")
     good, bad = X.total_count(b, GOOD_CODE), X.total_count(b, BAD_CODE)
-    years = F.transform(X.extract_all(F.col(text), r"\b(20[0-9][0-9])\b", 1), lambda y: y.cast("int"))
+    # Patterns of years, milestones, supply, allocations, commits and versions.
+    years = F.transform(X.extract_all(F.col(text), r"\b(20\d\d)\b", 1), lambda y: y.cast("int"))
     horizon = F.array_max(years) - F.array_min(years)
-    milestones = F.filter(F.transform(X.extract_all(F.col(text), r"(?:Q[1-4]|[A-Z][a-z]+)\s+[0-9]{4}\s*[:-]?\s*([^,.;]+)", 1), lambda s: X.strip(s)), lambda s: F.length(s) > 10)
+    milestones = F.filter(F.transform(X.extract_all(F.col(text), r"(?:Q[1-4]|[A-Z][a-z]+)\s+\d{4}\s*[:-]?\s*([^,.;]+)", 1), lambda s: X.strip(s)), lambda s: F.length(s) > 10)
     kinds = sum((F.when(X.any_term(b, terms), 1).otherwise(0) for terms in TECH_TERMS.values()), F.lit(0))
-    supply = X.extract_first(b, r"(?:total|max|initial|circulating)\s+(?:supply|token)\s*(?:of|:|\s+is)?\s*(?:is|are|will be)?\s*([0-9]{1,3}(?:[,.][0-9]{3})*(?:\.[0-9]+)?)")
-    shares = F.transform(X.extract_all(b, r"[0-9]+(?:\.[0-9]+)?%\s+(?:allocated|allocation|for|to)\s+(?:the)?\s*[a-z ]+"), lambda s: F.struct(
+    named = X.extract_first(b, r"(?:total|max|initial|circulating)\s+(?:supply|token)\s*(?:of|:|\s+is)?\s*(?:is|are|will be)?\s*(\d{1,3}(?:[,.]\d{3})*(?:\.\d+)?(?:\s*(?:million|billion|trillion|m|b|t)\b)?)")
+    unit = F.when(F.col("_supply").rlike("(million|m)$"), 1e6).when(F.col("_supply").rlike("(billion|b)$"), 1e9).when(F.col("_supply").rlike("(trillion|t)$"), 1e12).otherwise(1.0)
+    supply = F.when(F.col("_supply").isNotNull(), safe_double(F.regexp_replace(F.regexp_extract("_supply", "^([0-9.,]+)", 1), ",", "")) * unit)
+    shares = F.transform(X.extract_all(b, r"\d+(?:\.\d+)?%\s+(?:allocated|allocation|for|to)\s+(?:the)?\s*[a-z ]+"), lambda s: F.struct(
         X.strip(F.regexp_extract(s, r"%\s+(?:allocated|allocation|for|to)\s+(?:the)?\s*([a-z ]+)", 1)).alias("category"),
-        safe_double(F.regexp_extract(s, r"^([0-9]+(?:\.[0-9]+)?)", 1)).alias("percent")))
-    return out.withColumns({
+        safe_double(F.regexp_extract(s, r"^(\d+(?:\.\d+)?)", 1)).alias("percent")))
+    return out.withColumn("_supply", named).withColumns({
         **{f"n_{n}": c for n, c in counts.items()}, "vulnerability_score": F.least(F.lit(100.0), weighted / 20 * 100), "security_rating": rating,
         "code_quality": F.when(good + bad > 0, clamp(50.0 + (good - bad) * 10)).otherwise(50.0), "tech_score": kinds / len(TECH_TERMS) * 100,
-        "commit_hash": X.extract_first(b, r"(?:commit|hash)[:=\s]+([a-f0-9]{7,40})"), "version": X.extract_first(b, r"version[:=\s]+([0-9]+(?:\.[0-9]+)*)"),
+        "commit_hash": X.extract_first(b, r"(?:commit|hash)[:=\s]+([a-f0-9]{7,40})"), "version": X.extract_first(b, r"version[:=\s]+(\d+(?:\.\d+)*)"),
         "token_supply": supply, "token_shares": shares, "milestone_count": F.size(milestones).cast("long"), "milestones": milestones,
         "has_roadmap": X.any_term(b, ["roadmap", "timeline", "milestones", "development plan", "project timeline"]),
-        "horizon_years": F.when(horizon > 0, horizon)}).drop("_b")
+        "horizon_years": F.when(horizon > 0, horizon)}).drop("_b", "_supply")
 
 
 def extraction_confidence(df: DataFrame, *, name: str = "fund_name", aum: str = "aum", strategy: str = "strategy", wallets: str = "n_wallets",
@@ -443,10 +450,10 @@ def extraction_confidence(df: DataFrame, *, name: str = "fund_name", aum: str =
 
 
 # ---------------------------------------------------------------------- summaries and passages
-def summarize(df: DataFrame, doc: str, text: str, keyword_col: str, k: int = 5, *, kind: str | None = None, cues: Sequence[str] = tuple(L.SUMMARY_GENERAL)) -> DataFrame:
+def summarize(df: DataFrame, doc: str, text: str, keyword_col: str, k: int = 5, *, kind: str | None = None, cues: Sequence[str] = tuple(L.SUMMARY_GENERAL), keywords: int | None = None) -> DataFrame:
     """The ``k`` best of the first three, last two, cue and keyword sentences, by keywords they contain.
 
-    ``keyword_col`` is an array of the document's keywords, best first; its first five also select sentences.
+    ``keyword_col`` is an array of the document's keywords, best first; all of them, or the first ``keywords``, also select sentences.
     """
     # One shuffle of the texts by document; the de-duplication and ranking below reuse it.
     rows = df.select(doc, *([kind] if kind else []), keyword_col, text).repartition(doc)
@@ -460,18 +467,19 @@ def summarize(df: DataFrame, doc: str, text: str, keyword_col: str, k: int = 5,
         for name, terms in L.SUMMARY_CUES.items():
             cue = cue | ((F.col(kind) == name) & X.any_term(words, terms, "word"))
     edge = (F.col("_n") <= 3) | (F.col("position") < 3) | (F.col("position") >= F.col("_n") - 2)
-    by_keyword = F.exists(F.slice("_k", 1, 5), lambda w: low.contains(F.lower(w)))
+    by_keyword = F.exists(F.col("_k") if keywords is None else F.slice("_k", 1, keywords), lambda w: low.contains(F.lower(w)))
     chosen = rows.where(edge | cue | by_keyword).withColumn("hits", F.size(F.filter("_k", lambda w: low.contains(F.lower(w)))))
     unique = setops.dedupe_normalized(chosen, [doc], "sentence", [F.col("hits").desc(), F.col("position")])
     return scale.top_per_key(unique, doc, [F.col("hits").desc(), F.col("position")], k, rank="rank", salts=1).select(doc, "rank", "position", "hits", "sentence")
 
 
-def key_points(text: str | Column, k: int = 5, min_length: int = 40) -> Column:
-    """Bullet lines if there are any, else sentences of at least ``min_length`` characters; the first ``k``."""
+def key_points(text: str | Column, k: int | None = None, min_length: int = 40) -> Column:
+    """Bullet lines if there are any, else sentences of at least ``min_length`` characters; all, or the first ``k``."""
     body = F.col(text) if isinstance(text, str) else text
     bullets = F.transform(X.extract_all(body, r"(?m)^[ \t]*[•*-][ \t]+([^\n]+)", 1), lambda s: X.strip(s))
     long = F.filter(X.sentences(body), lambda s: F.length(s) >= min_length)
-    return F.slice(F.when(F.size(bullets) > 0, bullets).otherwise(long), 1, k)
+    points = F.when(F.size(bullets) > 0, bullets).otherwise(long)
+    return points if k is None else F.slice(points, 1, k)
 
 
 def risk_sentences(df: DataFrame, doc: str, text: str, k: int = 5, terms: Sequence[str] = tuple(L.RISK_SENTENCE_TERMS)) -> DataFrame:

@@ -296,6 +296,18 @@ def _(spark, d):
     return rounded(df, "mean", "change", "mean_7d")
 
 
+@query("a_04_resample_filled", f"""WITH x AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS mean, sum(o_totalprice) AS n FROM orders GROUP BY 1, 2),
+ m AS (SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority, CAST(o_orderdate AS DATE) ORDER BY count(*) DESC, o_orderstatus) AS k FROM orders GROUP BY 1, 2, 3),
+ z AS (SELECT symbol, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM x GROUP BY symbol),
+ j AS (SELECT symbol, day, coalesce(mean, 0.5) AS mean, coalesce(n, 0) AS n, coalesce(o_orderstatus, 'NEUTRAL') AS o_orderstatus FROM z LEFT JOIN x USING (symbol, day) LEFT JOIN (SELECT * FROM m WHERE k = 1) USING (symbol, day))
+ SELECT symbol, day, {R('mean', 4)} AS mean, {R('n', 2)} AS n, o_orderstatus, {R('coalesce(mean - lag(mean) OVER (PARTITION BY symbol ORDER BY day), 0)', 4)} AS change,
+ {R('avg(mean) OVER (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING)', 4)} AS mean_7d FROM j""")
+def _(spark, d):
+    orders = table(spark, d, "orders").withColumnRenamed("o_orderpriority", "symbol")
+    df = A.resample_daily(orders, "symbol", "o_orderdate", "o_totalprice", "o_orderstatus", total="o_totalprice", fill={"mean": 0.5, "label": "NEUTRAL", "change": 0.0})
+    return rounded(df, "mean", "change", "mean_7d", digits=4).withColumn("n", r("n", 2))
+
+
 @query("a_05_profile", f"""SELECT l_returnflag, {R('avg(l_extendedprice)', 4)} AS mean, min(l_extendedprice) AS minimum, max(l_extendedprice) AS maximum, count(*) FILTER (l_extendedprice > 50000) AS n_high,
  count(*) FILTER (l_extendedprice < 10000) AS n_low, count(*) AS n, {R('quantile_cont(l_extendedprice, 0.5)', 4)} AS median FROM lineitem GROUP BY 1""")
 def _(spark, d):

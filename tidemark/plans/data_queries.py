@@ -58,9 +58,7 @@ def _(spark, d):
     p = table(spark, d, "pages")
     stamp = (F.lit(1704067200000) + F.col("page_id") * 1000).cast("string")
     p.select(F.col("page_id").cast("string").alias("id"), "url", F.col("html").alias("content"), stamp.alias("date"), F.array(F.lit("desk")).alias("authors")).write.json(out)
-    df = spark.read.schema(files.ARTICLE).json(out)
-    when = F.coalesce(F.when(F.col("date").rlike("^[0-9]+$"), dates.epoch_auto("date")), F.try_to_timestamp("date"))
-    return df.select("id", "url", "content", when.alias("date"), F.size("authors").alias("n_authors"))
+    return files.read_articles(spark, out, multi_line=False).select("id", "url", "content", "date", F.size("authors").alias("n_authors"))
 
 
 @query("s_05_read_corpus", "SELECT 'part' AS kind, CAST(sum(length(text)) + count(*) AS BIGINT) AS chars, count(*) AS n FROM (SELECT replace(replace(text, chr(10), ' '), chr(13), ' ') AS text FROM documents)")
@@ -91,11 +89,11 @@ def _(spark, d):
     return files.html_to_text(table(spark, d, "pages").select("page_id", "html"), "html").drop("html")
 
 
-@query("s_07_flatten", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS p_k, event_type AS p_kind_name, value AS list_0_v, value * 2 AS list_1_v, CAST(to_json([event_type, 'x']) AS VARCHAR) AS tags FROM events")
+@query("s_07_flatten", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS p_k, event_type AS p_kind_name, value AS list_0_v, value * 2 AS list_1_v, CASE WHEN event_id % 3 = 0 THEN '[{"v":' || event_id || '.0},{"v":7.0}]' END AS list_rest, CAST(to_json([event_type, 'x']) AS VARCHAR) AS tags FROM events""")
 def _(spark, d):
-    e = table(spark, d, "events")
+    e, third = table(spark, d, "events"), F.col("event_id") % 3 == 0
     nested = e.select("event_id", F.struct(F.from_json("props", "k int")["k"].alias("k"), F.struct(F.col("event_type").alias("name")).alias("kind")).alias("p"),
-                      F.array(F.struct(F.col("value").alias("v")), F.struct((F.col("value") * 2).alias("v"))).alias("list"), F.array("event_type", F.lit("x")).alias("tags"))
+                      F.filter(F.array(F.struct(F.col("value").alias("v")), F.struct((F.col("value") * 2).alias("v")), F.when(third, F.struct(F.col("event_id").cast("double").alias("v"))), F.when(third, F.struct(F.lit(7.0).alias("v")))), lambda x: x.isNotNull()).alias("list"), F.array("event_type", F.lit("x")).alias("tags"))
     return files.flatten(nested, positions=2)
 
 
@@ -343,6 +341,16 @@ def _(spark, d):
     return rounded(out, "prediction", digits=3)
 
 
+@query("m_03_linear_lag", f"""WITH {OHLC}, x AS (SELECT symbol, day, close, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS l FROM ohlc), t AS (SELECT regr_slope(close, l) AS a, regr_intercept(close, l) AS b FROM x WHERE l IS NOT NULL AND day < DATE '1999-01-01')
+ SELECT symbol, day, 1 AS step, {R('a * l + b', 3)} AS prediction FROM x, t WHERE l IS NOT NULL AND day >= DATE '1999-01-01'""")
+def _(spark, d):
+    """The pipeline on one lag is plain least squares."""
+    x = series.with_lags(ohlc(spark, d).select("symbol", "day", "close"), "symbol", "day", "close", [1]).where("lag_1 IS NOT NULL")
+    x = x.select("symbol", "day", F.array("lag_1").alias("features"), F.array("close").alias("targets"))
+    models = M.fit_multistep(x.where("day < DATE '1999-01-01'"), "linear", 1)
+    return rounded(M.predict_multistep(models, x.where("day >= DATE '1999-01-01'"), keep=["symbol", "day"]), "prediction", digits=3)
+
+
 PREDS = f"{OHLC}, p AS (SELECT symbol, day, close AS observed, 'naive' AS model, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS prediction FROM ohlc UNION ALL SELECT symbol, day, close, 'mean', avg(close) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) FROM ohlc), q AS (SELECT * FROM p WHERE prediction IS NOT NULL)"
 
 
@@ -404,11 +412,11 @@ def _(spark, d):
     return rounded(df, "avg_change", "consistency_pct")
 
 
-@query("m_09_chart_series", f"""WITH {OHLC}, h AS (SELECT symbol, day, close FROM ohlc WHERE day >= DATE '2001-07-01'), a AS (SELECT symbol, max(day) AS d, arg_max(close, day) AS c FROM h GROUP BY 1), f AS (SELECT symbol, d + s::INTEGER AS date, c * s AS fc, c * s * 0.9 AS lo, c * s * 1.1 AS hi FROM a, range(1, 4) t(s)),
+@query("m_09_chart_series", f"""WITH {OHLC}, h AS (SELECT symbol, day, close FROM ohlc), a AS (SELECT symbol, max(day) AS d, arg_max(close, day) AS c FROM h GROUP BY 1), f AS (SELECT symbol, d + s::INTEGER AS date, c * s AS fc, c * s * 0.9 AS lo, c * s * 1.1 AS hi FROM a, range(1, 4) t(s)),
  u AS (SELECT symbol, day AS date, close AS price, NULL::DOUBLE AS fc, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi FROM h UNION ALL SELECT symbol, date, NULL, fc, lo, hi FROM f)
  SELECT symbol, date, price, {R('fc', 3)} AS forecast, {R('min(least(price, lo, fc)) OVER (PARTITION BY symbol)', 3)} AS y_min, {R('max(greatest(price, hi, fc)) OVER (PARTITION BY symbol)', 3)} AS y_max FROM u""")
 def _(spark, d):
-    h = ohlc(spark, d).where("day >= DATE '2001-07-01'")
+    h = ohlc(spark, d)
     last = h.groupBy("symbol").agg(F.max("day").alias("d"), F.max_by("close", "day").alias("c"))
     steps = F.sequence(F.lit(1), F.lit(3))
     fc = last.select("symbol", F.transform(steps, lambda s: F.date_add("d", s)).alias("forecast_dates"), F.transform(steps, lambda s: F.col("c") * s).alias("forecast_values"),
@@ -466,9 +474,10 @@ def _(spark, d):
     return Q.coverage(table(spark, d, "orders"), "o_custkey", "o_orderdate")
 
 
-@query("q_06_check_schemas", "SELECT 'orders' AS table_name, 'o_clerk' AS column_name, 'missing column' AS problem UNION ALL SELECT 'orders', 'o_orderkey', 'type bigint' UNION ALL SELECT 'forecasts', NULL, 'missing table'")
+@query("q_06_check_schemas", """SELECT 'orders' AS table_name, 'o_clerk' AS column_name, 'missing column' AS problem, count(*) AS n_failed FROM orders UNION ALL SELECT 'orders', 'o_orderkey', 'type bigint', 0
+ UNION ALL SELECT 'orders', 'o_orderpriority', 'type string', count(*) FILTER (TRY_CAST(o_orderpriority AS INTEGER) IS NULL) FROM orders UNION ALL SELECT 'forecasts', NULL, 'missing table', NULL""")
 def _(spark, d):
-    want = T.StructType([T.StructField("o_orderkey", T.StringType()), T.StructField("o_custkey", T.LongType()), T.StructField("o_clerk", T.StringType())])
+    want = T.StructType([T.StructField("o_orderkey", T.StringType()), T.StructField("o_custkey", T.LongType()), T.StructField("o_clerk", T.StringType()), T.StructField("o_orderpriority", T.IntegerType())])
     return Q.check_schemas({"orders": want, "forecasts": want}, {"orders": table(spark, d, "orders")})
 
 
@@ -528,9 +537,9 @@ def _(spark, d):
     return streams.run_once(streams.dedupe_stream(doubled, "event_id", "ts"), "dedupe", mode="append").select("event_id", "event_type", "value")
 
 
-@query("x_03_bars_stream", "SELECT event_type, time_bucket(INTERVAL 15 MINUTES, ts) AS bar_start, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, count(*) AS ticks FROM events GROUP BY 1, 2")
+@query("x_03_bars_stream", "SELECT event_type, time_bucket(INTERVAL 15 MINUTES, ts) AS bar_start, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2")
 def _(spark, d):
-    return streams.run_once(streams.bars_stream(event_stream(spark, d), "event_type", "ts", "value"), "bars")
+    return streams.run_once(streams.bars_stream(event_stream(spark, d), "event_type", "ts", "value", tie="event_id"), "bars")
 
 
 @query("x_04_sliding_sentiment", f"""WITH {NEWS}, w AS (SELECT symbol, score, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAYS, date_trunc('day', ts), INTERVAL 1 DAY)) AS window_start FROM news)
@@ -540,7 +549,7 @@ def _(spark, d):
     return rounded(streams.run_once(streams.sliding_sentiment(s, "ts", "score", by="symbol"), "sentiment"), "mean")
 
 
-@query("x_05_latest_stream", "SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value FROM events GROUP BY 1")
+@query("x_05_latest_stream", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def _(spark, d):
     return streams.run_once(streams.latest_stream(event_stream(spark, d), "user_id", "ts", ["event_id", "value"]), "latest")
 
@@ -556,6 +565,38 @@ def _(spark, d):
     return streams.run_once(streams.sessions(event_stream(spark, d), "user_id", "ts", "12 hours"), "sessions")
 
 
+def arriving(spark, d):
+    """The events as a stream of one file after the other in the order of their times; a last file brings two early days once more, far too late."""
+    out = scratch_dir(spark, "arriving")
+    e = table(spark, d, "events")
+    day = F.dayofmonth("ts")
+    for rows in (e.where(day <= 8), e.where((day > 8) & (day <= 16)), e.where((day > 16) & (day <= 24)), e.where(day > 24), e.where(day <= 2)):
+        rows.coalesce(1).write.mode("append").parquet(out)
+    return streams.ingest_stream(spark, out, e.schema, files_per_trigger=1, options={"maxFileAge": "10000d"})
+
+
+# In append mode a window comes out once the watermark has passed its end; what is late for it is dropped, what is still open stays inside.
+CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+
+
+@query("x_03_bars_append", f"SELECT event_type, time_bucket(INTERVAL 15 MINUTES, ts) AS bar_start, arg_min(value, (ts, event_id)) AS open, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 15 MINUTES, ts) + INTERVAL 15 MINUTES <= {CLOSED}")
+def _(spark, d):
+    bars = streams.bars_stream(arriving(spark, d), "event_type", "ts", "value", tie="event_id").select("event_type", "bar_start", "open", "close", "ticks")
+    return streams.run_once(bars, "bars-append", mode="append")
+
+
+@query("x_04_sliding_append", f"""WITH w AS (SELECT event_type, value, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAYS, date_trunc('day', ts), INTERVAL 1 DAY)) AS window_start FROM events)
+ SELECT window_start, event_type, count(*) AS n FROM w GROUP BY 1, 2 HAVING window_start + INTERVAL 7 DAYS <= {CLOSED}""")
+def _(spark, d):
+    s = arriving(spark, d).withColumn("score", F.col("value") / 200)
+    return streams.run_once(streams.sliding_sentiment(s, "ts", "score", by="event_type", delay="1 hour"), "sliding-append", mode="append").select("window_start", "event_type", "n")
+
+
+@query("x_06_burst_append", f"WITH w AS (SELECT event_type, unnest(generate_series(time_bucket(INTERVAL 15 MINUTES, ts) - INTERVAL 45 MINUTES, time_bucket(INTERVAL 15 MINUTES, ts), INTERVAL 15 MINUTES)) AS window_start FROM events) SELECT event_type, window_start, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 3 AND window_start + INTERVAL 1 HOUR <= {CLOSED}")
+def _(spark, d):
+    return streams.run_once(streams.burst_stream(arriving(spark, d), "event_type", "ts", k=3), "bursts-append", mode="append")
+
+
 @query("x_08_alert_sink", "SELECT severity, count(*) AS n FROM (SELECT 'info' AS severity FROM events GROUP BY event_type, floor(value) UNION ALL SELECT 'high' FROM events WHERE floor(value) >= 80 GROUP BY event_type, floor(value)) GROUP BY 1")
 def _(spark, d):
     out = scratch_dir(spark, "alerts")
@@ -571,10 +612,6 @@ def _(spark, d):
     e = table(spark, d, "events")
     for part in range(4):
         e.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{out}/in")
-        if os.path.isdir(f"{out}/in"):
-            # File order is by modification time; keep the files apart on coarse clocks.
-            names = sorted((n for n in os.listdir(f"{out}/in") if n.endswith(".parquet")), key=lambda n: os.path.getmtime(f"{out}/in/{n}"))
-            os.utime(f"{out}/in/{names[-1]}", (1_700_000_000 + part * 10, 1_700_000_000 + part * 10))
     s = streams.ingest_stream(spark, f"{out}/in", e.schema, files_per_trigger=1, options={"maxFileAge": "10000d"})
     streams.divert_late(s, "ts", "10 DAYS", f"{out}/good", f"{out}/late", f"{out}/state").awaitTermination()
     a = spark.read.schema(e.schema).parquet(f"{out}/good").agg(F.lit("on time").alias("side"), F.count(F.lit(1)).alias("n"))

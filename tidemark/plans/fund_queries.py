@@ -391,10 +391,10 @@ def _(spark, d):
 
 
 def _place(t):
-    return "CASE WHEN contains(lower(source), 'src1') OR contains(lower(substr(text, 1, 500)), 'src1') THEN 'src1' WHEN contains(lower(source), 'les') OR contains(lower(substr(text, 1, 500)), 'les') THEN 'les' ELSE 'Global' END"
+    return "CASE WHEN contains(lower(source), 'src1') OR contains(lower(text), 'src1') THEN 'src1' WHEN contains(lower(source), 'les') OR contains(lower(text), 'les') THEN 'les' ELSE 'Global' END"
 
 
-@query("r_14_regulatory_digest", f"""SELECT doc_id, source, {_place(0)} AS jurisdiction, contains(lower(substr(text, 1, 500)), 'new') OR contains(lower(substr(text, 1, 500)), 'update') OR contains(lower(substr(text, 1, 500)), 'recent') AS recent FROM documents WHERE lang = 'en' OR contains(source, 'regulatory')""")
+@query("r_14_regulatory_digest", f"""SELECT doc_id, source, {_place(0)} AS jurisdiction, contains(lower(text), 'new') OR contains(lower(text), 'update') OR contains(lower(text), 'recent') AS recent FROM documents WHERE lang = 'en' OR contains(source, 'regulatory')""")
 def _(spark, d):
     df = table(spark, d, "documents").withColumn("kind", F.when(F.col("lang") == "en", "regulation").otherwise("other"))
     return S.regulatory_digest(df, doc="doc_id", kind="kind", title="source", text="text", places=["src1", "les"]).select("doc_id", "source", "jurisdiction", "recent")

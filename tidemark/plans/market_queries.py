@@ -257,6 +257,11 @@ def _(spark, d):
     return rounded(S.ohlc_bars(table(spark, d, "events"), "event_type", "ts", "value", "value", "1h", tie="event_id"), "volume", digits=2)
 
 
+@query("w_35_weekly_bars", f"""SELECT event_type, date_trunc('week', ts) AS bar_start, arg_min(value, (ts, event_id)) AS open, arg_max(value, (ts, event_id)) AS close, count(*) AS ticks FROM events GROUP BY 1, 2""")
+def _(spark, d):
+    return S.ohlc_bars(table(spark, d, "events"), "event_type", "ts", "value", None, "1w", tie="event_id").select("event_type", "bar_start", "open", "close", "ticks")
+
+
 @query("w_36_minmax", "SELECT event_id, round((value - min(value) OVER p) / (max(value) OVER p - min(value) OVER p), 3) AS scaled FROM events WINDOW p AS (PARTITION BY event_type)")
 def _(spark, d):
     return S.minmax(table(spark, d, "events"), "value", "event_type", out="scaled").select("event_id", "scaled")
@@ -266,4 +271,14 @@ def _(spark, d):
  WINDOW f AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT event_type, event_id, {R('m')} AS sma_20 FROM x""")
 def _(spark, d):
     ticks = table(spark, d, "events").select("event_type", "event_id", "ts", "value")
-    return S.sma(ticks, "event_type", "ts", "value", 20, split=500_000).select("event_type", "event_id", r("sma_20"))
+    return S.sma(ticks, "event_type", "ts", "value", 20, split=100).select("event_type", "event_id", r("sma_20"))
+
+
+@query("w_37_split_macd", "SELECT event_type, count(*) AS n, true AS same FROM events GROUP BY 1")
+def _(spark, d):
+    """Blocks far smaller than the series give the MACD of the whole series."""
+    ticks = table(spark, d, "events").groupBy("event_type", "ts").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("k"))
+    whole = S.macd(ticks, "event_type", "ts", "value").select("event_type", "ts", "k", "macd_hist")
+    parts = S.macd(ticks, "event_type", "ts", "value", split=50).select("event_type", "ts", F.col("macd_hist").alias("again"))
+    both = whole.join(parts, ["event_type", "ts"])
+    return both.groupBy("event_type").agg(F.sum("k").alias("n"), F.bool_and(F.abs(F.col("macd_hist") - F.col("again")) < 1e-9).alias("same"))

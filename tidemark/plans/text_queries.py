@@ -212,7 +212,7 @@ def _(spark, d):
 
 @query("t_17_risk_contexts", f"""WITH s0 AS (SELECT doc_id, {SENTS} AS ss FROM documents), s AS (SELECT doc_id, i - 1 AS i, ss[i] AS context FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s0)),
  h AS ({' UNION ALL '.join(f"SELECT doc_id, i, context, {i * 1000 + j} AS o, '{c}' AS category, '{t}' AS term FROM s WHERE contains(lower(context), '{t}')" for i, (c, ts) in enumerate(MY_RISK.items()) for j, t in enumerate(ts))})
- SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, i) AS INTEGER) AS rank, category, term, context FROM h WHERE len(regexp_extract_all(context, '[^\\s]+')) > 5 QUALIFY rank <= 5""")
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o, i) AS INTEGER) AS rank, category, term, context FROM h WHERE len(regexp_extract_all(context, '[^\\s]+')) > 5""")
 def _(spark, d):
     return T.risk_contexts(docs(spark, d), "doc_id", "text", categories=MY_RISK)
 
@@ -276,9 +276,9 @@ def _req(cue):
     return f"list_transform(regexp_extract_all(text, '(?i){cue}\\s+([^.;:]+)', 1), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g'))"
 
 
-@query("t_23_requirements", f"SELECT doc_id, array_to_string(list_filter(list_concat({_req('ingly')}, {_req('the')}), lambda s: length(s) > 10)[1:5], ' | ') AS requirements FROM documents")
+@query("t_23_requirements", f"SELECT doc_id, array_to_string(list_filter(list_concat({_req('ingly')}, {_req('the')}), lambda s: length(s) > 10), ' | ') AS requirements FROM documents")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(T.requirements("text", 5, ["ingly", "the"]), " | ").alias("requirements"))
+    return docs(spark, d).select("doc_id", F.array_join(T.requirements("text", cues=["ingly", "the"]), " | ").alias("requirements"))
 
 
 MY_PATTERNS = {"ips": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "emails": r"[a-zA-Z0-9._]+@[a-zA-Z0-9.]+", "hex40": r"[a-f0-9]{40}", "phones": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"}
@@ -348,13 +348,13 @@ def _(spark, d):
 
 
 @query("t_29_technical_doc_features", """WITH p AS (SELECT p_partkey AS doc_id, p_size AS z FROM part) SELECT doc_id, CAST(z % 3 AS BIGINT) AS n_critical, CAST(z % 4 AS BIGINT) AS n_high, least(100.0, ((z % 3) * 10 + (z % 4) * 5) / 20 * 100) AS vulnerability_score,
- CASE WHEN z % 3 > 0 THEN 'Critical' WHEN z % 4 > 0 THEN 'High Risk' ELSE 'Secure' END AS security_rating, CASE WHEN z % 2 = 0 THEN 60.0 ELSE 50.0 END::DOUBLE AS code_quality, CAST(CASE WHEN z > 0 THEN z END AS INTEGER) AS horizon_years, '1.' || z AS version FROM p""")
+ CASE WHEN z % 3 > 0 THEN 'Critical' WHEN z % 4 > 0 THEN 'High Risk' ELSE 'Secure' END AS security_rating, CASE WHEN z % 2 = 0 THEN 60.0 ELSE 50.0 END::DOUBLE AS code_quality, CAST(CASE WHEN z > 0 THEN z END AS INTEGER) AS horizon_years, '1.' || z AS version, (z + 1) * CASE z % 3 WHEN 0 THEN 1e6 WHEN 1 THEN 1e9 ELSE 1 END AS token_supply FROM p""")
 def _(spark, d):
     z = F.col("p_size")
     text = F.concat(F.repeat(F.lit("critical issue found. "), (z % 3).cast("int")), F.repeat(F.lit("high severity note. "), (z % 4).cast("int")), F.when(z % 2 == 0, "clean code. ").otherwise(""),
-                    F.lit("version 1."), z, F.lit("; from 2010 to 20"), F.lpad((z + 10).cast("string"), 2, "0"), F.lit("."))
+                    F.lit("version 1."), z, F.lit("; from 2010 to 20"), F.lpad((z + 10).cast("string"), 2, "0"), F.lit(". total supply of "), z + 1, F.when(z % 3 == 0, " million").when(z % 3 == 1, " billion").otherwise(""), F.lit(" tokens."))
     df = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
-    cols = ["doc_id", "n_critical", "n_high", "vulnerability_score", "security_rating", "code_quality", "horizon_years", "version"]
+    cols = ["doc_id", "n_critical", "n_high", "vulnerability_score", "security_rating", "code_quality", "horizon_years", "version", "token_supply"]
     return T.technical_doc_features(df, "text").select(*cols)
 
 
@@ -364,7 +364,7 @@ KEY_LIST = "[" + ", ".join(f"'{w}'" for w in KEYS) + "]"
 
 @query("t_30_summarize", f"""WITH s0 AS (SELECT doc_id, {SENTS} AS ss FROM documents), s AS (SELECT doc_id, len(ss) AS n, i - 1 AS position, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s0)),
  p AS (SELECT *, ' ' || regexp_replace(lower(sentence), '[^\\p{{L}}\\p{{N}}_]+', '  ', 'g') || ' ' AS pw, len(list_filter({KEY_LIST}, lambda w: contains(lower(sentence), w))) AS hits FROM s),
- c AS (SELECT * FROM p WHERE n <= 3 OR position < 3 OR position >= n - 2 OR contains(pw, '{key('attion')}') OR len(list_filter({KEY_LIST}[1:5], lambda w: contains(lower(sentence), w))) > 0),
+ c AS (SELECT * FROM p WHERE n <= 3 OR position < 3 OR position >= n - 2 OR contains(pw, '{key('attion')}') OR len(list_filter({KEY_LIST}, lambda w: contains(lower(sentence), w))) > 0),
  u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(lower(sentence), '\\s+', ' ', 'g')) ORDER BY hits DESC, position) = 1)
  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, position) AS INTEGER) AS rank, CAST(position AS INTEGER) AS position, CAST(hits AS INTEGER) AS hits, sentence FROM u QUALIFY rank <= 5""")
 def _(spark, d):
@@ -372,7 +372,7 @@ def _(spark, d):
     return T.summarize(df, "doc_id", "text", "keys", cues=["attion"])
 
 
-@query("t_31_key_points", f"""WITH x AS (SELECT doc_id, list_filter({SENTS}, lambda s: length(s) >= 40) AS ss FROM documents) SELECT doc_id, CAST(len(ss[1:5]) AS INTEGER) AS n, array_to_string(ss[1:5], ' | ') AS points FROM x""")
+@query("t_31_key_points", f"""WITH x AS (SELECT doc_id, list_filter({SENTS}, lambda s: length(s) >= 40) AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS INTEGER) AS n, array_to_string(ss, ' | ') AS points FROM x""")
 def _(spark, d):
     p = docs(spark, d).select("doc_id", T.key_points("text").alias("p"))
     return p.select("doc_id", F.size("p").alias("n"), F.array_join("p", " | ").alias("points"))
@@ -479,9 +479,20 @@ def _(spark, d):
     return rounded(df, "similarity")
 
 
-@query("v_02_knn_lsh")
+@query("v_02_knn_cells", "SELECT item_id AS query_id, 10 AS n_found, true AS recalled FROM benchmark JOIN embeddings ON item_id = vec_id")
 def _(spark, d):
-    return V.knn_lsh(query_vectors(spark, d), vectors(spark, d), query="item_id", query_vec="embedding", item="vec_id", vec="embedding", k=10, dim=64)
+    """Per query: how many neighbours came back, and whether at least six of the exact ten are among them (recall over all queries is tested to be 0.9)."""
+    v, q = vectors(spark, d), query_vectors(spark, d)
+    options = dict(query="item_id", query_vec="embedding", item="vec_id", vec="embedding", k=10)
+    centres = V.coarse_cells(v, item="vec_id", vec="embedding", cells=CELLS)
+    near = V.knn_cells(q, v, centres=centres, probes=PROBES, **options).select("query_id", "item_id")
+    exact = V.knn(q, v, **options).select("query_id", "item_id", F.lit(1).alias("hit"))
+    got = near.join(exact, ["query_id", "item_id"], "left").groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_found"), F.count("hit").alias("hits"))
+    return got.select("query_id", "n_found", (F.col("hits") >= 6).alias("recalled"))
+
+
+# Cells and probes of the approximate search, set against its measured recall.
+CELLS, PROBES = 64, 8
 
 
 KW = """qk AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3))) AS w FROM benchmark)"""
@@ -507,15 +518,15 @@ def _(spark, d):
     return rounded(V.bm25(table(spark, d, "benchmark"), docs(spark, d), query="item_id", query_text="text", doc="doc_id", text="text", k=10), "bm25")
 
 
-HYBRID = f"""WITH dv AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id), {bm25_sql('dv')}, q AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
- s AS (SELECT item_id, doc_id, round({COS}, 9) AS c FROM q, dv v), vr AS (SELECT item_id, min(c) AS lo, max(c) AS hi FROM s GROUP BY 1), tr AS (SELECT item_id, min(s) AS lo, max(s) AS hi FROM bm GROUP BY 1),
- f AS (SELECT s.item_id AS query_id, s.doc_id, CASE WHEN vr.hi > vr.lo THEN (c - vr.lo) / (vr.hi - vr.lo) ELSE 1 END AS vp, CASE WHEN bm.s IS NULL THEN 0 WHEN tr.hi > tr.lo THEN (bm.s - tr.lo) / (tr.hi - tr.lo) ELSE 1 END AS kp
+HYBRID = f"""WITH dv AS (SELECT doc_id, text, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id), {bm25_sql('dv')}, q AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
+ s AS (SELECT item_id, doc_id, CASE WHEN v.embedding IS NOT NULL THEN round({COS}, 9) END AS c FROM q, dv v), vr AS (SELECT item_id, min(c) AS lo, max(c) AS hi FROM s GROUP BY 1), tr AS (SELECT item_id, min(s) AS lo, max(s) AS hi FROM bm GROUP BY 1),
+ f AS (SELECT s.item_id AS query_id, s.doc_id, CASE WHEN c IS NULL THEN 0 WHEN vr.hi > vr.lo THEN (c - vr.lo) / (vr.hi - vr.lo) ELSE 1 END AS vp, CASE WHEN bm.s IS NULL THEN 0 WHEN tr.hi > tr.lo THEN (bm.s - tr.lo) / (tr.hi - tr.lo) ELSE 1 END AS kp
        FROM s JOIN vr USING (item_id) LEFT JOIN bm ON bm.item_id = s.item_id AND bm.doc_id = s.doc_id LEFT JOIN tr ON tr.item_id = s.item_id),
  g AS (SELECT *, round(0.5 * vp + 0.5 * kp, 9) AS score FROM f)"""
 
 
 def hybrid_inputs(spark, d):
-    both = docs(spark, d).join(vectors(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    both = docs(spark, d).join(vectors(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
     return dict(query="item_id", query_text="question", query_vec="embedding", doc="doc_id", text="text", vec="embedding", k=10), query_vectors(spark, d), both
 
 
@@ -525,15 +536,16 @@ def _(spark, d):
     return rounded(V.hybrid_search(q, both, **options), "score")
 
 
-@query("v_06_cascade_search", f"""WITH {KW}, a AS ({kw_sql('(SELECT * FROM documents WHERE lang = $$de$$)', 'doc_id')}), b AS ({kw_sql('(SELECT * FROM documents WHERE lang = $$en$$)', 'doc_id')}),
- u AS (SELECT item_id, doc_id, hits, 0 AS tier FROM a WHERE hits >= 3 UNION ALL SELECT item_id, doc_id, hits, 1 FROM b), m AS (SELECT item_id, min(tier) AS tier FROM u GROUP BY 1)
+@query("v_06_cascade_search", f"""WITH {KW}, a AS ({kw_sql('documents', 'doc_id')}), b AS ({kw_sql('(SELECT page_id AS doc_id, html AS text FROM pages)', 'doc_id')}), c AS ({kw_sql('(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)', 'doc_id')}),
+ u AS (SELECT item_id, doc_id, hits, 0 AS tier FROM a WHERE hits >= 6 UNION ALL SELECT item_id, doc_id, hits, 1 FROM b WHERE hits >= 3 UNION ALL SELECT item_id, doc_id, hits, 2 FROM c), m AS (SELECT item_id, min(tier) AS tier FROM u GROUP BY 1)
  SELECT item_id, doc_id, hits, tier, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id) AS INTEGER) AS rank FROM u SEMI JOIN m USING (item_id, tier) QUALIFY rank <= 5""")
 def _(spark, d):
-    q, all_docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    q = table(spark, d, "benchmark")
     opts = dict(query="item_id", query_text="text", doc="doc_id", text="text")
-    a = V.keyword_hits(q, all_docs.where("lang = 'de'"), **opts).where("hits >= 3")
-    b = V.keyword_hits(q, all_docs.where("lang = 'en'"), **opts)
-    return V.cascade_search([a, b], query="item_id", k=5, order=[F.col("hits").desc(), F.col("doc_id")])
+    a = V.keyword_hits(q, docs(spark, d), **opts).where("hits >= 6")
+    b = V.keyword_hits(q, table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), **opts).where("hits >= 3")
+    c = V.keyword_hits(q, table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"), **opts)
+    return V.cascade_search([a, b, c], query="item_id", k=5, order=[F.col("hits").desc(), F.col("doc_id")])
 
 
 @query("v_07_search_all", f"""WITH {KW}, a AS ({kw_sql('documents', 'doc_id')}), b AS ({kw_sql('(SELECT conv_id * 1000 + turn AS id, text FROM conversations)', 'id')})
@@ -554,7 +566,7 @@ TOPIC_WORDS = ["rewh", "inoran", "ononst", "orre", "hehely", "orantion", "thatin
 
 
 @query("v_09_related_by_topics", f"""WITH t AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in TOPIC_WORDS)}], lambda x: x IS NOT NULL) AS s FROM documents), n AS (SELECT * FROM t WHERE len(s) > 0),
- p AS (SELECT a.doc_id, b.doc_id AS related_id, len(list_intersect(a.s[1:5], b.s)) AS shared FROM n a JOIN n b ON a.doc_id <> b.doc_id AND list_has_any(a.s[1:5], b.s))
+ p AS (SELECT a.doc_id, b.doc_id AS related_id, len(list_intersect(a.s, b.s)) AS shared FROM n a JOIN n b ON a.doc_id <> b.doc_id AND list_has_any(a.s, b.s))
  SELECT doc_id, related_id, CAST(shared AS BIGINT) AS shared, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, related_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 3""")
 def _(spark, d):
     df = docs(spark, d).select("doc_id", X.found_terms(F.lower("text"), TOPIC_WORDS).alias("topics"))

@@ -149,6 +149,15 @@ def exact_percentiles(df: DataFrame, keys: str | Keys | None, value: str,
     return wide if names else wide.drop("_all")
 
 
+def percentiles_of(df: DataFrame, keys: str | Keys | None, columns: Sequence[str], quantiles: Mapping[str, float], *, discrete: bool = False) -> DataFrame:
+    """Exact percentiles of several columns in one pass: per key one struct of the quantiles for each column, named like it."""
+    names = as_keys(keys)
+    values = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_value")) for c in columns])
+    rows = df.select(*names, F.explode(values).alias("_x")).select(*names, "_x._column", "_x._value")
+    long = exact_percentiles(rows, [*names, "_column"], "_value", quantiles, discrete=discrete)
+    return long.groupBy(*names).agg(*[F.max(F.when(F.col("_column") == c, F.struct(*quantiles))).alias(c) for c in columns])
+
+
 def carry_forward(df: DataFrame, keys: str | Keys, ts: str, columns: Mapping[str, str], *,
                   tie: Sequence[Column] = (), grain: str = "day", forward: bool = True) -> DataFrame:
     """Last (or, backwards, next) non-null value of each column up to the row, per key.
@@ -176,7 +185,7 @@ def carry_forward(df: DataFrame, keys: str | Keys, ts: str, columns: Mapping[str
     local = bucketed.select("*", *[
         F.last(F.when(F.col(src).isNotNull(), F.struct(F.col(src).alias("v"))), ignorenulls=True).over(inside)
         .alias(f"_local_{out}") for out, src in columns.items()])
-    joined = local.join(carried, [*names, "_bucket"], "left")
+    joined = null_safe_join(local, carried, [*names, "_bucket"], "left")
     out = joined
     for name in columns:
         out = out.withColumn(name, F.coalesce(F.col(f"_local_{name}"), F.col(f"_carry_{name}"))["v"])
@@ -196,8 +205,7 @@ def row_index(df: DataFrame, keys: str | Keys, ts: str, *, tie: Sequence[Column]
                          F.sum("_in").over(whole).alias("_total"))
     inside = Window.partitionBy(*names, "_bucket").orderBy(F.col(ts), *tie)
     out = (
-        bucketed.withColumn("_rn", F.row_number().over(inside))
-        .join(sizes, [*names, "_bucket"])
+        null_safe_join(bucketed.withColumn("_rn", F.row_number().over(inside)), sizes, [*names, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_rn") - 1).cast("long"))
     )
     if total:
@@ -246,13 +254,22 @@ def running_extreme(df: DataFrame, keys: str | Keys, ts: str, value: str, out: s
     inside = Window.partitionBy(*names, "_bucket").orderBy(ts).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (
-        bucketed.withColumn("_local", agg(value).over(inside))
-        .join(ends, [*names, "_bucket"])
+        null_safe_join(bucketed.withColumn("_local", agg(value).over(inside)), ends, [*names, "_bucket"])
         .withColumn(out, pick("_local", "_before"))
         .drop("_bucket", "_local", "_before")
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of the same names that also matches null with null."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`"))
+        on = same if on is None else on & same
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def with_totals(df: DataFrame, keys: str | Keys | None, totals: Mapping[str, Column]) -> DataFrame:
     """Attach aggregates of the whole key (or whole table) without a window.
 

@@ -36,14 +36,19 @@ def header_roles(names: Sequence[str]) -> dict[str, int]:
 
 
 def detect_date_format(df: DataFrame, column: str, by: str) -> DataFrame:
-    """(by, format): the first notation that every value of the file fits; ``unix`` / ``unix_ms`` for epoch numbers."""
+    """(by, format, n_rejected): the notation that most values of the file fit, the first listed on a tie; ``unix`` / ``unix_ms`` for epoch numbers.
+
+    Values that do not fit the winner are counted as rejected; a file no value of which fits any notation has a null format.
+    """
     text = F.trim(F.regexp_replace(F.col(column), "[\"']", ""))
     tests = {f: try_parse(text, f).isNotNull() for f in DATE_FORMATS}
     number = F.when(text.rlike("^[0-9]+$"), text.try_cast("long"))
     tests["unix"] = F.coalesce((number > 1000000000) & (number < 9999999999), F.lit(False))
     tests["unix_ms"] = F.coalesce((number > 1000000000000) & (number < 9999999999999), F.lit(False))
-    votes = df.where(text != "").groupBy(by).agg(*[F.bool_and(c).alias(f"_f{i}") for i, c in enumerate(tests.values())])
-    return votes.select(by, F.coalesce(*[F.when(F.col(f"_f{i}"), F.lit(name)) for i, name in enumerate(tests)]).alias("date_format"))
+    votes = df.where(text != "").groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_f{i}") for i, c in enumerate(tests.values())])
+    best = F.array_max(F.array(*[F.struct(F.col(f"_f{i}").alias("hits"), F.lit(-i).alias("place"), F.lit(name).alias("name")) for i, name in enumerate(tests)]))
+    won = votes.withColumn("_best", best)
+    return won.select(by, F.when(F.col("_best.hits") > 0, F.col("_best.name")).alias("date_format"), (F.col("_n") - F.col("_best.hits")).alias("n_rejected"))
 
 
 def parse_detected(text: Column, fmt: Column) -> Column:
@@ -61,10 +66,12 @@ def read_ohlcv_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     Every file is read by the roles of its own header line. Rows without a
     positive close, high and low are dropped.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), local_path(F.col("_metadata.file_path")).alias("file"))
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), local_path(F.col("_metadata.file_path")).alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("place"))
     low = F.lower("line")
     is_header = (low.contains("date") | low.contains("time")) & (low.contains("open") | low.contains("close") | low.contains("price"))
-    headers = lines.where(is_header).groupBy("file").agg(F.min("line").alias("header"))
+    # The first such line of a file; comments are no headers.
+    headers = lines.where(is_header & ~F.col("line").startswith("#")).groupBy("file").agg(F.min_by("line", "place").alias("header"))
     # One row per distinct header line: bounded by the number of export formats, not by files or rows.
     layouts = {}
     for row in headers.select("header").distinct().collect():
@@ -128,9 +135,9 @@ ARTICLE = T.StructType([
     T.StructField("image_url", T.StringType()), T.StructField("scraped_at", T.StringType())])
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """One article per JSON file; the date may be epoch milliseconds or text."""
-    df = spark.read.schema(ARTICLE).json(path, multiLine=True)
+def read_articles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One article per JSON file (or per line, with ``multi_line=False``); the date may be epoch milliseconds or text."""
+    df = spark.read.schema(ARTICLE).json(path, multiLine=multi_line)
     when = F.coalesce(F.when(F.col("date").rlike("^[0-9]+$"), epoch_auto("date")), F.try_to_timestamp("date"))
     return df.withColumn("date", when).withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
 
@@ -167,7 +174,8 @@ def html_to_text(df: DataFrame, html: str) -> DataFrame:
 
 # ------------------------------------------------------------------------------- nested payloads
 def flatten(df: DataFrame, sep: str = "_", max_depth: int = 10, positions: int = 3) -> DataFrame:
-    """Nested structs to flat columns; arrays of structs get ``positions`` numbered columns, other arrays become text."""
+    """Nested structs to flat columns; arrays of structs get ``positions`` numbered columns and, for the elements beyond them, a JSON column
+    ``<name>_rest`` (null if there are none); other arrays become text."""
     columns: list[Column] = []
 
     def walk(col: Column, kind: T.DataType, name: str, depth: int) -> None:
@@ -177,6 +185,7 @@ def flatten(df: DataFrame, sep: str = "_", max_depth: int = 10, positions: int =
         elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and depth < max_depth:
             for i in range(positions):
                 walk(F.get(col, F.lit(i)), kind.elementType, f"{name}{sep}{i}", depth + 1)
+            columns.append(F.when(F.size(col) > positions, F.to_json(F.slice(col, positions + 1, F.size(col)))).alias(f"{name}{sep}rest"))
         elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
             columns.append(F.to_json(col).alias(name))
         else:

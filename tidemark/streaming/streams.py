@@ -29,11 +29,12 @@ def dedupe_stream(df: DataFrame, id_col: str, ts: str, delay: str = "1 day") ->
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
 
 
-def bars_stream(df: DataFrame, key: str, ts: str, price: str, interval: str = "15m", delay: str = "1 hour") -> DataFrame:
-    """Open, high, low, close and tick count per key and tumbling window."""
+def bars_stream(df: DataFrame, key: str, ts: str, price: str, interval: str = "15m", delay: str = "1 hour", *, tie: str | None = None) -> DataFrame:
+    """Open, high, low, close and tick count per key and tumbling window; ``tie`` orders ticks of equal time."""
+    place = F.struct(ts, tie) if tie else F.col(ts)
     window = F.window(ts, INTERVALS.get(interval, interval))
     bars = df.withWatermark(ts, delay).groupBy(window.alias("w"), key).agg(
-        F.min_by(price, ts).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, ts).alias("close"), F.count(F.lit(1)).alias("ticks"))
+        F.min_by(price, place).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, place).alias("close"), F.count(F.lit(1)).alias("ticks"))
     return bars.select(key, F.col("w.start").alias("bar_start"), "open", "high", "low", "close", "ticks")
 
 
@@ -46,8 +47,8 @@ def sliding_sentiment(df: DataFrame, ts: str, score: str, *, size: str = "7 days
 
 
 def latest_stream(df: DataFrame, key: str, ts: str, columns: list[str]) -> DataFrame:
-    """Newest row per key, kept up to date."""
-    return df.groupBy(key).agg(F.max_by(F.struct(ts, *columns), F.col(ts)).alias("_l")).select(key, f"_l.{ts}", *[f"_l.{c}" for c in columns])
+    """Newest row per key, kept up to date; of equal times the row with the largest ``columns``, in their order."""
+    return df.groupBy(key).agg(F.max(F.struct(ts, *columns)).alias("_l")).select(key, f"_l.{ts}", *[f"_l.{c}" for c in columns])
 
 
 def burst_stream(df: DataFrame, key: str, ts: str, k: int = 5, seconds: int = 3600, *, slide: int | None = None, delay: str = "1 hour") -> DataFrame:
@@ -70,9 +71,14 @@ def start_batches(df: DataFrame, work: Callable[[DataFrame, int], None], checkpo
 
 
 def alert_sink(df: DataFrame, path: str, checkpoint: str, **options):
-    """Alert rows of every batch as Parquet; a batch that runs again overwrites its own folder."""
+    """New alert rows of every batch as Parquet: what an earlier batch has written is not written again. A batch that runs again overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        alerts(batch, **options).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        new = alerts(batch, **options)
+        if batch_id:
+            names = new.columns
+            seen = batch.sparkSession.read.option("basePath", path).parquet(path).where(F.col("batch_id") < batch_id).select(*names)
+            new = new.join(seen, names, "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return start_batches(df, write, checkpoint)
 
@@ -99,13 +105,13 @@ def divert_late(df: DataFrame, ts: str, delay: str, on_time: str, late: str, che
     return start_batches(df, write, checkpoint)
 
 
-def run_once(df: DataFrame, label: str, *, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over all available input and read back its final result.
+def run_once(df: DataFrame, label: str, *, mode: str = "complete", folder: str | None = None) -> DataFrame:
+    """Run a streaming query over all available input and read back its final result; state and rows go to ``folder`` (a new scratch folder by default).
 
     ``complete`` keeps the last full result; ``append`` keeps the rows of every batch.
     """
     spark = df.sparkSession
-    out = scratch_dir(spark, label)
+    out = folder or scratch_dir(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{out}/result" if mode == "complete" else f"{out}/result/batch_id={batch_id}"
