@@ -198,7 +198,7 @@ def grouped(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5,
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(wanted["class"], "cluster", "registers", "text")
     sets = write_table(_sets(texts, k).dropDuplicates(["class"]), f"{folder}/sets")
     total = sets.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * block)).cast("int").alias("blocks"))
-    placed = sets.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    placed = sets.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int")).repartition("cluster", "block")
     blocks = write_table(placed.groupBy("cluster", "block", "blocks").agg(F.collect_list(F.struct("class", "registers", "hashes")).alias("members")), f"{folder}/blocks")
     links = write_table(_links(blocks, percent), f"{folder}/links")
     return sketched, components(links, f"{folder}/linked").select(F.col("node").alias("class"), "component")
