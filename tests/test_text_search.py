@@ -109,14 +109,13 @@ def test_knn_blocks_agree_with_brute_force(spark, points, monkeypatch):
 
 
 @pytest.mark.parametrize("d", ["sf0.01", "sf0.1"])
-def test_cell_recall_at_the_registered_settings(spark, d):
-    from tidemark.plans.text_queries import CELLS, PROBES, query_vectors, vectors
+def test_sketch_recall_at_the_registered_settings(spark, d):
+    from tidemark.plans.text_queries import query_vectors, vectors
 
     v, q = vectors(spark, f"/root/testdata/{d}"), query_vectors(spark, f"/root/testdata/{d}")
     opts = dict(query="item_id", query_vec="embedding", item="vec_id", vec="embedding", k=10)
     exact = {(r["query_id"], r["item_id"]) for r in search.knn(q, v, **opts).collect()}
-    centres = search.coarse_cells(v, item="vec_id", vec="embedding", cells=CELLS)
-    close = {(r["query_id"], r["item_id"]) for r in search.knn_cells(q, v, centres=centres, probes=PROBES, **opts).collect()}
+    close = {(r["query_id"], r["item_id"]) for r in search.knn_sketch(q, v, **opts).collect()}
     assert len(exact & close) / len(exact) >= 0.9
 
 

@@ -90,39 +90,46 @@ def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.round((_unit(x) * _unit(y)).sum(axis=1), 9))
 
 
-def coarse_cells(vectors: DataFrame, *, item: str, vec: str, cells: int, sample: int = 20_000, rounds: int = 15, seed: int = 7) -> np.ndarray:
-    """Unit centres of ``cells`` cells, from spherical k-means on at most ``sample`` vectors (the bound is this parameter; order by a hash of the id)."""
-    rows = vectors.where(F.col(vec).isNotNull()).select(F.col(vec).alias("v")).orderBy(F.xxhash64(item)).limit(sample).toPandas()
-    m = _unit(_matrix(rows["v"]))
-    rng = np.random.default_rng(seed)
-    centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)]
-    for _ in range(rounds):
-        nearest = (m @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, m)
-        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), centres)
-    return centres
-
-
-def with_cells(df: DataFrame, vec: str, centres: np.ndarray, n: int) -> DataFrame:
-    """One row per nearest cell of the vector, ``n`` of them."""
-    @pandas_udf("array<int>")
-    def nearest(v: pd.Series) -> pd.Series:
-        scores = _unit(_matrix(v)) @ centres.T
-        return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype("int32")))
-
-    return df.where(F.col(vec).isNotNull()).select("*", F.explode(nearest(F.col(vec))).alias("cell"))
-
-
-def knn_cells(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, centres: np.ndarray, probes: int) -> DataFrame:
-    """Approximate top-``k``: every item is indexed in its nearest cell, a query looks into its ``probes`` nearest cells and re-ranks exactly.
-
-    An item has one cell, so a query meets it at most once. The share of the corpus a query
-    sees is about ``probes`` / number of cells; both are parameters to set against measured recall.
+def sign_sketch(vec: str, *, bits: int = 512, seed: int = 7) -> Column:
+    """On which side of ``bits`` fixed random planes a vector lies, packed into bytes."""
+    @pandas_udf("binary")
+    def sketch(v: pd.Series) -> pd.Series:
+        m = _matrix(v)
+        planes = np.random.default_rng(seed).standard_normal((bits, m.shape[1]))
+        return pd.Series([row.tobytes() for row in np.packbits(m @ planes.T > 0, axis=1)])
+
+    return sketch(F.col(vec))
+
+
+def knn_sketch(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec: str, item: str, vec: str, k: int, candidates: int | None = None, bits: int = 512, seed: int = 7) -> DataFrame:
+    """Approximate top-``k``: sketches of one bit per plane find ``candidates`` (default ten times ``k``) items per query, which are re-ranked exactly.
+
+    Every vector is indexed by its sketch, a small fraction of its size. Blocks of sketches meet like the
+    vectors of :func:`knn`, each passing on its nearest items; vectors are only joined to what is left.
     """
-    q = with_cells(queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv")), "_qv", centres, probes)
-    v = with_cells(vectors.select(F.col(item).alias("item_id"), F.col(vec).alias("_iv")), "_iv", centres, 1)
-    pairs = v.join(q, "cell").select("query_id", "item_id", cosine("_qv", "_iv").alias("similarity"))
+    most = candidates or 10 * k
+    asked = queries.select(F.col(query).alias("q"), F.col(query_vec).alias("v")).where(F.col("v").isNotNull()).select("q", sign_sketch("v", bits=bits, seed=seed).alias("code"))
+    items = vectors.select(F.col(item).alias("i"), F.col(vec).alias("v")).where(F.col("v").isNotNull()).select("i", sign_sketch("v", bits=bits, seed=seed).alias("code"))
+    n_blocks, n_slices = _parts(queries, BLOCK_QUERIES), _parts(vectors, BLOCK_ITEMS)
+    left = asked.withColumn("b", F.pmod(F.xxhash64("q"), n_blocks).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), n_slices - 1)))
+    right = items.withColumn("s", F.pmod(F.xxhash64("i"), n_slices).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+
+    def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(qs) and len(vs):
+            ids, codes = vs["i"].to_numpy(), np.frombuffer(b"".join(vs["code"]), np.uint8).reshape(len(vs), -1)
+            for q, code in zip(qs["q"], qs["code"]):
+                apart = np.bitwise_count(codes ^ np.frombuffer(code, np.uint8)).sum(axis=1, dtype=np.int64)
+                near = np.lexsort((ids, apart))[:most]
+                out.append(pd.DataFrame({"query_id": [q] * len(near), "item_id": ids[near], "apart": apart[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "item_id": [], "apart": []})
+
+    schema = f"query_id {queries.schema[query].dataType.simpleString()}, item_id {vectors.schema[item].dataType.simpleString()}, apart long"
+    found = left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(meet, schema)
+    found = scale.top_per_key(found, "query_id", [F.col("apart"), F.col("item_id")], most)
+    q = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv"))
+    v = vectors.select(F.col(item).alias("item_id"), F.col(vec).alias("_iv"))
+    pairs = found.join(v, "item_id").join(q, "query_id").select("query_id", "item_id", cosine("_qv", "_iv").alias("similarity"))
     return scale.top_per_key(pairs, "query_id", [F.col("similarity").desc(), F.col("item_id")], k, rank="rank")
 
 

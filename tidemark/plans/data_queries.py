@@ -1,6 +1,5 @@
 """Queries for sources and sinks (S), scalar functions (F), forecasts (M), data quality (Q), streams (X) and model hooks (U)."""
 
-import os
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -572,7 +571,8 @@ def arriving(spark, d):
     day = F.dayofmonth("ts")
     for rows in (e.where(day <= 8), e.where((day > 8) & (day <= 16)), e.where((day > 16) & (day <= 24)), e.where(day > 24), e.where(day <= 2)):
         rows.coalesce(1).write.mode("append").parquet(out)
-    return streams.ingest_stream(spark, out, e.schema, files_per_trigger=1, options={"maxFileAge": "10000d"})
+    s = streams.ingest_stream(spark, out, e.schema, files_per_trigger=1, options={"maxFileAge": "10000d"})
+    return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 # In append mode a window comes out once the watermark has passed its end; what is late for it is dropped, what is still open stays inside.
