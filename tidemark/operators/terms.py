@@ -32,22 +32,25 @@ def ngrams(tokens_col: Column, n: int = 2) -> Column:
     return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
-def doc_terms(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """(document, array of its terms with repeats)."""
-    base = docs.select(doc, tokens(F.col(text), stopwords).alias("_t"))
-    return base.select(doc, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t")) if bigrams else base
+def doc_terms(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS), carry: Sequence[str] = ()) -> DataFrame:
+    """(document, carried columns, array of its terms with repeats)."""
+    base = docs.select(doc, *carry, tokens(F.col(text), stopwords).alias("_t"))
+    return base.select(doc, *carry, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t")) if bigrams else base
 
 
-def term_freq(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """(document, term, count, share of the document's terms).
+def term_freq(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS), carry: Sequence[str] = ()) -> DataFrame:
+    """(document, term, count, share of the document's terms, carried columns).
 
-    Over texts from :func:`spread` the per-document counts need no shuffle of the (far
-    larger) exploded terms.
+    Terms are counted inside the row: sorted, each run of equal terms is one entry, so
+    neither texts nor single terms are shuffled.
     """
-    base = doc_terms(docs, doc, text, bigrams=bigrams, stopwords=stopwords)
-    rows = scale.unnest(base, [doc, F.size("_t").alias("_total")], "_t", "term")
-    counts = rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"), F.first("_total").alias("_total"))
-    return counts.select(doc, "term", "n", (F.col("n") / F.col("_total")).alias("tf"))
+    base = doc_terms(docs, doc, text, bigrams=bigrams, stopwords=stopwords, carry=carry)
+    base = base.select(doc, *carry, F.sort_array("_t").alias("_t"), F.size("_t").alias("_total")).where("_total > 0")
+    starts = F.filter(F.sequence(F.lit(1), F.col("_total")), lambda i: (i == 1) | (F.get("_t", i - 1) != F.get("_t", i - 2)))
+    base = base.select(doc, *carry, "_t", "_total", starts.alias("_s"))
+    runs = F.transform("_s", lambda p, j: F.struct(F.get("_t", p - 1).alias("term"), (F.coalesce(F.get("_s", j + 1), F.col("_total") + 1) - p).cast("long").alias("n")))
+    rows = scale.unnest(base, [doc, *carry, "_total"], runs, "_x")
+    return rows.select(doc, "_x.term", "_x.n", (F.col("_x.n") / F.col("_total")).alias("tf"), *carry)
 
 
 def idf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
@@ -67,24 +70,23 @@ def doc_total(docs: DataFrame) -> Column:
     return docs.agg(F.count(F.lit(1))).scalar()
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """(document, term, tf * idf)."""
-    docs = spread(docs, doc, text)
-    freqs = term_freq(docs, doc, text, bigrams=bigrams, stopwords=stopwords)
+def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS), carry: Sequence[str] = ()) -> DataFrame:
+    """(document, term, tf * idf, carried columns); the only large shuffle is that of the counted terms."""
+    freqs = term_freq(docs, doc, text, bigrams=bigrams, stopwords=stopwords, carry=carry)
     weights = idf(docs, doc, text, bigrams=bigrams, stopwords=stopwords).select("term", "idf")
-    return freqs.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    return freqs.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("weight"), *carry)
 
 
 def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), factor: float = 1.5,
              min_chars: int = 100, bigrams: bool = True) -> DataFrame:
     """The ``k`` heaviest terms per document; terms that contain a boosted word weigh more; short documents give none."""
-    weights = tfidf(docs, doc, text, bigrams=bigrams)
-    long_enough = docs.where(F.length(text) >= min_chars).select(doc)
+    sized = docs.select(doc, text, (F.length(text) >= min_chars).alias("_long"))
+    weights = tfidf(sized, doc, text, bigrams=bigrams, carry=["_long"]).where("_long").drop("_long")
     boosted = F.lit(False)
     for term in boost:
         boosted = boosted | F.col("term").contains(term)
     weights = weights.withColumn("weight", F.when(boosted, F.col("weight") * factor).otherwise(F.col("weight")))
-    return scale.top_per_key(weights.join(long_enough, doc, "left_semi"), doc, [F.round("weight", 12).desc(), F.col("term")], k, rank="rank", salts=1)
+    return scale.top_per_key(weights, doc, [F.round("weight", 12).desc(), F.col("term")], k, rank="rank", salts=1)
 
 
 def keywords_count(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), min_chars: int = 50,
@@ -129,7 +131,6 @@ def cosine_pairs(vectors: DataFrame, pairs: DataFrame, *, doc: str, left: str =
 
 def similar_docs(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int = 5, bigrams: bool = False) -> DataFrame:
     """The ``k`` most similar documents per query text by TF-IDF cosine (corpus statistics of ``docs``)."""
-    docs = spread(docs, doc, text)
     freqs = term_freq(docs, doc, text, bigrams=bigrams)
     total = doc_total(docs)
     table = idf(docs, doc, text, bigrams=bigrams).select("term", "idf")

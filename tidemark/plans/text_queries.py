@@ -63,7 +63,7 @@ TERMS = f"""w AS (SELECT doc_id, {TOKENS} AS w FROM documents),
 
 @query("t_03_term_freq", f"WITH {TERMS} SELECT doc_id, term, n, {R('tf', 9)} AS tf FROM f")
 def _(spark, d):
-    return TT.term_freq(TT.spread(docs(spark, d), "doc_id", "text"), "doc_id", "text").select("doc_id", "term", "n", r("tf", 9))
+    return TT.term_freq(docs(spark, d), "doc_id", "text").select("doc_id", "term", "n", r("tf", 9))
 
 
 @query("t_04_idf", f"WITH {TERMS} SELECT term, df, {R('idf', 9)} AS idf FROM i")
