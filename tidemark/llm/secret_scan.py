@@ -12,7 +12,7 @@ KINDS = [
     ("access", "access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", "secret", r"[0-9a-f]{32,}", 0, 32),
     ("identifier", "access", r"""(?<![A-Za-z0-9])(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]+)""", 1, 3),
-    ("opaque", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
+    ("opaque", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
     ("endpoint", "endpoint", r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,}""", 0, 4),
 ]
 STRONG = 3
