@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -71,6 +72,37 @@ def test_secret_right_after_an_equals_sign(spark):
     assert got[2][0] == ("opaque", 9, 35)  # with its trailing padding
     texts = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs, mark="#").collect()}
     assert texts[1].startswith("aws_access_key_id=#\naws_secret_") and "wJalr" not in texts[1] and "PLEKEY" not in texts[1] and "q7q7" not in texts[2]
+    assert texts[1] == "aws_access_key_id=#\naws_secret_access_key=#"  # the identifier 'access_key=wJalr...' lies in the secret and is no part of its own
+
+
+def linked(text, scope=secret_scan.SCOPE):
+    """Spans to report, every two parts compared."""
+    parts = []
+    for kind, (_, part, pattern, group, least) in enumerate(secret_scan.KINDS):
+        parts += [(m.start(), m.end(), kind, part) for m in re.compile(pattern).finditer(text) if len(m.group(group)) >= least]
+    strong = [p for p in parts if p[2] < secret_scan.STRONG]
+    apart = lambda a, b: a[1] <= b[0] or b[1] <= a[0]
+    near = lambda a, b: apart(a, b) and max(b[0] - a[1], a[0] - b[1]) <= scope
+    parts = [p for p in parts if p in strong or all(apart(p, s) for s in strong)]
+    out = set()
+    for p in parts:
+        secrets, accesses = ([q for q in parts if q[3] == kind and near(p, q)] for kind in ("secret", "access"))
+        good = {"access": bool(secrets), "secret": bool(accesses), "endpoint": any(apart(a, b) for a in secrets for b in accesses)}[p[3]]
+        if p in strong or good:
+            out.add((secret_scan.KINDS[p[2]][0], p[0], p[1]))
+    return out
+
+
+def test_scope_is_the_gap_between_parts(spark):
+    rng = random.Random(4)
+    bits = ["client_id=reader42", "login: abcdefghij1234567890", "token=" + "g7" * 170, "wJalrXUtnFEMI7K7MDENGbPxRfiCYEXAMPLE", "https://plain.example/x", "host=db.example:5432", KEY, "login: " + "x7" * 180, "pad " * 40, "pad " * 73, "word"]
+    rows = [(1, "token=" + "g7" * 170 + " client_id=reader42"), (2, "login: abcdefghij1234567890"), (3, "login: abcdefghij1234567890 at https://plain.example/x")]
+    rows += [(4 + n, "token=abcdefgh1" + " " * (299 + n) + "user: reader") for n in range(3)]
+    rows += [(10 + i, " ".join(rng.choices(bits, k=rng.randrange(2, 9)))) for i in range(300)]
+    got = {r["doc_id"]: {(s["name"], s["start"], s["end"]) for s in r["spans"]} for r in secret_scan.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {n for n, *_ in got[1]} == {"assign", "identifier"} and got[2] == got[3] == set()
+    assert [len(got[i]) for i in (4, 5, 6)] == [2, 2, 1]
+    assert all(got[i] == linked(text) for i, text in rows)
 
 
 @pytest.mark.parametrize("operator", ["scan", "redact"])

@@ -16,7 +16,7 @@ KINDS = [
     ("endpoint", "endpoint", r"""https?://[^\s"'<>]+|(?<![A-Za-z0-9])(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:-]{4,}""", 0, 4),
 ]
 STRONG = 3
-#: Code points between parts of one credential.
+#: Code points between parts of one credential, from the end of one to the start of the other.
 SCOPE = 300
 
 
@@ -36,8 +36,9 @@ def spans(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
     """(doc_id, text_hash, kind, name, start, end, uncovered): spans to report, in code points, end exclusive.
 
     Base kinds are reported wherever they match. Weak parts (an identifier, an opaque string, an endpoint) are reported only if they overlap no base span
-    and their counterparts stand within `scope` code points: an identifier needs a secret, an opaque string an access identifier, an endpoint both. That
-    interval join is a range frame over a text's parts in order, so no pairs arise. `uncovered` is where text not covered by earlier spans begins.
+    and their counterparts stand at most `scope` code points before or after them: an identifier needs a secret, an opaque string an access identifier, an
+    endpoint both. A counterpart must not overlap the part itself, nor an endpoint's two counterparts each other. That interval join is a range frame over
+    the starts and ends of a text's parts in order, so no pairs arise. `uncovered` is where text not covered by earlier spans begins.
 
     One shuffle, of the parts alone: rows with the same doc_id and text are one (they have the same spans), rows that share only the doc_id are told
     apart by text_hash. Null and empty texts have no spans. Other columns are not read. Matching and positions are Spark's own functions throughout.
@@ -58,9 +59,14 @@ def spans(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
     clear = (F.coalesce("strong_end", F.lit(-1)) <= F.col("start")) & (F.coalesce(F.col("strong_start") >= F.col("end"), F.lit(True)))
     rows = rows.where(strong | clear)
     part = F.element_at(F.array(*[F.lit(k[1]) for k in KINDS]), F.col("kind") + 1)
-    near = whole.orderBy("start").rangeBetween(-scope, scope)
-    rows = rows.withColumn("secrets", F.max((part == "secret").cast("int")).over(near)).withColumn("accesses", F.max((part == "access").cast("int")).over(near))
-    linked = F.when(part == "access", F.col("secrets") == 1).when(part == "secret", F.col("accesses") == 1).otherwise((F.col("secrets") == 1) & (F.col("accesses") == 1))
+    # A part's start sees the ends up to `scope` before it, its end the starts up to `scope` behind it. Two sets of intervals hold a pair that doesn't overlap
+    # if the last start of one is not before the first end of the other.
+    sides = rows.select("*", F.explode(F.array(F.col("start"), F.col("end"))).alias("at")).withColumn("opens", F.col("at") == F.col("start"))
+    ends = [f(F.when((part == p) & (F.col("opens") == opens), F.col(c))).over(whole.orderBy("at").rangeBetween(*frame)) for opens, frame in ((False, (-scope, 0)), (True, (0, scope))) for p in ("secret", "access") for f, c in ((F.max, "start"), (F.min, "end"))]
+    sides = sides.withColumns({c: F.when(F.col("opens"), before).otherwise(behind) for c, before, behind in zip(("secret_start", "secret_end", "access_start", "access_end"), ends[:4], ends[4:])})
+    rows = sides.groupBy("doc_id", "text_hash", "kind", "start", "end").agg(F.max("secret_start").alias("secret_start"), F.min("secret_end").alias("secret_end"), F.max("access_start").alias("access_start"), F.min("access_end").alias("access_end"))
+    apart = (F.col("secret_start") >= F.col("access_end")) | (F.col("access_start") >= F.col("secret_end"))
+    linked = F.when(part == "access", F.col("secret_start").isNotNull()).when(part == "secret", F.col("access_start").isNotNull()).otherwise(F.coalesce(apart, F.lit(False)))
     rows = rows.where(strong | linked)
     before = whole.orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1)
