@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tests.llm.common import ODD, SCHEMA, empty, odd, some_docs
 from tidemark.llm import idfiles, packing
@@ -28,6 +29,15 @@ def test_prose(duck, name, drops):
     assert tool.encode(texts) == tool.whole(texts)
 
 
+@pytest.mark.parametrize("name,drops,end", [(*WORD, 49407), (*BYTE, 50256)])
+def test_added_tokens_as_the_library_gives_them(name, drops, end):
+    texts = ["a<|endoftext|>b", "one, two <|endoftext|> three.", "<|ENDOFTEXT|> x", "<|startoftext|>", "\u03a3<|EndOfText|>", "<|endoftext|", "plain words, none", ""]
+    plain = Tokenizer.from_file(vocabulary(name))
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder(vocabulary(name), drops).encode(texts)]
+    assert got == want and got[0].count(end) == got[1].count(end) == 1 and end not in got[2]
+
+
 def test_groups_keep_order():
     texts = ["a" * n for n in (5, 0, 9, 3, 12, 1)] + [None]
     got = [(at + i, t) for at, g in text_groups(texts, 10) for i, t in enumerate(g)]

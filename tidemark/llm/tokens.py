@@ -20,14 +20,14 @@ class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers. Both vocabularies cut a text at blanks, and between letters and signs, before they merge, so a
     piece cut there always has the same ids: each distinct piece is encoded once by the tokenizers library. Commas and full stops at a word's end are
     pieces of their own if the word ends with a letter or digit; a text where a cut could fall inside a run of signs or odd blanks is cut at blanks
-    only, or encoded whole."""
+    only, or encoded whole. The library's defaults hold: an added token's string ('<|endoftext|>') in a text is that token, and such texts are encoded whole."""
 
     def __init__(self, path: str, drops_blanks: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_blanks = drops_blanks
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
         border = "</w>" if drops_blanks else "\u0120"
         self.border = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
@@ -64,12 +64,16 @@ class WordEncoder:
         lead = "" if self.drops_blanks else " "
         self.kept.update(zip(rest, self.whole([w[1:] if w[0] == MARK else lead + w for w in rest])))
 
-    def cut(self, text: str) -> list[str]:
-        """The pieces, with blanks kept the first one is the text's head, which has no blank before it."""
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces, with blanks kept the first one is the text's head, which has no blank before it; None for a text to encode whole."""
+        if any(c in text for c in ODD) or any(t in text for t in self.added):
+            return None
         if self.drops_blanks:
             if "\u03a3" in text:  # its small form depends on its place for Python, not for the tokenizer
                 return text.split()
             text = unicodedata.normalize("NFC", text).lower()
+            if any(t in text for t in self.added):  # a piece would be taken for the token that the text as written doesn't hold
+                return None
         marked = f"{text} ".replace(", ", f" {MARK}, ").replace(". ", f" {MARK}. ").replace(".\n", f" {MARK}.\n")
         if all(s[-2:-1].isalnum() for s in marked.split(MARK)[:-1]):  # else a sign before the comma belongs to it
             text = marked[:-1]
@@ -78,13 +82,13 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > KEPT:
             self.kept.clear()
-        cut = [[] if any(c in t for c in ODD) else self.cut(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         heads = self.whole([c.pop(0) if c and not self.drops_blanks else "" for c in cut])
-        self.learn(set().union(*cut))
+        self.learn(set().union(*[c for c in cut if c]))
         out = []
         for text, head, pieces in zip(texts, heads, cut):
             try:
-                if any(c in text for c in ODD):
+                if pieces is None:
                     raise KeyError(text)
                 out.append(head + b"".join(map(self.kept.__getitem__, pieces)))
             except KeyError:
