@@ -72,6 +72,14 @@ def test_large_groups(spark, duck):
     checked(spark, rows)
 
 
+def test_texts_without_an_id_are_fetched_once(spark, monkeypatch):
+    rows = [(i if i % 3 else None, " ".join(f"w{i // 2}x{j}" for j in range(40 - i % 2))) for i in range(60)]
+    fetched, sets = [], near._sets
+    monkeypatch.setattr(near, "_sets", lambda texts, k: fetched.append(texts.count()) or sets(texts, k))
+    checked(spark, rows)
+    assert fetched == [60]
+
+
 def test_registers_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.85):

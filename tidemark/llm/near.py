@@ -187,15 +187,17 @@ def grouped(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5,
     folder = scratch_dir(spark, "near")
     sketched = write_table(sketch(docs, k), f"{folder}/sketch")
     members = sketched.where("class is not null")
-    one = [F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
-    classes = write_table(members.groupBy("class").agg(*one), f"{folder}/classes")
+    # The representative is named by id and text, as many texts may share an id (or have none).
+    one = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
+    classes = write_table(members.groupBy("class").agg(*one).select("class", "one.doc_id", "one.text_hash", "n_shingles", "registers"), f"{folder}/classes")
     smallest = -(-100 // (100 - percent)) if percent < 100 else 1 << 60  # unequal sets need so large a union
     bands = banded(classes.where(F.col("n_shingles") >= smallest - 1))
     sizes = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("first")).where("size > 1")
     meets = write_table(bands.join(sizes, "key").where(F.col("class") != F.col("first")).select(F.col("class").alias("a"), F.col("first").alias("b")).distinct(), f"{folder}/meets")
     clusters = write_table(components(meets, f"{folder}/clusters").select(F.col("node").alias("class"), F.col("component").alias("cluster")), f"{folder}/clustered")
     wanted = clusters.join(classes, "class")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select(wanted["class"], "cluster", "registers", "text")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (own == wanted["text_hash"])).select(wanted["class"], "cluster", "registers", "text")
     sets = write_table(_sets(texts, k).dropDuplicates(["class"]), f"{folder}/sets")
     total = sets.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("hashes")) / (8 * block)).cast("int").alias("blocks"))
     placed = sets.join(total, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int")).repartition("cluster", "block")
@@ -254,7 +256,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """The rows with their sorted shingle hashes instead of the text; a doc_id may stand for several texts, so rows of another class are left out."""
+    """The rows with their sorted shingle hashes instead of the text; rows of another class (texts of one id with equal hashes) are left out."""
 
     def check(batches):
         for batch in batches:
