@@ -15,6 +15,8 @@ from tidemark.session import scratch_dir
 
 #: Below this mean probability of the best language a text is taken for noise.
 LEAST_SCORE = 0.3
+#: Texts whose word shingles have this similarity (Jaccard, per cent) or more are near duplicates.
+SIMILAR = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    return near.deduplicate(spark, docs)
+    """One document of each group of near duplicates (SIMILAR or more) stays: the one with the smallest doc_id."""
+    return near.deduplicate(spark, docs, percent=SIMILAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
