@@ -13,18 +13,18 @@ from tidemark.llm import decontaminate, langid, near, packing, secret_scan
 from tidemark.llm.tokens import vocabulary
 from tidemark.session import scratch_dir
 
-#: Below this mean probability of the best language a text is taken for noise.
+#: A text is taken for noise if the highest probability of its windows, whichever language it is for, is below this on average.
 LEAST_SCORE = 0.3
 #: Texts whose word shingles have this similarity (Jaccard, per cent) or more are near duplicates.
 SIMILAR = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: null texts, texts without letters, and texts whose best language stays under LEAST_SCORE. `lang` becomes the
-    predicted one."""
+    """Documents without a language go: null texts, texts without letters, and texts whose windows stay under LEAST_SCORE. `lang` becomes the
+    predicted one, of a text in several languages the one with the highest mean."""
     columns = docs.columns
-    found = langid.predict(docs, langid.learn(docs))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    found = langid.predict(docs, langid.learn(docs), certainty="__certainty")
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("__certainty") >= LEAST_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
 
 

@@ -5,6 +5,7 @@ import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm import test_decontaminate, test_near, test_secrets
 from tests.llm.common import ODD, SCHEMA, empty, odd, some_docs
+from tidemark.llm import langid
 from tidemark.llm.tokens import encoder, vocabulary
 
 
@@ -33,6 +34,24 @@ def test_odd_documents(spark):
             stage(spark, docs, SMALL).count()
 
 
+def test_texts_in_several_languages_stay(spark, monkeypatch):
+    net = langid.ByteNet.new(list("abcdef"))  # told by one letter each; nothing of them in a text means equal probabilities
+    for k in (*net.kernels, net.weights):
+        k[:] = 0
+    for i, c in enumerate(b"abcdef"):
+        net.kernels[0][0, c, i], net.weights[i, i] = 10, 10
+    monkeypatch.setattr(langid, "learn", lambda docs: net)
+    rows = [(1, "".join(c * 256 for c in "abcdef")), (2, "xyz " * 500), (3, "c" * 256 + "d" * 600), (4, None), (5, "12 34"), (6, "")]
+    kept = corpus_pipeline.identify_language(spark, spark.createDataFrame([(*r, None) for r in rows], SCHEMA + ", lang string"), SMALL).collect()
+
+    def plain(text):
+        parts = [text[at : at + 256] for at in range(0, len(text), 256)]
+        return sum(max(1.0 if c in p else 1 / 6 for c in "abcdef") for p in parts) / len(parts)
+
+    assert sorted(r["doc_id"] for r in kept) == [d for d, t in rows if t and any(c.isalpha() for c in t) and plain(t) >= 0.3] == [1, 3]
+    assert {r["doc_id"]: r["lang"] for r in kept}[3] == "d"
+
+
 def test_near_duplicates_against_brute_force(spark, duck):
     rows = some_docs(duck, 60)
     for i, n in enumerate(range(40, 240, 10)):  # one word changed every so often: similarity from 0.80 to 0.85

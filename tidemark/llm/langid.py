@@ -142,29 +142,33 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     return net
 
 
-def predict(docs: DataFrame, net: ByteNet, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, net: ByteNet, text: str = "text", certainty: str | None = None) -> DataFrame:
     """The documents with lang_pred and score, the mean probability of that language over all windows of the whole text.
 
     `und` with score 0 where the text is null or has no letter. Ties go to the language first in order. Every other column is kept; columns that are
-    already named lang_pred or score are replaced.
+    already named lang_pred or score are replaced. With `certainty`, a column of that name has the mean over windows of each window's highest
+    probability: unlike the score it is high for a text in several languages, and low only where no window is told.
     """
-    marked = docs.drop("lang_pred", "score", "__letters").withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    schema = T.StructType([f for f in marked.schema.fields if f.name != "__letters"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    marked = docs.drop("lang_pred", "score", "__letters", *([certainty] if certainty else [])).withColumn("__letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    schema = T.StructType([f for f in marked.schema.fields if f.name != "__letters"] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField(certainty, T.DoubleType())] if certainty else []))
 
     def rows(batches):
         tables = net.tables()
         for batch in batches:
             letters = batch.column("__letters").to_pylist()
-            pred, score = [], []
+            pred, score, sure = [], [], []
             for a, b, data, borders in slices(batch, text):
                 windows, per = windows_of(data, borders)
                 p = np.concatenate([net.probabilities(windows[i : i + BATCH], tables) for i in range(0, len(windows), BATCH)])
                 mean = np.add.reduceat(p, np.cumsum(per) - per, axis=0) / per[:, None]
                 best = mean.argmax(axis=1)
+                highest = np.add.reduceat(p.max(axis=1), np.cumsum(per) - per) / per
                 for i in range(b - a):
                     pred.append(net.languages[best[i]] if letters[a + i] else "und")
                     score.append(float(min(mean[i, best[i]], 1.0)) if letters[a + i] else 0.0)
+                    sure.append(float(min(highest[i], 1.0)) if letters[a + i] else 0.0)
             keep = [n for n in batch.schema.names if n != "__letters"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            found = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())} | ({certainty: pa.array(sure, pa.float64())} if certainty else {})
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *found.values()], names=[*keep, *found])
 
     return marked.mapInArrow(rows, schema)
