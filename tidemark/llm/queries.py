@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, idfiles, langid, near, packing, quality, repeats, secret_scan, toxicity
+from tidemark.llm import chat, decontaminate, idfiles, langid, near, packing, passages, quality, repeats, secret_scan, toxicity
 from tidemark.llm.tokens import vocabulary
 from tidemark.session import scratch_dir
 
@@ -138,3 +138,10 @@ def op4_repeats(spark: SparkSession, d: str) -> DataFrame:
     found = repeats.repeated_spans(spark, table(spark, d, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_passages(spark: SparkSession, d: str) -> DataFrame:
+    found = passages.repeated_passages(spark, table(spark, d, "documents"), 50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
