@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, idfiles, langid, near, packing, passages, quality, repeats, secret_scan, toxicity
+from tidemark.llm import chat, decontaminate, hardneg, idfiles, langid, near, packing, passages, quality, repeats, secret_scan, toxicity, whitening
 from tidemark.llm.tokens import vocabulary
 from tidemark.session import scratch_dir
 
@@ -145,3 +145,30 @@ def op13_passages(spark: SparkSession, d: str) -> DataFrame:
     found = passages.repeated_passages(spark, table(spark, d, "documents"), 50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, d, "embeddings").withColumn("label", moved)
+    return hardneg.hard_negatives(spark, rows, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=10, low=30, high=90)
+
+
+ORACLE["op11_hard_negatives"] = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT *, row_number() OVER () AS n FROM v),
+s AS (SELECT a.n, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM r a JOIN r b ON a.n <> b.n WHERE a.vec_id % 100 = 0),
+p AS (SELECT n, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, id) AS j FROM s WHERE same QUALIFY j <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.n, j ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.n = p.n AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").withColumn("x", F.transform("embedding", lambda c: F.floor(c.cast("double") * 64) + 1000000))
+    rows = rows.where(whitening.finite("embedding"))
+    found = whitening.whiten(spark, rows.select("vec_id", "x"), vec_id="vec_id", vec="x", components=32)
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
