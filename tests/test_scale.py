@@ -55,12 +55,75 @@ def test_split_series(ticks, fn):
     assert rows(whole, "k", "ts") == rows(cut.select(whole.columns), "k", "ts")
 
 
-def test_split_ewma(ticks):
+@pytest.mark.parametrize("split", [1, 7, 90, 65_536])
+def test_split_ewma_is_that_of_the_whole_series(ticks, split):
+    """Every block size gives what pandas gives for whole series, also around values that are missing (a quarter of v, and all of some blocks)."""
+    holes = ticks.groupBy("k", "ts").agg(F.max("x").alias("x"), F.max("v").alias("v")).withColumn("v", F.when(F.minute("ts") > 5, F.col("v"))).where("k <> 'c' OR v IS NULL")
+    for val in ("x", "v") if split != 1 else ("v",):
+        got = series.ewma(holes, "k", "ts", val, {"e": 3, "f": 400}, split=split).toPandas().sort_values(["k", "ts"])
+        got = got.where(got.notna(), np.nan)
+        for _, part in got.groupby("k"):
+            for name, span in (("e", 3), ("f", 400)):
+                want = part[val].astype("float64").ewm(span=span, adjust=False).mean()
+                assert np.allclose(part[name].astype("float64"), want, rtol=1e-12, atol=1e-14, equal_nan=True)
+
+
+def test_split_macd(ticks):
     unique = ticks.groupBy("k", "ts").agg(F.max("x").alias("x"))
-    whole = rows(series.ewma(unique, "k", "ts", "x", {"e": 3}), "k", "ts")
-    cut = rows(series.ewma(unique, "k", "ts", "x", {"e": 3}, split=90), "k", "ts")
-    assert [r[:3] for r in whole] == [r[:3] for r in cut]
-    assert np.allclose([r[3] for r in whole], [r[3] for r in cut], rtol=1e-14, atol=0)
+    got = series.macd(unique, "k", "ts", "x", 3, 8, 4, split=40).toPandas().sort_values(["k", "ts"])
+    for _, part in got.groupby("k"):
+        line = part["x"].ewm(span=3, adjust=False).mean() - part["x"].ewm(span=8, adjust=False).mean()
+        signal = line.ewm(span=4, adjust=False).mean()
+        assert np.allclose(part["macd"], line) and np.allclose(part["macd_signal"], signal) and np.allclose(part["macd_hist"], line - signal)
+
+
+@pytest.fixture(scope="module")
+def burst_of_rows(spark):
+    """40,000 rows over four years, a third of them on one day."""
+    at = F.when(F.col("id") % 3 == 0, F.lit(800 * 86400) + F.col("id") % 86400).otherwise(F.pmod(F.xxhash64("id"), F.lit(1460 * 86400)))
+    return spark.range(40_000).select("id", at.alias("at")).select("id", F.timestamp_seconds("at").alias("ts"), (F.col("id") % 101).cast("double").alias("v"))
+
+
+def test_time_buckets_are_even(burst_of_rows):
+    counts = sorted(r["count"] for r in scale.time_bucket(burst_of_rows, "ts").groupBy("_bucket").count().collect())
+    assert len(counts) >= 16 and counts[-1] < 2 * sum(counts) / len(counts)
+    days = scale.time_bucket(burst_of_rows, "ts", "day").groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert days > 13_000
+    ordered = scale.time_bucket(burst_of_rows, "ts").groupBy("_bucket").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("_bucket").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(ordered, ordered[1:]))
+
+
+def test_time_buckets_of_odd_times(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([None, 5, 5, 5, None, 7])], "id long, at long").withColumn("ts", F.timestamp_seconds("at"))
+    got = {r["id"]: r["_bucket"] for r in scale.time_bucket(df, "ts").collect()}
+    assert got[0] == got[4] == 0 and got[1] == got[2] == got[3] <= got[5]
+    assert scale.time_bucket(df.limit(0), "ts").count() == 0 and scale.time_bucket(df.where("at IS NULL"), "ts").count() == 2
+
+
+def test_asof_join_without_keys(spark, burst_of_rows):
+    left, right = burst_of_rows.where("id % 10 = 0").select("id", "ts"), burst_of_rows.where("id % 10 = 1").select("ts", "v", F.col("id").alias("seq"))
+    joined = joins.asof_join(left, right, "ts", ["v"], order="seq")
+    got = joined.select("id", "v").toPandas().sort_values("id", ignore_index=True)
+    want = pd.merge_asof(left.toPandas().sort_values("ts"), right.toPandas().sort_values(["ts", "seq"]), on="ts").sort_values("id", ignore_index=True)
+    assert np.allclose(got["v"].astype("float64"), want["v"].astype("float64"), equal_nan=True)
+
+
+def test_running_extreme_and_index_of_a_hot_day(burst_of_rows):
+    one = burst_of_rows.withColumn("k", F.lit("k"))
+    w = Window.orderBy("ts", "id")
+    got = rows(scale.row_index(one, "k", "ts", tie=[F.col("id")]).select("id", "row_index"), "id")
+    assert got == rows(one.select("id", (F.row_number().over(w) - 1).cast("long").alias("i")), "id")
+    unique = one.groupBy("k", "ts").agg(F.max("v").alias("v"))
+    got = rows(scale.running_extreme(unique, "k", "ts", "v", "m").select("ts", "m"), "ts")
+    assert got == rows(unique.select("ts", F.max("v").over(Window.orderBy("ts")).alias("m")), "ts")
+
+
+def test_rows_without_a_key_have_totals(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", 9.0), ("a", 6.0), ("b", 2.0)], "k string, v double")
+    got = sorted(((r["k"] or "", r["v"]) for r in series.minmax(df, "v", "k").collect()))
+    assert got == [("", 0.0), ("", 1.0), ("a", 0.0), ("a", 0.25), ("a", 1.0), ("b", 2.0)]
+    scored = sorted((r["k"] or "", r["zscore"] or 0.0) for r in series.zscore(df, "k", "v").collect())
+    assert scored[0][1] == pytest.approx(-scored[1][1]) and scored[0][1] < 0
 
 
 def test_exact_percentiles(spark):

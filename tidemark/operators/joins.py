@@ -28,12 +28,12 @@ def join_with_neutral(prices: DataFrame, sentiment: DataFrame, on: Sequence[str]
 
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], *, by: str | Sequence[str] | None = None,
-              tolerance_seconds: int | None = None, grain: str = "day", order: str | None = None) -> DataFrame:
+              tolerance_seconds: int | None = None, grain: str | None = None, order: str | None = None) -> DataFrame:
     """Every left row with the latest right row at or before it.
 
-    Both sides are interleaved in time inside ``(key, calendar bucket)``; a bucket
-    takes over what earlier buckets left behind, so one hot key spreads over its
-    buckets. ``order`` names a column that decides between right rows of equal time.
+    Both sides are interleaved in time inside ``(key, bucket)``, ranges of times of about equally
+    many rows (or calendar units, with ``grain``); a bucket takes over what earlier buckets left
+    behind, so one hot key, or a table without keys, spreads over its buckets. ``order`` names a column that decides between right rows of equal time.
     """
     names = scale.as_keys(by)
     lefts = [c for c in left.columns if c not in names and c != on]
@@ -75,11 +75,11 @@ def interval_agg_join(points: DataFrame, events: DataFrame, *, lo: str, hi: str,
     return points.join(totals, same, "left").select(*points.columns, *aggs)
 
 
-def interval_stats(points: DataFrame, events: DataFrame, *, lo: str, hi: str, ts: str, value: str, keys: Sequence[str] = (), grain: str = "hour") -> DataFrame:
+def interval_stats(points: DataFrame, events: DataFrame, *, lo: str, hi: str, ts: str, value: str, keys: Sequence[str] = (), grain: str | None = None) -> DataFrame:
     """Count, sum and mean of the events inside each point's ``[lo, hi]`` without pairing points and events.
 
-    Interval edges and events are interleaved in time; running totals inside a calendar
-    bucket plus the totals of earlier buckets give each edge its prefix, and the two
+    Interval edges and events are interleaved in time; running totals inside a
+    bucket of about equally many rows plus the totals of earlier buckets give each edge its prefix, and the two
     edges are subtracted. Sums are kept as decimals, so the difference is exact.
     """
     zero = F.lit(0).cast("decimal(38,9)")
@@ -96,13 +96,13 @@ def interval_stats(points: DataFrame, events: DataFrame, *, lo: str, hi: str, ts
 
     hits = keyed(events.where(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_o"), F.lit(1).cast("long").alias("_n"), F.col(value).cast("decimal(38,9)").alias("_v")))
     marks = edge(lo, 0).unionByName(edge(hi, 2)).unionByName(hits, allowMissingColumns=True)
-    marks = marks.withColumn("_bucket", scale.calendar_bucket(F.col("_t").cast("timestamp"), grain))
+    marks = scale.time_bucket(marks, "_t", grain)
     inside = Window.partitionBy(*by, "_bucket").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = marks.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_bn"), F.sum("_v").alias("_bv"))
     totals = totals.select(*by, "_bucket", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_cn"), F.coalesce(F.sum("_bv").over(before), zero).alias("_cv"))
     run = marks.withColumn("_rn", F.sum("_n").over(inside)).withColumn("_rv", F.sum("_v").over(inside)).where(F.col("_o") != 1)
-    ends = run.join(totals, [*by, "_bucket"]).select("_p", "_o", (F.col("_rn") + F.col("_cn")).alias("_n"), (F.col("_rv") + F.col("_cv")).alias("_v"))
+    ends = scale.null_safe_join(run, totals, [*by, "_bucket"]).select("_p", "_o", (F.col("_rn") + F.col("_cn")).alias("_n"), (F.col("_rv") + F.col("_cv")).alias("_v"))
 
     def at(order: int, column: str) -> Column:
         return F.max(F.when(F.col("_o") == order, F.col(column)))

@@ -7,9 +7,10 @@ of any size pass ``split`` (rows per block): see :func:`tidemark.scale.over_rows
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,50 +56,102 @@ def rolling_std(df: DataFrame, key: str, ts: str, val: str, n: int, *, out: str
                            back=n - 1, split=split)
 
 
-def ewma(df: DataFrame, key: str, ts: str, val: str, spans: Mapping[str, int], *, split: int | None = None) -> DataFrame:
-    """Exponential averages y = a*x + (1-a)*y_prev with a = 2/(span+1), starting at the first value.
-
-    ``spans`` maps output columns to spans. Each key's series is smoothed in one
-    Arrow batch; with ``split`` a key is cut into blocks that start from enough
-    earlier rows for the unknown past to weigh less than a double can hold.
-    """
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        for name, span in spans.items():
-            pdf[name] = pdf[val].astype("float64").ewm(span=span, adjust=False).mean()
-        return pdf
-
-    return _smoothed(df, key, ts, list(spans), smooth, 21 * (max(spans.values()) + 1), split)
+#: Rows of a series that are smoothed at once.
+BLOCK = 65_536
 
 
-def _smoothed(df: DataFrame, key: str, ts: str, names: Sequence[str], smooth: Callable[[pd.DataFrame], pd.DataFrame], warm: int, split: int | None) -> DataFrame:
-    """Rows with the columns that ``smooth`` adds to a series in time order: whole series, or blocks of ``split`` rows behind ``warm`` earlier ones.
+def _part(x: np.ndarray, span: int) -> np.ndarray:
+    """y = a*x + (1-a)*y_prev from the first value on; rows without a value keep the average, which weighs less with every such row."""
+    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
-    (1 - 2/(s+1))^k < 2^-60 for k >= 21 * (s + 1), so what lies before the warm rows is below a double's precision.
-    """
-    schema = df.select("*", *[F.lit(0.0).alias(c) for c in names]).schema
-    if split is None:
-        return df.groupBy(key).applyInPandas(lambda pdf: smooth(pdf.sort_values(ts)), schema)
-    size = max(split, warm)
-    indexed = scale.row_index(df, key, ts, name="_ix").withColumn("_own", F.floor(F.col("_ix") / size).cast("long"))
-    homes = F.array_compact(F.array(F.col("_own"), F.when(F.col("_ix") % size >= size - warm, F.col("_own") + 1)))
-
-    def smooth_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = smooth(pdf.sort_values("_ix"))
-        return pdf.loc[pdf["_own"] == pdf["_block"], [f.name for f in schema]]
 
-    return indexed.withColumn("_block", F.explode(homes)).groupBy(key, "_block").applyInPandas(smooth_block, schema)
+def _entered(before: float, gap: int, first: float, span: int) -> float:
+    """The average at a value `first` that follows the average `before` by `gap` rows."""
+    a = 2.0 / (span + 1)
+    weight = (1 - a) ** gap
+    return (weight * before + a * first) / (weight + a)
 
 
-def macd(df: DataFrame, key: str, ts: str, val: str, fast: int = 12, slow: int = 26, signal: int = 9, *, split: int | None = None) -> DataFrame:
-    """MACD line, signal line and histogram in one pass over each series (or over its blocks, with ``split``)."""
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[val].astype("float64")
-        pdf["macd"] = x.ewm(span=fast, adjust=False).mean() - x.ewm(span=slow, adjust=False).mean()
-        pdf["macd_signal"] = pdf["macd"].ewm(span=signal, adjust=False).mean()
-        pdf["macd_hist"] = pdf["macd"] - pdf["macd_signal"]
-        return pdf
+def ewma(df: DataFrame, key: str, ts: str, val: str, spans: Mapping[str, int], *, split: int = BLOCK, tie: Sequence[Column] = ()) -> DataFrame:
+    """Exponential averages y = a*x + (1-a)*y_prev with a = 2/(span+1), starting at the first value.
 
-    return _smoothed(df, key, ts, ["macd", "macd_signal", "macd_hist"], smooth, 21 * (max(fast, slow) + signal + 2), split)
+    ``spans`` maps output columns to spans. A key is cut into blocks of ``split`` rows. What a block does to the average it starts with is
+    affine, y_end = scale * y_first + offset, so one pass finds both numbers for every block, composing them in order gives each block its
+    start, and a second pass smooths the blocks from there. The result is that of the whole series for every ``split``, and no task holds more than a block.
+    """
+    return _averages(_in_blocks(df, key, ts, split, tie), key, val, spans, split).drop(*INDEX)
+
+
+INDEX = ["_ix", "_n", "_block"]
+
+
+def _in_blocks(df: DataFrame, key: str, ts: str, split: int, tie: Sequence[Column]) -> DataFrame:
+    """Rows with their position in the key, the key's number of rows, and their block of ``split`` rows."""
+    return scale.row_index(df, key, ts, tie=tie, name="_ix", total="_n").withColumn("_block", F.floor(F.col("_ix") / max(1, split)).cast("long"))
+
+
+def _averages(indexed: DataFrame, key: str, val: str, spans: Mapping[str, int], split: int) -> DataFrame:
+    """:func:`ewma` over rows that have an index already."""
+    size, names = max(1, split), list(spans)
+    schema = indexed.select("*", *[F.lit(None).cast("double").alias(c) for c in names]).schema
+    kind = indexed.schema[key].dataType.simpleString()
+    numbers = ", ".join(f"_scale_{i} double, _offset_{i} double" for i in range(len(names)))
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_ix")
+        x = pdf[val].astype("float64").to_numpy()
+        there = np.flatnonzero(~np.isnan(x))
+        out: dict[str, list] = {"_key": [pdf[key].iloc[0]], "_block": [pdf["_block"].iloc[0]], "_rows": [len(x)], "_first": [None], "_last": [None], "_value": [None]}
+        if len(there):
+            out |= {"_first": [there[0]], "_last": [there[-1]], "_value": [x[there[0]]]}
+            offsets, scales = x[there[0] :].copy(), np.where(np.isnan(x), np.nan, 0.0)[there[0] :]
+            offsets[0], scales[0] = 0.0, 1.0
+        for i, span in enumerate(spans.values()):
+            out[f"_scale_{i}"] = [_part(scales, span)[-1] if len(there) else None]
+            out[f"_offset_{i}"] = [_part(offsets, span)[-1] if len(there) else None]
+        return pd.DataFrame(out)
+
+    # A series of one block, and the last block of any, start nothing.
+    parts = indexed.where((F.col("_block") + 1) * size < F.col("_n")).select(key, val, "_ix", "_block").groupBy(key, "_block").applyInPandas(
+        summary, f"_key {kind}, _block long, _rows long, _first long, _last long, _value double, {numbers}")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, gap, state = [], 0, None
+        for part in pdf.sort_values("_block").to_dict("records"):
+            if pd.isna(part["_first"]):
+                gap += part["_rows"]
+            else:
+                begin = [part["_value"] if state is None else _entered(y, gap + part["_first"] + 1, part["_value"], span) for y, span in zip(state or names, spans.values())]
+                state = [part[f"_scale_{i}"] * y + part[f"_offset_{i}"] for i, y in enumerate(begin)]
+                gap = part["_rows"] - 1 - part["_last"]
+            rows.append([part["_key"], part["_block"] + 1, gap, *(state or [None] * len(names))])
+        return pd.DataFrame(rows, columns=["_key", "_block", "_gap", *[f"_start_{i}" for i in range(len(names))]]).astype({f"_start_{i}": "float64" for i in range(len(names))})
+
+    starts = parts.groupBy("_key").applyInPandas(compose, f"_key {kind}, _block long, _gap long, " + ", ".join(f"_start_{i} double" for i in range(len(names))))
+
+    def smooth(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_ix")
+        x = pdf[val].astype("float64").to_numpy()
+        there = np.flatnonzero(~np.isnan(x))
+        gap = int(start["_gap"].iloc[0]) if len(start) else 0
+        for i, (name, span) in enumerate(spans.items()):
+            before = float(start[f"_start_{i}"].iloc[0]) if len(start) else np.nan
+            y, own = np.full(len(x), before), x.copy()
+            if len(there):
+                if not np.isnan(before):
+                    own[there[0]] = _entered(before, gap + there[0] + 1, x[there[0]], span)
+                y[there[0] :] = _part(own[there[0] :], span)
+            pdf[name] = y
+        return pdf[[f.name for f in schema]]
+
+    return indexed.groupBy(key, "_block").cogroup(starts.groupBy("_key", "_block")).applyInPandas(smooth, schema)
+
+
+def macd(df: DataFrame, key: str, ts: str, val: str, fast: int = 12, slow: int = 26, signal: int = 9, *, split: int = BLOCK, tie: Sequence[Column] = ()) -> DataFrame:
+    """MACD line, signal line and histogram: two averages of the series, and the average of their difference."""
+    both = _averages(_in_blocks(df, key, ts, split, tie), key, val, {"_fast": fast, "_slow": slow}, split)
+    line = both.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return _averages(line, key, "macd", {"macd_signal": signal}, split).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop(*INDEX)
 
 
 def rsi(df: DataFrame, key: str, ts: str, val: str, n: int = 14, *, eps: float = 1e-5, split: int | None = None) -> DataFrame:
@@ -160,7 +213,7 @@ def with_lead(df: DataFrame, key: str, ts: str, val: str, ks: Sequence[int] = (1
     return scale.over_rows(df, key, ts, lambda w: {f"lead_{k}": F.lead(val, k).over(w) for k in ks}, back=0, ahead=max(ks), split=split)
 
 
-def fill(df: DataFrame, key: str, ts: str, columns: Sequence[str], how: str = "ffill", *, then_zero: bool = False, grain: str = "month") -> DataFrame:
+def fill(df: DataFrame, key: str, ts: str, columns: Sequence[str], how: str = "ffill", *, then_zero: bool = False, grain: str | None = None) -> DataFrame:
     """Replace nulls by the last (``ffill``) or next (``bfill``) value of the key, then optionally by 0."""
     out = scale.carry_forward(df, key, ts, {f"_f_{c}": c for c in columns}, grain=grain, forward=how == "ffill")
     for c in columns:
@@ -168,7 +221,7 @@ def fill(df: DataFrame, key: str, ts: str, columns: Sequence[str], how: str = "f
     return out.fillna(0, subset=list(columns)) if then_zero else out
 
 
-def drawdown(df: DataFrame, key: str, ts: str, val: str, *, include_start: bool = False, grain: str = "month") -> DataFrame:
+def drawdown(df: DataFrame, key: str, ts: str, val: str, *, include_start: bool = False, grain: str | None = None) -> DataFrame:
     """Cumulative return, its running maximum and the drawdown from it.
 
     By default the running maximum starts with the second value (the first return);
@@ -251,7 +304,7 @@ def pair_correlation(df: DataFrame, key: str, ts: str, val: str, keys: Sequence[
 def rebase(df: DataFrame, key: str, ts: str, val: str, points: int = 30) -> DataFrame:
     """Change in percent against the first value, thinned to about ``points`` rows per key."""
     first = df.groupBy(key).agg(F.min_by(val, ts).alias("_p0"), F.count(F.lit(1)).alias("_n"))
-    indexed = scale.row_index(df.select(key, ts, val), key, ts, grain="month", name="_ix")
+    indexed = scale.row_index(df.select(key, ts, val), key, ts, name="_ix")
     indexed = scale.null_safe_join(indexed, first, [key])
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / points))
     return (indexed.where(F.col("_ix") % step == 0)
@@ -264,7 +317,7 @@ def top_performers(df: DataFrame, key: str, ts: str, val: str, k: int = 5) -> Da
     return moves.withColumn("change", F.col("last_value") - F.col("first_value")).orderBy(F.abs("change").desc(), key).limit(k)
 
 
-def half_trend(df: DataFrame, key: str, ts: str, val: str, eps: float = 0.1, *, tie: Sequence[Column] = (), grain: str = "hour") -> DataFrame:
+def half_trend(df: DataFrame, key: str, ts: str, val: str, eps: float = 0.1, *, tie: Sequence[Column] = (), grain: str | None = None) -> DataFrame:
     """Mean of the later half minus mean of the earlier half, with a label."""
     ix = scale.row_index(df, key, ts, tie=tie, grain=grain, name="_ix", total="_n")
     half = F.floor(F.col("_n") / 2)
@@ -374,7 +427,7 @@ def context_features(df: DataFrame, key: str, ts: str, val: str, context: int =
     return out.where(F.col("mean_7").isNotNull())
 
 
-def time_split(df: DataFrame, key: str, ts: str, test: float = 0.2, *, tie: Sequence[Column] = (), grain: str = "month") -> DataFrame:
+def time_split(df: DataFrame, key: str, ts: str, test: float = 0.2, *, tie: Sequence[Column] = (), grain: str | None = None) -> DataFrame:
     """Mark the earliest rows of every key as train and the last share as test."""
     ix = scale.row_index(df, key, ts, tie=tie, grain=grain, name="_ix", total="_n")
     part = F.when(F.col("_ix") < F.floor(F.col("_n") * (1 - test)), "train").otherwise("test")

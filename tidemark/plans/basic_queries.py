@@ -137,7 +137,7 @@ def _(spark, d):
     e = table(spark, d, "events")
     left = e.where("event_type = 'click'").select("event_id", "ts")
     right = e.where("event_type = 'purchase'").select("ts", F.col("value").alias("price"), "event_id")
-    return J.asof_join(left, right, "ts", ["price"], order="event_id", grain="hour")
+    return J.asof_join(left, right, "ts", ["price"], order="event_id")
 
 
 @query("j_03_asof_join_by_key", """SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_shipdate, r.l_shipdate AS l_shipdate_right, r.price
@@ -148,7 +148,7 @@ def _(spark, d):
     e = table(spark, d, "lineitem")
     left = e.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
     right = e.where("l_returnflag = 'A'").select("l_suppkey", "l_shipdate", F.col("l_extendedprice").alias("price"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    return J.asof_join(left, right, "l_shipdate", ["price"], by="l_suppkey", order="seq", grain="month")
+    return J.asof_join(left, right, "l_shipdate", ["price"], by="l_suppkey", order="seq")
 
 
 @query("j_04_interval_agg_join", f"""WITH p AS (SELECT event_id, ts AS lo, ts + INTERVAL 2 HOURS AS hi FROM events WHERE event_type = 'purchase')

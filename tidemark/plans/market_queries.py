@@ -274,11 +274,12 @@ def _(spark, d):
     return S.sma(ticks, "event_type", "ts", "value", 20, split=100).select("event_type", "event_id", r("sma_20"))
 
 
-@query("w_37_split_macd", "SELECT event_type, count(*) AS n, true AS same FROM events GROUP BY 1")
-def _(spark, d):
-    """Blocks far smaller than the series give the MACD of the whole series."""
-    ticks = table(spark, d, "events").groupBy("event_type", "ts").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("k"))
-    whole = S.macd(ticks, "event_type", "ts", "value").select("event_type", "ts", "k", "macd_hist")
-    parts = S.macd(ticks, "event_type", "ts", "value", split=50).select("event_type", "ts", F.col("macd_hist").alias("again"))
-    both = whole.join(parts, ["event_type", "ts"])
-    return both.groupBy("event_type").agg(F.sum("k").alias("n"), F.bool_and(F.abs(F.col("macd_hist") - F.col("again")) < 1e-9).alias("same"))
+@query("w_37_split_macd", f"""WITH t AS (SELECT event_type, ts, avg(value) AS x FROM events GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS i FROM t),
+ m AS (SELECT a.event_type, a.ts, a.i, sum(b.x * CASE WHEN b.i = 1 THEN pow(11.0 / 13, a.i - 1) ELSE 2.0 / 13 * pow(11.0 / 13, a.i - b.i) END) - sum(b.x * CASE WHEN b.i = 1 THEN pow(25.0 / 27, a.i - 1) ELSE 2.0 / 27 * pow(25.0 / 27, a.i - b.i) END) AS macd
+       FROM s a JOIN s b ON a.event_type = b.event_type AND b.i <= a.i GROUP BY 1, 2, 3)
+ SELECT a.event_type, a.ts, {R('any_value(a.macd)', 4)} AS macd, {R('sum(b.macd * CASE WHEN b.i = 1 THEN pow(0.8, a.i - 1) ELSE 0.2 * pow(0.8, a.i - b.i) END)', 4)} AS macd_signal
+ FROM m a JOIN m b ON a.event_type = b.event_type AND b.i <= a.i GROUP BY 1, 2""")
+def _(spark, d):
+    """Blocks far smaller than the series, against the sums that the averages stand for."""
+    ticks = table(spark, d, "events").groupBy("event_type", "ts").agg(F.avg("value").alias("value"))
+    return S.macd(ticks, "event_type", "ts", "value", split=500).select("event_type", "ts", r("macd", 4), r("macd_signal", 4))

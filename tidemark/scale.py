@@ -2,10 +2,10 @@
 
 Spark combines algebraic aggregates on the map side, so a plain ``groupBy`` is
 safe for a hot key. Ordered work is not: a window puts a whole key in one task.
-The helpers below split a key by a *deterministic* bucket (a calendar grain or a
-power-of-two value band), work inside ``(key, bucket)`` and stitch the buckets
-through a table with one row per bucket. That table is bounded by the calendar
-or by the value bands, never by the number of rows.
+The helpers below split a key by a *deterministic* bucket (a range of times that holds
+about the same number of rows as any other, or a power-of-two value band), work inside
+``(key, bucket)`` and stitch the buckets through a table with one row per key and
+bucket. The number of buckets follows the session's shuffle partitions, never the data.
 """
 
 from __future__ import annotations
@@ -58,6 +58,34 @@ def calendar_bucket(ts: str | Column, grain: str) -> Column:
     return F.date_trunc(grain, F.col(ts) if isinstance(ts, str) else ts)
 
 
+#: Buckets of time for each shuffle partition, and sampled rows for each bucket.
+BUCKETS_PER_PARTITION, ROWS_PER_BUCKET = 4, 100
+
+
+def time_bucket(df: DataFrame, ts: str, grain: str | None = None, name: str = "_bucket") -> DataFrame:
+    """Add the number of the row's range of times; ranges follow the times and hold about equally many rows of the table each.
+
+    The edges are exact quantiles of a sample that is chosen by a hash of the row, in a scalar subquery of the plan: the same rows give the same edges
+    in every branch and every attempt of a task. A day with a third of all rows is cut like any other third; only rows of one time stay
+    together. ``grain`` takes calendar units instead, which needs no pass over the data but is only as even as the calendar.
+    Rows without a time are in the first range.
+    """
+    if grain:
+        return df.withColumn(name, calendar_bucket(F.col(ts).cast("timestamp"), grain))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    levels = max(5, (BUCKETS_PER_PARTITION * partitions).bit_length())
+    edges = (1 << levels) - 1
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    share = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / (ROWS_PER_BUCKET * edges))).cast("long")).scalar()
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if _hashable(df, c)])
+    sample = df.where(F.pmod(hashed, share) == 0).select(moment.alias("_us"))
+    cuts = sample.agg(F.percentile("_us", F.array(*[F.lit((i + 1) / (edges + 1)) for i in range(edges)]))).scalar()
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
+    # Halving: the number of edges at or before the row's time.
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.element_at(F.col("_cuts"), at + step) <= F.col("_us"), at + step).otherwise(at))
+    return df.withColumns({"_us": moment, "_cuts": cuts}).withColumn(name, place).drop("_us", "_cuts")
+
+
 def unnest(df: DataFrame, keep: Sequence[str | Column], array: str | Column, name: str, position: str | None = None) -> DataFrame:
     """One row per array element next to the kept columns; empty arrays give none.
 
@@ -159,14 +187,14 @@ def percentiles_of(df: DataFrame, keys: str | Keys | None, columns: Sequence[str
 
 
 def carry_forward(df: DataFrame, keys: str | Keys, ts: str, columns: Mapping[str, str], *,
-                  tie: Sequence[Column] = (), grain: str = "day", forward: bool = True) -> DataFrame:
+                  tie: Sequence[Column] = (), grain: str | None = None, forward: bool = True) -> DataFrame:
     """Last (or, backwards, next) non-null value of each column up to the row, per key.
 
-    Works inside ``(key, calendar bucket)``; what earlier buckets leave behind
-    comes from a table with one row per bucket.
+    Works inside ``(key, bucket)``, see :func:`time_bucket`; what earlier buckets leave
+    behind comes from a table with one row per key and bucket.
     """
     names = as_keys(keys)
-    bucketed = df.withColumn("_bucket", calendar_bucket(F.col(ts).cast("timestamp"), grain))
+    bucketed = time_bucket(df, ts, grain)
     order = [F.col(ts), *tie]
     if not forward:
         order = [F.col(ts).desc(), *[t.desc() for t in tie]]
@@ -193,11 +221,11 @@ def carry_forward(df: DataFrame, keys: str | Keys, ts: str, columns: Mapping[str
     return out.drop(*drop)
 
 
-def row_index(df: DataFrame, keys: str | Keys, ts: str, *, tie: Sequence[Column] = (), grain: str = "hour",
+def row_index(df: DataFrame, keys: str | Keys, ts: str, *, tie: Sequence[Column] = (), grain: str | None = None,
               name: str = "row_index", total: str | None = None) -> DataFrame:
     """Zero-based position of every row in its key's time order, for keys of any size."""
     names = as_keys(keys)
-    bucketed = df.withColumn("_bucket", calendar_bucket(F.col(ts).cast("timestamp"), grain))
+    bucketed = time_bucket(df, ts, grain)
     sizes = bucketed.groupBy(*names, "_bucket").agg(F.count(F.lit(1)).alias("_in"))
     up_to = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*names)
@@ -214,7 +242,7 @@ def row_index(df: DataFrame, keys: str | Keys, ts: str, *, tie: Sequence[Column]
 
 
 def over_rows(df: DataFrame, keys: str | Keys, ts: str, exprs: Callable[[Window], Mapping[str, Column]], *,
-              back: int, ahead: int = 0, split: int | None = None, grain: str = "hour",
+              back: int, ahead: int = 0, split: int | None = None, grain: str | None = None,
               tie: Sequence[Column] = ()) -> DataFrame:
     """Add window columns whose frames reach at most ``back`` rows back and ``ahead`` rows on.
 
@@ -242,12 +270,12 @@ def over_rows(df: DataFrame, keys: str | Keys, ts: str, exprs: Callable[[Window]
 
 
 def running_extreme(df: DataFrame, keys: str | Keys, ts: str, value: str, out: str, *,
-                    grain: str = "month", largest: bool = True) -> DataFrame:
-    """Running maximum (or minimum) per key in time order, split by calendar bucket."""
+                    grain: str | None = None, largest: bool = True) -> DataFrame:
+    """Running maximum (or minimum) per key in time order, split by bucket of time."""
     names = as_keys(keys)
     agg = F.max if largest else F.min
     pick = F.greatest if largest else F.least
-    bucketed = df.withColumn("_bucket", calendar_bucket(F.col(ts).cast("timestamp"), grain))
+    bucketed = time_bucket(df, ts, grain)
     ends = bucketed.groupBy(*names, "_bucket").agg(agg(value).alias("_m"))
     before = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*names, "_bucket", agg("_m").over(before).alias("_before"))
@@ -271,7 +299,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def with_totals(df: DataFrame, keys: str | Keys | None, totals: Mapping[str, Column]) -> DataFrame:
-    """Attach aggregates of the whole key (or whole table) without a window.
+    """Attach aggregates of the whole key (or whole table) without a window; rows without a key form one group.
 
     The aggregate combines on the map side and joins back; Spark broadcasts it
     when its measured size is small and splits a skewed key otherwise.
@@ -280,7 +308,7 @@ def with_totals(df: DataFrame, keys: str | Keys | None, totals: Mapping[str, Col
     sums = df.groupBy(*names).agg(*[c.alias(n) for n, c in totals.items()]) if names else df.agg(
         *[c.alias(n) for n, c in totals.items()])
     if names:
-        return df.join(sums, names, "left")
+        return null_safe_join(df, sums, names, "left")
     row = sums.select(F.struct(*totals.keys()).alias("_t")).scalar()
     out = df.withColumn("_t", row)
     for name in totals:
