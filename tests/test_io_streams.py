@@ -1,5 +1,7 @@
 """Sources, sinks and streams on small files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +62,7 @@ def feed(spark, tmp_path):
 def test_stream_equals_batch(spark, feed):
     df, path, _ = feed
     for fn in (lambda x: streams.bars_stream(x, "k", "ts", "v"), lambda x: streams.sessions(x, "k", "ts", "10 minutes", "1 day"),
-               lambda x: streams.latest_stream(x, "k", "ts", ["v"]), lambda x: streams.burst_stream(x, "k", "ts", 2, 600)):
+               lambda x: streams.latest_stream(x, "k", "ts", ["v"])):
         live = streams.run_once(fn(streams.ingest_stream(spark, path, df.schema, files_per_trigger=1)), "t")
         assert sorted(map(tuple, live.collect())) == sorted(map(tuple, fn(df).collect()))
 
@@ -72,6 +74,49 @@ def test_stream_dedupe_over_batches(spark, feed):
     assert got.count() == 6
 
 
+def in_batches(spark, folder, batches, schema="k string, s long"):
+    """A stream that reads one batch of rows after the other."""
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.parquet(f"{folder}/{i:03}")
+    shape = spark.read.parquet(f"{folder}/000").schema
+    return streams.ingest_stream(spark, f"{folder}/*", shape, files_per_trigger=1, options={"maxFileAge": "10000d"})
+
+
+def test_bursts_on_any_alignment(spark, tmp_path):
+    """Bursts across the starts of hours and of batches, events that come late but in time, one that comes too late, quiet keys, a key without a name."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), 1_000_000 + int(rng.expovariate(1 / 900) + i * 240)) for i in range(400)]
+    rows += [("c", 1_000_800 + 900 * i) for i in range(6)] + [("d", 1_050_000 + 899 * i) for i in range(5)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(0, 3000))
+    batches = [rows[i : i + 60] for i in range(0, len(rows), 60)] + [[("z", 3_000_000)], [("a", 1_000_001)] * 9]
+    live = streams.run_once(streams.burst_stream(in_batches(spark, str(tmp_path / "in"), batches), "k", "ts", 5, 3600, delay="2 hours"), "t", mode="append")
+    whole = spark.createDataFrame(rows, "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    key = lambda r: (r[0] or "", r[1], r[2])
+    got, want = sorted(map(tuple, live.collect()), key=key), sorted(map(tuple, streams.burst_stream(whole, "k", "ts", 5, 3600).collect()), key=key)
+    assert got == want and {r[0] for r in got} == {"a", "b", "d", None} and len(got) > 20
+
+
+def test_single_events_are_bursts_of_one(spark, tmp_path):
+    s = in_batches(spark, str(tmp_path / "in"), [[("a", 10), ("a", 10)], [("a", 5000)], [("z", 90_000)]])
+    assert streams.run_once(streams.burst_stream(s, "k", "ts", 1, 60, delay="1 second"), "t", mode="append").count() == 3
+
+
+def test_alerts_do_not_read_what_was_written(spark, tmp_path):
+    """A batch succeeds although the folder of an earlier one is unreadable, and repeats nothing."""
+    def source():
+        reader = spark.readStream.schema("symbol string, risk_score double").json(str(tmp_path / "in"))
+        return reader.withColumns({"risk_category": F.lit("x"), "risk_factors": F.array().cast("array<string>")})
+
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(['{"symbol":"a","risk_score":90}', '{"symbol":"a","risk_score":90}\n{"symbol":"b","risk_score":10}', '{"symbol":"b","risk_score":10}']):
+        (tmp_path / "in" / f"{i}.json").write_text(rows)
+        streams.alert_sink(source(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "out" / f"batch_id={i}"))
+        assert got.count() == [2, 1, 0][i]
+        for part in (tmp_path / "out" / f"batch_id={i}").glob("part-*") if i == 0 else ():
+            part.write_bytes(b"not a table")
+
+
 def test_restart_continues(spark, feed):
     df, path, tmp = feed
     for _ in range(2):

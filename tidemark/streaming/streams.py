@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tidemark.operators.scoring import alerts
-from tidemark.operators.series import INTERVALS
+from tidemark.operators.series import INTERVALS, bursts
 from tidemark.session import scratch_dir
 
 
@@ -51,11 +53,40 @@ def latest_stream(df: DataFrame, key: str, ts: str, columns: list[str]) -> DataF
     return df.groupBy(key).agg(F.max(F.struct(ts, *columns)).alias("_l")).select(key, f"_l.{ts}", *[f"_l.{c}" for c in columns])
 
 
-def burst_stream(df: DataFrame, key: str, ts: str, k: int = 5, seconds: int = 3600, *, slide: int | None = None, delay: str = "1 hour") -> DataFrame:
-    """Windows of ``seconds`` with at least ``k`` events of a key; windows start every ``slide`` seconds."""
-    step = slide or max(seconds // 4, 1)
-    counts = df.withWatermark(ts, delay).groupBy(F.window(ts, f"{seconds} seconds", f"{step} seconds").alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where(F.col("n") >= k).select(key, F.col("w.start").alias("window_start"), "n")
+def burst_stream(df: DataFrame, key: str, ts: str, k: int = 5, seconds: int = 3600, *, delay: str = "1 hour") -> DataFrame:
+    """Rows that start ``k`` events of a key inside less than ``seconds``, wherever they lie: (key, burst_start, span_seconds), as :func:`tidemark.operators.series.bursts`.
+
+    Events become final, in the order of their times, once the watermark has passed them; until then a late event may still come between. The state of a key is its last ``k - 1``
+    final times and the times the watermark has not passed. A burst comes out once, when its last event is final; events later than ``delay`` are dropped. The state of a key that
+    is quiet for ``seconds`` behind the watermark is forgotten. A table that is no stream is searched by the batch operator.
+    """
+    if not df.isStreaming:
+        return bursts(df, key, ts, k, seconds)
+    kind = df.schema[key].dataType.simpleString()
+    limit = seconds * 1_000_000
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += frame["_us"].tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        times = last + sorted(t for t in waiting if t <= mark)
+        waiting = [t for t in waiting if t > mark]
+        found = [(a, b - a) for a, b in zip(times, times[k - 1 :]) if b - a < limit]
+        # What can still start a burst: not older than `seconds` before the watermark, up to which all is final.
+        last = [t for t in times[max(0, len(times) - k + 1) :] if t > mark - limit] if k > 1 else []
+        if last or waiting:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(max(-(-min(waiting) // 1000) if waiting else (last[-1] + limit) // 1000 + 1, mark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame({"key": [group[0]] * len(found), "us": [a for a, _ in found], "span": [d / 1e6 for _, d in found]})
+
+    times = df.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(F.col(key).alias("_key"), ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    found = times.groupBy("_key").applyInPandasWithState(step, f"key {kind}, us long, span double", "last array<long>, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("key").alias(key), F.timestamp_micros("us").alias("burst_start"), F.col("span").alias("span_seconds"))
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
@@ -71,16 +102,15 @@ def start_batches(df: DataFrame, work: Callable[[DataFrame, int], None], checkpo
 
 
 def alert_sink(df: DataFrame, path: str, checkpoint: str, **options):
-    """New alert rows of every batch as Parquet: what an earlier batch has written is not written again. A batch that runs again overwrites its own folder."""
+    """New alert rows of every batch as Parquet, each alert once. A batch that runs again overwrites its own folder with the same rows.
+
+    Alerts that have been written are keyed state of the stream (a hash partition each reads and writes its own keys only), so a batch costs what its
+    own alerts cost, however many have been written before; no batch reads what an earlier one has written.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = alerts(batch, **options)
-        if batch_id:
-            names = new.columns
-            seen = batch.sparkSession.read.option("basePath", path).parquet(path).where(F.col("batch_id") < batch_id).select(*names)
-            new = new.join(seen, names, "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return start_batches(df, write, checkpoint)
+    return start_batches(alerts(df, **options), write, checkpoint)
 
 
 def divert_late(df: DataFrame, ts: str, delay: str, on_time: str, late: str, checkpoint: str):
