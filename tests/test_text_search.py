@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import lexicons as L
-from tidemark.operators import joins, scoring, search, terms, text
+from tidemark.operators import cells, joins, scoring, search, terms, text
 from tidemark.functions import texts as X
 
 
@@ -119,6 +119,62 @@ def test_sketch_recall_at_the_registered_settings(spark, d):
     assert len(exact & close) / len(exact) >= 0.9
 
 
+def clustered(spark, n=3000, groups=60, d=24):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(groups, d))
+    return spark.createDataFrame([(i, [float(x) for x in centers[i % groups] + 0.35 * rng.normal(size=d)]) for i in range(n)], "id long, v array<float>").repartition(5)
+
+
+def measured(spark, vectors, asked, exact, **options):
+    near = cells.knn_cells(asked, vectors, cells.fit_cells(vectors, item="id", vec="v", cells=32, **options), query="q", query_vec="qv", item="id", vec="v", k=10).collect()
+    found = {(r["query_id"], r["item_id"]) for r in near}
+    return len(found & exact) / len(exact), np.mean([r["opened"] for r in near]), near
+
+
+def test_cells_open_few_items_of_clustered_vectors(spark, monkeypatch):
+    vectors = clustered(spark).persist()
+    asked = vectors.where("id % 40 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    exact = {(r["query_id"], r["item_id"]) for r in search.knn(asked, vectors, query="q", query_vec="qv", item="id", vec="v", k=10).collect()}
+    recall, opened, near = measured(spark, vectors, asked, exact)
+    assert recall >= 0.9 and opened < 300  # a tenth of all items
+    assert sorted(r["rank"] for r in near if r["query_id"] == 0) == list(range(1, 11))
+    # Slices of cells and blocks of queries change nothing.
+    monkeypatch.setattr(cells, "BLOCK_ITEMS", 20)
+    monkeypatch.setattr(cells, "BLOCK_QUERIES", 16)
+    again = measured(spark, vectors, asked, exact)
+    assert sorted(map(tuple, again[2])) == sorted(map(tuple, near))
+    # More probes find more, at a price; all cells find what sketches of all items would.
+    whole = measured(spark, vectors, asked, exact, probes=32)
+    assert whole[1] == 3000 and whole[0] >= recall - 0.01
+
+
+def test_cells_of_odd_tables(spark, points):
+    none = points.limit(0)
+    asked = points.where("id < 3").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    options = dict(query="q", query_vec="qv", item="id", vec="v", k=5)
+    assert cells.knn_cells(asked, none, cells.fit_cells(none, item="id", vec="v"), **options).count() == 0
+    odd = points.unionByName(spark.createDataFrame([(900, None), (901, [0.0] * 16)], "id long, v array<float>")).unionByName(points.where("id = 7"))
+    coarse = cells.fit_cells(odd, item="id", vec="v", cells=4)
+    got = cells.knn_cells(asked.unionByName(spark.createDataFrame([(5, None)], "q long, qv array<float>")), odd, coarse, **options).collect()
+    assert {r["query_id"] for r in got} == {0, 1, 2} and all(r["item_id"] == r["query_id"] for r in got if r["rank"] == 1) and 900 not in {r["item_id"] for r in got}
+    assert (cells.fit_cells(odd, item="id", vec="v", cells=4).centroids == coarse.centroids).all()
+
+
+@pytest.mark.parametrize("d", ["sf0.01", "sf0.1"])
+def test_cell_recall_at_the_registered_settings(spark, d):
+    """Vectors without clusters: about half of the items lie in opened cells, a twentieth (at sf0.1) is compared exactly."""
+    from tidemark.plans.text_queries import query_vectors, vectors
+
+    v, q = vectors(spark, f"/root/testdata/{d}"), query_vectors(spark, f"/root/testdata/{d}")
+    opts = dict(query="item_id", query_vec="embedding", item="vec_id", vec="embedding", k=10)
+    exact = search.knn(q, v, **opts)
+    near = cells.knn_cells(q, v, cells.fit_cells(v, item="vec_id", vec="embedding"), **opts).persist()
+    report = cells.recall_report(near, exact).first()
+    share = near.agg(F.avg("opened")).first()[0] / v.count()
+    print(d, report, share)
+    assert report["recall"] >= 0.9 and share < 0.75
+
+
 def test_pattern_lists_are_whole():
     assert len(set(L.STOPWORDS)) == len(L.STOPWORDS) and X.word_key("Anti-Money Laundering") == " anti  money  laundering "
 
