@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -59,7 +60,7 @@ def test_recurrent_gradients():
         net = toxicity.GatedNet(1)
         net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
         before = {k: v.copy() for k, v in net.p.items()}
-        net.train(x, index, y, epochs=1, rate=1e-6, batch=6)
+        net.train(x, index, y, steps=1, rate=1e-6, batch=6)
         step = {k: net.p[k] - before[k] for k in before}
         at = tuple(rng.integers(0, n) for n in before[name].shape)
         base = toxicity.GatedNet(1)
@@ -71,6 +72,83 @@ def test_recurrent_gradients():
         assert abs(slope) < 1e-4 or np.sign(step[name][at]) == -np.sign(slope), name
 
 
+def test_gradient_of_the_learned_inputs():
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(9, toxicity.INPUTS)), np.zeros(toxicity.INPUTS)])
+    index, y = rng.integers(0, 9, (6, toxicity.WINDOW)), np.array([0, 1, 1, 0, 1, 0], np.float64)
+    net = toxicity.GatedNet(1)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    got = np.zeros((10, toxicity.LEARNED))
+    net.train(x, index, y, steps=1, rate=0.0, batch=6, learn=lambda places, gradient: np.add.at(got, places, gradient))
+    for word, j in ((0, 0), (3, 2), (8, 3)):
+        loss = []
+        for step in (1e-3, -1e-3):
+            moved = x.copy()
+            moved[word, toxicity.COUNTED + j] += step
+            z = net.logits(moved, index).astype(np.float64)
+            loss.append(float(np.mean(np.log1p(np.exp(-z * (2 * y - 1))))))
+        assert got[word, j] == pytest.approx((loss[0] - loss[1]) / 2e-3, abs=2e-4)
+
+
+def plain_score(model, text):
+    """Window by window, word by word: the forward pass as it is written in papers."""
+    net, p = model.net, model.net.p
+    words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
+    if not words:
+        return 0.0
+    own = toxicity.Words(*toxicity.unique_words(*toxicity._joined([text])))
+    rows = net.inputs(model.inputs.of(own), own)[own.index]
+    assert len(rows) == len(words)
+    size, sigmoid = toxicity.WINDOW, lambda v: 1 / (1 + np.exp(-v))
+    starts = sorted({min(i, len(words) - size) for i in range(0, len(words) - size + toxicity.STRIDE, toxicity.STRIDE)}) if len(words) > size else [0]
+    best = -np.inf
+    for start in starts:
+        x = rows[start : start + size].astype(np.float64)
+        states = []
+        for d, seen in (("f", x), ("b", x[::-1])):
+            h, out = np.zeros(toxicity.HIDDEN), []
+            if d == "b":  # places behind a short text come first; they are words of zeros
+                seen = np.vstack([np.zeros((size - len(x), x.shape[1])), seen])
+            for v in seen:
+                z, r, c = np.split(v @ p["w" + d] + p["b" + d], 3)
+                uz, ur, uc = np.split(p["u" + d], 3, axis=1)
+                z, r = sigmoid(z + h @ uz), sigmoid(r + h @ ur)
+                h = (1 - z) * h + z * np.tanh(c + (r * h) @ uc)
+                out.append(h)
+            states.append(out if d == "f" else out[::-1][: len(x)])
+        s = np.hstack([np.array(states[0]), np.array(states[1])])
+        weight = np.exp(s @ p["a"])
+        best = max(best, float((weight / weight.sum()) @ s @ p["v"] + p["c"][0]))
+    a, b = net.scale
+    return float(sigmoid(a * best + b))
+
+
+def test_scores_equal_the_plain_forward_pass(docs):
+    rows = [(r["text"], r["doc_id"] % 3 == 0) for r in docs.where("text IS NOT NULL AND length(text) < 2000").orderBy("doc_id").limit(60).collect()]
+    model = toxicity.fit([t for t, _ in rows], np.array([int(y) for _, y in rows]), steps=20)
+    texts = [t for t, _ in rows[:25]] + ["", "one", "a b " * 16, "a b " * 16 + "c", " - "]
+    assert np.allclose(model.scores(*toxicity._joined(texts)), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
+@pytest.mark.parametrize("d, least, found", [("sf0.01", 0.85, 0.5), ("sf0.1", 0.95, 0.85)])
+def test_held_out_toxic_documents(spark, d, least, found):
+    folder = f"/root/testdata/{d}"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    held = docs.where(langid.in_fold("doc_id")).join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").select("text", "toxic")
+    rows = toxicity.score(held, model).select("toxic", "score").toPandas()
+    high, low = rows.score[rows.toxic > 0].to_numpy(), rows.score[rows.toxic == 0].to_numpy()
+    assert ((high[:, None] > low) + 0.5 * (high[:, None] == low)).mean() >= least
+    assert (high >= 0.5).mean() >= found and (low >= 0.5).mean() <= 0.02
+
+
+def test_calibration_keeps_the_order():
+    a, b = toxicity.calibration(np.array([3.0, 2.0, -1.0, -2.0, 0.5]), np.array([0.0, 0, 1, 1, 0]))
+    assert 0 < a <= 1
+    a, b = toxicity.calibration(np.array([-2.0, -1.0, 4.0, 5.0] * 20), np.array([0.0, 0, 1, 1] * 20))
+    assert 1 / (1 + np.exp(-(a * 4 + b))) > 0.9 > 0.1 > 1 / (1 + np.exp(-(b - a)))
+
+
 def test_toxicity_of_held_out_texts():
     rng = np.random.default_rng(4)
     vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(400)]

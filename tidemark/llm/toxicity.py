@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 from tidemark.llm.langid import in_fold
 from tidemark.llm.textarrays import ALPHANUMERIC, mix, prefix, slices, spans_hash, words
 
-#: Words in a window, words from one window to the next, state size of each direction, inputs of a word.
-WINDOW, STRIDE, HIDDEN, INPUTS = 32, 16, 8, 4
+#: Words in a window, words from one window to the next, state size of each direction, counted and learned inputs of a word.
+WINDOW, STRIDE, HIDDEN, COUNTED, LEARNED = 32, 16, 8, 4, 4
+INPUTS = COUNTED + LEARNED
 GRAMS = 1 << 16
 BATCH = 4096
 
@@ -53,6 +54,12 @@ def unique_words(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, index.ravel(), counts, gram[order], np.searchsorted(owner[order], np.arange(len(s)))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def frames(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word places, -1 where there is none; windows per text): all overlapping windows; the last one ends with the text; none for a text without words."""
     per = np.where(counts > WINDOW, -(-(counts - WINDOW) // STRIDE) + 1, np.minimum(counts, 1))
@@ -63,6 +70,22 @@ def frames(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(place < counts[text][:, None], (np.cumsum(counts) - counts)[text][:, None] + place, -1), per
 
 
+@dataclass
+class Words:
+    """The words of some texts: see unique_words()."""
+
+    hashes: np.ndarray
+    index: np.ndarray
+    counts: np.ndarray
+    grams: np.ndarray
+    first: np.ndarray
+
+    @property
+    def many(self) -> np.ndarray:
+        """Character n-grams of each distinct word."""
+        return np.diff(np.append(self.first, len(self.grams)))
+
+
 @dataclass
 class Inputs:
     """What training rows say about a word: how much oftener toxic texts have it, and have its character n-grams."""
@@ -72,40 +95,38 @@ class Inputs:
     gram_odds: np.ndarray
 
     @classmethod
-    def count(cls, data: np.ndarray, borders: np.ndarray, toxic: np.ndarray, least: int = 5) -> Inputs:
-        hashes, index, counts, grams, first = unique_words(data, borders)
-        text = np.repeat(np.arange(len(counts)), counts)
-        pairs = np.unique(text * np.int64(len(hashes) + 1) + index)
-        t, w = np.divmod(pairs, len(hashes) + 1)
-        n = [max(1, int((toxic == c).sum())) for c in (0, 1)]
-        seen = [np.bincount(w[toxic[t] == c], minlength=len(hashes)) for c in (0, 1)]
+    def count(cls, w: Words, toxic: np.ndarray, use: np.ndarray, least: int = 3) -> Inputs:
+        """From the texts marked in `use`."""
+        size = len(w.hashes) + 1
+        text = np.repeat(np.arange(len(w.counts)), w.counts)
+        pairs = distinct((text * np.int64(size) + w.index)[use[text]])
+        t, word = np.divmod(pairs, size)
+        n = [max(1, int((toxic[use] == c).sum())) for c in (0, 1)]
+        seen = [np.bincount(word[toxic[t] == c], minlength=len(w.hashes)) for c in (0, 1)]
         often = seen[0] + seen[1] >= least
         odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-        many = np.diff(np.append(first, len(grams)))
         gram_seen = []
         for c in (0, 1):
-            of_word = pairs[toxic[t] == c]
-            tt, ww = np.divmod(of_word, len(hashes) + 1)
-            size = many[ww]
-            at = np.repeat(first[ww] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-            both = np.unique(np.repeat(tt, size) * np.int64(GRAMS) + grams[at])
-            gram_seen.append(np.bincount(both % GRAMS, minlength=GRAMS))
+            tt, ww = t[toxic[t] == c], word[toxic[t] == c]
+            many = w.many[ww]
+            at = np.repeat(w.first[ww] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            gram_seen.append(np.bincount(distinct(np.repeat(tt, many) * np.int64(GRAMS) + w.grams[at]) % GRAMS, minlength=GRAMS))
         gram_odds = np.log((gram_seen[1] + 1) / (n[1] + 2)) - np.log((gram_seen[0] + 1) / (n[0] + 2))
         gram_odds[gram_seen[0] + gram_seen[1] < least] = 0
-        return cls(hashes[often], np.clip(odds[often], -3, 5).astype(np.float32), np.clip(gram_odds, -3, 5).astype(np.float32))
-
-    def of(self, hashes: np.ndarray, grams: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """INPUTS numbers for each distinct word, and a last row of zeros for no word."""
-        out = np.zeros((len(hashes) + 1, INPUTS), np.float32)
-        if len(hashes) and len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            hit = self.known[at] == hashes
+        return cls(w.hashes[often], np.clip(odds[often], -3, 5).astype(np.float32), np.clip(gram_odds, -3, 5).astype(np.float32))
+
+    def of(self, w: Words) -> np.ndarray:
+        """COUNTED numbers for each distinct word, and a last row of zeros for no word."""
+        out = np.zeros((len(w.hashes) + 1, COUNTED), np.float32)
+        if len(w.hashes) and len(self.known):
+            at = np.minimum(np.searchsorted(self.known, w.hashes), len(self.known) - 1)
+            hit = self.known[at] == w.hashes
             out[:-1, 0] = np.where(hit, self.odds[at], 0)
             out[:-1, 1] = hit
-        if len(hashes):
-            g = self.gram_odds[grams]
-            out[:-1, 2] = np.maximum.reduceat(g, first)
-            out[:-1, 3] = np.add.reduceat(g, first) / np.diff(np.append(first, len(g)))
+        if len(w.hashes):
+            g = self.gram_odds[w.grams]
+            out[:-1, 2] = np.maximum.reduceat(g, w.first)
+            out[:-1, 3] = np.add.reduceat(g, w.first) / w.many
         return out
 
 
@@ -115,10 +136,20 @@ class GatedNet:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         init = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
+        #: Learned vectors of character n-grams; those of a word's n-grams are averaged.
+        self.grams = np.zeros((GRAMS, LEARNED), np.float32)
         self.p = {"wf": init(INPUTS, 3 * HIDDEN), "wb": init(INPUTS, 3 * HIDDEN), "uf": init(HIDDEN, 3 * HIDDEN), "ub": init(HIDDEN, 3 * HIDDEN), "bf": np.zeros(3 * HIDDEN, np.float32),
                   "bb": np.zeros(3 * HIDDEN, np.float32), "a": init(2 * HIDDEN), "v": init(2 * HIDDEN), "c": np.zeros(1, np.float32)}
         self.scale = (1.0, 0.0)
 
+    def inputs(self, counted: np.ndarray, w: Words) -> np.ndarray:
+        """INPUTS numbers for each distinct word: the counted ones, and the mean of its n-grams' learned vectors."""
+        out = np.zeros((len(counted), INPUTS), np.float32)
+        out[:, :COUNTED] = counted
+        if len(w.hashes):
+            out[: len(w.hashes), COUNTED:] = np.add.reduceat(self.grams[w.grams], w.first) / w.many[:, None]
+        return out
+
     def _run(self, x: np.ndarray, index: np.ndarray, d: str, keep: bool):
         """States (places, windows, HIDDEN) of one direction; x holds each distinct word's projected input."""
         u, n = self.p["u" + d], len(index)
@@ -149,43 +180,52 @@ class GatedNet:
         out = pooled @ self.p["v"] + self.p["c"][0]
         return (out, s, e, pooled, tf, tb) if keep else out
 
-    def train(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 256, seed: int = 0) -> None:
+    def train(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, steps: int, rate: float = 0.01, batch: int = 64, seed: int = 0, learn=None) -> None:
+        """Steps of Adam on batches of windows. `learn(words, gradient)` gets the gradient of the learned inputs of the batch's places."""
         rng, p = np.random.default_rng(seed), self.p
-        m, v, step = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}, 0
-        for _ in range(epochs):
-            for at in np.array_split(rng.permutation(len(index)), max(1, len(index) // batch)):
-                idx = index[at]
-                out, s, e, pooled, tf, tb = self.logits(x, idx, True)
-                d = (1 / (1 + np.exp(-out)) - y[at]) / len(at)
-                g = {"v": pooled.T @ d, "c": np.array([d.sum()], np.float32)}
-                dp = d[:, None] * p["v"]
-                ds = e[:, :, None] * dp
-                de = np.einsum("tnh,nh->tn", s, dp)
-                de = e * (de - (e * de).sum(axis=0))
-                g["a"] = np.einsum("tn,tnh->h", de, s)
-                ds += de[:, :, None] * p["a"]
-                for k, trace, part in (("f", tf, ds[:, :, :HIDDEN]), ("b", tb, ds[:, :, HIDDEN:])):
-                    u = p["u" + k]
-                    gu, gw, gb = np.zeros_like(u), np.zeros_like(p["w" + k]), np.zeros_like(p["b" + k])
-                    dh = np.zeros((len(at), HIDDEN), np.float32)
-                    for t, h, z, r, rh, c in reversed(trace):
-                        dh = dh + part[t]
-                        dc = dh * z * (1 - c * c)
-                        dz = dh * (c - h) * z * (1 - z)
-                        drh = dc @ u[:, 2 * HIDDEN :].T
-                        dr = drh * h * r * (1 - r)
-                        dg = np.concatenate([dz, dr, dc], axis=1)
-                        gu[:, : 2 * HIDDEN] += h.T @ dg[:, : 2 * HIDDEN]
-                        gu[:, 2 * HIDDEN :] += rh.T @ dc
-                        gw += x[idx[:, t]].T @ dg
-                        gb += dg.sum(axis=0)
-                        dh = dh * (1 - z) + drh * r + dg[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
-                    g |= {"u" + k: gu, "w" + k: gw, "b" + k: gb}
-                step += 1
-                for k in p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * g[k] * g[k]
-                    p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+        m, v = {k: np.zeros_like(w) for k, w in p.items()}, {k: np.zeros_like(w) for k, w in p.items()}
+        order = np.zeros(0, np.int64)
+        for step in range(1, steps + 1):
+            if len(order) < min(batch, len(index)):
+                order = np.append(order, rng.permutation(len(index)))
+            at, order = order[:batch], order[batch:]
+            # Only the batch's own words are projected; the row for no word stays the last one.
+            own = distinct(np.append(index[at].ravel(), len(x) - 1))
+            idx, rows = np.searchsorted(own, index[at]), x[own]
+            out, s, e, pooled, tf, tb = self.logits(rows, idx, True)
+            d = (1 / (1 + np.exp(-out)) - y[at]) / len(at)
+            g = {"v": pooled.T @ d, "c": np.array([d.sum()], np.float32)}
+            dp = d[:, None] * p["v"]
+            ds = e[:, :, None] * dp
+            de = np.einsum("tnh,nh->tn", s, dp)
+            de = e * (de - (e * de).sum(axis=0))
+            g["a"] = np.einsum("tn,tnh->h", de, s)
+            ds += de[:, :, None] * p["a"]
+            dx = np.zeros((WINDOW, len(at), LEARNED), np.float32)
+            for k, trace, part in (("f", tf, ds[:, :, :HIDDEN]), ("b", tb, ds[:, :, HIDDEN:])):
+                u = p["u" + k]
+                gu, gw, gb = np.zeros_like(u), np.zeros_like(p["w" + k]), np.zeros_like(p["b" + k])
+                dh = np.zeros((len(at), HIDDEN), np.float32)
+                for t, h, z, r, rh, c in reversed(trace):
+                    dh = dh + part[t]
+                    dc = dh * z * (1 - c * c)
+                    dz = dh * (c - h) * z * (1 - z)
+                    drh = dc @ u[:, 2 * HIDDEN :].T
+                    dr = drh * h * r * (1 - r)
+                    dg = np.concatenate([dz, dr, dc], axis=1)
+                    gu[:, : 2 * HIDDEN] += h.T @ dg[:, : 2 * HIDDEN]
+                    gu[:, 2 * HIDDEN :] += rh.T @ dc
+                    gw += rows[idx[:, t]].T @ dg
+                    gb += dg.sum(axis=0)
+                    dx[t] += dg @ p["w" + k][COUNTED:].T
+                    dh = dh * (1 - z) + drh * r + dg[:, : 2 * HIDDEN] @ u[:, : 2 * HIDDEN].T
+                g |= {"u" + k: gu, "w" + k: gw, "b" + k: gb}
+            for k in p:
+                m[k] = 0.9 * m[k] + 0.1 * g[k]
+                v[k] = 0.999 * v[k] + 0.001 * g[k] * g[k]
+                p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+            if learn is not None:
+                learn(own[idx].T.ravel(), dx.reshape(-1, LEARNED))
 
 
 @dataclass
@@ -195,13 +235,13 @@ class Model:
 
     def raw(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
         """The highest window of each text, before calibration; NaN for a text without words."""
-        hashes, index, counts, grams, first = unique_words(data, borders)
-        x = self.inputs.of(hashes, grams, first)
-        at, per = frames(counts)
-        out = np.full(len(counts), np.nan)
+        w = Words(*unique_words(data, borders))
+        x = self.net.inputs(self.inputs.of(w), w)
+        at, per = frames(w.counts)
+        out = np.full(len(w.counts), np.nan)
         if not len(at):
             return out
-        index = np.append(index, len(hashes))[at]
+        index = np.append(w.index, len(w.hashes))[at]
         logits = np.concatenate([self.net.logits(x, index[i : i + BATCH]) for i in range(0, len(index), BATCH)])
         out[per > 0] = np.maximum.reduceat(logits, (np.cumsum(per) - per)[per > 0])
         return out
@@ -216,43 +256,78 @@ def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, seed: int = 0) -> Model:
-    """Word and n-gram odds come from one half of the texts, the network from the other, whose odds are thus as uncertain as those of new texts.
+def calibration(height: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit, by Newton's method with a weak pull towards the slope 1; the slope stays positive, because a higher window is never less toxic."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * height + b, -30, 30)))
+        q = np.maximum(p * (1 - p), 1e-9)
+        g = np.array([((p - label) * height).sum() + 0.1 * (a - 1), (p - label).sum() + 0.01 * b])
+        h = np.array([[(q * height * height).sum() + 0.1, (q * height).sum()], [(q * height).sum(), q.sum() + 0.01]])
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+        a, b = max(a - step[0], 0.05), b - step[1]
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(a), float(b)
+
+
+def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Rows of values summed by owner."""
+    return np.stack([np.bincount(owner, weights=column, minlength=n) for column in values.T], axis=1).astype(np.float32)
+
+
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 200, folds: int = 4, seed: int = 0) -> Model:
+    """Counted inputs of a text come from the other folds of the texts, so that they are as uncertain as those of new texts; at scoring they come from all texts.
 
     A text's label belongs to its highest window: each round trains on that window of every text (at first the one with the strongest inputs) and on
-    windows of clean texts at random, then finds the highest ones anew. A logistic fit of the highest windows calibrates the scores.
+    windows of clean texts at random, for `steps` steps however few texts there are, then finds the highest ones anew. The learned vectors of character n-grams are trained along.
+    A logistic fit of the highest windows calibrates the scores. With texts of one label only, all scores are near that label.
     """
-    half = np.arange(len(texts)) % 2 == 0
-    inputs = Inputs.count(*_joined([t for t, h in zip(texts, half) if h]), toxic[half])
-    model = Model(inputs, GatedNet(seed))
-    data, borders = _joined([t for t, h in zip(texts, half) if not h])
-    y = toxic[~half].astype(np.float32)
-    hashes, index, counts, grams, first = unique_words(data, borders)
-    x = inputs.of(hashes, grams, first)
-    at, per = frames(counts)
+    toxic = np.asarray(toxic)
+    w = Words(*unique_words(*_joined(texts)))
+    model = Model(Inputs.count(w, toxic, np.ones(len(texts), bool)), GatedNet(seed))
+    net, y = model.net, toxic.astype(np.float32)
+    at, per = frames(w.counts)
     if not len(at) or len(np.unique(y[per > 0])) < 2:
-        model.net.scale = (0.0, -30.0 if not len(y) or y.mean() < 0.5 else 30.0)
+        net.scale = (0.0, -30.0 if not len(y) or y.mean() < 0.5 else 30.0)
         return model
-    windows = np.append(index, len(hashes))[at]
+    # Each fold has inputs of its own for every distinct word: block g of the rows; the last row is no word.
+    fold, size = np.arange(len(texts)) % folds, len(w.hashes)
+    counted = np.concatenate([*(Inputs.count(w, toxic, fold != g).of(w)[:-1] for g in range(folds)), np.zeros((1, COUNTED), np.float32)])
     owner = np.repeat(np.arange(len(per)), per)
+    windows = np.where(at >= 0, w.index[at] + fold[owner][:, None] * size, folds * size)
+
+    def inputs() -> np.ndarray:
+        one = net.inputs(np.zeros((size, COUNTED), np.float32), w)[:, COUNTED:]
+        return np.concatenate([counted, np.concatenate([np.tile(one, (folds, 1)), np.zeros((1, LEARNED), np.float32)])], axis=1)
+
+    squares = np.full((GRAMS, 1), 1e-3, np.float32)
+    x = inputs()
+
+    def learn(place: np.ndarray, gradient: np.ndarray) -> None:
+        """A step on the vectors of the n-grams of these words (Adagrad); x follows once a round."""
+        there = place < folds * size
+        word, own = np.unique(place[there] % size, return_inverse=True)
+        total = _sums(own.ravel(), gradient[there], len(word))
+        many = w.many[word]
+        gram = w.grams[np.repeat(w.first[word] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        gram, own = np.unique(gram, return_inverse=True)
+        g = _sums(own.ravel(), np.repeat(total / many[:, None], many, axis=0), len(gram))
+        squares[gram] += (g * g).mean(axis=1, keepdims=True)
+        net.grams[gram] -= 0.01 * (g / np.sqrt(squares[gram]) + 0.01 * net.grams[gram])
+
     begins = (np.cumsum(per) - per)[per > 0]
     height = (x[:, 0] + x[:, 2])[windows].max(axis=1)
     rng = np.random.default_rng(seed)
     for r in range(rounds):
-        order = np.lexsort((-height, owner))
-        best = order[begins]
+        best = np.lexsort((-height, owner))[begins]
         clean = np.flatnonzero(y[owner] == 0)
         chosen = np.append(best, rng.choice(clean, min(len(clean), 2 * len(best)), replace=False)) if len(clean) else best
-        model.net.train(x, windows[chosen], y[owner[chosen]], epochs=4, seed=seed + r)
-        height = np.concatenate([model.net.logits(x, windows[i : i + BATCH]) for i in range(0, len(windows), BATCH)])
-    top = np.maximum.reduceat(height, begins)
-    label = y[per > 0]
-    a, b = 1.0, 0.0
-    for _ in range(300):  # gradient steps on two numbers
-        p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        a -= 0.05 * float(((p - label) * top).mean())
-        b -= 0.05 * float((p - label).mean())
-    model.net.scale = (max(a, 1e-3), b)
+        net.train(x, windows[chosen], y[owner[chosen]], steps=max(steps, len(chosen) // 64), seed=seed + r, learn=learn)
+        x = inputs()
+        height = np.concatenate([net.logits(x, windows[i : i + BATCH]) for i in range(0, len(windows), BATCH)])
+    net.scale = calibration(np.maximum.reduceat(height, begins), y[per > 0])
     return model
 
 
@@ -265,10 +340,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     place = F.xxhash64("doc_id", F.lit("toxic")).bitwiseAND((1 << 53) - 1) / float(1 << 53)
     share = F.when(F.col("toxic") > 0, min(1.0, per_class / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_class / max(1, counts.get(0, 0))))
     chosen: dict = {}
-    for r in marked.where(place < share).limit(4 * per_class).collect():
+    for r in marked.where(place < share).orderBy(place, "doc_id", "toxic").limit(4 * per_class).collect():
         chosen[r["doc_id"]] = max(chosen.get(r["doc_id"], 0), int(r["toxic"] > 0))
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= longest))
-    rows = sorted(((r["doc_id"], r["text"]) for r in picked.limit(8 * per_class).collect()), key=lambda r: (hash((r[0], 1)) % 1009, r[0], r[1]))
+    shuffled = picked.withColumn("order", F.xxhash64("doc_id", F.lit("order"))).orderBy("order", "doc_id", "text").limit(8 * per_class)
+    rows = [(r["doc_id"], r["text"]) for r in shuffled.collect()]
     return fit([t for _, t in rows], np.array([chosen[i] for i, _ in rows], np.int64), seed=seed)
 
 
