@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from tests.llm.common import ODD, SCHEMA, empty, odd, some_docs
 from tidemark.llm import decontaminate as dec
 
@@ -50,9 +52,10 @@ def test_empty_sides(spark):
     assert len(got) == len(ODD) and all(r["n_hit"] == 0 and r["items"] == [] for r in got)
 
 
-def test_proximity(spark):
-    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike"
-    docs = spark.createDataFrame([(1, item), (2, item.replace("golf", "golf x y")), (3, "alpha " + "pad " * 40 + "mike"), (4, "nothing here")], SCHEMA)
-    items = dec.item_table(spark.createDataFrame([("a", item)], "item_id string, text string"))
-    got = {r["doc_id"] for r in dec.proximity(docs, items).collect()}
-    assert 1 not in got and 3 not in got and 4 not in got
+def test_many_rows_without_an_id(spark, duck):
+    """Twenty thousand rows without an id, half of them one text with a passage: a cost per row, not per pair."""
+    bench = [(str(i), t) for i, t in duck.sql("SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 5").fetchall()]
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS long) AS doc_id", "id").repartition(4)
+    text = F.when(F.col("id") % 2 == 0, F.lit("so " + bench[0][1])).when(F.col("id") % 4 == 1, F.concat(F.lit(bench[1][1] + " "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("other "), F.col("id").cast("string")))
+    got = dec.matches(spark, docs.withColumn("text", text).drop("id"), spark.createDataFrame(bench, "item_id string, text string")).groupBy("items").agg(F.count("*").alias("n"), F.min("n_hit").alias("least")).collect()
+    assert sorted((r["items"], r["n"], r["least"] > 0) for r in got) == sorted([([], 5000, False), ([bench[0][0]], 10_000, True), ([bench[1][0]], 5000, True)])

@@ -1,6 +1,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.conftest import SMALL
 from tests.llm import test_decontaminate, test_near, test_secrets
@@ -34,6 +36,21 @@ def test_odd_documents(spark):
             stage(spark, docs, SMALL).count()
 
 
+INTERNAL = ["score", "lang_pred", "certainty", "__certainty", "__letters", "id", "body", "rest", "hash", "one", "n", "keep_id", "keep_hash", "found", "found_id", "found_hash", "bad_id", "bad_hash", "__text", "__id", "__hash",
+            "__spans", "text_hash", "class", "none", "hits", "with space"]
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60").withColumns({c: F.concat(F.lit(c + " "), F.col("doc_id").cast("string")) for c in INTERNAL})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in INTERNAL), name
+    only = docs.select("text", "doc_id", "lang")
+    assert all(stage(spark, only, SMALL).columns == only.columns for _, stage in corpus_pipeline.STAGES[:-1])
+
+
 def test_texts_in_several_languages_stay(spark, monkeypatch):
     net = langid.ByteNet.new(list("abcdef"))  # told by one letter each; nothing of them in a text means equal probabilities
     for k in (*net.kernels, net.weights):

@@ -52,6 +52,23 @@ def test_planted_repeats(spark, duck, merge_rows):
     assert got(spark, rows, 400, merge_rows=merge_rows) == brute(rows, 400)
 
 
+def test_passages_of_over_fifty_words(spark, duck):
+    """Passages of 50 to 120 words, on both sides of 400 bytes, planted in texts of their own: exactly the bytes that brute force removes."""
+    rng = random.Random(3)
+    words = max((t for _, t in some_docs(duck, 80)), key=len).split()
+    rows, planted = [], []
+    for i, n in enumerate(range(50, 121, 5)):
+        at = rng.randrange(0, len(words) - n)
+        part = " ".join(words[at : at + n])
+        planted.append(len(part.encode()))
+        for j in range(2 + i % 3):
+            rows.append((1000 * i + j, " ".join(f"a{i}x{j}y{k}" for k in range(30)) + "\n" + part + "\n" + " ".join(f"b{i}x{j}y{k}" for k in range(30))))
+    assert min(planted) < 400 < max(planted)
+    found = got(spark, rows, 400)
+    assert found == brute(rows, 400)
+    assert all(bool(r[2]) == (planted[r[0] // 1000] >= 398) for r in found if abs(planted[r[0] // 1000] - 400) > 2)
+
+
 @pytest.mark.parametrize("length", [100, 137])
 def test_other_lengths(spark, duck, length):
     rows = [(i, t[:3000]) for i, t in some_docs(duck, 60)]

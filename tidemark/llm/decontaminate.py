@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.graph import write_table
 from tidemark.llm.textarrays import ALPHANUMERIC, slices, word_hashes, words
@@ -41,7 +40,7 @@ def item_table(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
     return chosen.mapInArrow(rows, ITEMS).where(F.size("words") > 0)
 
 
-def term_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") -> np.ndarray:
+def term_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each term of a sorted, bounded vocabulary occurs in all documents."""
 
     def rows(batches):
@@ -54,7 +53,7 @@ def term_counts(docs: DataFrame, vocabulary: np.ndarray, text: str = "text") ->
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["term", "n"])
 
     out = np.zeros(len(vocabulary), np.int64)
-    for row in docs.select(F.col(text).alias("text")).mapInArrow(rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(rows, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[row["term"]] = row["n"]
     return out
 
@@ -78,24 +77,24 @@ def anchors(items: DataFrame, vocabulary: np.ndarray, counts: np.ndarray, window
     return items.select("item", "words").mapInArrow(rows, "term long, item long, item_pos int, needed int")
 
 
-def postings(docs: DataFrame, terms: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, doc_id, pos): the positional index of the documents for a sorted list of terms."""
+def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(term, doc_id, text_hash, pos): the positional index of the documents for a sorted list of terms."""
 
     def rows(batches):
         for batch in batches:
-            names = batch.column("doc_id")
             for a, counts, hashes in _hashed(batch, "text"):
                 at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
                 hit = np.flatnonzero(terms[at] == hashes)
                 text_of = np.repeat(np.arange(len(counts)), counts)[hit]
                 first = np.cumsum(counts) - counts
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[hit]), names.take(pa.array(text_of + a)), pa.array((hit - first[text_of]).astype(np.int32))], names=["term", "doc_id", "pos"])
+                keys = [batch.column(c).take(pa.array(text_of + a)) for c in ("doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[hit]), *keys, pa.array((hit - first[text_of]).astype(np.int32))], names=["term", "doc_id", "text_hash", "pos"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(rows, "term long, doc_id long, pos int")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(rows, "term long, doc_id long, text_hash long, pos int")
 
 
-def aligned(docs: DataFrame, items: DataFrame, window: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item, shift, item_pos): every posting of a rare term, moved by the term's place in the item; equal shifts mean one alignment."""
+def aligned(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """(doc_id, text_hash, item, shift, item_pos): every posting of a rare term, moved by the term's place in the item; equal shifts mean one alignment."""
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = -(-total * 8 // BLOCK_CHARS) or 1
     out = None
@@ -104,9 +103,9 @@ def aligned(docs: DataFrame, items: DataFrame, window: int, doc_id: str = "doc_i
         vocabulary = np.array(sorted(r[0] for r in some.select(F.explode("words")).distinct().collect()), np.int64)
         if not len(vocabulary):
             continue
-        rare = anchors(some, vocabulary, term_counts(docs, vocabulary, text), window)
+        rare = anchors(some, vocabulary, term_counts(docs, vocabulary), window)
         terms = np.array(sorted(r[0] for r in rare.select("term").distinct().collect()), np.int64)
-        part = postings(docs, terms, doc_id, text).join(rare, "term").select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "needed")
+        part = postings(docs, terms).join(rare, "term").select("doc_id", "text_hash", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "needed")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -131,18 +130,19 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
     alignments gives exactly the occurrences. Frequent passages give one alignment per occurrence, and no pairs of documents arise.
 
     An item of fewer than `window` words is one window; without words (or null) it is none. Null texts have no words. Rows with equal or null doc_id are
-    each judged by their own text. Repeated items count once. A null item_id is listed as null. Other columns are not read.
+    each judged by their own text, at a cost that grows with their number. Long texts are read whole, an empty table gives no rows. Repeated items count once. A null item_id is listed as null. Other columns are not read.
     """
     folder = scratch_dir(spark, "decontaminate")
     items = write_table(item_table(benchmark, item_id, item_text), f"{folder}/items")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
     lists = aligned(docs, items, window)
     if lists is None:
-        found = spark.createDataFrame([], "found_id long, hits array<struct<item_id:string,shift:int,words:array<bigint>>>")
+        found = spark.createDataFrame([], "found_id long, found_hash long, hits array<struct<item_id:string,shifts:array<int>,words:array<bigint>>>")
     else:
-        met = lists.groupBy("doc_id", "item", "shift").agg(F.min("item_pos").alias("low"), F.max("item_pos").alias("high"), F.first("needed").alias("needed"))
-        met = met.where((F.col("needed") == 1) | (F.col("low") < F.col("high"))).join(items, "item")
-        found = met.groupBy(F.col("doc_id").alias("found_id")).agg(F.collect_list(F.struct("item_id", "shift", "words")).alias("hits"))
+        # Rows are told apart by id and text, so many rows without an id, or with one id, share nothing but equal texts, whose hits are one.
+        met = lists.groupBy("doc_id", "text_hash", "item", "shift").agg(F.min("item_pos").alias("low"), F.max("item_pos").alias("high"), F.first("needed").alias("needed"))
+        met = met.where((F.col("needed") == 1) | (F.col("low") < F.col("high"))).groupBy("doc_id", "text_hash", "item").agg(F.collect_list("shift").alias("shifts")).join(items, "item")
+        found = met.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.collect_list(F.struct("item_id", "shifts", "words")).alias("hits"))
 
     def judge(batches):
         for batch in batches:
@@ -155,23 +155,15 @@ def matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window:
                     own, end = hashes[end : end + n], end + n
                     inside, of = np.zeros(n, bool), set()
                     for h in own_hits or ():
-                        at = _overlaps(own, np.array(h["words"], np.int64), h["shift"], window)
-                        if at is not None:
-                            inside[at] = True
-                            of.add(h["item_id"])
+                        item = np.array(h["words"], np.int64)
+                        for shift in h["shifts"]:
+                            at = _overlaps(own, item, shift, window)
+                            if at is not None:
+                                inside[at] = True
+                                of.add(h["item_id"])
                     n_hit.append(int(inside.sum()))
                     listed.append(sorted(of, key=lambda x: (x is None, x or "")))
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(counts), pa.array(n_hit, pa.int64()), pa.array(listed, pa.list_(pa.string()))], names=["doc_id", "text_hash", "n_words", "n_hit", "items"])
 
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", "hits").mapInArrow(judge, OUT)
-
-
-def proximity(docs: DataFrame, items: DataFrame, window: int = 13, slop: int = 5) -> DataFrame:
-    """(doc_id, item, pos, gap): neighbouring rare terms of an item that stand in a document up to `slop` places nearer or farther than in the item.
-
-    Alignments of one document and item are walked in the order of their shifts; only neighbours are compared.
-    """
-    lists = aligned(docs, items, window)
-    order = Window.partitionBy("doc_id", "item").orderBy("shift", "item_pos")
-    near = lists.withColumn("gap", F.col("shift") - F.lag("shift").over(order)).withColumn("other", F.lag("item_pos").over(order))
-    return near.where((F.col("gap") > 0) & (F.col("gap") <= slop) & (F.col("other") != F.col("item_pos"))).select("doc_id", "item", (F.col("shift") + F.col("item_pos")).alias("pos"), "gap")
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash"))
+    return docs.join(found, same, "left").select("doc_id", "text_hash", "text", "hits").mapInArrow(judge, OUT)

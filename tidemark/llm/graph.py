@@ -1,8 +1,10 @@
-"""Connected components and written intermediate tables."""
+"""Connected components, written intermediate tables, and tables whose columns may have any names."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +43,15 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         before = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def set_aside(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, body, rest): the two columns an operator works on, and all others in one struct, where no name of theirs can clash with one of the operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
+    return docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("body"), F.struct(*others, *([] if others else [F.lit(0).alias("none")])).alias("rest"))
+
+
+def put_back(rows: DataFrame, columns: Sequence[str], doc_id: str = "doc_id", text: str = "text", new: Mapping[str, Column] | None = None) -> DataFrame:
+    """The columns of the table before set_aside(), in their order; `new` replaces some that are there."""
+    own = {doc_id: F.col("id"), text: F.col("body")} | dict(new or {})
+    return rows.select(*[(own[c] if c in own else F.col("rest").getField(c)).alias(c) for c in columns])

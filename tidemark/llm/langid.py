@@ -113,14 +113,14 @@ def in_fold(doc_id: str, folds: int = 5):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, languages: int = 200, cuts: int = 4, seed: int = 0) -> ByteNet:
+def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 400, cuts: int = 4, seed: int = 0) -> ByteNet:
     """A network trained on a bounded sample of the labelled rows that aren't held out.
 
-    About `per_language` documents of each of the `languages` most frequent labels are chosen by a hash of their ids, `cuts` windows at hashed places in each.
-    Only those windows come to the driver. Rows without id, text or label teach nothing; with fewer than two labels the network always answers the one.
+    About `per_language` documents of every label are chosen by a hash of their ids, `cuts` windows at hashed places in each.
+    Only those windows come to the driver, so the sample is bounded by `per_language` and the number of labels. Rows without id, text or label teach nothing; with fewer than two labels the network always answers the one.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~in_fold("doc_id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts)
     if not names:
         return ByteNet.new(["und"])
@@ -130,7 +130,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     place = F.xxhash64("doc_id", F.lit("sample")).bitwiseAND((1 << 53) - 1)
     size = F.greatest(F.length("text") - WINDOW // 2, F.lit(1))
     parts = F.array(*[F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(j)), size).cast("int"), F.lit(WINDOW)) for j in range(cuts)])
-    chosen = rows.where(place / float(1 << 53) < share).select("lang", F.xxhash64("doc_id").alias("order"), parts.alias("parts")).limit(2 * per_language * len(names)).collect()
+    chosen = rows.where(place / float(1 << 53) < share).select("lang", F.xxhash64("doc_id").alias("order"), parts.alias("parts"))
+    chosen = chosen.orderBy("order", "lang", "parts").limit(2 * per_language * len(names)).collect()
     net = ByteNet.new(names, seed)
     texts, labels = [], []
     for r in sorted(chosen, key=lambda r: (r["lang"], r["order"])):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.graph import components, write_table
+from tidemark.llm.graph import components, put_back, set_aside, write_table
 from tidemark.llm.textarrays import BLANK_SEPARATED, mix, runs, slices, word_hashes, words
 from tidemark.session import scratch_dir
 
@@ -240,19 +240,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = 85, k:
 def deduplicate(spark: SparkSession, docs: DataFrame, percent: int = 85, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with all their columns, one of each group of near duplicates: the smallest doc_id, then the smallest text hash.
 
-    Of rows that agree in both, one stays. Texts without words are in no group, and all of them stay.
+    Of rows that agree in both, one stays. Texts without words are in no group, and all of them stay. Other columns may have any names. Empty table: no rows.
     """
     sketched, linked = grouped(spark, _plain(docs, doc_id, text), percent, k)
-    keepers = _lowest(sketched, linked).select(F.col("lowest").alias("__id"), F.col("lowest_text").alias("__hash"), F.lit(True).alias("__one")).distinct()
-    loose = sketched.where("class is null").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(False).alias("__one")).distinct()
-    keyed = docs.withColumn("__text", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    keep = keepers.unionByName(loose)
-    kept = keyed.join(keep, keyed[doc_id].cast("long").eqNullSafe(keep["__id"]) & (F.col("__text") == F.col("__hash")))
+    keepers = _lowest(sketched, linked).select(F.col("lowest").alias("keep_id"), F.col("lowest_text").alias("keep_hash"), F.lit(True).alias("one")).distinct()
+    loose = sketched.where("class is null").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash"), F.lit(False).alias("one")).distinct()
+    keyed = set_aside(docs, doc_id, text).withColumn("hash", F.xxhash64(F.coalesce("body", F.lit(""))))
+    kept = keyed.join(keepers.unionByName(loose), F.col("id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("hash") == F.col("keep_hash")))
     # Only rows that repeat an id and a text could stay twice; where there are none, nothing needs to be told apart.
     if not sketched.where("class is not null").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
-        again = kept.withColumn("__n", F.when(F.col("__one"), F.row_number().over(Window.partitionBy(doc_id, "__text").orderBy(F.lit(1)))).otherwise(1))
-        kept = again.where("__n = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        again = kept.withColumn("n", F.when(F.col("one"), F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))).otherwise(1))
+        kept = again.where("n = 1")
+    return put_back(kept, docs.columns, doc_id, text)
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.graph import put_back, set_aside
+
 #: Kind, part of a credential it is, pattern (leftmost, non-overlapping), group whose length counts, least length. The first three are reported always.
 KINDS = [
     ("assign", "secret", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -74,7 +76,10 @@ def spans(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id and `spans`, its reported spans (start, kind, name, end, uncovered) by start, then kind; empty if there are none."""
+    """One row per document: doc_id and `spans`, its reported spans (start, kind, name, end, uncovered) by start, then kind; empty if there are none, as in null and empty texts.
+
+    Every row of the table has its row, repeated ones too; whole texts are searched, however long. Empty table: no rows.
+    """
     found = spans(docs, scope, doc_id, text).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"))
     found = found.agg(F.sort_array(F.collect_list(F.struct("start", "kind", "name", "end", "uncovered"))).alias("spans"))
     keys = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
@@ -83,11 +88,15 @@ def scan(docs: DataFrame, scope: int = SCOPE, doc_id: str = "doc_id", text: str
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns and rows, with every reported span of the text replaced by `mark`; texts without spans (and nulls) stay as they are."""
-    found = spans(docs, scope, doc_id, text).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    found = found.agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "uncovered"))).alias("__spans"))
-    own = F.col(text)
-    pieces = F.transform("__spans", lambda s: F.when(s["start"] >= s["uncovered"], F.concat(F.substring(own, s["uncovered"] + 1, s["start"] - s["uncovered"]), F.lit(mark))).otherwise(F.lit("")))
-    tail = F.substring(own, F.array_max(F.transform("__spans", lambda s: s["end"])) + 1, F.length(own))
-    joined = docs.join(found, docs[doc_id].eqNullSafe(found["__id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__hash")), "left")
-    return joined.withColumn(text, F.when(F.col("__spans").isNull(), own).otherwise(F.concat(F.array_join(pieces, ""), tail))).drop("__id", "__hash", "__spans")
+    """The documents, all columns and rows, with every reported span of the text replaced by `mark`; texts without spans (and nulls) stay as they are.
+
+    Other columns may have any names. Long texts are masked whole. Empty table: no rows.
+    """
+    found = spans(docs, scope, doc_id, text).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"))
+    found = found.agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "uncovered"))).alias("found"))
+    own = F.col("body")
+    pieces = F.transform("found", lambda s: F.when(s["start"] >= s["uncovered"], F.concat(F.substring(own, s["uncovered"] + 1, s["start"] - s["uncovered"]), F.lit(mark))).otherwise(F.lit("")))
+    tail = F.substring(own, F.array_max(F.transform("found", lambda s: s["end"])) + 1, F.length(own))
+    joined = set_aside(docs, doc_id, text).join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.xxhash64(F.coalesce("body", F.lit(""))) == F.col("found_hash")), "left")
+    masked = F.when(F.col("found").isNull(), own).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return put_back(joined, docs.columns, doc_id, text, {text: masked})
