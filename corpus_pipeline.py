@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, near, packing, secret_scan
+from tidemark.llm.graph import put_back, set_aside
 from tidemark.llm.tokens import vocabulary
 from tidemark.session import scratch_dir
 
@@ -22,10 +23,9 @@ SIMILAR = 80
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: null texts, texts without letters, and texts whose windows stay under LEAST_SCORE. `lang` becomes the
     predicted one, of a text in several languages the one with the highest mean."""
-    columns = docs.columns
-    found = langid.predict(docs, langid.learn(docs), certainty="__certainty")
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("__certainty") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*columns)
+    found = langid.predict(set_aside(docs), langid.learn(docs), text="body", certainty="certainty")
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("certainty") >= LEAST_SCORE))
+    return put_back(kept, docs.columns, new={"lang": F.col("lang_pred")})
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +37,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents go if a twentieth of their words or more lies in benchmark passages; rows that share an id are judged by their own texts."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.matches(spark, docs, benchmark)
-    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash")), "left_anti")
+    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    same = F.col("id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.coalesce("body", F.lit(""))) == F.col("bad_hash"))
+    return put_back(set_aside(docs).join(bad, same, "left_anti"), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
