@@ -142,6 +142,17 @@ def test_held_out_toxic_documents(spark, d, least, found):
     assert (high >= 0.5).mean() >= found and (low >= 0.5).mean() <= 0.02
 
 
+def test_words_of_slices_equal_words_of_all(docs, monkeypatch):
+    texts = [r["text"] or "" for r in docs.where("length(text) < 3000").orderBy("doc_id").limit(80).collect()] + ["", " ", "x"]
+    whole = toxicity.Words(*toxicity.unique_words(*toxicity._joined(texts)))
+    for size in (2_000_000, 5_000, 2):
+        monkeypatch.setattr(toxicity, "SLICE_BYTES", size)
+        parts = toxicity.Words.of(texts)
+        assert all((getattr(whole, c) == getattr(parts, c)).all() for c in ("hashes", "index", "counts", "first"))
+        assert all(sorted(whole.grams[a:b]) == sorted(parts.grams[a:b]) for a, b in zip(whole.first, np.append(whole.first[1:], len(whole.grams))))
+    assert len(toxicity.Words.of([]).hashes) == 0
+
+
 def test_calibration_keeps_the_order():
     a, b = toxicity.calibration(np.array([3.0, 2.0, -1.0, -2.0, 0.5]), np.array([0.0, 0, 1, 1, 0]))
     assert 0 < a <= 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.langid import in_fold
-from tidemark.llm.textarrays import ALPHANUMERIC, mix, prefix, slices, spans_hash, words
+from tidemark.llm.textarrays import ALPHANUMERIC, SLICE_BYTES, mix, prefix, slices, spans_hash, words
 
 #: Words in a window, words from one window to the next, state size of each direction, counted and learned inputs of a word.
 WINDOW, STRIDE, HIDDEN, COUNTED, LEARNED = 32, 16, 8, 4, 4
@@ -80,6 +80,33 @@ class Words:
     grams: np.ndarray
     first: np.ndarray
 
+    @classmethod
+    def of(cls, texts: list[str]) -> Words:
+        """The words of any number of texts, found SLICE_BYTES at a time, so memory follows the words and not the bytes."""
+        parts, a = [], 0
+        sizes = np.cumsum([len(t) for t in texts])
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(sizes, sizes[a] + SLICE_BYTES // 2, "right")))
+            parts.append(cls(*unique_words(*_joined(texts[a:b]))))
+            a = b
+        hashes = distinct(np.concatenate([np.zeros(0, np.uint64), *(p.hashes for p in parts)]))
+        known = np.zeros(len(hashes), bool)
+        index, names, many, grams = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p in parts:
+            name = np.searchsorted(hashes, p.hashes)
+            index.append(name[p.index].astype(np.int32))
+            new = ~known[name]
+            known[name] = True
+            own = p.many[new]
+            names.append(name[new])
+            many.append(own)
+            grams.append(p.grams[np.repeat(p.first[new] - (np.cumsum(own) - own), own) + np.arange(own.sum())])
+        name, own, gram = np.concatenate(names), np.concatenate(many), np.concatenate(grams)
+        order = np.argsort(name)
+        begin, own = (np.cumsum(own) - own)[order], own[order]
+        first = np.cumsum(own) - own
+        return cls(hashes, np.concatenate(index), np.concatenate([np.zeros(0, np.int64), *(p.counts for p in parts)]), gram[np.repeat(begin - first, own) + np.arange(own.sum())], first)
+
     @property
     def many(self) -> np.ndarray:
         """Character n-grams of each distinct word."""
@@ -95,25 +122,14 @@ class Inputs:
     gram_odds: np.ndarray
 
     @classmethod
-    def count(cls, w: Words, toxic: np.ndarray, use: np.ndarray, least: int = 3) -> Inputs:
-        """From the texts marked in `use`."""
-        size = len(w.hashes) + 1
-        text = np.repeat(np.arange(len(w.counts)), w.counts)
-        pairs = distinct((text * np.int64(size) + w.index)[use[text]])
-        t, word = np.divmod(pairs, size)
-        n = [max(1, int((toxic[use] == c).sum())) for c in (0, 1)]
-        seen = [np.bincount(word[toxic[t] == c], minlength=len(w.hashes)) for c in (0, 1)]
-        often = seen[0] + seen[1] >= least
-        odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
-        gram_seen = []
-        for c in (0, 1):
-            tt, ww = t[toxic[t] == c], word[toxic[t] == c]
-            many = w.many[ww]
-            at = np.repeat(w.first[ww] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            gram_seen.append(np.bincount(distinct(np.repeat(tt, many) * np.int64(GRAMS) + w.grams[at]) % GRAMS, minlength=GRAMS))
-        gram_odds = np.log((gram_seen[1] + 1) / (n[1] + 2)) - np.log((gram_seen[0] + 1) / (n[0] + 2))
-        gram_odds[gram_seen[0] + gram_seen[1] < least] = 0
-        return cls(w.hashes[often], np.clip(odds[often], -3, 5).astype(np.float32), np.clip(gram_odds, -3, 5).astype(np.float32))
+    def weigh(cls, hashes: np.ndarray, words_seen: np.ndarray, grams_seen: np.ndarray, n: np.ndarray, least: int = 3) -> Inputs:
+        """From the number of clean and toxic texts (rows 0 and 1), and of those that have each word and each bucket of n-grams."""
+        n = np.maximum(n, 1)
+        often = words_seen.sum(axis=0) >= least
+        odds = np.log((words_seen[1] + 0.5) / (n[1] + 1)) - np.log((words_seen[0] + 0.5) / (n[0] + 1))
+        gram_odds = np.log((grams_seen[1] + 1) / (n[1] + 2)) - np.log((grams_seen[0] + 1) / (n[0] + 2))
+        gram_odds[grams_seen.sum(axis=0) < least] = 0
+        return cls(hashes[often], np.clip(odds[often], -3, 5).astype(np.float32), np.clip(gram_odds, -3, 5).astype(np.float32))
 
     def of(self, w: Words) -> np.ndarray:
         """COUNTED numbers for each distinct word, and a last row of zeros for no word."""
@@ -130,6 +146,24 @@ class Inputs:
         return out
 
 
+def tally(w: Words, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(groups x words, groups x GRAMS): how many texts of each group have each word, and each bucket of n-grams; some texts at a time."""
+    words_seen, grams_seen = np.zeros((groups, len(w.hashes)), np.int32), np.zeros((groups, GRAMS), np.int32)
+    ends, size, many = np.cumsum(w.counts), len(w.hashes), w.many
+    a = 0
+    while a < len(group):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + 50_000, "right")))
+        part = w.index[ends[a] - w.counts[a] : ends[min(b, len(group)) - 1]]
+        text = np.repeat(np.arange(a, min(b, len(group))), w.counts[a:b])
+        text, word = np.divmod(distinct(text * np.int64(size + 1) + part), size + 1)
+        np.add.at(words_seen, (group[text], word), 1)
+        at = np.repeat(w.first[word] - (np.cumsum(many[word]) - many[word]), many[word]) + np.arange(many[word].sum())
+        text, gram = np.divmod(distinct(np.repeat(text, many[word]) * np.int64(GRAMS) + w.grams[at]), GRAMS)
+        np.add.at(grams_seen, (group[text], gram), 1)
+        a = b
+    return words_seen, grams_seen
+
+
 class GatedNet:
     """Both directions share one shape: update and reset gates and candidate from input and state, then attention over places and a logistic output."""
 
@@ -180,6 +214,14 @@ class GatedNet:
         out = pooled @ self.p["v"] + self.p["c"][0]
         return (out, s, e, pooled, tf, tb) if keep else out
 
+    def heights(self, x: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """logits() for any number of windows; each batch only projects its own words."""
+        out = [np.zeros(0, np.float32)]
+        for i in range(0, len(index), BATCH):
+            own = distinct(np.append(index[i : i + BATCH].ravel(), len(x) - 1))
+            out.append(self.logits(x[own], np.searchsorted(own, index[i : i + BATCH])))
+        return np.concatenate(out)
+
     def train(self, x: np.ndarray, index: np.ndarray, y: np.ndarray, steps: int, rate: float = 0.01, batch: int = 64, seed: int = 0, learn=None) -> None:
         """Steps of Adam on batches of windows. `learn(words, gradient)` gets the gradient of the learned inputs of the batch's places."""
         rng, p = np.random.default_rng(seed), self.p
@@ -285,25 +327,24 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 200,
     A logistic fit of the highest windows calibrates the scores. With texts of one label only, all scores are near that label.
     """
     toxic = np.asarray(toxic)
-    w = Words(*unique_words(*_joined(texts)))
-    model = Model(Inputs.count(w, toxic, np.ones(len(texts), bool)), GatedNet(seed))
+    w = Words.of(texts)
+    fold, size = np.arange(len(texts)) % folds, len(w.hashes)
+    words_seen, grams_seen = (t.reshape(folds, 2, -1) for t in tally(w, fold * 2 + (toxic > 0), folds * 2))
+    n = np.bincount(fold * 2 + (toxic > 0), minlength=folds * 2).reshape(folds, 2)
+    model = Model(Inputs.weigh(w.hashes, words_seen.sum(axis=0), grams_seen.sum(axis=0), n.sum(axis=0)), GatedNet(seed))
     net, y = model.net, toxic.astype(np.float32)
     at, per = frames(w.counts)
     if not len(at) or len(np.unique(y[per > 0])) < 2:
         net.scale = (0.0, -30.0 if not len(y) or y.mean() < 0.5 else 30.0)
         return model
     # Each fold has inputs of its own for every distinct word: block g of the rows; the last row is no word.
-    fold, size = np.arange(len(texts)) % folds, len(w.hashes)
-    counted = np.concatenate([*(Inputs.count(w, toxic, fold != g).of(w)[:-1] for g in range(folds)), np.zeros((1, COUNTED), np.float32)])
+    x = np.zeros((folds * size + 1, INPUTS), np.float32)
+    for g in range(folds):
+        rest = np.arange(folds) != g
+        x[g * size : (g + 1) * size, :COUNTED] = Inputs.weigh(w.hashes, words_seen[rest].sum(axis=0), grams_seen[rest].sum(axis=0), n[rest].sum(axis=0)).of(w)[:-1]
     owner = np.repeat(np.arange(len(per)), per)
-    windows = np.where(at >= 0, w.index[at] + fold[owner][:, None] * size, folds * size)
-
-    def inputs() -> np.ndarray:
-        one = net.inputs(np.zeros((size, COUNTED), np.float32), w)[:, COUNTED:]
-        return np.concatenate([counted, np.concatenate([np.tile(one, (folds, 1)), np.zeros((1, LEARNED), np.float32)])], axis=1)
-
+    windows = np.where(at >= 0, w.index[at] + fold[owner][:, None] * size, folds * size).astype(np.int32)
     squares = np.full((GRAMS, 1), 1e-3, np.float32)
-    x = inputs()
 
     def learn(place: np.ndarray, gradient: np.ndarray) -> None:
         """A step on the vectors of the n-grams of these words (Adagrad); x follows once a round."""
@@ -325,15 +366,17 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, steps: int = 200,
         clean = np.flatnonzero(y[owner] == 0)
         chosen = np.append(best, rng.choice(clean, min(len(clean), 2 * len(best)), replace=False)) if len(clean) else best
         net.train(x, windows[chosen], y[owner[chosen]], steps=max(steps, len(chosen) // 64), seed=seed + r, learn=learn)
-        x = inputs()
-        height = np.concatenate([net.logits(x, windows[i : i + BATCH]) for i in range(0, len(windows), BATCH)])
+        learned = net.inputs(np.zeros((size + 1, COUNTED), np.float32), w)[:-1, COUNTED:]
+        for g in range(folds):
+            x[g * size : (g + 1) * size, COUNTED:] = learned
+        height = net.heights(x, windows)
     net.scale = calibration(np.maximum.reduceat(height, begins), y[per > 0])
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 3000, longest: int = 20_000, seed: int = 0) -> Model:
     """A model fitted on a bounded sample of the labelled rows that aren't held out: about `per_class` documents of either label, chosen by a hash of their
-    ids, of at most `longest` characters. Their ids go into the filter of the scan, so no text is shuffled. Null ids, texts and labels teach nothing; an id
+    ids, of at most `longest` characters. Their ids go into the filter of the scan, so only sampled texts are shuffled; of several texts with one id the first in order teaches. Null ids, texts and labels teach nothing; an id
     with several labels counts as toxic if one of them says so."""
     marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~in_fold("doc_id"))
     counts = {r["toxic"]: r["n"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -343,8 +386,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for r in marked.where(place < share).orderBy(place, "doc_id", "toxic").limit(4 * per_class).collect():
         chosen[r["doc_id"]] = max(chosen.get(r["doc_id"], 0), int(r["toxic"] > 0))
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isin(list(chosen)) & (F.length("text") <= longest))
-    shuffled = picked.withColumn("order", F.xxhash64("doc_id", F.lit("order"))).orderBy("order", "doc_id", "text").limit(8 * per_class)
-    rows = [(r["doc_id"], r["text"]) for r in shuffled.collect()]
+    # One text for each id, so the sample is bounded by its ids; ordered by a hash, which deals both labels out over the folds.
+    one = picked.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("order", F.xxhash64("doc_id", F.lit("order")))
+    rows = [(r["doc_id"], r["text"]) for r in sorted(one.collect(), key=lambda r: (r["order"], r["doc_id"]))]
     return fit([t for _, t in rows], np.array([chosen[i] for i, _ in rows], np.int64), seed=seed)
 
 
