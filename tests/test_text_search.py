@@ -68,6 +68,23 @@ def test_mentions_positions(spark):
     assert edges == {("Ada", "Bob"): 6, ("Bob", "Ada"): 6}
 
 
+@pytest.mark.parametrize("q", [1, 3, 5])
+def test_substring_join_against_brute_force(spark, q):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcUSD"), n))
+    symbols = sorted({word(rng.integers(1, 12)) for _ in range(80)} | {"BTCUSD", "XBTUSD", "aaaaaaaaaa"})
+    names = sorted({word(rng.integers(1, 6)) for _ in range(60)} | {"btc", "usd", "aa", "aaaaaaaaaaa", "zz", "A"}) + ["", None]
+    a = spark.createDataFrame([(n, i) for i, n in enumerate(names)] + [("btc", 99)], "name string, i int")
+    b = spark.createDataFrame([(s,) for s in symbols] + [("BTCUSD",), ("",), (None,)], "symbol string")
+    from tidemark.functions.symbols import norm_symbol
+
+    base = {r["symbol"]: r["base"].lower() for r in b.where("length(symbol) > 0").select("symbol", norm_symbol(F.col("symbol"), "base").alias("base")).collect()}
+    got = {(r["i"], r["name"]): r["symbol"] for r in joins.substring_join(a, b, "name", "symbol", q=q).collect()}
+    for i, n in [*enumerate(names), (99, "btc")]:
+        fits = sorted((base[s] != n.lower(), s) for s in symbols if n and n.lower() in s.lower())
+        assert got[(i, n)] == (fits[0][1] if fits else None), n
+
+
 def test_classify_questions(spark):
     cats = {"market_price": ["price", "drop"], "risk": ["risk", "scam"], "team_background": ["founder"]}
     df = spark.createDataFrame([("What was the price of bitcoin last year?",), ("Compare the risk of solana and cardano",), ("Will it rain?",)], "q string")

@@ -156,19 +156,31 @@ def enrich_portfolio(holdings: DataFrame, market: DataFrame, sentiment: DataFram
             .withColumn("position_value", aum * F.col(allocation)).drop("_base"))
 
 
-def substring_join(a: DataFrame, b: DataFrame, a_col: str, b_col: str) -> DataFrame:
+def _grams(low: Column, sizes: Sequence[int]) -> Column:
+    """Distinct substrings of the given sizes."""
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1)))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def substring_join(a: DataFrame, b: DataFrame, a_col: str, b_col: str, *, q: int = 3) -> DataFrame:
     """Each left row with its best right row: equal base symbol first, else the smallest symbol containing the name.
 
-    Symbols are expanded to all their substrings, which turns the containment test
-    into an equi-join; symbols are short, so the expansion is bounded per row.
+    An inverted index lists the symbols under their substrings of up to ``q`` characters, a few rows for each character. A symbol that contains a name has all
+    substrings of the name, so each name only looks up its rarest one and compares itself with the symbols listed there; names of up to ``q``
+    characters are looked up whole.
     """
-    names = a.select(a_col).distinct().withColumn("_name", F.lower(F.col(a_col)))
     low = F.lower(F.col(b_col))
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(low) - i + 1), lambda n: F.substring(low, i, n)))))
     symbols = b.select(b_col).distinct().where(F.length(b_col) > 0)
-    grams = symbols.select(b_col, F.lower(norm_symbol(F.col(b_col), "base")).alias("_base"), F.explode(parts).alias("_name"))
-    hits = names.join(grams, "_name").withColumn("_rank", F.when(F.col("_base") == F.col("_name"), 0).otherwise(1))
+    index = symbols.select(b_col, low.alias("_low"), F.lower(norm_symbol(F.col(b_col), "base")).alias("_base"), F.explode(_grams(low, range(1, q + 1))).alias("_gram"))
+    sizes = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_listed"))
+    names = a.select(a_col).distinct().withColumn("_name", F.lower(F.col(a_col)))
+    parts = F.when(F.length("_name") > q, _grams(F.col("_name"), [q])).when(F.length("_name") > 0, F.array("_name"))
+    asked = names.select(a_col, "_name", F.explode(parts).alias("_gram")).join(sizes, "_gram", "left")
+    rarest = asked.groupBy(a_col, "_name").agg(F.min(F.struct(F.coalesce("_listed", F.lit(0)).alias("_listed"), "_gram")).alias("_rare")).select(a_col, "_name", F.col("_rare._gram").alias("_gram"))
+    hits = rarest.join(index, "_gram").where(F.contains("_low", "_name")).withColumn("_rank", F.when(F.col("_base") == F.col("_name"), 0).otherwise(1))
     best = hits.groupBy(a_col).agg(F.min(F.struct("_rank", b_col)).alias("_best")).select(a_col, F.col(f"_best.{b_col}").alias(b_col))
     return a.join(best, a_col, "left")
 
