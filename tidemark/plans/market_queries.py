@@ -282,4 +282,4 @@ def _(spark, d):
 def _(spark, d):
     """Blocks far smaller than the series, against the sums that the averages stand for."""
     ticks = table(spark, d, "events").groupBy("event_type", "ts").agg(F.avg("value").alias("value"))
-    return S.macd(ticks, "event_type", "ts", "value", split=500).select("event_type", "ts", r("macd", 4), r("macd_signal", 4))
+    return S.macd(ticks, "event_type", "ts", "value", split=1000).select("event_type", "ts", r("macd", 4), r("macd_signal", 4))
