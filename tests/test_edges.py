@@ -2,6 +2,7 @@
 
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,26 @@ def test_boosting_beats_the_mean(spark):
     actual = df.select("id", F.posexplode("targets").alias("p", "observed")).withColumn("step", F.col("p") + 1)
     rows = {r["step"]: r for r in forecast.evaluate(got, actual, ["id", "step"], by=["step"]).collect()}
     assert rows[1]["mae"] < 6 and rows[2]["mae"] < 1 and rows[1]["n"] == rows[2]["n"] == 50
+
+
+def test_steps_of_one_fit(spark):
+    """Linear steps equal numpy's least squares, incomplete windows are left out, and the number of jobs does not grow with the steps."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 3.0, (400, 3))
+    y = np.stack([x @ [0.5, -2.0, 1.0] + 4 + rng.normal(0, 0.1, 400) + s for s in range(6)], axis=1)
+    rows = [(i, x[i].tolist(), y[i].tolist()) for i in range(400)]
+    bad = [(900, [1.0, None, 2.0], y[0].tolist()), (901, x[0].tolist(), [1.0]), (902, None, None), (903, [float("nan")] * 3, y[0].tolist())]
+    df = spark.createDataFrame(rows + bad, "id int, features array<double>, targets array<double>").repartition(3)
+    tracker, jobs = spark.sparkContext.statusTracker(), {}
+    for h in (2, 6):
+        spark.sparkContext.setJobGroup(f"fit-{h}", "fit")
+        model = forecast.fit_multistep(df, "linear", h)
+        jobs[h] = len(tracker.getJobIdsForGroup(f"fit-{h}"))
+        spark.sparkContext.setJobGroup("rest", "rest")
+        want = np.linalg.lstsq(np.c_[np.ones(400), x - x.mean(0)], y[:, :h], rcond=None)[0]
+        got = {(r["id"], r["step"]): r["prediction"] for r in forecast.predict_multistep(model, df.where("id < 400"), keep=["id"]).collect()}
+        fitted = np.c_[np.ones(400), x - x.mean(0)] @ want
+        assert len(got) == 400 * h and max(abs(got[i, s + 1] - fitted[i, s]) for i in range(400) for s in range(h)) < 1e-5
+    assert jobs[2] == jobs[6] > 0
+    with pytest.raises(ValueError):
+        forecast.fit_multistep(df.limit(0), "forest", 2)

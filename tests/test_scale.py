@@ -190,3 +190,24 @@ def test_interval_stats_equals_pairing(ticks):
     unique = slow.distinct()
     assert rows(fast.select("k", "id", "n", "total").distinct(), "k", "id") == rows(unique.select("k", "id", "n", "total"), "k", "id")
     assert fast.count() == points.count()
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_deep_pages(spark, ascending):
+    """A third of the rows share a value, some have none; every page equals the plain one."""
+    data = [(i, None if i % 50 == 0 else 7.0 if i % 3 == 0 else float("nan") if i % 101 == 0 else float(i * 37 % 400)) for i in range(6000)]
+    df = spark.createDataFrame(data, "id int, x double").repartition(5)
+    how = {"sort": "x", "ascending": ascending, "tie": [F.col("id")]}
+    for offset, limit in ((0, 5), (1990, 40), (2500, 1500), (5990, 30), (7000, 5)):
+        want = [r["id"] for r in ranking.page(df, limit=limit, offset=offset, **how).collect()]
+        assert [r["id"] for r in ranking.deep_page(df, limit=limit, offset=offset, **how).collect()] == want
+    assert ranking.deep_page(df.limit(0), limit=5, offset=0, **how).count() == 0
+
+
+def test_deep_page_sorts_few_rows(spark):
+    """The window that numbers rows reads the ranges of the page only, and no task holds all rows."""
+    df = spark.range(200_000).select("id", (F.col("id") % 3 == 0).cast("int").alias("x"))
+    got = ranking.deep_page(df, sort="x", offset=150_000, limit=10, tie=[F.col("id")])
+    assert got.columns == ["id", "x"] and [r["id"] for r in got.collect()] == [r["id"] for r in ranking.page(df, sort="x", offset=150_000, limit=10, tie=[F.col("id")]).collect()]
+    plan = got._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" not in plan and "hashpartitioning(_range" in plan

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,37 +57,100 @@ def forecast_trend(df: DataFrame, key: str, ts: str, val: str, h: int = 7, *, da
                         (F.col("forecast") * (1 - width * F.col("step"))).alias("lower"), (F.col("forecast") * (1 + width * F.col("step"))).alias("upper"), "current")
 
 
-def fit_multistep(windows: DataFrame, kind: str, h: int, *, features: str = "features", targets: str = "targets", seed: int = 42, trees: int = 20, depth: int = 5):
-    """One fitted pipeline per forecast step; ``kind`` is ``forest``, ``boosting`` or ``linear``. The training windows are derived once and kept while it fits."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-
-    makers = {
-        "forest": lambda: RandomForestRegressor(featuresCol="_z", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed),
-        "boosting": lambda: GBTRegressor(featuresCol="_z", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed),
-        "linear": lambda: LinearRegression(featuresCol="_z", labelCol="_y"),
-    }
-    base = windows.select(array_to_vector(F.col(features)).alias("_x"), F.col(targets).alias("_t")).persist()
-    models = []
-    for step in range(h):
-        train = base.select("_x", F.col("_t")[step].alias("_y"))
-        models.append(Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_z", withMean=True), makers[kind]()]).fit(train))
-    base.unpersist()
-    return models
-
-
-def predict_multistep(models: Sequence, windows: DataFrame, *, features: str = "features", keep: Sequence[str] = ()) -> DataFrame:
-    """(kept columns, step, prediction) of every fitted step."""
-    from pyspark.ml.functions import array_to_vector
+@dataclass(frozen=True)
+class LinearSteps:
+    """Intercepts and coefficients of all forecast steps: one row of ``weights`` per step, intercept first."""
 
-    base = windows.withColumn("_x", array_to_vector(F.col(features)))
-    out = None
-    for step, model in enumerate(models, start=1):
-        part = model.transform(base).select(*keep, F.lit(step).alias("step"), F.col("prediction"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    weights: tuple[tuple[float, ...], ...]
+
+    def predict(self, windows: DataFrame, features: str, keep: Sequence[str]) -> DataFrame:
+        sums = [F.aggregate(F.zip_with(F.col(features), F.array(*[F.lit(w) for w in row[1:]]), lambda x, w: x * w), F.lit(row[0]), lambda a, b: a + b) for row in self.weights]
+        rows = windows.select(*keep, F.posexplode(F.array(*sums)).alias("_i", "prediction"))
+        return rows.select(*keep, (F.col("_i") + 1).alias("step"), "prediction")
+
+
+@dataclass(frozen=True)
+class TreeSteps:
+    """One ensemble of trees for all steps; the step is its last input."""
+
+    model: Any
+    h: int
+
+    def predict(self, windows: DataFrame, features: str, keep: Sequence[str]) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        steps = windows.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(self.h))))
+        inputs = steps.withColumn("_x", array_to_vector(F.concat(F.col(features), F.array(F.col("_step").cast("double")))))
+        return self.model.transform(inputs).select(*keep, F.col("_step").alias("step"), "prediction")
+
+
+def _gram(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of outer products of the rows of ``_v``, arrays of ``size`` numbers: one small matrix per task, added up by Spark."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, size))
+        for batch in batches:
+            if len(batch):
+                m = np.vstack(batch["_v"].to_numpy())
+                total += m.T @ m
+        yield pd.DataFrame({"cells": [total.ravel()]})
+
+    cells = rows.select("_v").mapInPandas(products, "cells array<double>").select(F.posexplode("cells").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"))
+    out = np.zeros(size * size)
+    for r in cells.collect():  # size * size numbers, whatever the number of rows
+        out[r["at"]] = r["x"]
+    return out.reshape(size, size)
+
+
+def _fit_linear(base: DataFrame, h: int) -> LinearSteps:
+    """Least squares of all steps at once: a pass for the means, a pass that adds up the centred products of features and targets."""
+    means = base.select(F.posexplode(F.concat("_x", "_t")).alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).collect()
+    centre = [r["x"] for r in sorted(means, key=lambda r: r["at"])]
+    d = len(centre) - h
+    if d < 1:
+        raise ValueError("no training windows")
+    gram = _gram(base.select(F.zip_with(F.concat("_x", "_t"), F.array(*[F.lit(c) for c in centre]), lambda x, c: x - c).alias("_v")), d + h)
+    # Scaled to unit diagonal, so the cut-off for collinear features does not depend on their units.
+    scaled = np.sqrt(np.where(np.diag(gram)[:d] > 0, np.diag(gram)[:d], 1.0))
+    slopes = np.linalg.lstsq(gram[:d, :d] / np.outer(scaled, scaled), gram[:d, d:] / scaled[:, None], rcond=1e-12)[0] / scaled[:, None]
+    intercepts = np.asarray(centre[d:]) - np.asarray(centre[:d]) @ slopes
+    return LinearSteps(tuple((float(intercepts[s]), *map(float, slopes[:, s])) for s in range(h)))
+
+
+def fit_multistep(windows: DataFrame, kind: str, h: int, *, features: str = "features", targets: str = "targets", seed: int = 42, trees: int = 20, depth: int = 5) -> LinearSteps | TreeSteps:
+    """A fitted model of all ``h`` forecast steps; ``kind`` is ``forest``, ``boosting`` or ``linear``.
+
+    The number of Spark jobs does not depend on ``h``: least squares solves all steps from one matrix of products, trees learn from rows (features, step)
+    and split on the step where steps differ. Windows with a null feature or target, or with fewer than ``h`` targets, are left out; without any
+    the fit raises ``ValueError``.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    if kind not in ("forest", "boosting", "linear"):
+        raise ValueError(f"unknown kind of model: {kind}")
+    x, t = F.col(features).cast("array<double>"), F.slice(F.col(targets).cast("array<double>"), 1, h)
+    whole = ~F.exists(F.concat("_x", "_t"), lambda v: v.isNull() | F.isnan(v)) & (F.size("_t") == h)
+    base = windows.select(x.alias("_x"), t.alias("_t")).where(whole).persist()
+    try:
+        if kind == "linear":
+            return _fit_linear(base, h)
+        if base.isEmpty():
+            raise ValueError("no training windows")
+        train = base.select("_x", F.posexplode("_t").alias("_i", "_y")).select(array_to_vector(F.concat("_x", F.array((F.col("_i") + 1).cast("double")))).alias("_x"), "_y")
+        if kind == "forest":
+            # Every tree may use the step: with all features on offer at each node, only the drawn rows differ.
+            learner = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="all")
+        else:
+            learner = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
+        return TreeSteps(learner.fit(train), h)
+    finally:
+        base.unpersist()
+
+
+def predict_multistep(model: LinearSteps | TreeSteps, windows: DataFrame, *, features: str = "features", keep: Sequence[str] = ()) -> DataFrame:
+    """(kept columns, step, prediction) for every fitted step."""
+    return model.predict(windows, features, keep)
 
 
 def ensemble(preds: DataFrame, errors: DataFrame, on: Sequence[str], *, model: str = "model", mae: str = "mae", value: str = "prediction") -> DataFrame:

@@ -440,6 +440,13 @@ def _(spark, d):
     return K.page(table(spark, d, "orders"), sort="o_orderdate", limit=20, offset=40, status="O", status_col="o_orderstatus", tie=[F.col("o_orderkey")]).select("o_orderkey", "o_orderdate")
 
 
+@query("k_03_deep_page", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50 OFFSET 4321")
+def _(spark, d):
+    """A third of the way down at the smallest scale; only the ranges around the page are sorted."""
+    rows = K.deep_page(table(spark, d, "lineitem"), sort="l_shipdate", limit=50, offset=4321, tie=[F.col("l_orderkey"), F.col("l_linenumber")])
+    return rows.select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
 @query("k_04_percentile_band", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT quantile_disc(o_totalprice, 0.75) FROM orders)")
 def _(spark, d):
     return K.percentile_band(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "p75")

@@ -334,7 +334,7 @@ def _(spark, d):
     w = _windows(spark, d)
     train, test = w.where("part = 'train'"), w.where("part = 'test'")
     out = None
-    for kind in ("linear", "forest"):
+    for kind in ("linear", "forest", "boosting"):
         p = M.predict_multistep(M.fit_multistep(train, kind, 2, trees=5, depth=4), test, keep=["symbol", "day"]).withColumn("model", F.lit(kind))
         out = p if out is None else out.unionByName(p)
     return rounded(out, "prediction", digits=3)
@@ -350,6 +350,42 @@ def _(spark, d):
     return rounded(M.predict_multistep(models, x.where("day >= DATE '1999-01-01'"), keep=["symbol", "day"]), "prediction", digits=3)
 
 
+TWO_STEPS = f"{OHLC}, x AS (SELECT symbol, day, lag(close) OVER w AS l, close AS y1, lead(close) OVER w AS y2 FROM ohlc WINDOW w AS (PARTITION BY symbol ORDER BY day)), ok AS (SELECT * FROM x WHERE l IS NOT NULL AND y2 IS NOT NULL), train AS (SELECT * FROM ok WHERE day < DATE '1999-01-01')"
+
+
+def _two_steps(spark, d):
+    """One lag, this close and the next: whole windows only."""
+    from tidemark import scale
+    rows = scale.over_rows(ohlc(spark, d).select("symbol", "day", "close"), "symbol", "day", lambda w: {"l": F.lag("close").over(w), "y2": F.lead("close").over(w)}, back=1, ahead=1)
+    return rows.where("l IS NOT NULL AND y2 IS NOT NULL").select("symbol", "day", F.array("l").alias("features"), F.array("close", "y2").alias("targets"))
+
+
+@query("m_03_linear_two_steps", f"""WITH {TWO_STEPS}, t AS (SELECT regr_slope(y1, l) AS a1, regr_intercept(y1, l) AS b1, regr_slope(y2, l) AS a2, regr_intercept(y2, l) AS b2 FROM train), p AS (SELECT * FROM ok, t WHERE day >= DATE '1999-01-01')
+ SELECT symbol, day, 1 AS step, {R('a1 * l + b1', 3)} AS prediction FROM p UNION ALL SELECT symbol, day, 2, {R('a2 * l + b2', 3)} FROM p""")
+def _(spark, d):
+    x = _two_steps(spark, d)
+    model = M.fit_multistep(x.where("day < DATE '1999-01-01'"), "linear", 2)
+    return rounded(M.predict_multistep(model, x.where("day >= DATE '1999-01-01'"), keep=["symbol", "day"]), "prediction", digits=3)
+
+
+@query("m_03_tree_error_bound", f"""WITH {TWO_STEPS}, m AS (SELECT avg(y1) AS m1, avg(y2) AS m2 FROM train), e AS (SELECT 1 AS step, abs(y1 - m1) AS e FROM ok, m WHERE day >= DATE '1999-01-01' UNION ALL SELECT 2, abs(y2 - m2) FROM ok, m WHERE day >= DATE '1999-01-01')
+ SELECT model, step, count(*) AS n, {R('avg(e)', 3)} AS mae_of_mean, true AS bounded FROM e, (VALUES ('forest'), ('boosting')) k(model) GROUP BY model, step""")
+def _(spark, d):
+    """Trees are fitted by drawing, so they have no twin: their mean error may be at most a twentieth above that of the training mean."""
+    x = _two_steps(spark, d)
+    train, test = x.where("day < DATE '1999-01-01'"), x.where("day >= DATE '1999-01-01'")
+    means = train.agg(F.struct(*[F.avg(F.col("targets")[i]).alias(f"m{i}") for i in range(2)])).scalar()
+    actual = test.withColumn("_m", means).select("symbol", "day", F.posexplode("targets").alias("_i", "observed"), F.array("_m.m0", "_m.m1").alias("_m"))
+    actual = actual.select("symbol", "day", (F.col("_i") + 1).alias("step"), "observed", F.get("_m", F.col("_i")).alias("mean"))
+    out = None
+    for kind in ("forest", "boosting"):
+        p = M.predict_multistep(M.fit_multistep(train, kind, 2, trees=10, depth=4), test, keep=["symbol", "day"]).withColumn("model", F.lit(kind))
+        out = p if out is None else out.unionByName(p)
+    error = out.join(actual, ["symbol", "day", "step"]).groupBy("model", "step").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("observed") - F.col("mean"))).alias("mae_of_mean"), F.avg(F.abs(F.col("observed") - F.col("prediction"))).alias("_mae"))
+    return error.select("model", "step", "n", r("mae_of_mean", 3), (F.col("_mae") <= F.col("mae_of_mean") * 1.05).alias("bounded"))
+
+
 PREDS = f"{OHLC}, p AS (SELECT symbol, day, close AS observed, 'naive' AS model, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS prediction FROM ohlc UNION ALL SELECT symbol, day, close, 'mean', avg(close) OVER (PARTITION BY symbol ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) FROM ohlc), q AS (SELECT * FROM p WHERE prediction IS NOT NULL)"
 
 
