@@ -1,5 +1,7 @@
 """Text and search operators on hand-written fixtures."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +207,38 @@ def test_hybrid_blocks_agree(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_ITEMS", 60)
     parts = sorted(map(tuple, search.hybrid_search(asked, both, **options).collect()))
     assert whole == parts and len(whole) > 0
+
+
+LONG_LIST = ["aa", "aba", "ETH", "smart contract", "é字", "", "a", "aa"] + [f"w{i}" for i in range(5000)]
+LONG_TEXTS = ["aaaa ababa eth ETHER smart  contract; smart-contract smart contracts", "w1 w12, w123 w4999 w5000 é字é字", "", None, "zzz", "w7 " * 3000 + "aaaaa"]
+
+
+@pytest.mark.parametrize("match", ["substring", "word"])
+def test_long_dictionaries(spark, match):
+    """Five thousand terms in one walk give what one term after the other gives."""
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS)), "id int, t string")
+    got = sorted((r["id"], r["category"], r["term"], r["n"]) for r in joins.lexicon_join(df, {"c": LONG_LIST[:7], "d": LONG_LIST[7:]}, doc="id", text="t").collect()) if match == "substring" else None
+    plain = {}
+    for i, t in enumerate(LONG_TEXTS):
+        body = (t or "").lower() if match == "substring" else " " + re.sub(r"[^\w]+", "  ", (t or "").lower()) + " "
+        for at, term in enumerate(LONG_LIST):
+            n = body.count(term.lower() if match == "substring" else X.word_key(term)) if term else 0
+            if n:
+                plain[i, at] = n
+    if got is not None:
+        assert got == sorted((i, "c" if at < 7 else "d", LONG_LIST[at], n) for (i, at), n in plain.items())
+    b = df.select("id", X.prepared("t", match).alias("b"))
+    rows = b.select("id", X.total_count(F.col("b"), LONG_LIST, match).alias("n"), X.found_terms(F.col("b"), LONG_LIST, match).alias("f"), X.any_term(F.col("b"), LONG_LIST, match).alias("any")).collect()
+    for r in rows:
+        mine = {at: n for (i, at), n in plain.items() if i == r["id"]}
+        assert r["n"] == sum(mine.values()) and r["f"] == [LONG_LIST[at] for at in sorted(mine)] and r["any"] == bool(mine)
+
+
+def test_long_point_lists(spark):
+    points = {"smart contract": 30, "eth": -25} | {f"w{i}": i % 3 for i in range(5000)}
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS)), "id int, t string")
+    got = {r["id"]: r for r in text.document_risk(df, "t", points).collect()}
+    assert got[0]["risk_score"] == 15.0 and got[0]["triggered"] == ["smart contract", "eth"] and got[1]["risk_score"] == 10.0 + 1 + 0 + 0 + 1
+    assert got[2]["risk_score"] == got[3]["risk_score"] == 10.0 and got[3]["triggered"] == []
+    both = text.lexicon_sentiment(df, "t", positive=["contract", *points], negative=["zzz"]).orderBy("id").collect()
+    assert [r["n_negative"] for r in both] == [0, 0, 0, 0, 1, 0] and both[5]["n_positive"] == 3000

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,8 +66,67 @@ def has_term(text: Column, term: str, match: str = "substring") -> Column:
     return text.contains(term.lower() if match == "substring" else word_key(term))
 
 
+#: Term lists up to this length become one expression per term; longer ones are matched by one automaton.
+EXPRESSION_TERMS = 64
+
+
+def constants(values: Sequence[Any], kind: str) -> Column:
+    """A list of any length as one constant array."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
+def _automaton(keys: Sequence[str]) -> Any:
+    """All keys as one automaton that names the places of every key that ends at a character."""
+    import ahocorasick
+
+    places: dict[str, list[int]] = {}
+    for i, key in enumerate(keys):
+        if key:
+            places.setdefault(key, []).append(i)
+    machine = ahocorasick.Automaton()
+    for key, at in places.items():
+        machine.add_word(key, (len(key), at))
+    if places:
+        machine.make_automaton()
+    return machine if places else None
+
+
+def _counts(machine: Any, text: str) -> dict[int, int]:
+    """How often each term occurs without overlapping itself, from left to right, by its place in the list."""
+    free: dict[int, int] = {}
+    hits: dict[int, int] = {}
+    for last, (size, at) in machine.iter(text):
+        first = at[0]
+        if last - size + 1 >= free.get(first, 0):
+            free[first] = last + 1
+            for i in at:
+                hits[i] = hits.get(i, 0) + 1
+    return hits
+
+
+def dictionary_counts(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
+    """Terms that occur as an array of (at, n): place in the list, ascending, and occurrences; what :func:`term_count` gives for each of them.
+
+    One walk over the text finds the terms of the whole list, so the cost does not depend on their number. The list travels with the plan and must
+    fit a Python worker. ``text`` must be :func:`prepared`; null text has no terms, an empty term none either.
+    """
+    keys = [t.lower() if match == "substring" else word_key(t) for t in terms]
+    keys = [k if k.strip() else "" for k in keys] if match == "word" else keys
+
+    @F.pandas_udf("array<struct<at:int,n:bigint>>")
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = _automaton(keys)
+        for batch in batches:
+            found = [sorted(_counts(machine, t).items()) if machine and t else [] for t in batch]
+            yield pd.Series([[{"at": i, "n": n} for i, n in f] for f in found], dtype=object)
+
+    return walk(text)
+
+
 def total_count(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
     """Summed occurrences over a term list."""
+    if len(terms) > EXPRESSION_TERMS:
+        return F.aggregate(dictionary_counts(text, terms, match), F.lit(0).cast("long"), lambda n, x: n + x["n"])
     out = F.lit(0).cast("long")
     for term in terms:
         out = out + term_count(text, term, match)
@@ -73,10 +135,15 @@ def total_count(text: Column, terms: Sequence[str], match: str = "substring") ->
 
 def found_terms(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
     """The terms that occur, in list order."""
+    if len(terms) > EXPRESSION_TERMS:
+        return F.transform(dictionary_counts(text, terms, match), lambda x: F.get(constants(terms, "string"), x["at"]))
     return F.array_compact(F.array(*[F.when(has_term(text, t, match), F.lit(t)) for t in terms]))
 
 
 def any_term(text: Column, terms: Sequence[str], match: str = "substring") -> Column:
+    """Whether one of the terms occurs."""
+    if len(terms) > EXPRESSION_TERMS:
+        return F.size(dictionary_counts(text, terms, match)) > 0
     out = F.lit(False)
     for term in terms:
         out = out | has_term(text, term, match)

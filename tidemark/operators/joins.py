@@ -186,8 +186,14 @@ def substring_join(a: DataFrame, b: DataFrame, a_col: str, b_col: str, *, q: int
 
 
 def lexicon_join(docs: DataFrame, lexicon: Mapping[str, Sequence[str]], *, doc: str, text: str, match: str = "substring") -> DataFrame:
-    """(document, category, term, hits) for every lexicon term that occurs."""
+    """(document, category, term, hits) for every lexicon term that occurs. Long lexicons are walked by one automaton per text, whatever their length."""
     body = texts.prepared(F.col("_t"), match)
+    listed = [(cat, term) for cat, terms in lexicon.items() for term in terms]
+    if len(listed) > texts.EXPRESSION_TERMS:
+        names = docs.sparkSession.createDataFrame([(i, cat, term) for i, (cat, term) in enumerate(listed)], "at int, category string, term string")
+        hits = docs.select(F.col(doc).alias("_doc"), texts.prepared(text, match).alias("_b")).select("_doc", texts.dictionary_counts(F.col("_b"), [t for _, t in listed], match).alias("_h"))
+        found = scale.unnest(hits, ["_doc"], F.col("_h"), "_e").select("_doc", "_e.at", "_e.n")
+        return found.join(names, "at").select(F.col("_doc").alias(doc), "category", "term", "n")
     entries = [F.struct(F.lit(cat).alias("category"), F.lit(term).alias("term"), texts.term_count(F.col("_b"), term, match).alias("n"))
                for cat, terms in lexicon.items() for term in terms]
     rows = docs.select(doc, F.col(text).alias("_t")).select(doc, body.alias("_b")).select(doc, F.explode(F.array(*entries)).alias("_e"))

@@ -167,10 +167,16 @@ def risk_contexts(df: DataFrame, doc: str, text: str, *, categories: Mapping[str
 def document_risk(df: DataFrame, text: str, points: Mapping[str, int] = L.DOCUMENT_RISK) -> DataFrame:
     """10 plus the points of every phrase that occurs as words, bounded to 0..100, with category and phrases."""
     out = df.withColumn("_b", X.prepared(text, "word"))
-    score = F.lit(10.0)
-    for term, value in points.items():
-        score = score + F.when(X.has_term(F.col("_b"), term, "word"), float(value)).otherwise(0.0)
-    out = out.withColumn("risk_score", clamp(score)).withColumn("triggered", X.found_terms(F.col("_b"), list(points), "word"))
+    if len(points) > X.EXPRESSION_TERMS:
+        out = out.withColumn("_b", X.dictionary_counts(F.col("_b"), list(points), "word"))
+        score = F.aggregate("_b", F.lit(10.0), lambda s, x: s + F.get(X.constants([float(v) for v in points.values()], "double"), x["at"]))
+        triggered = F.transform("_b", lambda x: F.get(X.constants(list(points), "string"), x["at"]))
+    else:
+        score = F.lit(10.0)
+        for term, value in points.items():
+            score = score + F.when(X.has_term(F.col("_b"), term, "word"), float(value)).otherwise(0.0)
+        triggered = X.found_terms(F.col("_b"), list(points), "word")
+    out = out.withColumn("risk_score", clamp(score)).withColumn("triggered", triggered)
     return out.withColumn("risk_category", five_level("risk_score")).drop("_b")
 
 
