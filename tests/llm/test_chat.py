@@ -63,3 +63,24 @@ def test_escapes(spark):
     texts = ["\\", "\\1", "<\\0>", "</turn>\n", "", "\\\\<<"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.escape(F.col("t")).alias("e"))
     assert all(r["t"] == r["u"] and "<" not in r["e"] for r in df.collect())
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_blocks_of_a_conversation(spark, monkeypatch, block):
+    """Cutting conversations into small blocks changes nothing, with gaps, negative, null and equal numbers too."""
+    odd = [(200, None, "user", "x " * 9), (200, -70, "system", "s"), (200, None, "user", "y"), (200, 10**15, "assistant", "last")] + [(200, 40, "assistant", f"{i} " * 30) for i in range(50)]
+    odd += [(None, i * 1000, "assistant" if i % 2 else "user", "w " * (i % 50)) for i in range(120)]
+    df = spark.createDataFrame(conversations() + odd, SCHEMA).repartition(5)
+    found = []
+    for size in (1 << 40, block):
+        monkeypatch.setattr(chat, "BLOCK", size)
+        found.append(sorted(map(str, chat.windows(df, budget=64, history=12).collect())))
+    assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_hot_conversation_is_cut(spark):
+    """No window over texts is partitioned by the conversation alone."""
+    df = spark.createDataFrame(conversations(), SCHEMA)
+    plan = chat.windows(df)._jdf.queryExecution().optimizedPlan().toString()
+    alone = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(conv_id" in line and "block#" not in line and "group#" not in line]
+    assert not alone

@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.scale import null_safe_join
+
 #: A turn in the output: <turn role>text</turn> and a line end. In roles and texts, "\" is written \0 and "<" is written \1, so neither mark can occur inside.
 OPEN, CLOSE = "<turn ", "</turn>\n"
 PARSED = r"<turn ([^<>]*)>([^<]*)</turn>\n"
 
+#: Turn numbers, and numbers of spans, that are ordered in one task.
+BLOCK = 4096
+
 
 def escape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\0")), F.lit("<"), F.lit("\\1"))
@@ -40,20 +45,30 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, trained: s
     starts with the conversation's system turn (its first turn, if a system turn) and with the last turns before its span that fit into `history`;
     these are the first `n_repeated` turns. The loss mask covers the text of each `trained` turn in its own span only, so every target counts once.
 
-    Turns go by number, equal ones by role and text; repeated rows are turns of their own. Null roles and texts are empty, null ids form one conversation.
-    Other columns are not read. A turn reaches at most its own and the next window. Rows are only joined with the windows of their conversation.
+    Turns go by number (null ones first), equal ones by role and text; repeated rows are turns of their own. Null roles and texts are empty, null ids form one
+    conversation, an empty table has no windows; a text of any length stays whole. Other columns are not read. A turn reaches at most its own and the next window.
+    A conversation of any length is cut into blocks of turn numbers, so no task sorts all of it; turns of one number stay together.
     """
     if not 0 <= history < budget / 3:
         raise ValueError("history must stay under a third of the budget")
     span = (budget - history) // 2
     t = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.withColumn("n", F.row_number().over(order)).withColumn("size", tokens(F.col("text")).cast("long"))
-    t = t.withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("span", F.floor(F.col("before") / span))
-    # Where the next span in use begins; within a span all turns see the same, looked up from the rows behind by walking them backwards.
-    later = Window.partitionBy("conv_id").orderBy(F.desc("n"))
-    t = t.withColumn("follower", F.lag(F.struct("span", "before")).over(later))
-    t = t.withColumn("next", F.last(F.when(F.col("follower.span") != F.col("span"), F.col("follower")), ignorenulls=True).over(later))
+    t = t.withColumn("size", tokens(F.col("text")).cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # Prefix sums in two steps: inside blocks of turn numbers, and over the blocks of a conversation.
+    over_blocks = Window.partitionBy("conv_id").orderBy("block")
+    blocks = t.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("turns_in"), F.sum("size").alias("size_in"))
+    blocks = blocks.select("conv_id", "block", (F.sum("turns_in").over(over_blocks) - F.col("turns_in")).alias("n0"), (F.sum("size_in").over(over_blocks) - F.col("size_in")).alias("before0"))
+    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    t = t.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    t = null_safe_join(t, blocks, ["conv_id", "block"]).withColumn("n", F.col("n") + F.col("n0")).withColumn("before", F.col("before") + F.col("before0"))
+    t = t.withColumn("span", F.floor(F.col("before") / span))
+    # The next span in use and where it begins, from a table of spans, in the same two steps.
+    spans = t.groupBy("conv_id", "span").agg(F.min("before").alias("before")).withColumn("group", F.floor(F.col("span") / BLOCK))
+    entry = F.struct("span", "before")
+    heads = spans.groupBy("conv_id", "group").agg(F.min(entry).alias("head")).select("conv_id", "group", F.lead("head").over(Window.partitionBy("conv_id").orderBy("group")).alias("beyond"))
+    spans = null_safe_join(spans.withColumn("next", F.lead(entry).over(Window.partitionBy("conv_id", "group").orderBy("span"))), heads, ["conv_id", "group"])
+    spans = spans.select("conv_id", "span", F.coalesce("next", "beyond").alias("next"))
+    t = null_safe_join(t, spans, ["conv_id", "span"])
     repeats = (F.col("next.before") - F.col("before") <= history) & F.col("next").isNotNull()
     system = (F.col("n") == 1) & (F.col("role") == "system")
     piece = F.struct("n", F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit(">")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained).alias("trained"))
@@ -62,7 +77,7 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, trained: s
     own = F.struct(F.col("span").alias("window"), F.lit(False).alias("repeated"))
     again = F.struct(F.col("next.span").alias("window"), F.lit(True).alias("repeated"))
     placed = t.select("conv_id", F.explode(F.when(F.col("repeats"), F.array(own, again)).otherwise(F.array(own))).alias("to"), "piece").select("conv_id", "to.window", "to.repeated", "piece")
-    used = t.where("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("window")).distinct()
+    used = spans.where("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("window"))
     systems = t.where("system").select("conv_id", "piece")
     placed = placed.unionByName(used.join(systems, used["c"].eqNullSafe(systems["conv_id"])).select("conv_id", "window", F.lit(True).alias("repeated"), "piece"))
 
