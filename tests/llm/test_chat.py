@@ -82,5 +82,5 @@ def test_hot_conversation_is_cut(spark):
     """No window over texts is partitioned by the conversation alone."""
     df = spark.createDataFrame(conversations(), SCHEMA)
     plan = chat.windows(df)._jdf.queryExecution().optimizedPlan().toString()
-    alone = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(conv_id" in line and "block#" not in line and "group#" not in line]
-    assert not alone
+    alone = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(conv#" in line and "block#" not in line and "group#" not in line]
+    assert not alone and plan.count("windowspecdefinition(conv#") > 4

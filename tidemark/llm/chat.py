@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.scale import null_safe_join
-
 #: A turn in the output: <turn role>text</turn> and a line end. In roles and texts, "\" is written \0 and "<" is written \1, so neither mark can occur inside.
 OPEN, CLOSE = "<turn ", "</turn>\n"
 PARSED = r"<turn ([^<>]*)>([^<]*)</turn>\n"
@@ -52,43 +50,50 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, trained: s
     if not 0 <= history < budget / 3:
         raise ValueError("history must stay under a third of the budget")
     span = (budget - history) // 2
-    t = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.withColumn("size", tokens(F.col("text")).cast("long")).withColumn("block", F.floor(F.col("turn") / BLOCK))
+    # Structs hold ids and numbers that may be null: they compare and hash like any value, so joins and windows share one partitioning.
+    t = turns.select(F.struct(F.col(conv_id).alias("id")).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    t = t.withColumn("size", tokens(F.col("text")).cast("long")).withColumn("block", F.struct(F.floor(F.col("turn") / BLOCK).alias("at")))
     # Prefix sums in two steps: inside blocks of turn numbers, and over the blocks of a conversation.
-    over_blocks = Window.partitionBy("conv_id").orderBy("block")
-    blocks = t.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("turns_in"), F.sum("size").alias("size_in"))
-    blocks = blocks.select("conv_id", "block", (F.sum("turns_in").over(over_blocks) - F.col("turns_in")).alias("n0"), (F.sum("size_in").over(over_blocks) - F.col("size_in")).alias("before0"))
-    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    place = Window.partitionBy("conv", "block")
+    order = place.orderBy("turn", "role", "text")
     t = t.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    t = null_safe_join(t, blocks, ["conv_id", "block"]).withColumn("n", F.col("n") + F.col("n0")).withColumn("before", F.col("before") + F.col("before0"))
+    over_blocks = Window.partitionBy("conv").orderBy("block")
+    blocks = t.groupBy("conv", "block").agg(F.max("n").alias("turns_in"), F.sum("size").alias("size_in"))
+    blocks = blocks.select("conv", "block", (F.sum("turns_in").over(over_blocks) - F.col("turns_in")).alias("n0"), (F.sum("size_in").over(over_blocks) - F.col("size_in")).alias("before0"))
+    t = t.join(blocks, ["conv", "block"]).withColumn("n", F.col("n") + F.col("n0")).withColumn("before", F.col("before") + F.col("before0")).drop("n0", "before0")
     t = t.withColumn("span", F.floor(F.col("before") / span))
-    # The next span in use and where it begins, from a table of spans, in the same two steps.
-    spans = t.groupBy("conv_id", "span").agg(F.min("before").alias("before")).withColumn("group", F.floor(F.col("span") / BLOCK))
+    # Where the next span in use begins: looked up from the rows behind by walking a block backwards, for a block's last span in a table of spans.
     entry = F.struct("span", "before")
-    heads = spans.groupBy("conv_id", "group").agg(F.min(entry).alias("head")).select("conv_id", "group", F.lead("head").over(Window.partitionBy("conv_id").orderBy("group")).alias("beyond"))
-    spans = null_safe_join(spans.withColumn("next", F.lead(entry).over(Window.partitionBy("conv_id", "group").orderBy("span"))), heads, ["conv_id", "group"])
-    spans = spans.select("conv_id", "span", F.coalesce("next", "beyond").alias("next"))
-    t = null_safe_join(t, spans, ["conv_id", "span"])
+    begun = t.groupBy("conv", "block", "span").agg(F.min("before").alias("before"))
+    spans = begun.groupBy("conv", "span").agg(F.min("before").alias("before")).withColumn("group", F.floor(F.col("span") / BLOCK))
+    heads = spans.groupBy("conv", "group").agg(F.min(entry).alias("head")).select("conv", "group", F.lead("head").over(Window.partitionBy("conv").orderBy("group")).alias("beyond"))
+    spans = spans.withColumn("next", F.lead(entry).over(Window.partitionBy("conv", "group").orderBy("span"))).join(heads, ["conv", "group"])
+    spans = spans.select("conv", "span", F.coalesce("next", "beyond").alias("beyond"))
+    carried = begun.groupBy("conv", "block").agg(F.max("span").alias("span")).join(spans, ["conv", "span"]).select("conv", "block", "beyond")
+    later = place.orderBy(F.desc("n"))
+    t = t.withColumn("follower", F.lag(entry).over(later))
+    t = t.withColumn("next", F.last(F.when(F.col("follower.span") != F.col("span"), F.col("follower")), ignorenulls=True).over(later))
+    t = t.join(carried, ["conv", "block"]).withColumn("next", F.coalesce("next", "beyond"))
     repeats = (F.col("next.before") - F.col("before") <= history) & F.col("next").isNotNull()
     system = (F.col("n") == 1) & (F.col("role") == "system")
     piece = F.struct("n", F.concat(F.lit(OPEN), _escape_role(F.col("role")), F.lit(">")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained).alias("trained"))
-    t = t.select("conv_id", "n", "span", "next", system.alias("system"), piece.alias("piece"), (repeats & ~system).alias("repeats"))
+    t = t.select("conv", "n", "span", "next", system.alias("system"), piece.alias("piece"), (repeats & ~system).alias("repeats"))
 
     own = F.struct(F.col("span").alias("window"), F.lit(False).alias("repeated"))
     again = F.struct(F.col("next.span").alias("window"), F.lit(True).alias("repeated"))
-    placed = t.select("conv_id", F.explode(F.when(F.col("repeats"), F.array(own, again)).otherwise(F.array(own))).alias("to"), "piece").select("conv_id", "to.window", "to.repeated", "piece")
-    used = spans.where("span > 0").select(F.col("conv_id").alias("c"), F.col("span").alias("window"))
-    systems = t.where("system").select("conv_id", "piece")
-    placed = placed.unionByName(used.join(systems, used["c"].eqNullSafe(systems["conv_id"])).select("conv_id", "window", F.lit(True).alias("repeated"), "piece"))
+    placed = t.select("conv", F.explode(F.when(F.col("repeats"), F.array(own, again)).otherwise(F.array(own))).alias("to"), "piece").select("conv", "to.window", "to.repeated", "piece")
+    used = spans.where("span > 0").select("conv", F.col("span").alias("window"))
+    systems = t.where("system").select("conv", "piece")
+    placed = placed.unionByName(used.join(systems, "conv").select("conv", "window", F.lit(True).alias("repeated"), "piece"))
 
-    rows = placed.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct(F.col("piece.n").alias("n"), "repeated", "piece"))).alias("turns"))
+    rows = placed.groupBy("conv", "window").agg(F.sort_array(F.collect_list(F.struct(F.col("piece.n").alias("n"), "repeated", "piece"))).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda x: F.concat(x["piece"]["head"], x["piece"]["body"], F.lit(CLOSE))), "")
     sized = F.transform("turns", lambda x: F.struct(F.length(x["piece"]["head"]).alias("head"), F.length(x["piece"]["body"]).alias("body"), (x["piece"]["trained"] & ~x["repeated"]).alias("target")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
     walked = F.aggregate(sized, start, lambda acc, x: F.struct(
         (acc["at"] + x["head"] + x["body"] + len(CLOSE)).alias("at"),
         F.when(x["target"], F.concat(acc["loss"], F.array(F.struct((acc["at"] + x["head"]).alias("start"), (acc["at"] + x["head"] + x["body"]).alias("end"))))).otherwise(acc["loss"]).alias("loss")))
-    return rows.select("conv_id", "window", formatted.alias("formatted"), F.size(F.filter("turns", lambda x: x["repeated"])).alias("n_repeated"), walked["loss"].alias("loss"))
+    return rows.select(F.col("conv.id").alias("conv_id"), "window", formatted.alias("formatted"), F.size(F.filter("turns", lambda x: x["repeated"])).alias("n_repeated"), walked["loss"].alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
