@@ -81,6 +81,7 @@ def test_blocks_of_a_conversation(spark, monkeypatch, block):
 def test_hot_conversation_is_cut(spark):
     """No window over texts is partitioned by the conversation alone."""
     df = spark.createDataFrame(conversations(), SCHEMA)
-    plan = chat.windows(df)._jdf.queryExecution().optimizedPlan().toString()
-    alone = [line for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(conv#" in line and "block#" not in line and "group#" not in line]
-    assert not alone and plan.count("windowspecdefinition(conv#") > 4
+    turns = df.select(F.struct("conv_id").alias("conv"), "turn", "role", "text")
+    plan = chat._positions(turns, 100)._jdf.queryExecution().optimizedPlan().toString()
+    specs = [line for line in plan.splitlines() if "windowspecdefinition(conv#" in line]
+    assert len(specs) > 3 and all("block#" in line for line in specs)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.graph import write_table
+from tidemark.session import scratch_dir
+
 #: A turn in the output: <turn role>text</turn> and a line end. In roles and texts, "\" is written \0 and "<" is written \1, so neither mark can occur inside.
 OPEN, CLOSE = "<turn ", "</turn>\n"
 PARSED = r"<turn ([^<>]*)>([^<]*)</turn>\n"
@@ -35,6 +38,24 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 3
 
 
+def _positions(t: DataFrame, span: int) -> DataFrame:
+    """Every turn with its number, the tokens before it, its span, and the next span of its block: prefix sums inside blocks of turn numbers and over the blocks of a conversation."""
+    t = t.withColumn("size", tokens(F.col("text")).cast("long")).withColumn("block", F.struct(F.floor(F.col("turn") / BLOCK).alias("at")))
+    over_blocks = Window.partitionBy("conv").orderBy("block")
+    blocks = t.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("turns_in"), F.sum("size").alias("size_in"))
+    blocks = blocks.select("conv", "block", (F.sum("turns_in").over(over_blocks) - F.col("turns_in")).alias("n0"), (F.sum("size_in").over(over_blocks) - F.col("size_in")).alias("before0"))
+    place = Window.partitionBy("conv", "block")
+    order = place.orderBy("turn", "role", "text")
+    t = t.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    t = t.join(blocks, ["conv", "block"]).withColumn("n", F.col("n") + F.col("n0")).withColumn("before", F.col("before") + F.col("before0")).drop("n0", "before0")
+    t = t.withColumn("span", F.floor(F.col("before") / span))
+    # Where the next span of the block begins: looked up from the rows behind by walking the block backwards.
+    later = place.orderBy(F.desc("n"))
+    t = t.withColumn("follower", F.lag(F.struct("span", "before")).over(later))
+    t = t.withColumn("next", F.last(F.when(F.col("follower.span") != F.col("span"), F.col("follower")), ignorenulls=True).over(later))
+    return t.drop("follower", "size")
+
+
 def windows(turns: DataFrame, budget: int = 2048, history: int = 256, trained: str = "assistant", conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per window: conv_id, window, formatted, n_repeated, loss (array of start, end in code points of `formatted`).
 
@@ -45,24 +66,15 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, trained: s
 
     Turns go by number (null ones first), equal ones by role and text; repeated rows are turns of their own. Null roles and texts are empty, null ids form one
     conversation, an empty table has no windows; a text of any length stays whole. Other columns are not read. A turn reaches at most its own and the next window.
-    A conversation of any length is cut into blocks of turn numbers, so no task sorts all of it; turns of one number stay together.
+    The turns with their places are written once, in the shared folder. A conversation of any length is cut into blocks of turn numbers, so no task sorts all of it; turns of one number stay together.
     """
     if not 0 <= history < budget / 3:
         raise ValueError("history must stay under a third of the budget")
     span = (budget - history) // 2
     # Structs hold ids and numbers that may be null: they compare and hash like any value, so joins and windows share one partitioning.
     t = turns.select(F.struct(F.col(conv_id).alias("id")).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    t = t.withColumn("size", tokens(F.col("text")).cast("long")).withColumn("block", F.struct(F.floor(F.col("turn") / BLOCK).alias("at")))
-    # Prefix sums in two steps: inside blocks of turn numbers, and over the blocks of a conversation.
-    place = Window.partitionBy("conv", "block")
-    order = place.orderBy("turn", "role", "text")
-    t = t.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    over_blocks = Window.partitionBy("conv").orderBy("block")
-    blocks = t.groupBy("conv", "block").agg(F.max("n").alias("turns_in"), F.sum("size").alias("size_in"))
-    blocks = blocks.select("conv", "block", (F.sum("turns_in").over(over_blocks) - F.col("turns_in")).alias("n0"), (F.sum("size_in").over(over_blocks) - F.col("size_in")).alias("before0"))
-    t = t.join(blocks, ["conv", "block"]).withColumn("n", F.col("n") + F.col("n0")).withColumn("before", F.col("before") + F.col("before0")).drop("n0", "before0")
-    t = t.withColumn("span", F.floor(F.col("before") / span))
-    # Where the next span in use begins: looked up from the rows behind by walking a block backwards, for a block's last span in a table of spans.
+    t = write_table(_positions(t, span), scratch_dir(turns.sparkSession, "chat"))
+    # A block's last span looks up where the next one begins in a table of spans, ordered in groups of them and over the groups.
     entry = F.struct("span", "before")
     begun = t.groupBy("conv", "block", "span").agg(F.min("before").alias("before"))
     spans = begun.groupBy("conv", "span").agg(F.min("before").alias("before")).withColumn("group", F.floor(F.col("span") / BLOCK))
@@ -70,9 +82,6 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256, trained: s
     spans = spans.withColumn("next", F.lead(entry).over(Window.partitionBy("conv", "group").orderBy("span"))).join(heads, ["conv", "group"])
     spans = spans.select("conv", "span", F.coalesce("next", "beyond").alias("beyond"))
     carried = begun.groupBy("conv", "block").agg(F.max("span").alias("span")).join(spans, ["conv", "span"]).select("conv", "block", "beyond")
-    later = place.orderBy(F.desc("n"))
-    t = t.withColumn("follower", F.lag(entry).over(later))
-    t = t.withColumn("next", F.last(F.when(F.col("follower.span") != F.col("span"), F.col("follower")), ignorenulls=True).over(later))
     t = t.join(carried, ["conv", "block"]).withColumn("next", F.coalesce("next", "beyond"))
     repeats = (F.col("next.before") - F.col("before") <= history) & F.col("next").isNotNull()
     system = (F.col("n") == 1) & (F.col("role") == "system")
