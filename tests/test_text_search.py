@@ -242,3 +242,50 @@ def test_long_point_lists(spark):
     assert got[2]["risk_score"] == got[3]["risk_score"] == 10.0 and got[3]["triggered"] == []
     both = text.lexicon_sentiment(df, "t", positive=["contract", *points], negative=["zzz"]).orderBy("id").collect()
     assert [r["n_negative"] for r in both] == [0, 0, 0, 0, 1, 0] and both[5]["n_positive"] == 3000
+
+
+def test_blocks_that_cannot_matter_stay_closed(spark):
+    """The rows of plain scoring, from fewer postings; also for null ids, ties, repeated rows, unknown words and more results than documents."""
+    from tidemark.operators import postings
+
+    rows = [(i, " ".join(["common"] * (1 + i % 7) + [f"rare{i % 40}"] * (1 + i % 3) + [f"word{i % 5}", "frequent"] * (i % 4))) for i in range(800)]
+    rows += [(None, "common rare1"), (None, "rare1 rare1 word2 common"), (5, "common"), (900, ""), (901, None), (902, "common rare3"), (903, "common rare3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "common rare1 word2"), (2, "rare3 frequent common"), (3, "unheard"), (4, ""), (5, None), (None, "rare7 common frequent word1"), (6, "common")], "q long, t string")
+    opts = dict(query="q", query_text="t", doc="doc_id", text="text")
+    for k in (1, 3, 2000):
+        plain, blocks = (sorted((str(r["q"]), str(r["doc_id"]), r["rank"], round(r["bm25"], 8)) for r in f(asked, docs, k=k, **opts).collect()) for f in (search.bm25, search.bm25_blocks))
+        assert plain == blocks and len(plain) >= 4 * min(k, 20)
+    terms = search._asked(asked, "q", "t", ("the",))
+    index = postings.term_postings(docs, doc="doc_id", text="text", wanted=terms)
+    plan = postings.plan_blocks(postings.banded(postings.bm25_impacts(index, "doc_id"), "doc_id"), postings.bm25_weights(index, terms), query="q", doc="doc_id", k=3)
+    opened, closed = (plan.where(f"skipped = {s}").agg({"n": "sum"}).first()[0] or 0 for s in ("false", "true"))
+    assert closed > opened
+    assert bool(search.bm25_blocks(asked, docs.limit(0), k=3, **opts).isEmpty()) and bool(search.bm25_blocks(asked.limit(0), docs, k=3, **opts).isEmpty())
+
+
+def test_hybrid_against_all_pairs(spark):
+    """Vectors fetched for few documents give the rows that vectors of all documents give; also without vectors, without words and in short lists."""
+    import numpy as np
+
+    gen = np.random.default_rng(3)
+    vec = lambda: [float(x) for x in gen.standard_normal(6)]
+    rows = [(i, " ".join(f"word{j}" for j in gen.integers(0, 60, 12)), vec() if i % 5 else None) for i in range(300)] + [(400, None, vec()), (401, "", None)]
+    asked = [(1, "word1 word2 word3", vec()), (2, "word4 word5", None), (3, "nothing", vec()), (4, "", None)]
+    docs, qs = spark.createDataFrame(rows, "d long, text string, v array<double>"), spark.createDataFrame(asked, "q long, t string, v array<double>")
+    opts = dict(query="q", query_text="t", query_vec="v", doc="d", text="text", vec="v")
+    scores = {(r["q"], r["d"]): r["bm25"] for r in search.bm25_scores(qs, docs, query="q", query_text="t", doc="d", text="text").collect()}
+    for k, alpha in ((5, 0.5), (3, 0.2), (400, 0.5)):
+        want = []
+        for q, _, v in asked:
+            sims = {d: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) for d, _, w in rows if v and w}
+            words = {d: s for (a, d), s in scores.items() if a == q}
+
+            def part(x, of):
+                lo, hi = (min(of.values()), max(of.values())) if of else (0, 0)
+                return 0.0 if x not in of else (of[x] - lo) / (hi - lo) if hi > lo else 1.0
+
+            ranked = sorted((-(alpha * part(d, sims) + (1 - alpha) * part(d, words)), d) for d in sims.keys() | words.keys())[:k]
+            want += [(q, d, round(-s, 6)) for s, d in ranked]
+        got = sorted((r["query_id"], r["doc_id"], round(r["score"], 6)) for r in search.hybrid_search(qs, docs, k=k, alpha=alpha, **opts).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=2e-6)

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from tidemark import scale
 from tidemark.functions import texts as X
+from tidemark.operators import postings as P
 from tidemark.operators import terms as T
 
 #: Queries and items that meet in one task: bounds its memory, whatever the sizes of the tables.
@@ -148,22 +149,17 @@ def keyword_search(queries: DataFrame, docs: DataFrame, *, query: str, query_tex
     return scale.top_per_key(scored, query, [F.col("hits").desc(), F.col(doc)], k, rank="rank")
 
 
+def _asked(queries: DataFrame, query: str, query_text: str, stopwords: Sequence[str]) -> DataFrame:
+    return queries.select(query, F.explode(F.array_distinct(T.tokens(F.col(query_text), stopwords))).alias("term"))
+
+
 def bm25_scores(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k1: float = 1.2, b: float = 0.75,
                 stopwords: Sequence[str] = tuple(T.STOPWORDS)) -> DataFrame:
     """(query, document, BM25) for every document that shares a term with the query."""
-    base = docs.select(doc, T.tokens(F.col(text), stopwords).alias("_t")).withColumn("_len", F.size("_t"))
-    stats = base.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg")).alias("s")).scalar()
-    # Only the terms that queries ask for are counted; the set of asked terms joins as a filter first.
-    asked = queries.select(query, F.explode(F.array_distinct(T.tokens(F.col(query_text), stopwords))).alias("term"))
-    wanted = asked.select("term").distinct()
-    # What is left of the texts is spread by document once; counting and scoring stay in place.
-    found = scale.unnest(base, [doc, "_len"], "_t", "term").join(wanted, "term", "left_semi").repartition(doc)
-    postings = found.groupBy(doc, "_len", "term").agg(F.count(F.lit(1)).alias("_tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).withColumn("_s", stats)
-    weights = df.select("term", F.ln(1 + (F.col("_s.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)).alias("_idf"), F.col("_s.avg").alias("_avg"))
-    terms = asked.join(weights, "term")
-    part = F.col("_idf") * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    return postings.join(terms, "term").groupBy(query, doc).agg(F.sum(part).alias("bm25"))
+    asked = _asked(queries, query, query_text, stopwords)
+    index = P.term_postings(docs, doc=doc, text=text, stopwords=stopwords, wanted=asked)
+    part = F.sum(F.col("weight") * F.col("impact")).alias("bm25")
+    return P.bm25_impacts(index, doc, k1=k1, b=b).join(P.bm25_weights(index, asked), "term").groupBy(query, doc).agg(part)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int, **options) -> DataFrame:
@@ -172,34 +168,63 @@ def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, do
     return scale.top_per_key(scores, query, [F.round("bm25", 9).desc(), F.col(doc)], k, rank="rank")
 
 
+def bm25_blocks(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int, k1: float = 1.2, b: float = 0.75,
+                stopwords: Sequence[str] = tuple(T.STOPWORDS)) -> DataFrame:
+    """The rows of :func:`bm25`, without scoring blocks of postings that cannot change them.
+
+    Pays where lists are long against ``k``; below that, its further steps cost more than the postings they save.
+    """
+    asked = _asked(queries, query, query_text, stopwords)
+    index = P.term_postings(docs, doc=doc, text=text, stopwords=stopwords, wanted=asked)
+    found = P.best(P.bm25_impacts(index, doc, k1=k1, b=b), P.bm25_weights(index, asked), query=query, doc=doc, k=k)
+    return scale.top_per_key(found.withColumnRenamed("score", "bm25"), query, [F.round("bm25", 9).desc(), F.col(doc)], k, rank="rank")
+
+
 def hybrid_search(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, query_vec: str, doc: str, text: str, vec: str, k: int,
                   alpha: float = 0.5, explain: bool = False) -> DataFrame:
-    """alpha * vector + (1 - alpha) * BM25, each min-max scaled per query over all documents that have such a score.
+    """alpha * vector + (1 - alpha) * BM25 (alpha from 0 to 1), each min-max scaled per query over all documents that have such a score.
 
     Documents without a vector, or without a common term, count 0 for that part. The best
-    documents either share a term with the query, or lead among all vectors, so those two
-    lists are all that is fused; nothing is collected. ``explain`` keeps the components.
+    documents either share a term with the query, or lead among all vectors. A document that does not lead has
+    at most the last leader's similarity, so vectors are fetched only for those whose BM25 can still
+    reach the ``k``-th score known without them. ``explain`` keeps the components.
     """
-    found = _blockwise(queries, docs, query=query, query_vec=query_vec, item=doc, vec=vec, k=k, min_sim=None)
-    v_range = found.groupBy("query_id").agg(F.min("lowest").alias("_vlo"), F.max("similarity").alias("_vhi"))
+    found = P.written(_blockwise(queries, docs, query=query, query_vec=query_vec, item=doc, vec=vec, k=k, min_sim=None), "leaders")
     leaders = scale.top_per_key(found.drop("lowest"), "query_id", [F.col("similarity").desc(), F.col("item_id")], k)
-    leaders = leaders.select("query_id", F.col("item_id").alias("doc_id"), "similarity", F.lit(None).cast("double").alias("bm25"))
+    leaders = leaders.select("query_id", F.col("item_id").alias("doc_id"), "similarity")
+    # Fewer leaders than k are all documents with a vector: nobody else has a similarity.
+    v_range = found.groupBy("query_id").agg(F.min("lowest").alias("_vlo"), F.max("similarity").alias("_vhi"))
+    last = leaders.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("_vcap"))
     scores = bm25_scores(queries, docs, query=query, query_text=query_text, doc=doc, text=text).select(F.col(query).alias("query_id"), F.col(doc).alias("doc_id"), "bm25")
+    scores = P.written(scores, "scores")
     t_range = scores.groupBy("query_id").agg(F.min("bm25").alias("_tlo"), F.max("bm25").alias("_thi"))
-    asked = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv"))
-    items = docs.select(F.col(doc).alias("doc_id"), F.col(vec).alias("_iv"))
-    both = scores.join(items, "doc_id").join(asked, "query_id")
-    have = F.col("_qv").isNotNull() & F.col("_iv").isNotNull()
-    empty = F.array().cast("array<float>")
-    both = both.select("query_id", "doc_id", F.when(have, cosine(F.coalesce("_qv", empty), F.coalesce("_iv", empty))).alias("similarity"), "bm25")
-    # A leader that also shares a term stands in both lists; its complete row wins.
-    rows = both.unionByName(leaders).groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"), F.max("bm25").alias("bm25"))
-    rows = rows.join(v_range, "query_id", "left").join(t_range, "query_id", "left")
 
     def scaled(x: str, lo: str, hi: str) -> Column:
         span = F.col(hi) - F.col(lo)
         return F.when(F.col(x).isNull(), 0.0).when(span > 0, (F.col(x) - F.col(lo)) / span).otherwise(1.0)
 
+    def fused(vector: str) -> Column:
+        return alpha * scaled(vector, "_vlo", "_vhi") + (1 - alpha) * scaled("bm25", "_tlo", "_thi")
+
+    ranges = queries.select(F.col(query).alias("query_id")).distinct()
+    for part in (v_range, last, t_range):
+        ranges = scale.null_safe_join(ranges, part, ["query_id"], "left")
+    known = scores.withColumn("similarity", F.lit(None).cast("double")).unionByName(leaders.withColumn("bm25", F.lit(None).cast("double")))
+    known = known.groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"), F.max("bm25").alias("bm25"))
+    known = scale.null_safe_join(known, ranges, ["query_id"], "inner")
+    # The k-th score that is reached whatever the vectors of the others say.
+    sure = scale.top_per_key(known.withColumn("_s", fused("similarity")), "query_id", [F.col("_s").desc()], k)
+    need = sure.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("_s")).alias("_need"))
+    race = scale.null_safe_join(known, need, ["query_id"], "left")
+    race = race.where(F.col("similarity").isNotNull() | F.col("_need").isNull() | (fused("_vcap") >= F.col("_need") - P.SLACK))
+    asked = queries.select(F.col(query).alias("query_id"), F.col(query_vec).alias("_qv"))
+    items = docs.select(F.col(doc).alias("doc_id"), F.col(vec).alias("_iv"))
+    have = F.col("_qv").isNotNull() & F.col("_iv").isNotNull()
+    empty = F.array().cast("array<float>")
+    new = race.where(F.col("similarity").isNull()).drop("similarity").join(items, "doc_id").join(asked, "query_id")
+    new = new.withColumn("similarity", F.when(have, cosine(F.coalesce("_qv", empty), F.coalesce("_iv", empty))))
+    rows = race.where(F.col("similarity").isNotNull()).select("query_id", "doc_id", "similarity", "bm25", "_vlo", "_vhi", "_tlo", "_thi")
+    rows = rows.unionByName(new.select(*rows.columns))
     rows = rows.withColumn("vector_part", scaled("similarity", "_vlo", "_vhi")).withColumn("keyword_part", scaled("bm25", "_tlo", "_thi"))
     rows = rows.select("query_id", "doc_id", F.round(alpha * F.col("vector_part") + (1 - alpha) * F.col("keyword_part"), 9).alias("score"), "vector_part", "keyword_part")
     out = scale.top_per_key(rows, "query_id", [F.col("score").desc(), F.col("doc_id")], k, rank="rank")

@@ -521,11 +521,19 @@ def bm25_sql(source):
  bm AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / a))) AS s FROM pf JOIN aq USING (term) JOIN dfq USING (term), st GROUP BY 1, 2)"""
 
 
-@query("v_04_bm25", f"""WITH {bm25_sql('documents')} SELECT item_id, doc_id, {R('s')} AS bm25, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 10""")
+BM25_TOP = f"""WITH {bm25_sql('documents')} SELECT item_id, doc_id, {R('s')} AS bm25, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 10"""
+
+
+@query("v_04_bm25", BM25_TOP)
 def _(spark, d):
     return rounded(V.bm25(table(spark, d, "benchmark"), docs(spark, d), query="item_id", query_text="text", doc="doc_id", text="text", k=10), "bm25")
 
 
+@query("v_04_bm25_blocks", BM25_TOP)
+def _(spark, d):
+    return rounded(V.bm25_blocks(table(spark, d, "benchmark"), docs(spark, d), query="item_id", query_text="text", doc="doc_id", text="text", k=10), "bm25")
+
+
 HYBRID = f"""WITH dv AS (SELECT doc_id, text, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id), {bm25_sql('dv')}, q AS (SELECT item_id, embedding FROM benchmark JOIN embeddings ON item_id = vec_id),
  s AS (SELECT item_id, doc_id, CASE WHEN v.embedding IS NOT NULL THEN round({COS}, 9) END AS c FROM q, dv v), vr AS (SELECT item_id, min(c) AS lo, max(c) AS hi FROM s GROUP BY 1), tr AS (SELECT item_id, min(s) AS lo, max(s) AS hi FROM bm GROUP BY 1),
  f AS (SELECT s.item_id AS query_id, s.doc_id, CASE WHEN c IS NULL THEN 0 WHEN vr.hi > vr.lo THEN (c - vr.lo) / (vr.hi - vr.lo) ELSE 1 END AS vp, CASE WHEN bm.s IS NULL THEN 0 WHEN tr.hi > tr.lo THEN (bm.s - tr.lo) / (tr.hi - tr.lo) ELSE 1 END AS kp
