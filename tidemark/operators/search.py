@@ -22,6 +22,8 @@ from tidemark.operators import terms as T
 
 #: Queries and items that meet in one task: bounds its memory, whatever the sizes of the tables.
 BLOCK_QUERIES, BLOCK_ITEMS = 1024, 8192
+#: Hybrid search knows the similarities of this many times ``k`` leading vectors before it fetches any: the further down, the lower the bound for all others.
+LEADERS = 10
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -189,12 +191,13 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, *, query: str, query_text
     at most the last leader's similarity, so vectors are fetched only for those whose BM25 can still
     reach the ``k``-th score known without them. ``explain`` keeps the components.
     """
-    found = P.written(_blockwise(queries, docs, query=query, query_vec=query_vec, item=doc, vec=vec, k=k, min_sim=None), "leaders")
-    leaders = scale.top_per_key(found.drop("lowest"), "query_id", [F.col("similarity").desc(), F.col("item_id")], k)
+    deep = LEADERS * k
+    found = P.written(_blockwise(queries, docs, query=query, query_vec=query_vec, item=doc, vec=vec, k=deep, min_sim=None), "leaders")
+    leaders = scale.top_per_key(found.drop("lowest"), "query_id", [F.col("similarity").desc(), F.col("item_id")], deep)
     leaders = leaders.select("query_id", F.col("item_id").alias("doc_id"), "similarity")
-    # Fewer leaders than k are all documents with a vector: nobody else has a similarity.
+    # A shorter list of leaders holds all documents with a vector: nobody else has a similarity.
     v_range = found.groupBy("query_id").agg(F.min("lowest").alias("_vlo"), F.max("similarity").alias("_vhi"))
-    last = leaders.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).alias("_vcap"))
+    last = leaders.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= deep, F.min("similarity")).alias("_vcap"))
     scores = bm25_scores(queries, docs, query=query, query_text=query_text, doc=doc, text=text).select(F.col(query).alias("query_id"), F.col(doc).alias("doc_id"), "bm25")
     scores = P.written(scores, "scores")
     t_range = scores.groupBy("query_id").agg(F.min("bm25").alias("_tlo"), F.max("bm25").alias("_thi"))
