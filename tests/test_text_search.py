@@ -289,3 +289,13 @@ def test_hybrid_against_all_pairs(spark):
             want += [(q, d, round(-s, 6)) for s, d in ranked]
         got = sorted((r["query_id"], r["doc_id"], round(r["score"], 6)) for r in search.hybrid_search(qs, docs, k=k, alpha=alpha, **opts).collect())
         assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and np.allclose([g[2] for g in got], [w[2] for w in sorted(want)], atol=2e-6)
+
+
+def test_text_parts_follow_characters(spark, monkeypatch):
+    """Texts are spread over tasks by their characters, also where Spark would join small partitions again."""
+    monkeypatch.setattr(terms, "CHARS", 1000)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("coin mining "), 100).alias("text"))
+    parts = terms.spread(docs, "doc_id", "text").groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("chars")).collect()
+    assert terms.text_parts(docs, "text") == 120 and len(parts) > 40 and max(r["chars"] for r in parts) < 10_000
+    assert {(r["term"], r["n"]) for r in terms.term_freq(terms.spread(docs, "doc_id", "text"), "doc_id", "text").select("term", "n").distinct().collect()} == {("coin", 100), ("mining", 100), ("coin mining", 100), ("mining coin", 99)}
+    assert terms.text_parts(docs.limit(0), "text") == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,6 +15,9 @@ from tidemark import scale
 from tidemark.functions.texts import words
 from tidemark.lexicons import BOOST_TERMS, STOPWORDS
 
+#: Characters of text whose terms one task unfolds.
+CHARS = 1 << 22
+
 
 def tokens(text: str | Column, stopwords: Sequence[str] = tuple(STOPWORDS), min_len: int = 3) -> Column:
     """Lower-case words without stop-words and short words, in order."""
@@ -58,8 +61,18 @@ def idf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords
 
 
 def spread(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Texts hash-partitioned by document id: everything per document then stays in its task."""
-    return docs.select(doc, text).repartition(doc)
+    """Texts hash-partitioned by document id: everything per document then stays in its task.
+
+    The number of partitions follows the characters of the whole table, counted first, and is not coalesced: a task unfolds the terms of about
+    :data:`CHARS` characters, however large the table. Left to their size in bytes, partitions of texts are joined into ones whose terms are many times as large.
+    """
+    return docs.select(doc, text).repartition(text_parts(docs, text), doc)
+
+
+def text_parts(docs: DataFrame, text: str) -> int:
+    """Number of partitions of about :data:`CHARS` characters; at least the session's shuffle partitions."""
+    chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS))
 
 
 def doc_total(docs: DataFrame) -> Column:
