@@ -96,6 +96,18 @@ def test_bursts_on_any_alignment(spark, tmp_path):
     assert got == want and {r[0] for r in got} == {"a", "b", "d", None} and len(got) > 20
 
 
+def test_burst_state_is_kept_by_slot(spark, tmp_path):
+    """One key over a day: no state holds more than a slot of it and the start of the next, and bursts across the slots' edges are found."""
+    rows = [("a", 3600 * h + s) for h in range(1, 25) for s in (-20, -10, 0, 10, 1800)]
+    live = streams.burst_stream(in_batches(spark, str(tmp_path / "in"), [rows]), "k", "ts", 3, 60, delay="1 second")
+    run = streams.start_batches(live, lambda batch, n: batch.write.parquet(str(tmp_path / f"out/n={n}")), str(tmp_path / "state"))
+    run.awaitTermination()
+    assert max(p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators) > 48
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).drop("n").collect()))
+    whole = spark.createDataFrame(rows, "k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert len(got) == 48 and got == sorted(map(tuple, streams.burst_stream(whole, "k", "ts", 3, 60).collect()))
+
+
 def test_single_events_are_bursts_of_one(spark, tmp_path):
     s = in_batches(spark, str(tmp_path / "in"), [[("a", 10), ("a", 10)], [("a", 5000)], [("z", 90_000)]])
     assert streams.run_once(streams.burst_stream(s, "k", "ts", 1, 60, delay="1 second"), "t", mode="append").count() == 3

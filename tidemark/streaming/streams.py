@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from tidemark.operators.scoring import alerts
 from tidemark.operators.series import INTERVALS, bursts
 from tidemark.session import scratch_dir
 
+#: Slots of a key's time in which bursts are searched, in lengths of a burst: more of them mean fewer events in two slots, but larger ones.
+BURST_SLOT = 4
+
 
 def ingest_stream(spark: SparkSession, path: str, schema: StructType, *, fmt: str = "parquet", files_per_trigger: int | None = None,
                   options: Mapping[str, str] | None = None) -> DataFrame:
@@ -56,36 +60,43 @@ def latest_stream(df: DataFrame, key: str, ts: str, columns: list[str]) -> DataF
 def burst_stream(df: DataFrame, key: str, ts: str, k: int = 5, seconds: int = 3600, *, delay: str = "1 hour") -> DataFrame:
     """Rows that start ``k`` events of a key inside less than ``seconds``, wherever they lie: (key, burst_start, span_seconds), as :func:`tidemark.operators.series.bursts`.
 
-    Events become final, in the order of their times, once the watermark has passed them; until then a late event may still come between. The state of a key is its last ``k - 1``
-    final times and the times the watermark has not passed. A burst comes out once, when its last event is final; events later than ``delay`` are dropped. The state of a key that
-    is quiet for ``seconds`` behind the watermark is forgotten. A table that is no stream is searched by the batch operator.
+    Events become final, in the order of their times, once the watermark has passed them; until then a late event may still come between. A key's time is cut into slots of
+    :data:`BURST_SLOT` times ``seconds``, and a slot also gets the first ``seconds`` of the next one, where bursts that start in it can end. The state of a
+    slot is its last ``k - 1`` final times and the times the watermark has not passed; a key with most rows, or a first batch that holds years, is never in one task's memory.
+    A burst comes out once, when its last event is final; events later than ``delay`` are dropped. The state of a slot that is quiet for ``seconds`` behind the watermark is forgotten. A table that is no
+    stream is searched by the batch operator.
     """
     if not df.isStreaming:
         return bursts(df, key, ts, k, seconds)
     kind = df.schema[key].dataType.simpleString()
     limit = seconds * 1_000_000
+    width = max(limit, 1) * BURST_SLOT
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = ([], []) if not state.exists else (list(state.get[0]), list(state.get[1]))
+        last, waiting = (np.frombuffer(times, np.int64) for times in (state.get if state.exists else (b"", b"")))
         if not state.hasTimedOut:
-            for frame in frames:
-                waiting += frame["_us"].tolist()
+            waiting = np.concatenate([waiting, *[frame["_us"].to_numpy() for frame in frames]])
         mark = state.getCurrentWatermarkMs() * 1000
-        times = last + sorted(t for t in waiting if t <= mark)
-        waiting = [t for t in waiting if t > mark]
-        found = [(a, b - a) for a, b in zip(times, times[k - 1 :]) if b - a < limit]
+        times = np.concatenate([last, np.sort(waiting[waiting <= mark])])
+        waiting = waiting[waiting > mark]
+        first, spans = times[: max(0, len(times) - k + 1)], times[k - 1 :] - times[: max(0, len(times) - k + 1)]
+        found = (spans < limit) & (first // width == group[1])
         # What can still start a burst: not older than `seconds` before the watermark, up to which all is final.
-        last = [t for t in times[max(0, len(times) - k + 1) :] if t > mark - limit] if k > 1 else []
-        if last or waiting:
-            state.update((last, waiting))
-            state.setTimeoutTimestamp(max(-(-min(waiting) // 1000) if waiting else (last[-1] + limit) // 1000 + 1, mark // 1000 + 1))
+        last = times[max(0, len(times) - k + 1) :] if k > 1 else times[:0]
+        last = last[last > mark - limit]
+        if len(last) or len(waiting):
+            state.update((last.tobytes(), waiting.tobytes()))
+            state.setTimeoutTimestamp(max(-(-int(waiting.min()) // 1000) if len(waiting) else (int(last[-1]) + limit) // 1000 + 1, mark // 1000 + 1))
         elif state.exists:
             state.remove()
-        if found:
-            yield pd.DataFrame({"key": [group[0]] * len(found), "us": [a for a, _ in found], "span": [d / 1e6 for _, d in found]})
+        if found.any():
+            yield pd.DataFrame({"key": [group[0]] * int(found.sum()), "us": first[found], "span": spans[found] / 1e6})
 
     times = df.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(F.col(key).alias("_key"), ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    found = times.groupBy("_key").applyInPandasWithState(step, f"key {kind}, us long, span double", "last array<long>, waiting array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    # Rounded down, also before 1970, as // does; the slot before sees the times that a burst of its own can reach.
+    slot, ahead = F.expr(f"(_us - pmod(_us, {width}L)) div {width}L"), F.pmod("_us", F.lit(width)) < limit
+    times = times.withColumn("_slot", F.explode(F.array_compact(F.array(slot, F.when(ahead, slot - 1)))))
+    found = times.groupBy("_key", "_slot").applyInPandasWithState(step, f"key {kind}, us long, span double", "last binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     return found.select(F.col("key").alias(key), F.timestamp_micros("us").alias("burst_start"), F.col("span").alias("span_seconds"))
 
 
