@@ -299,3 +299,22 @@ def test_text_parts_follow_characters(spark, monkeypatch):
     assert terms.text_parts(docs, "text") == 120 and len(parts) > 40 and max(r["chars"] for r in parts) < 10_000
     assert {(r["term"], r["n"]) for r in terms.term_freq(terms.spread(docs, "doc_id", "text"), "doc_id", "text").select("term", "n").distinct().collect()} == {("coin", 100), ("mining", 100), ("coin mining", 100), ("mining coin", 99)}
     assert terms.text_parts(docs.limit(0), "text") == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_runs_count_terms_in_their_row(spark):
+    got = terms.runs(spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id int, t array<string>"), "t").collect()
+    assert {r["id"]: r["t"] and [tuple(x) for x in r["t"]] for r in got} == {1: [("a", 1), ("b", 2)], 2: [], 3: None, 4: [("x", 1)]}
+
+
+def test_keywords_count_in_rows_and_over_rows(spark):
+    """A text in one row is answered there, the same text cut over two rows of one id is added up; both agree, and only shared ids are unfolded."""
+    head, tail = "coin mining coin mining token token staking wallet exchange bridge ", "oracle token wallet coin mining validator ledger custody"
+    docs = spark.createDataFrame([(1, head + ". of " + tail), (2, head), (2, tail), (None, head), (None, tail), (4, "of the and in to a it")], "doc_id int, text string")
+    got = {}
+    for r in terms.keywords_count(docs, "doc_id", "text", 7, boost=["staking"], min_chars=5).collect():
+        got.setdefault(r["doc_id"], {})[r["rank"]] = (r["term"], r["n"])
+    assert set(got) == {1, 2, None} and got[1] == got[2] and sorted(got[1]) == list(range(1, 8))
+    assert [got[1][i] for i in (1, 2, 3)] == [("coin mining", 3), ("staking wallet", 2), ("token staking", 2)]
+    assert not {"coin", "mining", "staking"} & {t for t, _ in got[1].values()} and ("exchange", 1) in got[1].values()
+    rows = terms.keywords_count(docs.where("doc_id = 1"), "doc_id", "text", 7, min_chars=5)
+    assert "sort_array" in rows._jdf.queryExecution().optimizedPlan().toString()

@@ -6,9 +6,9 @@ per-document steps only ever see one document's terms.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import scale
@@ -41,6 +41,25 @@ def doc_terms(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, sto
     return base.select(doc, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t")) if bigrams else base
 
 
+def runs(base: DataFrame, *arrays: str) -> DataFrame:
+    """``base`` with every named array of terms replaced by an array of (term, n): its different terms, ascending, and how often each occurs.
+
+    Equal terms lie side by side once they are sorted, so a text is counted inside its own row: nothing is shuffled and no task holds the terms of more than one text.
+    """
+    rest = [c for c in base.columns if c not in arrays]
+    ordered = base.select(*rest, *[F.sort_array(a).alias(a) for a in arrays])
+
+    def starts(a: str) -> Column:
+        placed = F.transform(a, lambda t, i: F.struct(t.alias("term"), i.alias("at")))
+        return F.filter(placed, lambda x: (x["at"] == 0) | (x["term"] != F.get(F.col(a), x["at"] - 1)))
+
+    def counts(a: str) -> Column:
+        return F.transform(a, lambda x, j: F.struct(x["term"].alias("term"), (F.coalesce(F.get(F.col(a), j + 1)["at"], F.col(f"_size_{a}")) - x["at"]).cast("long").alias("n")))
+
+    found = ordered.select(*rest, *[starts(a).alias(a) for a in arrays], *[F.size(a).alias(f"_size_{a}") for a in arrays])
+    return found.select(*rest, *[counts(a).alias(a) for a in arrays])
+
+
 def term_freq(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
     """(document, term, count, share of the document's terms).
 
@@ -102,17 +121,57 @@ def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequen
 
 def keywords_count(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), min_chars: int = 50,
                    stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """Keywords by raw count: the k/2 best bigrams, then words that no chosen bigram contains."""
-    base = docs.where(F.length(text) >= min_chars).transform(lambda d: spread(d, doc, text)).select(doc, words(F.col(text)).alias("_w"))
-    stops = list(stopwords)
-
-    def good(w: Column) -> Column:
-        return (F.length(w) > 3) & ~w.isin(stops)
+    """Keywords by raw count: the k/2 best bigrams, then words that no chosen bigram contains.
 
-    last = F.greatest(F.size("_w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("_w", F.lit(1), last), F.slice("_w", F.lit(2), last), lambda a, b: F.when(good(a) & good(b), F.concat(a, F.lit(" "), b)))
-    marked = F.concat(F.transform(F.array_compact(pairs), lambda t: F.struct(t.alias("term"), F.lit(0).alias("kind"))),
-                      F.transform(F.filter("_w", good), lambda t: F.struct(t.alias("term"), F.lit(1).alias("kind"))))
+    A document of one row is counted, ordered and answered inside that row; only rows that share an id, or have none, are unfolded and added up.
+    """
+    rows = docs.where(F.length(text) >= min_chars).transform(lambda d: spread(d, doc, text))
+    rows = rows.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(doc)))
+    stops = list(stopwords)
+    good = F.transform(words(F.col(text)), lambda w: F.when((F.length(w) > 3) & ~w.isin(stops), w)).alias("_g")
+    alone = (F.col("_copies") == 1) & F.col(doc).isNotNull()
+    once, several = (rows.where(w).select(doc, good) for w in (alone, ~alone))
+    return _keywords_in_row(once, doc, k=k, boost=boost).unionByName(_keywords_over_rows(several, doc, k=k, boost=boost))
+
+
+def _pairs(good: str) -> Column:
+    """Neighbouring words joined by a blank, where neither is null."""
+    last = F.greatest(F.size(good) - 1, F.lit(0))
+    return F.array_compact(F.zip_with(F.slice(good, F.lit(1), last), F.slice(good, F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def _first(base: DataFrame, array: str, k: Column) -> DataFrame:
+    """``base`` with only the first ``k`` of an array of (less, term) by both, which is ascending by term: what has the ``k``-th value need not be sorted."""
+    values = F.sort_array(F.transform(array, lambda x: x["less"]))
+    marked = base.withColumn("_kth", F.get(values, F.least(F.size(array), k) - 1))
+    chosen = F.concat(F.sort_array(F.filter(array, lambda x: x["less"] < F.col("_kth"))), F.filter(array, lambda x: x["less"] == F.col("_kth")))
+    return marked.withColumn(array, F.slice(F.when(k > 0, chosen).otherwise(F.slice(array, 1, 0)), F.lit(1), F.greatest(k, F.lit(0)))).drop("_kth")
+
+
+def _keywords_in_row(base: DataFrame, doc: str, *, k: int, boost: Sequence[str]) -> DataFrame:
+    """Keywords of documents of one row, ``_g`` its words: a text's counts, order and choice never leave its row."""
+    def weighed(array: str, inside: Callable[[Column, str], Column]) -> Column:
+        def less(x: Column) -> Column:
+            hit = F.lit(False)
+            for term in boost:
+                hit = hit | inside(x["term"], term)
+            return F.struct((F.when(hit, -2 * x["n"]).otherwise(-x["n"])).alias("less"), x["term"].alias("term"))
+
+        return F.transform(array, less).alias(array)
+
+    counts = runs(base.select(doc, _pairs("_g").alias("_p"), F.array_compact("_g").alias("_s")), "_p", "_s")
+    top = _first(counts.select(doc, weighed("_p", lambda t, b: t.contains(b)), weighed("_s", lambda t, b: t == b)), "_p", F.lit(k // 2))
+    top = top.select(doc, "_p", "_s", F.concat_ws(" ", F.array_sort(F.transform("_p", lambda x: x["term"]))).alias("_in"), F.size("_p").alias("_have"))
+    left = F.filter("_s", lambda x: (F.col("_have") == 0) | ~F.contains(F.col("_in"), x["term"]))
+    out = _first(top.select(doc, "_p", "_have", left.alias("_s")), "_s", F.lit(k) - F.col("_have"))
+    out = scale.unnest(out.select(doc, F.concat("_p", "_s").alias("_x")), [doc], "_x", "_t", position="_at")
+    return out.select(doc, F.col("_t.term").alias("term"), (-F.col("_t.less")).alias("n"), (F.col("_at") + 1).cast("int").alias("rank"))
+
+
+def _keywords_over_rows(base: DataFrame, doc: str, *, k: int, boost: Sequence[str]) -> DataFrame:
+    """Keywords of documents of several rows, whose counts add up."""
+    marked = F.concat(F.transform(_pairs("_g"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("kind"))),
+                      F.transform(F.array_compact("_g"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("kind"))))
     counts = scale.unnest(base, [doc], marked, "_x")
     counts = counts.groupBy(doc, "_x.term", "_x.kind").agg(F.count(F.lit(1)).alias("n"))
     inside = F.lit(False)
