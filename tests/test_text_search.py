@@ -318,3 +318,12 @@ def test_keywords_count_in_rows_and_over_rows(spark):
     assert not {"coin", "mining", "staking"} & {t for t, _ in got[1].values()} and ("exchange", 1) in got[1].values()
     rows = terms.keywords_count(docs.where("doc_id = 1"), "doc_id", "text", 7, min_chars=5)
     assert "sort_array" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keyword_hits_are_counted_where_texts_are(spark, monkeypatch):
+    """Texts are dealt out by their characters before they are unfolded."""
+    monkeypatch.setattr(terms, "CHARS", 1000)
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("coin mining "), 100).alias("text"))
+    asked = spark.createDataFrame([(1, "coin gold"), (2, "coin mining")], "q int, t string")
+    hits = search.keyword_hits(asked, docs, query="q", query_text="t", doc="doc_id", text="text")
+    assert "RepartitionByExpression [doc_id" in hits._jdf.queryExecution().optimizedPlan().toString() and hits.groupBy("q").agg(F.sum("hits")).orderBy("q").collect() == [(1, 100), (2, 200)]

@@ -137,7 +137,11 @@ def knn_sketch(queries: DataFrame, vectors: DataFrame, *, query: str, query_vec:
 
 
 def keyword_hits(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, min_len: int = 3) -> DataFrame:
-    """(query, document, number of distinct query keywords the document contains)."""
+    """(query, document, number of distinct query keywords the document contains).
+
+    Texts are spread by their characters: a task counts the pairs of its own documents only, and counts are not shuffled again.
+    """
+    docs = T.spread(docs, doc, text)
     asked = queries.select(query, F.explode(F.array_distinct(F.filter(X.words(query_text), lambda w: F.length(w) >= min_len))).alias("_w"))
     index = scale.unnest(docs, [doc], F.array_distinct(X.words(text)), "_w")
     return index.join(asked, "_w").groupBy(query, doc).agg(F.count(F.lit(1)).alias("hits"))
