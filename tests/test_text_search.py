@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import lexicons as L
-from tidemark.operators import cells, joins, scoring, search, terms, text
+from tidemark.operators import cells, joins, postings, scoring, search, terms, text
 from tidemark.functions import texts as X
 
 
@@ -327,3 +327,14 @@ def test_keyword_hits_are_counted_where_texts_are(spark, monkeypatch):
     asked = spark.createDataFrame([(1, "coin gold"), (2, "coin mining")], "q int, t string")
     hits = search.keyword_hits(asked, docs, query="q", query_text="t", doc="doc_id", text="text")
     assert "RepartitionByExpression [doc_id" in hits._jdf.queryExecution().optimizedPlan().toString() and hits.groupBy("q").agg(F.sum("hits")).orderBy("q").collect() == [(1, 100), (2, 200)]
+
+
+def test_postings_are_not_shuffled_by_term(spark, monkeypatch):
+    """Wanted terms are written first and so known to be small: terms are filtered and counted where their texts are."""
+    plans, write = {}, postings.written
+    monkeypatch.setattr(postings, "written", lambda df, label: plans.update({label: df}) or write(df, label))
+    docs = spark.range(50).select(F.col("id").alias("d"), F.concat(F.lit("coin mining "), F.col("id").cast("string")).alias("t"))
+    asked = spark.createDataFrame([(1, "coin gold")], "q int, t string")
+    scores = search.bm25_scores(asked, docs, query="q", query_text="t", doc="d", text="t")
+    assert scores.count() == 50 and list(plans) == ["wanted", "postings", "weights"]
+    assert "hashpartitioning(term" not in plans["postings"]._jdf.queryExecution().executedPlan().toString()

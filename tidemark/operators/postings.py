@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark import scale
 from tidemark.lexicons import STOPWORDS
 from tidemark.operators import terms as T
-from tidemark.session import scratch_dir
+from tidemark.session import written
 
 #: The row that carries a document's length: no token is empty.
 LENGTH = ""
@@ -28,26 +28,19 @@ BANDS = 4
 SLACK = 1e-6
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows of a table written under the shared scratch folder, so that later steps and lost tasks read it instead of computing it again."""
-    spark = df.sparkSession
-    path = scratch_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def term_postings(docs: DataFrame, *, doc: str, text: str, stopwords: Sequence[str] = tuple(STOPWORDS), wanted: DataFrame | None = None) -> DataFrame:
     """(document, term, tf, len), written: texts are spread once and tokenised once, and counted where they are.
 
-    Texts are spread by id and length, so that rows without an id do not meet in one task. A row with the term ``""`` per document carries its length also where none of the
+    Texts are spread by id and length, over as many tasks as their characters ask for, so that rows without an id do not meet in one task. The wanted terms are written first: Spark
+    then knows how small they are, and filters terms where they are instead of shuffling all of them. A row with the term ``""`` per document carries its length also where none of the
     ``wanted`` terms (default: all) occurs; its ``tf`` is the number of rows of that id and length.
     """
-    base = docs.select(doc, F.col(text).alias("_x"), F.length(text).alias("_chars")).repartition(doc, "_chars")
+    base = docs.select(doc, F.col(text).alias("_x"), F.length(text).alias("_chars")).repartition(T.text_parts(docs, text), doc, "_chars")
     base = base.select(doc, "_chars", T.tokens(F.col("_x"), stopwords).alias("_t")).select(doc, "_chars", "_t", F.size("_t").alias("len"))
     rows = scale.unnest(base, [doc, "_chars", "len"], F.concat("_t", F.array(F.lit(LENGTH))), "term")
     if wanted is not None:
         length_row = docs.sparkSession.range(1).select(F.lit(LENGTH).alias("term"))
-        rows = rows.join(wanted.select("term").distinct().unionByName(length_row), "term", "left_semi")
+        rows = rows.join(written(wanted.select("term").distinct().unionByName(length_row), "wanted"), "term", "left_semi")
     counts = rows.groupBy(doc, "_chars", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     return written(counts.select(doc, "term", "tf", "len"), "postings")
 

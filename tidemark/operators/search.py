@@ -165,7 +165,8 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, *, query: str, query_text:
     asked = _asked(queries, query, query_text, stopwords)
     index = P.term_postings(docs, doc=doc, text=text, stopwords=stopwords, wanted=asked)
     part = F.sum(F.col("weight") * F.col("impact")).alias("bm25")
-    return P.bm25_impacts(index, doc, k1=k1, b=b).join(P.bm25_weights(index, asked), "term").groupBy(query, doc).agg(part)
+    weights = P.written(P.bm25_weights(index, asked), "weights")
+    return P.bm25_impacts(index, doc, k1=k1, b=b).join(weights, "term").groupBy(query, doc).agg(part)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int, **options) -> DataFrame:
