@@ -338,3 +338,13 @@ def test_postings_are_not_shuffled_by_term(spark, monkeypatch):
     scores = search.bm25_scores(asked, docs, query="q", query_text="t", doc="d", text="t")
     assert scores.count() == 50 and list(plans) == ["wanted", "postings", "weights"]
     assert "hashpartitioning(term" not in plans["postings"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_docs_sums_products_where_texts_are(spark, monkeypatch, trio):
+    """What is asked for is written and so known to be small; only norms need the weights of all terms."""
+    sizes, write = {}, terms.written
+    monkeypatch.setattr(terms, "written", lambda df, label: sizes.update({label: (out := write(df, label)).count()}) or out)
+    asked = spark.createDataFrame([(1, "central bank zeppelin"), (2, "flour"), (3, "the of")], "q int, body string")
+    found = terms.similar_docs(asked, trio, query="q", query_text="body", doc="id", text="body", k=5)
+    assert {(r["q"], r["id"]) for r in found.collect()} == {(1, 1), (1, 2), (2, 3)}
+    assert set(sizes) == {"idf", "asked"} and sizes["asked"] == 4

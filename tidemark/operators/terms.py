@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import scale
 from tidemark.functions.texts import words
 from tidemark.lexicons import BOOST_TERMS, STOPWORDS
+from tidemark.session import written
 
 #: Characters of text whose terms one task unfolds.
 CHARS = 1 << 22
@@ -200,17 +201,22 @@ def cosine_pairs(vectors: DataFrame, pairs: DataFrame, *, doc: str, left: str =
 
 
 def similar_docs(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int = 5, bigrams: bool = False) -> DataFrame:
-    """The ``k`` most similar documents per query text by TF-IDF cosine (corpus statistics of ``docs``)."""
+    """The ``k`` most similar documents per query text by TF-IDF cosine (corpus statistics of ``docs``).
+
+    The terms asked for are written with their weights, which Spark then knows to be small: products are summed where a document's terms are.
+    Only the norms need the weight of every term; inverse frequencies are written once for both.
+    """
     docs = spread(docs, doc, text)
     freqs = term_freq(docs, doc, text, bigrams=bigrams)
     total = doc_total(docs)
-    table = idf(docs, doc, text, bigrams=bigrams).select("term", "idf")
-    weights = freqs.join(table, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("_wd"))
-    norms = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col("_wd") * F.col("_wd"))).alias("_nd"))
+    table = written(idf(docs, doc, text, bigrams=bigrams).select("term", "idf"), "idf")
+    weight = F.col("tf") * F.col("idf")
+    norms = freqs.join(table, "term").groupBy(doc).agg(F.sqrt(F.sum(weight * weight)).alias("_nd"))
     asked = term_freq(queries, query, query_text, bigrams=bigrams).join(table, "term", "left")
-    asked = asked.select(query, "term", (F.col("tf") * F.coalesce("idf", F.ln(total + 1))).alias("_wq"))
+    asked = written(asked.select(query, "term", (F.col("tf") * F.coalesce("idf", F.ln(total + 1))).alias("_wq"), "idf"), "asked")
     asked_norms = asked.groupBy(query).agg(F.sqrt(F.sum(F.col("_wq") * F.col("_wq"))).alias("_nq"))
-    dots = weights.join(asked, "term").groupBy(query, doc).agg(F.sum(F.col("_wd") * F.col("_wq")).alias("_dot"))
+    # A term that no document has meets none here.
+    dots = freqs.join(asked.where(F.col("idf").isNotNull()), "term").groupBy(query, doc).agg(F.sum(weight * F.col("_wq")).alias("_dot"))
     scored = (dots.join(norms, doc).join(asked_norms, query).where((F.col("_nd") > 0) & (F.col("_nq") > 0))
               .select(query, doc, (F.col("_dot") / (F.col("_nd") * F.col("_nq"))).alias("similarity")))
     return scale.top_per_key(scored, query, [F.round("similarity", 9).desc(), F.col(doc)], k, rank="rank")
