@@ -320,6 +320,22 @@ def test_keywords_count_in_rows_and_over_rows(spark):
     assert "sort_array" in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tfidf_stays_in_parts(spark, monkeypatch):
+    """Parts give the weights of the plain join, also for rows that share an id or have none; terms of documents meet inverse frequencies without a join."""
+    monkeypatch.setattr(terms, "PART_CHARS", 300, raising=False)
+    texts = [f"coin mining pool w{i % 7} w{i % 3} only{i} coin" for i in range(60)]
+    rows = [*enumerate(texts), (3, "coin coin mining alpha beta gamma delta"), (None, "coin same same"), (None, "mining same coin"), (70, None), (71, ""), (72, "of the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for bigrams in (True, False):
+        got = terms.tfidf(docs, "doc_id", "text", bigrams=bigrams)
+        weights = terms.idf(docs, "doc_id", "text", bigrams=bigrams).select("term", "idf")
+        want = terms.term_freq(docs, "doc_id", "text", bigrams=bigrams).join(weights, "term").select("doc_id", "term", F.col("tf") * F.col("idf"))
+        assert sorted(((r[0], r[1], round(r[2], 12)) for r in got.collect()), key=str) == sorted(((r[0], r[1], round(r[2], 12)) for r in want.collect()), key=str)
+        assert got.select("doc_id", F.spark_partition_id().alias("p")).distinct().groupBy("doc_id").count().where("count > 1").count() == 0
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert terms.tfidf(docs.limit(0), "doc_id", "text").count() == 0
+
+
 def test_keyword_hits_are_counted_where_texts_are(spark, monkeypatch):
     """Texts are dealt out by their characters before they are unfolded."""
     monkeypatch.setattr(terms, "CHARS", 1000)

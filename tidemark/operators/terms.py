@@ -16,8 +16,8 @@ from tidemark.functions.texts import words
 from tidemark.lexicons import BOOST_TERMS, STOPWORDS
 from tidemark.session import written
 
-#: Characters of text whose terms one task unfolds.
-CHARS = 1 << 22
+#: Characters of text whose terms one task unfolds, and of a part of :func:`tfidf`: the larger a part, the more of its documents share what it asks.
+CHARS, PART_CHARS = 1 << 22, 1 << 23
 
 
 def tokens(text: str | Column, stopwords: Sequence[str] = tuple(STOPWORDS), min_len: int = 3) -> Column:
@@ -36,10 +36,11 @@ def ngrams(tokens_col: Column, n: int = 2) -> Column:
     return F.when(count > 0, joined).otherwise(F.array().cast("array<string>"))
 
 
-def doc_terms(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """(document, array of its terms with repeats)."""
-    base = docs.select(doc, tokens(F.col(text), stopwords).alias("_t"))
-    return base.select(doc, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t")) if bigrams else base
+def doc_terms(docs: DataFrame, doc: str | Sequence[str], text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
+    """(document, or other columns to keep, array of its terms with repeats)."""
+    keep = scale.as_keys(doc)
+    base = docs.select(*keep, tokens(F.col(text), stopwords).alias("_t"))
+    return base.select(*keep, F.concat("_t", ngrams(F.col("_t"), 2)).alias("_t")) if bigrams else base
 
 
 def runs(base: DataFrame, *arrays: str) -> DataFrame:
@@ -89,10 +90,10 @@ def spread(docs: DataFrame, doc: str, text: str) -> DataFrame:
     return docs.select(doc, text).repartition(text_parts(docs, text), doc)
 
 
-def text_parts(docs: DataFrame, text: str) -> int:
-    """Number of partitions of about :data:`CHARS` characters; at least the session's shuffle partitions."""
+def text_parts(docs: DataFrame, text: str, size: int | None = None) -> int:
+    """Number of partitions of about ``size`` (:data:`CHARS`) characters; at least the session's shuffle partitions."""
     chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (size or CHARS)))
 
 
 def doc_total(docs: DataFrame) -> Column:
@@ -101,11 +102,32 @@ def doc_total(docs: DataFrame) -> Column:
 
 
 def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
-    """(document, term, tf * idf)."""
-    docs = spread(docs, doc, text)
-    freqs = term_freq(docs, doc, text, bigrams=bigrams, stopwords=stopwords)
-    weights = idf(docs, doc, text, bigrams=bigrams, stopwords=stopwords).select("term", "idf")
-    return freqs.join(weights, "term").select(doc, "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    """(document, term, tf * idf); all rows of a document come out of one task.
+
+    Texts are dealt to parts of about :data:`PART_CHARS` characters. A part sends each of its different terms once, with the number of its rows that have it, and gets back the sum
+    over all parts where another part has the term too; what only one part has is known there. Terms of documents never leave their part, and no task is larger in a larger table.
+    """
+    parts = text_parts(docs, text, PART_CHARS)
+    texts = docs.select(F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int").alias("_part"), F.col(doc).alias("_doc"), F.col(text).alias("_text"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return doc_terms(rows.repartitionById(parts, "_part"), ["_part", "_doc", "_term", "_df"], "_text", bigrams=bigrams, stopwords=stopwords)
+
+    texts = texts.select("*", F.lit(None).cast("string").alias("_term"), F.lit(None).cast("long").alias("_df"))
+    local = scale.unnest(dealt(texts), ["_part"], F.array_distinct("_t"), "term").groupBy("_part", "term").agg(F.count(F.lit(1)).alias("_rows"))
+    everywhere = Window.partitionBy("term")
+    summed = local.repartition(parts, "term").select("_part", "term", F.sum("_rows").over(everywhere).alias("_df"), F.count(F.lit(1)).over(everywhere).alias("_parts"))
+    answers = summed.where("_parts > 1").select("_part", F.col("term").alias("_term"), "_df")
+    rows = runs(dealt(texts.unionByName(answers, allowMissingColumns=True)).withColumn("_total", F.size("_t")), "_t")
+    answer = F.array(F.struct(F.col("_term").alias("term"), F.lit(0).cast("long").alias("n")))
+    rows = scale.unnest(rows, ["_part", "_doc", "_total", "_df"], F.when(F.col("_df").isNull(), F.col("_t")).otherwise(answer), "_x")
+    rows = rows.select("_part", "_doc", F.col("_x.term").alias("term"), F.col("_x.n").alias("n"), "_total", "_df")
+    # One sort serves all three. An answer counts 0 times; beside texts without an id it stands last.
+    own = Window.partitionBy("_part", "term", "_doc")
+    here = Window.partitionBy("_part", "term")
+    rows = rows.select("*", F.row_number().over(own.orderBy(F.col("_df").isNotNull())).alias("_at"), F.sum("n").over(own).alias("_n"))
+    rows = rows.withColumn("_df", F.coalesce(F.max("_df").over(here), F.count_if(F.col("_df").isNull()).over(here))).where("_at = 1 AND _n > 0")
+    return rows.select(F.col("_doc").alias(doc), "term", (F.col("_n") / F.col("_total") * F.ln((doc_total(docs) + 1) / (F.col("_df") + 1))).alias("weight"))
 
 
 def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), factor: float = 1.5,
