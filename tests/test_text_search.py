@@ -336,6 +336,19 @@ def test_tfidf_stays_in_parts(spark, monkeypatch):
     assert terms.tfidf(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_keywords_leave_their_task_chosen(spark):
+    """Only chosen keywords are shuffled: the filter on length, which needs its documents' ids, comes after the choice; short texts and rows without an id give none."""
+    long = "coin mining coin mining token token staking wallet exchange bridge oracle token wallet validator ledger custody coin miner"
+    docs = spark.createDataFrame([(1, long), (2, "coin token"), (2, long), (3, "coin token"), (None, long), (4, None)], "doc_id int, text string")
+    got = terms.keywords(docs, "doc_id", "text", 3, boost=["staking"])
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r["doc_id"], []).append(r["rank"])
+    assert {d: sorted(x) for d, x in rows.items()} == {1: [1, 2, 3], 2: [1, 2, 3]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") < plan.index("WindowGroupLimit")
+
+
 def test_keyword_hits_are_counted_where_texts_are(spark, monkeypatch):
     """Texts are dealt out by their characters before they are unfolded."""
     monkeypatch.setattr(terms, "CHARS", 1000)

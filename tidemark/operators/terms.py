@@ -132,14 +132,18 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwor
 
 def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), factor: float = 1.5,
              min_chars: int = 100, bigrams: bool = True) -> DataFrame:
-    """The ``k`` heaviest terms per document; terms that contain a boosted word weigh more; short documents give none."""
+    """The ``k`` heaviest terms per document; terms that contain a boosted word weigh more; short documents give none.
+
+    All rows of a document lie in one task, which sends its first ``k`` only.
+    """
     weights = tfidf(docs, doc, text, bigrams=bigrams)
     long_enough = docs.where(F.length(text) >= min_chars).select(doc)
     boosted = F.lit(False)
     for term in boost:
         boosted = boosted | F.col("term").contains(term)
     weights = weights.withColumn("weight", F.when(boosted, F.col("weight") * factor).otherwise(F.col("weight")))
-    return scale.top_per_key(weights.join(long_enough, doc, "left_semi"), doc, [F.round("weight", 12).desc(), F.col("term")], k, rank="rank", salts=1)
+    top = scale.top_per_key(weights, doc, [F.round("weight", 12).desc(), F.col("term")], k, rank="rank", salts=1)
+    return top.join(long_enough, doc, "left_semi")
 
 
 def keywords_count(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), min_chars: int = 50,
