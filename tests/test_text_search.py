@@ -349,6 +349,28 @@ def test_keywords_leave_their_task_chosen(spark):
     assert plan.index("LeftSemi") < plan.index("WindowGroupLimit")
 
 
+def test_cosine_pairs_follow_rows(spark, monkeypatch):
+    """Joins of weights have as many tasks as their rows ask for; pairs without a document, without an id or of one document are answered."""
+    monkeypatch.setattr(terms, "PAIR_ROWS", 50, raising=False)
+    vectors = spark.createDataFrame([(d, f"t{(d * 3 + i) % 40}", 0.1 * (1 + (d + i) % 7)) for d in range(30) for i in range(10)], "d long, term string, weight double")
+    wanted = [(i, j) for i in range(0, 30, 2) for j in range(30)] + [(1, 99), (98, 2), (98, 99), (None, 1)]
+    pairs = spark.createDataFrame(wanted, "id_a long, id_b long")
+    weights = {}
+    for r in vectors.collect():
+        weights.setdefault(r["d"], {})[r["term"]] = r["weight"]
+
+    def cosine(x, y):
+        x, y = weights.get(x, {}), weights.get(y, {})
+        dot = sum(w * y.get(t, 0.0) for t, w in x.items())
+        return dot / (sum(w * w for w in x.values()) ** 0.5 * sum(w * w for w in y.values()) ** 0.5) if dot else 0.0
+
+    for parts, tasks in ((None, 6), (9, 9)):
+        got = terms.cosine_pairs(vectors, pairs, doc="d", parts=parts)
+        assert sorted(((r["id_a"], r["id_b"], round(r["similarity"], 9)) for r in got.collect()), key=str) == sorted(((x, y, round(cosine(x, y), 9)) for x, y in wanted), key=str)
+        dealt = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "RepartitionByExpression [d#" in line]
+        assert len(dealt) == 2 and all(line.endswith(f", {tasks}") for line in dealt)
+
+
 def test_keyword_hits_are_counted_where_texts_are(spark, monkeypatch):
     """Texts are dealt out by their characters before they are unfolded."""
     monkeypatch.setattr(terms, "CHARS", 1000)

@@ -18,6 +18,8 @@ from tidemark.session import written
 
 #: Characters of text whose terms one task unfolds, and of a part of :func:`tfidf`: the larger a part, the more of its documents share what it asks.
 CHARS, PART_CHARS = 1 << 22, 1 << 23
+#: Rows of weights one task of :func:`cosine_pairs` joins.
+PAIR_ROWS = 1 << 20
 
 
 def tokens(text: str | Column, stopwords: Sequence[str] = tuple(STOPWORDS), min_len: int = 3) -> Column:
@@ -213,17 +215,27 @@ def _keywords_over_rows(base: DataFrame, doc: str, *, k: int, boost: Sequence[st
     return top_pairs.select(doc, "term", "n", "rank").unionByName(fill.select(doc, "term", "n", "rank"))
 
 
-def cosine_pairs(vectors: DataFrame, pairs: DataFrame, *, doc: str, left: str = "id_a", right: str = "id_b") -> DataFrame:
-    """Cosine similarity of given document pairs over long-form term weights; 0 without shared terms."""
-    norms = vectors.groupBy(doc).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    a = vectors.select(F.col(doc).alias(left), "term", F.col("weight").alias("_wa"))
-    b = vectors.select(F.col(doc).alias(right), "term", F.col("weight").alias("_wb"))
-    dots = pairs.join(a, left).join(b, [right, "term"]).groupBy(left, right).agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot"))
-    out = (pairs.join(dots, [left, right], "left")
-           .join(norms.select(F.col(doc).alias(left), F.col("norm").alias("_na")), left, "left")
-           .join(norms.select(F.col(doc).alias(right), F.col("norm").alias("_nb")), right, "left"))
-    safe = (F.col("_na") > 0) & (F.col("_nb") > 0)
-    return out.select(left, right, F.coalesce(F.when(safe, F.col("_dot") / (F.col("_na") * F.col("_nb"))), F.lit(0.0)).alias("similarity"))
+def cosine_pairs(vectors: DataFrame, pairs: DataFrame, *, doc: str, left: str = "id_a", right: str = "id_b", parts: int | None = None) -> DataFrame:
+    """Cosine similarity of given document pairs over long-form term weights, one row per document and term; 0 without shared terms.
+
+    The weights of a document are packed into one row, after one shuffle for both sides; a pair is answered in its row, where shared terms lie side by side once both sides are
+    sorted. The shuffles have ``parts`` tasks, else one for about :data:`PAIR_ROWS` weights, however large the table; the weights are then written to count them.
+    All pairs of one ``right`` meet in one task, which holds a document at a time.
+    """
+    if parts is None:
+        vectors = written(vectors, "vectors")
+        parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // PAIR_ROWS))
+    packed = vectors.select(doc, "term", "weight").repartition(parts, doc).groupBy(doc).agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"), F.collect_list(F.struct("term", "weight")).alias("_v"))
+    a = packed.select(F.col(doc).alias(left), F.col("_norm").alias("_na"), F.col("_v").alias("_va"))
+    b = packed.select(F.col(doc).alias(right), F.col("_norm").alias("_nb"), F.col("_v").alias("_vb"))
+    asked = pairs.groupBy(left, right).agg(F.count(F.lit(1)).alias("_times"))
+    met = asked.join(a, left).join(b, right).where((F.col("_na") > 0) & (F.col("_nb") > 0))
+    met = met.select(left, right, (F.col("_times") / (F.col("_na") * F.col("_nb"))).alias("_scale"), F.sort_array(F.concat("_va", "_vb")).alias("_v"))
+    rest = F.size("_v") - 1
+    products = F.zip_with(F.slice("_v", F.lit(1), rest), F.slice("_v", F.lit(2), rest), lambda x, y: F.when(x["term"] == y["term"], x["weight"] * y["weight"]).otherwise(0.0))
+    found = met.select(left, right, (F.aggregate(products, F.lit(0.0), lambda s, x: s + x) * F.col("_scale")).alias("_similarity"))
+    return pairs.join(found, [left, right], "left").select(left, right, F.coalesce("_similarity", F.lit(0.0)).alias("similarity"))
 
 
 def similar_docs(queries: DataFrame, docs: DataFrame, *, query: str, query_text: str, doc: str, text: str, k: int = 5, bigrams: bool = False) -> DataFrame:

@@ -108,7 +108,8 @@ UNI = f"""w AS (SELECT doc_id, {TOKENS} AS t FROM documents), f AS (SELECT doc_i
  SELECT p.id_a, p.id_b, {R('coalesce(CASE WHEN na.nd > 0 AND nb.nd > 0 THEN s / (na.nd * nb.nd) END, 0.0)')} AS similarity FROM p LEFT JOIN dt USING (id_a, id_b) LEFT JOIN nm na ON na.doc_id = p.id_a LEFT JOIN nm nb ON nb.doc_id = p.id_b""")
 def _(spark, d):
     pairs = docs(spark, d).select(F.col("doc_id").alias("id_a"), (F.col("doc_id") + 1).alias("id_b"))
-    return rounded(TT.cosine_pairs(TT.tfidf(docs(spark, d), "doc_id", "text", bigrams=False), pairs, doc="doc_id"), "similarity")
+    parts = TT.text_parts(docs(spark, d), "text", TT.PART_CHARS)
+    return rounded(TT.cosine_pairs(TT.tfidf(docs(spark, d), "doc_id", "text", bigrams=False), pairs, doc="doc_id", parts=parts), "similarity")
 
 
 @query("t_09_similar_docs", f"""WITH {UNI}, qw AS (SELECT item_id, {TOKENS} AS t FROM benchmark), qf AS (SELECT item_id, term, count(*) / any_value(total) AS tf FROM (SELECT item_id, len(t) AS total, unnest(t) AS term FROM qw) GROUP BY 1, 2),
