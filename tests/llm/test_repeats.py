@@ -1,9 +1,12 @@
+import hashlib
 import random
 
 import pytest
 
+from tests.conftest import SMALL
 from tests.llm.common import ODD, SCHEMA, empty, odd, some_docs
 from tidemark.llm import repeats
+from tidemark.llm.queries import op4_repeats
 
 
 def brute(rows, length):
@@ -78,3 +81,11 @@ def test_other_lengths(spark, duck, length):
 def test_rows(spark):
     assert repeats.repeated_spans(spark, odd(spark)).count() == len(ODD)
     assert repeats.repeated_spans(spark, empty(spark)).count() == 0
+
+
+def test_every_column_of_the_query(spark, duck):
+    rows = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    want = [(i, n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(kept), bool(spans)) for i, n, spans, kept in brute(rows, 400)]
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "repeats"]
+    assert sorted(tuple(r) for r in op4_repeats(spark, SMALL).select(columns).collect()) == sorted(want)
+    assert 0 < sum(r[-1] for r in want) < len(want)
