@@ -1,13 +1,14 @@
 """Text and search operators on hand-written fixtures."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import lexicons as L
-from tidemark.operators import cells, joins, postings, scoring, search, terms, text
+from tidemark.operators import cells, joins, postings, scoring, search, termparts, terms, text
 from tidemark.functions import texts as X
 
 
@@ -336,6 +337,22 @@ def test_tfidf_stays_in_parts(spark, monkeypatch):
     assert terms.tfidf(docs.limit(0), "doc_id", "text").count() == 0
 
 
+def test_tfidf_moves_texts_once_and_terms_as_numbers(spark, monkeypatch):
+    """Texts are shuffled once for all steps, no term is unfolded before weights are known, and messages are far smaller than the terms in them; words of any script, and words that begin others."""
+    monkeypatch.setattr(terms, "PART_CHARS", 400, raising=False)
+    odd = ["ab abc ab abcd ab_ coin coins co_in 数据分 数据分析 x² Straße ÉTÉ été İstanbul", "abc ab-abc ab'abc coin coin été 𝒳𝒳𝒳 𝒳𝒳𝒳𝒳 ½½½", "abc", "abc " * 200]
+    rows = [(i, " ".join(f"{odd[i % 4]} word{i * 7 % 50} word{i * 11 % 50}".split() * (1 + i % 3))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = terms.tfidf(docs, "doc_id", "text")
+    weights = terms.idf(docs, "doc_id", "text").select("term", "idf")
+    want = terms.term_freq(docs, "doc_id", "text").join(weights, "term").select("doc_id", "term", F.col("tf") * F.col("idf"))
+    assert sorted((r[0], r[1], round(r[2], 12)) for r in got.collect()) == sorted((r[0], r[1], round(r[2], 12)) for r in want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and "Generate" not in plan and "Window" not in plan and plan.count("FileScan") + plan.count("Scan ExistingRDD") == 1
+    numbers = np.arange(1000) * 3 + 1
+    assert np.array_equal(termparts.unpack(termparts.pack(numbers)), numbers) and len(zlib.compress(termparts.pack(np.diff(numbers)))) < 100
+
+
 def test_keywords_leave_their_task_chosen(spark):
     """Only chosen keywords are shuffled: the filter on length, which needs its documents' ids, comes after the choice; short texts and rows without an id give none."""
     long = "coin mining coin mining token token staking wallet exchange bridge oracle token wallet validator ledger custody coin miner"

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import scale
 from tidemark.functions.texts import words
 from tidemark.lexicons import BOOST_TERMS, STOPWORDS
+from tidemark.operators import termparts
 from tidemark.session import written
 
 #: Characters of text whose terms one task unfolds, and of a part of :func:`tfidf`: the larger a part, the more of its documents share what it asks.
@@ -94,8 +96,11 @@ def spread(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def text_parts(docs: DataFrame, text: str, size: int | None = None) -> int:
     """Number of partitions of about ``size`` (:data:`CHARS`) characters; at least the session's shuffle partitions."""
-    chars = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // (size or CHARS)))
+    return _parts(docs, docs.agg(F.sum(F.length(text).cast("long"))).first()[0], size or CHARS)
+
+
+def _parts(docs: DataFrame, chars: int | None, size: int) -> int:
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(chars or 0) // size))
 
 
 def doc_total(docs: DataFrame) -> Column:
@@ -106,30 +111,29 @@ def doc_total(docs: DataFrame) -> Column:
 def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
     """(document, term, tf * idf); all rows of a document come out of one task.
 
-    Texts are dealt to parts of about :data:`PART_CHARS` characters. A part sends each of its different terms once, with the number of its rows that have it, and gets back the sum
-    over all parts where another part has the term too; what only one part has is known there. Terms of documents never leave their part, and no task is larger in a larger table.
+    Texts are dealt once, as blank-joined tokens, to parts of about :data:`PART_CHARS` characters, which count terms as numbers (:mod:`tidemark.operators.termparts`). A part sends each of its
+    different words once, with the number of its rows that have it, and gets back the sum over all parts and the word's number in the whole table; then each different pair of
+    neighbouring words as two such numbers, and gets back their sum. Terms of documents never leave their part, and no task is larger in a larger table.
     """
-    parts = text_parts(docs, text, PART_CHARS)
-    texts = docs.select(F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int").alias("_part"), F.col(doc).alias("_doc"), F.col(text).alias("_text"))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return doc_terms(rows.repartitionById(parts, "_part"), ["_part", "_doc", "_term", "_df"], "_text", bigrams=bigrams, stopwords=stopwords)
-
-    texts = texts.select("*", F.lit(None).cast("string").alias("_term"), F.lit(None).cast("long").alias("_df"))
-    local = scale.unnest(dealt(texts), ["_part"], F.array_distinct("_t"), "term").groupBy("_part", "term").agg(F.count(F.lit(1)).alias("_rows"))
-    everywhere = Window.partitionBy("term")
-    summed = local.repartition(parts, "term").select("_part", "term", F.sum("_rows").over(everywhere).alias("_df"), F.count(F.lit(1)).over(everywhere).alias("_parts"))
-    answers = summed.where("_parts > 1").select("_part", F.col("term").alias("_term"), "_df")
-    rows = runs(dealt(texts.unionByName(answers, allowMissingColumns=True)).withColumn("_total", F.size("_t")), "_t")
-    answer = F.array(F.struct(F.col("_term").alias("term"), F.lit(0).cast("long").alias("n")))
-    rows = scale.unnest(rows, ["_part", "_doc", "_total", "_df"], F.when(F.col("_df").isNull(), F.col("_t")).otherwise(answer), "_x")
-    rows = rows.select("_part", "_doc", F.col("_x.term").alias("term"), F.col("_x.n").alias("n"), "_total", "_df")
-    # One sort serves all three. An answer counts 0 times; beside texts without an id it stands last.
-    own = Window.partitionBy("_part", "term", "_doc")
-    here = Window.partitionBy("_part", "term")
-    rows = rows.select("*", F.row_number().over(own.orderBy(F.col("_df").isNotNull())).alias("_at"), F.sum("n").over(own).alias("_n"))
-    rows = rows.withColumn("_df", F.coalesce(F.max("_df").over(here), F.count_if(F.col("_df").isNull()).over(here))).where("_at = 1 AND _n > 0")
-    return rows.select(F.col("_doc").alias(doc), "term", (F.col("_n") / F.col("_total") * F.ln((doc_total(docs) + 1) / (F.col("_df") + 1))).alias("weight"))
+    rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("long"))).first()
+    parts = _parts(docs, chars, PART_CHARS)
+    kind = docs.select(doc).schema[0].dataType
+    key = [F.to_json(F.struct(doc)).alias("_key")] if isinstance(kind, (T.ArrayType, T.StructType)) else []
+    texts = docs.select(F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int").alias("_part"), F.col(doc).alias("_doc"), F.array_join(tokens(F.col(text), stopwords), " ").alias("_text"), *key)
+    texts = texts.repartitionById(parts, "_part")
+
+    def dealt(messages: DataFrame, to: str) -> GroupedData:
+        return messages.repartitionById(parts, to).groupBy(to)
+
+    asked = texts.groupBy("_part").applyInArrow(termparts.sender_of_words(parts), termparts.SENT_WORDS)
+    answers = dealt(asked, "_bucket").applyInArrow(termparts.numberer_of_words(parts), termparts.NUMBERED_WORDS)
+    if bigrams:
+        asked = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.sender_of_pairs(parts), termparts.SENT_PAIRS)
+        pairs = dealt(asked, "_bucket").applyInArrow(termparts.adder_of_pairs(), termparts.ADDED_PAIRS)
+        answers = answers.unionByName(pairs, allowMissingColumns=True)
+    schema = T.StructType().add("doc", kind).add("term", "string").add("n", "long").add("total", "long").add("df", "long")
+    found = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(parts, bigrams), schema)
+    return found.select(F.col("doc").alias(doc), "term", (F.col("n") / F.col("total") * F.ln(F.lit(rows + 1) / (F.col("df") + 1))).alias("weight"))
 
 
 def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequence[str] = tuple(BOOST_TERMS), factor: float = 1.5,
