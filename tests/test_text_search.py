@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import lexicons as L
@@ -366,6 +367,25 @@ def test_keywords_leave_their_task_chosen(spark):
     assert plan.index("LeftSemi") < plan.index("WindowGroupLimit")
 
 
+def test_keywords_hold_back_light_terms(spark, monkeypatch):
+    """A part makes rows only of terms that can be chosen, also where very many weigh the same; the choice is that among all weights."""
+    monkeypatch.setattr(terms, "PART_CHARS", 2000, raising=False)
+    texts = [" ".join(f"w{(i * 31 + j * j) % 97:02d}{'token' if (i + j) % 29 == 0 else ''}" for j in range(30 + 3 * i)) for i in range(40)] + [" ".join(f"only{j:03d}" for j in range(300))] * 2
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[7]), (None, texts[5]), (90, "two words"), (91, None)], "doc_id long, text string").repartition(4)
+    for boost, k in ((("token", "smart w"), 5), ((), 1), (("n", "w1"), 12)):
+        everything = terms.tfidf(docs, "doc_id", "text")
+        boosted = F.lit(False)
+        for word in boost:
+            boosted = boosted | F.col("term").contains(word)
+        order = [F.round(F.when(boosted, F.col("weight") * 1.5).otherwise(F.col("weight")), 12).desc(), F.col("term")]
+        want = everything.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("rank") <= k)
+        held = terms.tfidf(docs, "doc_id", "text", heaviest=(k, boost, 1.5))
+        chosen = held.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("rank") <= k)
+        assert sorted(map(str, chosen.collect())) == sorted(map(str, want.collect()))
+        most = held.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+        assert most <= 4 * k < everything.groupBy("doc_id").count().agg(F.max("count")).first()[0] / 5
+
+
 def test_cosine_pairs_follow_rows(spark, monkeypatch):
     """Joins of weights have as many tasks as their rows ask for; pairs without a document, without an id or of one document are answered."""
     monkeypatch.setattr(terms, "PAIR_ROWS", 50, raising=False)

@@ -7,7 +7,7 @@ character of a word, so terms in the order of their numbers are terms in the ord
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -198,7 +198,45 @@ def adder_of_pairs() -> Callable[[pa.Table], pa.Table]:
     return add
 
 
-def weigher(buckets: int, bigrams: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+@dataclass
+class Heaviest:
+    """The ``k`` heaviest terms of a document are asked for, by weights rounded to 12 digits and then by term; terms that contain one of ``boost`` weigh ``factor`` times as much."""
+
+    k: int
+    boost: Sequence[str]
+    factor: float
+    docs: int
+
+    def __call__(self, doc: np.ndarray, term: np.ndarray, n: np.ndarray, total: np.ndarray, df: np.ndarray, names: pa.Array) -> np.ndarray:
+        """Which rows can be among them, in a safe choice: Spark rounds and orders what is left.
+
+        Rows are ordered by document. Besides what is heavier than the k-th weight by more than the rounding, terms about as heavy as it stay: of those with equal counts, which weigh
+        the same however it is computed, the first ``k`` by term.
+        """
+        if not len(doc):
+            return np.zeros(0, np.int64)
+        boosted = np.zeros(len(names), bool)
+        for word in self.boost:
+            boosted |= pc.match_substring(names, word).to_numpy(zero_copy_only=False)
+        hit = boosted[term]
+        weight = n / total * np.log((self.docs + 1) / (df + 1)) * np.where(hit, self.factor, 1.0)
+        starts = runs(doc)
+        size = np.diff(np.append(starts, len(doc)))
+        falling = np.lexsort((-weight, doc))
+        kth = np.repeat(weight[falling[starts + np.minimum(size, self.k) - 1]], size)
+        near = 2e-12 + 1e-14 * np.abs(kth)
+        even = np.flatnonzero(np.abs(weight - kth) <= near)
+        even = even[np.lexsort((term[even], total[even], n[even], df[even], hit[even], doc[even]))]
+        same = np.ones(len(even), bool)
+        for x in (doc, n, df, total, hit):
+            same[1:] &= x[even][1:] == x[even][:-1]
+        same[:1] = False
+        at = np.arange(len(even))
+        begun = np.maximum.accumulate(np.where(same, 0, at))
+        return np.sort(np.concatenate([np.flatnonzero(weight - kth > near), even[at - begun < self.k]]))
+
+
+def weigher(buckets: int, bigrams: bool, heaviest: Heaviest | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Every document's different terms with their counts, the number of the document's terms and the rows of the whole table that have the term."""
     def weigh(texts: pa.Table, answers: pa.Table) -> pa.Table:
         part = Part.of(texts["_text"])
@@ -227,6 +265,9 @@ def weigher(buckets: int, bigrams: bool) -> Callable[[pa.Table, pa.Table], pa.Ta
             n, by = np.add.reduceat(n[by], starts), by[starts]
             row, at, total, doc = row[by], at[by], total[by], doc[by]
         names = pc.binary_join_element_wise(part.words.take(pa.array(first)), part.words.take(pa.array(second, mask=second < 0)), " ", null_handling="skip")
+        if heaviest:
+            kept = heaviest(doc, at, n, total, df[at], names)
+            row, at, n, total = row[kept], at[kept], n[kept], total[kept]
         return pa.Table.from_batches(list(batches(texts, names, row, at, n, total, df[at], schema)), schema)
 
     return weigh

@@ -108,12 +108,14 @@ def doc_total(docs: DataFrame) -> Column:
     return docs.agg(F.count(F.lit(1))).scalar()
 
 
-def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS)) -> DataFrame:
+def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS), heaviest: tuple[int, Sequence[str], float] | None = None) -> DataFrame:
     """(document, term, tf * idf); all rows of a document come out of one task.
 
     Texts are dealt once, as blank-joined tokens, to parts of about :data:`PART_CHARS` characters, which count terms as numbers (:mod:`tidemark.operators.termparts`). A part sends each of its
     different words once, with the number of its rows that have it, and gets back the sum over all parts and the word's number in the whole table; then each different pair of
     neighbouring words as two such numbers, and gets back their sum. Terms of documents never leave their part, and no task is larger in a larger table.
+
+    With ``heaviest`` (k, boosted words, their factor) a part holds back terms that cannot be among the ``k`` heaviest of their document.
     """
     rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("long"))).first()
     parts = _parts(docs, chars, PART_CHARS)
@@ -131,8 +133,9 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwor
         asked = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.sender_of_pairs(parts), termparts.SENT_PAIRS)
         pairs = dealt(asked, "_bucket").applyInArrow(termparts.adder_of_pairs(), termparts.ADDED_PAIRS)
         answers = answers.unionByName(pairs, allowMissingColumns=True)
+    kept = heaviest and termparts.Heaviest(*heaviest, rows)
     schema = T.StructType().add("doc", kind).add("term", "string").add("n", "long").add("total", "long").add("df", "long")
-    found = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(parts, bigrams), schema)
+    found = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(parts, bigrams, kept), schema)
     return found.select(F.col("doc").alias(doc), "term", (F.col("n") / F.col("total") * F.ln(F.lit(rows + 1) / (F.col("df") + 1))).alias("weight"))
 
 
@@ -140,9 +143,9 @@ def keywords(docs: DataFrame, doc: str, text: str, k: int = 10, *, boost: Sequen
              min_chars: int = 100, bigrams: bool = True) -> DataFrame:
     """The ``k`` heaviest terms per document; terms that contain a boosted word weigh more; short documents give none.
 
-    All rows of a document lie in one task, which sends its first ``k`` only.
+    All rows of a document lie in one task, which makes rows only of terms that can be among its first ``k`` and sends these only.
     """
-    weights = tfidf(docs, doc, text, bigrams=bigrams)
+    weights = tfidf(docs, doc, text, bigrams=bigrams, heaviest=(k, tuple(boost), factor))
     long_enough = docs.where(F.length(text) >= min_chars).select(doc)
     boosted = F.lit(False)
     for term in boost:
