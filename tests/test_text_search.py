@@ -354,6 +354,23 @@ def test_tfidf_moves_texts_once_and_terms_as_numbers(spark, monkeypatch):
     assert np.array_equal(termparts.unpack(termparts.pack(numbers)), numbers) and len(zlib.compress(termparts.pack(np.diff(numbers)))) < 100
 
 
+def test_tfidf_deals_large_ids_over_parts(spark, monkeypatch):
+    """Rows that share an id, or have none, and hold more text than a part are dealt over parts by their texts; their counts and keywords are those of the whole document."""
+    monkeypatch.setattr(terms, "PART_CHARS", 600, raising=False)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"coin mining pool word{i % 11} word{i % 5} only{i} token{i % 2}") for i in range(150)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = terms.tfidf(docs, "doc_id", "text")
+    weights = terms.idf(docs, "doc_id", "text").select("term", "idf")
+    want = terms.term_freq(docs, "doc_id", "text").join(weights, "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    assert sorted((str(r[0]), r[1], round(r[2], 12)) for r in got.collect()) == sorted((str(r[0]), r[1], round(r[2], 12)) for r in want.collect())
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in terms.tfidf(docs.where("doc_id > 7"), "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    best = Window.partitionBy("doc_id").orderBy(F.round("weight", 12).desc(), F.col("term"))
+    first = want.withColumn("rank", F.row_number().over(best)).where("rank <= 4 AND doc_id IS NOT NULL").select("doc_id", "term", "rank")
+    keys = terms.keywords(docs, "doc_id", "text", 4, boost=[], min_chars=5).select("doc_id", "term", "rank")
+    assert sorted(map(tuple, keys.collect())) == sorted(map(tuple, first.collect()))
+
+
 def test_keywords_leave_their_task_chosen(spark):
     """Only chosen keywords are shuffled: the filter on length, which needs its documents' ids, comes after the choice; short texts and rows without an id give none."""
     long = "coin mining coin mining token token staking wallet exchange bridge oracle token wallet validator ledger custody coin miner"

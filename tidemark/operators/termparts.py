@@ -6,13 +6,13 @@ character of a word, so terms in the order of their numbers are terms in the ord
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 
 #: Numbers of words stay below, so that a pair of them is one number.
 WORDS = 1 << 31
@@ -82,8 +82,7 @@ class Part:
 
     def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Words in the order they are sent, and where each bucket's begin among them."""
-        bucket = np.array([zlib.crc32(w.encode()) % buckets for w in self.words.to_pylist()], np.int64)
-        return dealt(bucket, buckets)
+        return dealt((hash_array(self.words.to_numpy(zero_copy_only=False), categorize=False) % np.uint64(buckets)).astype(np.int64), buckets)
 
 
 def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,12 +235,17 @@ class Heaviest:
         return np.sort(np.concatenate([np.flatnonzero(weight - kth > near), even[at - begun < self.k]]))
 
 
-def weigher(buckets: int, bigrams: bool, heaviest: Heaviest | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Every document's different terms with their counts, the number of the document's terms and the rows of the whole table that have the term."""
+def weigher(buckets: int, bigrams: bool, several: bool, heaviest: Heaviest | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Every document's different terms with their counts, the number of the document's terms and the rows of the whole table that have the term.
+
+    ``several``: of documents that lie in several parts, else of the others.
+    """
     def weigh(texts: pa.Table, answers: pa.Table) -> pa.Table:
         part = Part.of(texts["_text"])
-        schema = pa.schema([("doc", texts.schema.field("_doc").type), ("term", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("df", pa.int64())])
-        if not len(part.word):
+        kind = texts.schema.field("_doc").type
+        schema = pa.schema([("doc", {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}.get(kind, kind)), ("term", pa.string()), ("n", pa.int64()), ("total", pa.int64()), ("df", pa.int64())])
+        asked = texts["_several"].to_numpy() == several
+        if not asked[part.row].any():
             return schema.empty_table()
         order, _ = part.dealt(buckets)
         answers = answers.sort_by("_bucket")
@@ -255,6 +259,8 @@ def weigher(buckets: int, bigrams: bool, heaviest: Heaviest | None) -> Callable[
             df[pair] = answered(of_pairs["df"], Pairs.of(found[pair], answered(of_words["ids"], order), buckets).order)
         total = np.bincount(part.row, minlength=len(texts))
         total = total + np.maximum(total - 1, 0) if bigrams else total
+        here = asked[row]
+        row, at, n = row[here], at[here], n[here]
         total = total[row]
         keys, doc = numbered(texts["_key" if "_key" in texts.column_names else "_doc"], nulls="encode")
         doc = doc[row]
@@ -274,7 +280,7 @@ def weigher(buckets: int, bigrams: bool, heaviest: Heaviest | None) -> Callable[
 
 
 def batches(texts: pa.Table, names: pa.Array, row: np.ndarray, at: np.ndarray, n: np.ndarray, total: np.ndarray, df: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    docs = texts["_doc"].combine_chunks()
+    docs = texts["_doc"].cast(schema.field("doc").type).combine_chunks()
     for lo in range(0, len(row), BATCH):
         span = slice(lo, lo + BATCH)
         yield pa.RecordBatch.from_arrays([docs.take(pa.array(row[span])), names.take(pa.array(at[span])), *[pa.array(x[span], pa.int64()) for x in (n, total, df)]], schema=schema)

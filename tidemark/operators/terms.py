@@ -109,19 +109,26 @@ def doc_total(docs: DataFrame) -> Column:
 
 
 def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwords: Sequence[str] = tuple(STOPWORDS), heaviest: tuple[int, Sequence[str], float] | None = None) -> DataFrame:
-    """(document, term, tf * idf); all rows of a document come out of one task.
+    """(document, term, tf * idf); all rows of a document come out of one task, unless it has more text, in several rows, than a part.
 
     Texts are dealt once, as blank-joined tokens, to parts of about :data:`PART_CHARS` characters, which count terms as numbers (:mod:`tidemark.operators.termparts`). A part sends each of its
     different words once, with the number of its rows that have it, and gets back the sum over all parts and the word's number in the whole table; then each different pair of
     neighbouring words as two such numbers, and gets back their sum. Terms of documents never leave their part, and no task is larger in a larger table.
+    Rows that share an id, or have none, and together are larger than a part are dealt by their texts, and the counts of their terms added up over the parts.
 
     With ``heaviest`` (k, boosted words, their factor) a part holds back terms that cannot be among the ``k`` heaviest of their document.
     """
-    rows, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("long"))).first()
+    sizes = docs.groupBy(F.xxhash64(doc).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.length(text).cast("long")).alias("_chars"))
+    large = F.when((F.col("_rows") > 1) & (F.col("_chars") > PART_CHARS), F.struct("_hash", "_chars"))
+    rows, chars, large = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.sum("_chars"), F.collect_list(large)).first()
     parts = _parts(docs, chars, PART_CHARS)
     kind = docs.select(doc).schema[0].dataType
     key = [F.to_json(F.struct(doc)).alias("_key")] if isinstance(kind, (T.ArrayType, T.StructType)) else []
-    texts = docs.select(F.pmod(F.xxhash64(doc), F.lit(parts)).cast("int").alias("_part"), F.col(doc).alias("_doc"), F.array_join(tokens(F.col(text), stopwords), " ").alias("_text"), *key)
+    several = F.xxhash64(doc).isin([x["_hash"] for x in large]) if large else F.lit(False)
+    part = F.xxhash64(doc)
+    if large:
+        part = F.when(several, F.xxhash64(F.xxhash64(doc), F.pmod(F.xxhash64(text), F.lit(-(-max(x["_chars"] for x in large) // PART_CHARS))))).otherwise(part)
+    texts = docs.select(F.pmod(part, F.lit(parts)).cast("int").alias("_part"), F.col(doc).alias("_doc"), F.array_join(tokens(F.col(text), stopwords), " ").alias("_text"), several.alias("_several"), *key)
     texts = texts.repartitionById(parts, "_part")
 
     def dealt(messages: DataFrame, to: str) -> GroupedData:
@@ -133,9 +140,15 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwor
         asked = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.sender_of_pairs(parts), termparts.SENT_PAIRS)
         pairs = dealt(asked, "_bucket").applyInArrow(termparts.adder_of_pairs(), termparts.ADDED_PAIRS)
         answers = answers.unionByName(pairs, allowMissingColumns=True)
-    kept = heaviest and termparts.Heaviest(*heaviest, rows)
     schema = T.StructType().add("doc", kind).add("term", "string").add("n", "long").add("total", "long").add("df", "long")
-    found = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(parts, bigrams, kept), schema)
+
+    def weighed(several: bool, kept: termparts.Heaviest | None) -> DataFrame:
+        return texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(parts, bigrams, several, kept), schema)
+
+    found = weighed(False, heaviest and termparts.Heaviest(*heaviest, rows))
+    if large:
+        again = weighed(True, None).groupBy("doc", "term").agg(F.sum("n").alias("n"), F.first("total").alias("total"), F.first("df").alias("df"))
+        found = found.unionByName(again)
     return found.select(F.col("doc").alias(doc), "term", (F.col("n") / F.col("total") * F.ln(F.lit(rows + 1) / (F.col("df") + 1))).alias("weight"))
 
 
