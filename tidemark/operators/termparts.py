@@ -168,11 +168,11 @@ class Pairs:
         return cls(order[placed], starts, first[placed], second[placed])
 
 
-def sender_of_pairs(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def sender_of_pairs(word_buckets: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A part sends each different pair of neighbouring words once, with the number of its rows that have it."""
     def send(texts: pa.Table, words: pa.Table) -> pa.Table:
         part = Part.of(texts["_text"])
-        order, _ = part.dealt(buckets)
+        order, _ = part.dealt(word_buckets)
         ids = answered(words.sort_by("_bucket")["ids"], order)
         found, _, at, _ = in_rows(*part.terms(True))
         pair = found % (len(ids) + 1) > 0
@@ -235,7 +235,7 @@ class Heaviest:
         return np.sort(np.concatenate([np.flatnonzero(weight - kth > near), even[at - begun < self.k]]))
 
 
-def weigher(buckets: int, bigrams: bool, several: bool, heaviest: Heaviest | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def weigher(word_buckets: int, buckets: int, bigrams: bool, several: bool, heaviest: Heaviest | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Every document's different terms with their counts, the number of the document's terms and the rows of the whole table that have the term.
 
     ``several``: of documents that lie in several parts, else of the others.
@@ -247,7 +247,7 @@ def weigher(buckets: int, bigrams: bool, several: bool, heaviest: Heaviest | Non
         asked = texts["_several"].to_numpy() == several
         if not asked[part.row].any():
             return schema.empty_table()
-        order, _ = part.dealt(buckets)
+        order, _ = part.dealt(word_buckets)
         answers = answers.sort_by("_bucket")
         of_words, of_pairs = (answers.filter(f(answers["ids"])) for f in (pc.is_valid, pc.is_null))
         found, row, at, n = in_rows(*part.terms(bigrams))

@@ -20,6 +20,8 @@ from tidemark.session import written
 
 #: Characters of text whose terms one task unfolds, and of a part of :func:`tfidf`: the larger a part, the more of its documents share what it asks.
 CHARS, PART_CHARS = 1 << 22, 1 << 23
+#: Parts whose different words, and whose different pairs of words, one task adds up: every part sends a message to each such task, so they are kept few.
+BUCKET_PARTS = 8, 2
 #: Rows of weights one task of :func:`cosine_pairs` joins.
 PAIR_ROWS = 1 << 20
 
@@ -130,20 +132,21 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, bigrams: bool = True, stopwor
         part = F.when(several, F.xxhash64(F.xxhash64(doc), F.pmod(F.xxhash64(text), F.lit(-(-max(x["_chars"] for x in large) // PART_CHARS))))).otherwise(part)
     texts = docs.select(F.pmod(part, F.lit(parts)).cast("int").alias("_part"), F.col(doc).alias("_doc"), F.array_join(tokens(F.col(text), stopwords), " ").alias("_text"), several.alias("_several"), *key)
     texts = texts.repartitionById(parts, "_part")
+    by_word, by_pair = (-(-parts // n) for n in BUCKET_PARTS)
 
-    def dealt(messages: DataFrame, to: str) -> GroupedData:
-        return messages.repartitionById(parts, to).groupBy(to)
+    def dealt(messages: DataFrame, to: str, among: int = parts) -> GroupedData:
+        return messages.repartitionById(among, to).groupBy(to)
 
-    asked = texts.groupBy("_part").applyInArrow(termparts.sender_of_words(parts), termparts.SENT_WORDS)
-    answers = dealt(asked, "_bucket").applyInArrow(termparts.numberer_of_words(parts), termparts.NUMBERED_WORDS)
+    asked = texts.groupBy("_part").applyInArrow(termparts.sender_of_words(by_word), termparts.SENT_WORDS)
+    answers = dealt(asked, "_bucket", by_word).applyInArrow(termparts.numberer_of_words(by_word), termparts.NUMBERED_WORDS)
     if bigrams:
-        asked = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.sender_of_pairs(parts), termparts.SENT_PAIRS)
-        pairs = dealt(asked, "_bucket").applyInArrow(termparts.adder_of_pairs(), termparts.ADDED_PAIRS)
-        answers = answers.unionByName(pairs, allowMissingColumns=True)
+        asked = texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.sender_of_pairs(by_word, by_pair), termparts.SENT_PAIRS)
+        added = dealt(asked, "_bucket", by_pair).applyInArrow(termparts.adder_of_pairs(), termparts.ADDED_PAIRS)
+        answers = answers.unionByName(added, allowMissingColumns=True)
     schema = T.StructType().add("doc", kind).add("term", "string").add("n", "long").add("total", "long").add("df", "long")
 
     def weighed(several: bool, kept: termparts.Heaviest | None) -> DataFrame:
-        return texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(parts, bigrams, several, kept), schema)
+        return texts.groupBy("_part").cogroup(dealt(answers, "_part")).applyInArrow(termparts.weigher(by_word, by_pair, bigrams, several, kept), schema)
 
     found = weighed(False, heaviest and termparts.Heaviest(*heaviest, rows))
     if large:
